@@ -9,9 +9,9 @@ fingerprint, as a written table; equal-sized levels are merge-scanned into the n
 counts of equal entries.
 
 What the levels say: a run that occurs twice is repeated whole. A run whose value occurs in other runs
-too may hold single repeated windows; only the bytes of those runs, one copy of each, are gathered by
-value and compared window by window. Values with more than ``GROUP`` different runs are compared by
-window fingerprints in a shuffle instead, so no group of any size meets in one task.
+too may hold single repeated windows; those runs, one copy of each, are compared by fingerprints of
+aligned blocks of ``BLOCK`` windows and then of single windows at the edges of matches. Fingerprints
+meet as counts and joins, so no group of any size meets in one task.
 
 Matching uses 64-bit fingerprints beside the 64-bit value. Texts are identified by their MD5.
 
@@ -22,7 +22,6 @@ occurrences go, the first too; a repeated row makes its whole text repeat; empty
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import dropped, mix, signed, utf8, written
 
-#: Bytes of a match, bytes of a sampled suffix's context, batches of the query, runs of a value that one task compares.
-LENGTH, CONTEXT, BATCHES, GROUP = 400, 96, 4, 256
+#: Bytes of a match, bytes of a sampled suffix's context, batches of the query, windows of an aligned block.
+LENGTH, CONTEXT, BATCHES, BLOCK = 400, 96, 4, 16
 _MULTIPLIER = 0xD1342543DE82EF95
 
 
@@ -56,16 +55,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _values(data: bytes, context: int) -> np.ndarray:
+    """A hash of the ``context`` bytes at every position, by differences of prefix sums of a polynomial."""
+    n = len(data)
+    power, inverse = _powers(max(1 << 17, 1 << n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[context:] - sums[:-context]) * inverse[: n - context + 1])
+
+
 def runs(data: bytes, length: int = LENGTH, context: int = CONTEXT):
     """Runs of windows with the same least value: first window, windows, value, fingerprint, whether the value is in it twice."""
     n, width = len(data), length - context + 1
     if n < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
-    power, inverse = _powers(max(1 << 17, 1 << n.bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((np.frombuffer(data, np.uint8) + np.uint64(1)) * power[:n], out=sums[1:])
-    value = mix((sums[context:] - sums[:-context]) * inverse[: n - context + 1])
+    value = _values(data, context)
     least = _sliding_min(value, width)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     count = np.diff(np.append(first, len(least)))
@@ -145,78 +150,86 @@ class SuffixLevels:
         return out if len(found) == 1 else self._sorted(out)
 
 
-STRINGS = "value long, print long, n long, text_key binary, doc_id long, first int, bytes binary"
-RANGES = "text_key binary, doc_id long, lo int, hi int"
-
+BLOCKS = "value long, core long, whole long, place long, text_key binary, doc_id long, lo int, hi int, n long"
+WINDOWS = "value long, window long, place long, text_key binary, doc_id long, at int, n long"
 
-def _ranges(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Ranges of repeated windows in the single runs of one value."""
-    by = {r[1]: r for r in rows}
-    hashes = {p: [xxhash.xxh3_64_intdigest(r[6][i : i + length]) for i in range(len(r[6]) - length + 1)] for p, r in by.items()}
-    seen = Counter(h for own in hashes.values() for h in own)
-    for p, r in by.items():
-        if r[2] == 1:
-            hit = np.flatnonzero(np.fromiter((seen[h] > 1 for h in hashes[p]), bool, len(hashes[p])))
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > 1)
-                for lo, hi in zip(hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]):
-                    yield r[3], r[4], int(r[5] + lo), int(r[5] + hi)
 
-
-def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def _table(columns: list, schema: str) -> pa.RecordBatch:
     kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
     fields = [x.split() for x in schema.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _close_runs(texts: DataFrame, length: int, hot: bool) -> DataFrame:
-    """Bytes of the runs to compare: single ones, and one copy of each other one."""
+def _place(mark: int, at: int) -> int:
+    """What tells one occurrence from another: the run's fingerprint and the place in it."""
+    return int(xxhash.xxh3_64_intdigest(mark.to_bytes(8, "little", signed=True) + at.to_bytes(4, "little")) - (1 << 63))
 
-    def run(parts):
-        for part in parts:
-            for at in range(part.num_rows):
-                row = part.slice(at, 1).to_pylist()[0]
-                data, out = (row["text"] or "").encode(), []
-                for r in row["todo"]:
-                    if r["group"] is not None and (r["group"] > GROUP) == hot and (r["n"] == 1 or r["mine"]):
-                        out.append((r["value"], r["print"], r["n"], row["text_key"], row["doc_id"], r["first"], data[r["first"] : r["first"] + r["count"] + length - 1]))
-                if out:
-                    yield _table(out, STRINGS)
 
-    return texts.mapInArrow(run, STRINGS)
+def _print(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows (text_key, doc_id, lo, hi) of runs that occur once."""
+def aligned_blocks(data: bytes, value: int, length: int, context: int) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """Blocks of the windows of a run (first, last, core, whole), aligned at the sampled suffix of each window.
 
-    def compare(parts):
-        group: list[tuple] = []
-        for part in parts:
-            out = []
-            for row in zip(*(c.to_pylist() for c in part.columns)):
-                if group and group[0][0] != row[0]:
-                    out.extend(_ranges(group, length))
-                    group = []
-                group.append(row)
-            if out:
-                yield _table(out, RANGES)
-        if group and (out := list(_ranges(group, length))):
-            yield _table(out, RANGES)
-
-    def windows(parts):
+    The core is what all ``BLOCK`` windows of an aligned block share, the whole what they span (None if
+    the run lacks some of them): equal windows have equal cores, and all windows of equal wholes are equal.
+    """
+    near = np.flatnonzero(signed(_values(data, context)) == value)
+    at = np.arange(len(data) - length + 1)
+    suffix = near[np.searchsorted(near, at)]
+    block = (suffix - at) // BLOCK
+    first = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (suffix[1:] != suffix[:-1])))
+    for lo, hi in zip(first.tolist(), (np.append(first[1:], len(at)) - 1).tolist()):
+        last = int(suffix[lo] - BLOCK * block[lo])
+        whole = data[lo : hi + length] if hi - lo + 1 == BLOCK else None
+        yield lo, hi, data[last : last - BLOCK + 1 + length], whole
+
+
+def repeated_ranges(texts: DataFrame, length: int, context: int) -> DataFrame:
+    """Repeated windows (text_key, doc_id, lo, hi) of runs that occur once.
+
+    Blocks are settled whole by two fingerprints: a core that no other block has says that none of its windows is
+    repeated, a whole that another block has says that all are. Windows are compared one by one only in
+    blocks that neither settles, and in those that share a core with one.
+    """
+
+    def cut_blocks(parts):
         for part in parts:
-            for value, mark, n, key, doc, first, data in zip(*(c.to_pylist() for c in part.columns)):
-                count = len(data) - length + 1
-                own = np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + length]) for i in range(count)), np.uint64, count)
-                place = np.arange(count, dtype=np.uint64) * np.uint64(_MULTIPLIER) ^ np.uint64(mark & (1 << 64) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, value)), pa.array(signed(own)), pa.array(signed(place)), pa.array([key] * count, pa.binary()), pa.array(np.full(count, doc)), pa.array(np.arange(first, first + count, dtype=np.int32)), pa.array(np.full(count, n))], names=["value", "window", "place", "text_key", "doc_id", "at", "n"])
+            for i in range(part.num_rows):
+                row = part.slice(i, 1).to_pylist()[0]
+                data, out = (row["text"] or "").encode(), []
+                for r in row["todo"]:
+                    if r["close"] and (r["n"] == 1 or r["mine"]):
+                        own = data[r["first"] : r["first"] + r["count"] + length - 1]
+                        for lo, hi, core, whole in aligned_blocks(own, r["value"], length, context):
+                            out.append((r["value"], _print(core), None if whole is None else _print(whole), _place(r["print"], lo), row["text_key"], row["doc_id"], r["first"] + lo, r["first"] + hi, r["n"]))
+                if out:
+                    yield _table(list(zip(*out)), BLOCKS)
 
-    near = _close_runs(texts, length, hot=False).repartition("value").sortWithinPartitions("value").mapInArrow(compare, RANGES)
-    rows = _close_runs(texts, length, hot=True).mapInArrow(windows, "value long, window long, place long, text_key binary, doc_id long, at int, n long")
-    twice = rows.groupBy("value", "window").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("value", "window")
-    far = rows.where("n = 1").join(twice, ["value", "window"]).select("text_key", "doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return near.unionByName(far)
+    def cut_windows(parts):
+        for part in parts:
+            for i in range(part.num_rows):
+                row = part.slice(i, 1).to_pylist()[0]
+                data, out = (row["text"] or "").encode(), []
+                for b in row["blocks"]:
+                    for k in range(b["lo"], b["hi"] + 1):
+                        out.append((b["value"], _print(data[k : k + length]), _place(b["place"], k - b["lo"]), row["text_key"], row["doc_id"], k, b["n"]))
+                if out:
+                    yield _table(list(zip(*out)), WINDOWS)
+
+    twice = lambda rows, key: rows.groupBy("value", key).agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("value", key)
+    blocks = written(texts.mapInArrow(cut_blocks, BLOCKS), "blocks")
+    wholes = twice(blocks.where("whole IS NOT NULL"), "whole").withColumn("settled", F.lit(True))
+    live = blocks.join(twice(blocks, "core"), ["value", "core"]).join(wholes, ["value", "whole"], "left")
+    live = written(live, "live")
+    settled = live.where("settled AND n = 1").select("text_key", "doc_id", "lo", "hi")
+    unsettled = live.where("settled IS NULL AND n = 1").select("value", "core").distinct()
+    rest = live.join(unsettled, ["value", "core"]).groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("value", "place", "lo", "hi", "n")).alias("blocks"))
+    windows = texts.select("text_key", "doc_id", "text").join(rest, ["text_key", "doc_id"]).mapInArrow(cut_windows, WINDOWS)
+    windows = written(windows, "windows")
+    single = windows.where("n = 1").join(twice(windows, "window"), ["value", "window"])
+    return settled.unionByName(single.select("text_key", "doc_id", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
 
 SPANS = "text_key binary, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>"
@@ -246,15 +259,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for b in range(batches):
         index.add(table.where(F.col("batch") == b))
     level = index.scan()
-    groups = level.groupBy("value").agg(F.count("*").alias("group"), F.max("twice").alias("self")).where("group > 1 OR self").select("value", "group")
-    state = level.join(groups, "value", "left").where("n > 1 OR group IS NOT NULL").select("value", "print", "n", "copy", "group")
+    groups = level.groupBy("value").agg(F.count("*").alias("group"), F.max("twice").alias("self")).where("group > 1 OR self").select("value", F.lit(True).alias("close"))
+    state = level.join(groups, "value", "left").where("n > 1 OR close").select("value", "print", "n", "copy", "close")
     found = table.select("doc_id", "text_key", F.inline("runs")).join(state, ["value", "print"])
     mine = F.col("copy") == F.xxhash64("text_key")
-    todo = found.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("first", "count", "value", "print", "n", "group", mine.alias("mine"))).alias("todo"))
+    todo = found.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("first", "count", "value", "print", "n", "close", mine.alias("mine"))).alias("todo"))
     todo = written(todo, "todo")
     source = docs.select(_key(text).alias("text_key"), _doc(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     texts = source.join(todo, ["text_key", "doc_id"])
-    ranges = repeated_ranges(texts, length).groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = repeated_ranges(texts, length, context).groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
     def cut(parts):
         for part in parts:
