@@ -21,51 +21,45 @@ from pyspark.sql import functions as F
 
 FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "main", "boiler")
 
-#: One labelled block a line: the eight features (main: 1 inside the page's main container, 0 outside it,
-#: 0.5 if the page has none; boiler: 1 inside a menu, header, footer and the like), then 1 for content.
+#: Labelled blocks of pages without a main container, one a line: words, link density, those of the previous
+#: and of the next block, then 1 for content.
 LABELLED = """
-9 0.0 6 1.0 40 0.0 1 0 1
-1 0.0 9 0.0 30 0.0 1 0 1
-60 0.0 9 0.0 80 0.0 1 0 1
-35 0.2 20 0.0 12 0.0 1 0 1
-3 1.0 50 0.1 60 0.0 1 0 1
-2 0.5 3 0.0 4 0.0 1 0 1
-120 0.1 0 0.0 0 0.0 1 0 1
-7 0.6 8 0.9 9 0.9 1 0 1
-14 0.0 1 1.0 15 0.0 1 0 1
-25 0.9 4 0.0 100 0.0 1 0 1
-1 1.0 0 0.0 1 1.0 1 1 0
-2 1.0 1 1.0 1 1.0 0 1 0
-30 0.0 40 0.0 0 0.0 0 1 0
-12 0.0 30 0.0 0 0.0 0.5 1 0
-45 0.1 60 0.0 50 0.0 1 1 0
-18 0.4 4 0.0 90 0.0 0.5 1 0
-5 0.0 5 0.0 5 0.0 1 1 0
-80 0.0 70 0.0 20 0.0 1 1 0
-1 1.0 2 1.0 1 1.0 0 0 0
-10 0.0 1 1.0 9 0.0 0 0 0
-40 0.0 90 0.0 12 0.0 0 0 0
-16 0.3 3 1.0 20 0.0 0 0 0
-100 0.0 5 0.5 3 1.0 0 0 0
-6 1.0 6 1.0 6 1.0 0.5 0 0
-3 1.0 80 0.0 3 1.0 0.5 0 0
-4 0.8 4 0.8 60 0.0 0.5 0 0
-20 0.7 12 0.8 9 1.0 0.5 0 0
-2 0.0 1 1.0 1 1.0 0.5 0 0
-5 0.0 4 0.9 3 0.9 0.5 0 0
-1 0.0 0 0.0 2 1.0 0.5 0 0
-3 0.0 2 1.0 4 0.5 0.5 0 0
-40 0.0 8 0.0 50 0.0 0.5 0 1
-90 0.1 70 0.0 60 0.1 0.5 0 1
-25 0.0 40 0.0 30 0.0 0.5 0 1
-18 0.2 30 0.0 60 0.0 0.5 0 1
-8 0.0 60 0.0 55 0.0 0.5 0 1
-5 0.0 4 0.0 60 0.0 0.5 0 1
-14 0.0 70 0.0 3 1.0 0.5 0 1
-22 0.0 3 1.0 35 0.0 0.5 0 1
-12 0.1 20 0.0 18 0.0 0.5 0 1
+1 1.0 0 0.0 1 1.0 0
+2 1.0 1 1.0 1 1.0 0
+3 1.0 80 0.0 3 1.0 0
+6 1.0 6 1.0 6 1.0 0
+12 1.0 9 1.0 0 0.0 0
+4 0.8 4 0.8 60 0.0 0
+20 0.7 12 0.8 9 1.0 0
+35 0.6 5 1.0 12 0.9 0
+15 0.5 70 0.0 2 1.0 0
+2 0.0 1 1.0 1 1.0 0
+1 0.0 0 0.0 2 1.0 0
+3 0.0 2 1.0 4 0.5 0
+5 0.0 4 0.9 3 0.9 0
+4 0.0 3 0.0 2 0.0 0
+6 0.0 2 1.0 5 1.0 0
+3 0.0 5 0.0 0 0.0 0
+2 0.0 0 0.0 3 0.0 0
+40 0.0 8 0.0 50 0.0 1
+90 0.1 70 0.0 60 0.1 1
+150 0.0 0 0.0 0 0.0 1
+25 0.0 40 0.0 30 0.0 1
+18 0.2 30 0.0 60 0.0 1
+8 0.0 60 0.0 55 0.0 1
+5 0.0 4 0.0 60 0.0 1
+3 0.0 2 1.0 80 0.0 1
+14 0.0 70 0.0 3 1.0 1
+22 0.0 3 1.0 35 0.0 1
+12 0.1 20 0.0 18 0.0 1
+30 0.1 1 1.0 2 1.0 1
+50 0.2 45 0.0 6 0.8 1
 """
 
+#: Labelled containers of pages that have a main one: in it, in a boilerplate one, 1 for content. Where a block lies
+#: decides there, so the table holds every one of the blocks above for each of them.
+CONTAINERS = ((1, 0, 1), (1, 1, 0), (0, 0, 0), (0, 1, 0))
+
 # Element names of HTML by their part in a page.
 RAW = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|math"
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -132,7 +126,7 @@ def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
     return np.column_stack([words, links, near(words, -1), near(links, -1), near(words, 1), near(links, 1), main if main.any() else np.full(len(found), 0.5), [float(b[4]) for b in found]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """A decision tree by Gini impurity: (feature, threshold, low branch, high branch) or a class."""
     if depth == 0 or len(set(y)) == 1:
         return int(2 * y.sum() >= len(y))
@@ -157,8 +151,15 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, classify(low, x), classify(high, x))
 
 
+def labelled() -> np.ndarray:
+    """The labelled table: the eight features and the label. In a page without a main container (0.5) a block of a boilerplate one is none."""
+    shapes = [[float(v) for v in line.split()] for line in LABELLED.split("\n") if line]
+    free = [[*x[:-1], 0.5, boiler, 0.0 if boiler else x[-1]] for x in shapes for boiler in (0.0, 1.0)]
+    return np.array(free + [[*x[:-1], *c] for x in shapes for c in CONTAINERS])
+
+
 def trained():
-    rows = np.array([[float(v) for v in line.split()] for line in LABELLED.split("\n") if line])
+    rows = labelled()
     return grow(rows[:, :-1], rows[:, -1])
 
 

@@ -83,8 +83,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text",
             lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and the posterior probability appended."""
+    """``docs`` with the predicted language and the posterior probability appended; columns of those names are replaced."""
     spark = docs.sparkSession
+    docs = docs.select(*(c for c in docs.columns if c not in (lang_pred, score)))
     shared = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
