@@ -16,11 +16,14 @@ a text of any length is cut into full sequences first; an empty table gives an e
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,7 +31,11 @@ from pyspark.sql import DataFrame
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 BLOCK_ROWS, BLOCK_TOKENS = 4096, 8_000_000
 END_ID = 1
-_CACHE = 500_000
+#: Distinct runs that a task keeps.
+_CACHE = 400_000
+# The tokenizer's pre-token pattern (and line ends), and the characters for which this pattern is used here.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
+_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u024f]*").fullmatch
 
 
 def pack(sizes: np.ndarray, losses: np.ndarray, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)):
@@ -98,27 +105,84 @@ def pack(sizes: np.ndarray, losses: np.ndarray, limits: tuple[int, int, int] = (
     return pieces, sequence
 
 
-def _tokenizer(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
-    """Texts -> id arrays. The tokenizer treats the runs between spaces and line ends alone, so each distinct run is encoded once."""
-    from tokenizers import Tokenizer
+class _Numbers(dict):
+    """String -> its number; new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Ids:
+    """Id arrays by number, one after another."""
 
-    t = Tokenizer.from_file(path)
-    known: dict[str, list[int]] = {}
-
-    def ids(texts: list[str | None]) -> list[np.ndarray]:
-        runs = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = list({w for r in runs for w in r if w not in known})
-        if len(known) + len(new) > _CACHE:
-            known.clear()
-            new = list({w for r in runs for w in r})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = e.ids
-        get = known.__getitem__
-        return [np.fromiter((i for w in map(get, r) for i in w), np.uint32) for r in runs]
-
-    return ids
+    def __init__(self):
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+
+    def __getitem__(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.lengths[numbers]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + n, n)]
+
+
+def _tokenizer(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
+    """Texts -> id arrays. The tokenizer treats the runs between spaces and line ends alone, so each distinct
+    run is encoded once. Runs of Latin letters, digits and ASCII signs are cut into pre-tokens here and only
+    the pre-tokens that are new go through the tokenizer's model; any other run goes through the whole tokenizer."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    t, bytewise = Tokenizer.from_file(path), ByteLevel(add_prefix_space=False, use_regex=False)
+    runs, pieces, run_ids, piece_ids = _Numbers(), _Numbers(), _Ids(), _Ids()
+
+    def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array([len(f) for f in found], np.int64)
+        return np.fromiter((i for f in found for i in f), np.uint32, n.sum()), n
+
+    def encode(new: list[str]) -> None:
+        """Plain runs first, joined by line ends, then the others."""
+        plain = [w for w in new if _PLAIN(w) and "<|" not in w]
+        other = [w for w in new if not _PLAIN(w) or "<|" in w]
+        joined = "\n".join(plain)
+        cut = _PRETOKEN((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower())
+        numbers = np.fromiter(map(pieces.__getitem__, cut), np.int64, len(cut))
+        piece_ids.append(*flat([[] if p == "\n" else [x.id for x in t.model.tokenize(p if p.isascii() else bytewise.pre_tokenize_str(p)[0][0])] for p in pieces.new]))
+        pieces.new = []
+        total = np.concatenate([[0], np.cumsum(piece_ids.lengths[numbers])])
+        ends = np.append(np.flatnonzero(numbers == pieces["\n"]) if len(plain) > 1 else np.zeros(0, np.int64), len(numbers))
+        bounds = total[ends] if plain else np.zeros(0, np.int64)
+        ids, lengths = flat([t.encode(w, add_special_tokens=False).ids for w in other])
+        run_ids.append(np.concatenate([piece_ids[numbers], ids]), np.concatenate([np.diff(bounds, prepend=0), lengths]))
+        for i, w in enumerate([*plain, *other]):
+            runs[w] = len(run_ids.lengths) - len(new) + i
+
+    def ids_of(texts: list[str | None]) -> list[np.ndarray]:
+        nonlocal runs, pieces, run_ids, piece_ids
+        if len(runs) > _CACHE:
+            runs, pieces, run_ids, piece_ids = _Numbers(), _Numbers(), _Ids(), _Ids()
+        if not pieces:
+            pieces["\n"] = 0
+            piece_ids.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        numbers = [np.fromiter(map(runs.__getitem__, p), np.int64, len(p)) for p in parts]
+        if runs.new:
+            new, first = runs.new, len(run_ids.lengths)
+            encode(new)
+            order = np.fromiter(map(runs.__getitem__, new), np.int64, len(new))
+            numbers = [np.where(own >= first, order[np.maximum(own - first, 0)], own) for own in numbers]
+            runs.new = []
+        return [run_ids[own] for own in numbers]
+
+    return ids_of
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -92,6 +92,17 @@ def test_packing_of_documents(spark):
     assert check_pieces(rows, [(r.doc_id, r.text) for r in documents(spark).collect()]) < 0.02
 
 
+def test_ids_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(packing._path()), random.Random(9)
+    letters = [*"abcXYZ'sdtll<|>#$ \n\t.,0149", *"éÈßÿİȺ×÷¼ªꝀ\u0301\u00a0\u2028€“中", "<|endoftext|>", "it's", "e\u0301", "'re"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
+    got = packing._tokenizer(packing._path())(texts)
+    for text, own, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False)):
+        assert own.tolist() == e.ids, text
+
+
 def test_packing_edges(spark, edge, empty):
     rows = packing.pack_documents(edge, packing._path()).collect()
     check_pieces(rows, [(r.doc_id, r.text) for r in edge.collect()])
