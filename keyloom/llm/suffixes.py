@@ -223,6 +223,7 @@ def repeated_ranges(texts: DataFrame, length: int, context: int) -> DataFrame:
     wholes = twice(blocks.where("whole IS NOT NULL"), "whole").withColumn("settled", F.lit(True))
     live = blocks.join(twice(blocks, "core"), ["value", "core"]).join(wholes, ["value", "whole"], "left")
     live = written(live, "live")
+    dropped(blocks)
     settled = live.where("settled AND n = 1").select("text_key", "doc_id", "lo", "hi")
     unsettled = live.where("settled IS NULL AND n = 1").select("value", "core").distinct()
     rest = live.join(unsettled, ["value", "core"]).groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("value", "place", "lo", "hi", "n")).alias("blocks"))
