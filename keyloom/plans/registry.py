@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions import crypto as X
-from keyloom.operators import detect, drift, policy, portfolio
+from keyloom.operators import detect, drift, frameworks, links, policy, portfolio
 from keyloom.sources import adapters as A
 from keyloom.sources import documents as D
 
@@ -425,3 +425,115 @@ def portfolio_cbom_documents(spark, d):
 def portfolio_ranked(spark, d):
     by = A.findings(spark, d).groupBy("project_id").agg(F.count("*").alias("n"))
     return by.withColumn("place", F.dense_rank().over(W.orderBy(F.desc("n")))).where("place <= 5")
+
+
+def _class_sql(framework: str) -> str:
+    f = frameworks.FRAMEWORKS[framework]
+    whens = " ".join(f"WHEN '{name}' THEN CASE WHEN key_size < {least} THEN '{f['small']}' ELSE '{kind}' END" for kind, families in f["classes"].items() for name, least in families.items())
+    return f"CASE family {whens} ELSE '{f['other']}' END"
+
+
+def _items_sql(framework: str, more: str = "") -> str:
+    good = frameworks.FRAMEWORKS[framework]["good"]
+    return _more(f"SELECT project_id, family, n, classification, CASE classification WHEN '{good}' THEN 'none' WHEN 'deprecated' THEN 'schedule-migration' ELSE 'immediate-remediation' END AS action{more} FROM (SELECT project_id, family, n, {_class_sql(framework)} AS classification FROM nist)")
+
+
+@query(_items_sql("fips-140-3"), plain=True)
+def compliance_fips(spark, d):
+    return frameworks.items(A.findings(spark, d), "fips-140-3")
+
+
+@query(_items_sql("pci-dss-v4", f", {_MAP('family', frameworks.PCI_REQUIREMENT, chr(39) * 2)} AS requirement"), plain=True)
+def compliance_pci(spark, d):
+    return frameworks.items(A.findings(spark, d), "pci-dss-v4")
+
+
+@query(_items_sql("cnsa-2", f", {_MAP('classification', frameworks.CNSA_DEADLINE, chr(39) * 2)} AS deadline"), plain=True)
+def compliance_cnsa(spark, d):
+    return frameworks.items(A.findings(spark, d), "cnsa-2")
+
+
+@query(_more("SELECT *, round_even(compliant * 100.0 / findings, 1) AS score FROM (" + " UNION ALL ".join(f"SELECT project_id, CAST(sum(n) AS BIGINT) AS findings, '{k}' AS framework, CAST(sum(CASE WHEN {_class_sql(k)} = '{f['good']}' THEN n ELSE 0 END) AS BIGINT) AS compliant FROM nist GROUP BY 1" for k, f in frameworks.FRAMEWORKS.items()) + ")"), plain=True)
+def compliance_framework_scores(spark, d):
+    return frameworks.scores(A.findings(spark, d))
+
+
+def _iso_sql() -> str:
+    parts = []
+    for check, rule in frameworks.ISO_CHECKS.items():
+        if isinstance(rule, dict):
+            said = ", ".join(f"max(CASE WHEN family = '{k}' AND key_size < {v} THEN '{k}: ' || key_size || ' < {v}' END)" for k, v in rule.items())
+        else:
+            said = ", ".join(f"max(CASE WHEN family = '{k}' THEN '{k}' END)" for k in rule)
+        evidence = f"concat_ws('{'; ' if isinstance(rule, dict) else ', '}', {said})"
+        parts.append(f"SELECT project_id, '{check}' AS check_id, CASE WHEN {evidence} = '' THEN 'pass' ELSE 'fail' END AS status, CAST(coalesce(sum(n) FILTER (family IN {_IN(rule)}), 0) AS BIGINT) AS findings_count, {evidence} AS evidence FROM nist GROUP BY project_id")
+    parts += [f"SELECT DISTINCT project_id, '{check}', 'manual-review', CAST(0 AS BIGINT), '' FROM nist" for check in frameworks.ISO_MANUAL]
+    return " UNION ALL ".join(parts)
+
+
+@query(_more(_iso_sql()), plain=True)
+def compliance_iso_checklist(spark, d):
+    return frameworks.iso_checklist(A.findings(spark, d))
+
+
+_LIBRARIES = ("aes", "RSA", "Brand#13", "openssl", "sha-2", "chacha20", "kyber")
+
+
+@query(WITH.rstrip() + f""", b AS (SELECT o_custkey AS project_id, o_orderkey AS sbom_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders),
+c AS (SELECT project_id, unnest([{A._CASE(f'sbom_id % {len(_LIBRARIES)}', _LIBRARIES)}, {A._CASE(f'(sbom_id + 2) % {len(_LIBRARIES)}', _LIBRARIES)}]) AS library FROM b WHERE k = 1)
+SELECT c.project_id, library, count(f.project_id) AS findings_count, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS crypto_findings FROM c LEFT JOIN findings f ON c.project_id = f.project_id AND (contains(lower(name), lower(library)) OR contains(lower(file), lower(library))) GROUP BY 1, 2""", plain=True)
+def links_sbom(spark, d):
+    names = F.array(*(A._pick(_LIBRARIES, (F.col("o_orderkey") + k) % len(_LIBRARIES)) for k in (0, 2)))
+    parts = A.table(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("sbom_id"), F.col("o_orderdate").alias("created_at"), F.explode(names).alias("name"))
+    return links.sbom_links(parts, A.findings(spark, d))
+
+
+_ROLES = tuple(links.ROLE_RANK)
+_RANK = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in links.ROLE_RANK.items()) + " ELSE 0 END"
+
+
+@query(f"""SELECT user_id, coalesce(group_id, -1) AS group_id, CASE WHEN g IS NULL OR {_RANK('r')} >= {_RANK('g')} THEN r ELSE g END AS role FROM (SELECT c_custkey AS user_id, {A._CASE('c_custkey % 7', _ROLES)} AS r FROM customer)
+LEFT JOIN (SELECT s_suppkey AS user_id, CAST(s_nationkey AS INTEGER) AS group_id, {A._CASE('(s_suppkey // 3) % 8', (*_ROLES, 'visitor'))} AS g FROM supplier) USING (user_id)""", plain=True)
+def portfolio_effective_roles(spark, d):
+    users = A.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), A._pick(_ROLES, F.col("c_custkey") % 7).alias("role"))
+    members = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").cast("int").alias("group_id"), A._pick((*_ROLES, "visitor"), F.floor(F.col("s_suppkey") / 3) % 8).alias("group_role"))
+    return links.effective_roles(users, members).na.fill(-1, ["group_id"])
+
+
+@query("""SELECT project_id, CASE WHEN project_id % 3 = 0 THEN 'p' || project_id WHEN g.group_id % 2 = 0 THEN 'g' || g.group_id WHEN org_id % 2 = 1 THEN 'o' || org_id END AS cron,
+CASE WHEN project_id % 3 = 0 THEN 'project' WHEN g.group_id % 2 = 0 THEN 'group' WHEN org_id % 2 = 1 THEN 'org' ELSE 'none' END AS source FROM projects p LEFT JOIN groups g ON p.group_id = g.group_id""")
+def policy_schedules(spark, d):
+    cron = lambda c, kind, when: F.when(when, F.concat(F.lit(kind), F.col(c).cast("string")))
+    projects = A.projects(spark, d).select("project_id", "group_id", F.coalesce(cron("project_id", "p", F.col("project_id") % 3 == 0), F.lit("")).alias("project_cron"))
+    groups = A.groups(spark, d).select("group_id", "org_id", cron("group_id", "g", F.col("group_id") % 2 == 0).alias("group_cron"))
+    orgs = A.table(spark, d, "region").select(F.col("r_regionkey").alias("org_id"), cron("r_regionkey", "o", F.col("r_regionkey") % 2 == 1).alias("org_cron"))
+    return links.schedules(projects, groups, orgs)
+
+
+_TRIGGERS = (*links.TRIGGER_SEVERITY, "other")
+
+
+@query(f"""SELECT event_id, user_id, trigger, severity, '[' || upper(severity) || '] ' || event_type AS subject FROM (SELECT *, {_MAP('trigger', links.TRIGGER_SEVERITY, "'info'")} AS severity FROM
+(SELECT event_id, event_type, {A._CASE('event_id % 6', _TRIGGERS)} AS trigger, unnest([user_id, user_id + 1]) AS user_id FROM events)) e
+LEFT JOIN (SELECT c_custkey AS user_id, {A._CASE('c_custkey % 6', _TRIGGERS)} AS trigger, c_custkey % 4 <> 0 AS in_app FROM customer) p USING (user_id, trigger) WHERE coalesce(in_app, TRUE)""", plain=True)
+def links_notifications(spark, d):
+    events = A.table(spark, d, "events").select("event_id", F.col("event_type").alias("title"), A._pick(_TRIGGERS, F.col("event_id") % 6).alias("trigger"), F.array(F.col("user_id"), F.col("user_id") + 1).alias("user_ids"))
+    prefs = A.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), A._pick(_TRIGGERS, F.col("c_custkey") % 6).alias("trigger"), (F.col("c_custkey") % 4 != 0).alias("in_app"))
+    return links.fan_out(events, prefs)
+
+
+def _unruled(spark, d):
+    return A.findings(spark, d).withColumn("rule_id", F.when(F.col("supp") % 7 == 0, "").otherwise(F.col("rule_id")))
+
+
+_RULE = "CASE WHEN supp % 7 = 0 THEN 'keyloom-' || asset_type ELSE rule_id END"
+
+
+@query(f"SELECT finding_id, {_RULE} AS rule, {_MAP('severity', links.ISSUE_SEVERITY, chr(39) + 'INFO' + chr(39))} AS issue_severity, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 30 WHEN 'medium' THEN 15 ELSE 5 END AS effort, file, CASE WHEN line > 0 THEN line END AS start_line FROM findings")
+def portfolio_issues(spark, d):
+    return links.issues(_unruled(spark, d), "keyloom")
+
+
+@query(f"SELECT scan_id, rule, name, {_MAP('severity', links.ISSUE_IMPACT, chr(39) + 'LOW' + chr(39))} AS impact FROM (SELECT scan_id, {_RULE} AS rule, name, severity, row_number() OVER (PARTITION BY scan_id, {_RULE} ORDER BY seq, part, supp) AS k FROM findings) WHERE k = 1")
+def portfolio_issue_rules(spark, d):
+    return links.issue_rules(_unruled(spark, d), "keyloom", ["seq", "part", "supp"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.operators.drift import match_findings
+from keyloom.operators.links import fan_out
 
 KEYS = ["project_id", "service_name", "tls_version", "observed_at"]
 
@@ -26,6 +27,16 @@ def latest(observations: DataFrame) -> DataFrame:
     return observations.groupBy("project_id", "service_name").agg(F.max_by("tls_version", F.struct("observed_at", "event_id")).alias("tls_version"))
 
 
+def alerts(events: DataFrame, prefs: DataFrame) -> DataFrame:
+    """In-app messages of a stream of events, by the users' stored preferences."""
+    return fan_out(events, prefs)
+
+
+def progress(messages: DataFrame) -> DataFrame:
+    """Latest progress of every scan, in update mode."""
+    return messages.groupBy("scan_id").agg(F.max_by("percent", F.struct("ts", "percent")).alias("percent"))
+
+
 def lifecycle(uploads: DataFrame, existing, store):
     """Writer that matches every upload with the stored findings; ``existing()`` reads them and ``store(df, batch)`` keeps the result."""
     return uploads.writeStream.foreachBatch(lambda batch, i: store(match_findings(existing(), batch), i))

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from keyloom.functions import crypto as X
-from keyloom.operators import detect, drift, policy, portfolio
+from keyloom.operators import detect, drift, frameworks, links, policy, portfolio
 from keyloom.sources import documents
 from keyloom.streaming import streams
 
@@ -108,3 +108,32 @@ def test_stream_equals_batch(spark, tmp_path):
     streams.run_available(streams.daily(stream), str(tmp_path / "days"), str(tmp_path / "cp2"))
     closed = {(r.day, r.n) for r in spark.read.parquet(str(tmp_path / "days")).collect()}
     assert closed <= {(r.day, r.n) for r in portfolio.daily_counts(rows).collect()} and ("2024-01-01", 2) in closed
+
+
+def test_frameworks_judge_sizes(spark):
+    rows = [(1, 1, 1, 1, 1, "AES", 128), (1, 1, 2, 1, 1, "RSA", 1024), (1, 1, 3, 1, 1, "RSA", 4096), (1, 1, 4, 1, 1, None, None), (1, 2, 1, 1, 1, "MD5", None)]
+    df = spark.createDataFrame(rows, "project_id long, scan_id long, seq int, part long, supp long, name string, key_size int")
+    got = {k: {r.family: r.classification for r in frameworks.items(df, k).collect()} for k in frameworks.FRAMEWORKS}
+    assert got["fips-140-3"] == {"aes": "approved", "rsa": "not-approved", "unknown": "not-approved", "md5": "not-approved"}
+    assert got["pci-dss-v4"] == {"aes": "compliant", "rsa": "non-compliant", "unknown": "unknown", "md5": "non-compliant"}
+    assert got["cnsa-2"] == {"aes": "not-approved", "rsa": "deprecated", "unknown": "not-approved", "md5": "disallowed"}
+    iso = {r.check_id: (r.status, r.findings_count, r.evidence) for r in frameworks.iso_checklist(df).collect()}
+    assert iso["A.8.24-3"] == ("fail", 1, "md5") and iso["A.8.24-4"] == ("fail", 3, "rsa: 1024 < 2048") and iso["A.8.24-6"] == ("pass", 0, "") and len(iso) == 10
+    assert {(r.framework, r.score) for r in frameworks.scores(df).collect()} == {("fips-140-3", 20.0), ("pci-dss-v4", 20.0), ("cnsa-2", 0.0)}
+
+
+def test_sbom_links_take_the_latest_document(spark):
+    parts = spark.createDataFrame([(1, 1, 5, "old"), (1, 2, 6, "RSA"), (1, 2, 6, "none"), (2, 3, 1, "x")], "project_id long, sbom_id long, created_at long, name string")
+    found = spark.createDataFrame([(1, "rsa-2048", "a.py"), (1, "rsa-2048", "a.py"), (1, None, "RSA.py"), (1, "md5", None), (3, "x", "x")], "project_id long, name string, file string")
+    got = {(r.project_id, r.library): (r.findings_count, r.crypto_findings) for r in links.sbom_links(parts, found).collect()}
+    assert got == {(1, "RSA"): (3, "rsa-2048"), (1, "none"): (0, ""), (2, "x"): (0, "")}
+
+
+def test_messages_and_progress_of_streams(spark, tmp_path):
+    spark.createDataFrame([(1, "critical_finding", "t", [1, 2]), (2, "other", "u", [1])], "event_id long, trigger string, title string, user_ids array<long>").write.parquet(str(tmp_path / "in"))
+    prefs = spark.createDataFrame([(2, "critical_finding", False)], "user_id long, trigger string, in_app boolean")
+    stream = spark.readStream.schema("event_id long, trigger string, title string, user_ids array<long>").parquet(str(tmp_path / "in"))
+    streams.run_available(streams.alerts(stream, prefs), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted((r.event_id, r.user_id, r.subject) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1, "[CRITICAL] t"), (2, 1, "[INFO] u")]
+    seen = spark.createDataFrame([(1, 10, 1), (1, 60, 3), (1, 30, 2)], "scan_id long, percent int, ts long")
+    assert [tuple(r) for r in streams.progress(seen).collect()] == [(1, 60)]
