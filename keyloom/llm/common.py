@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: Tables that were written inside the innermost :func:`settled`.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,9 +40,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._keyloom_path = path
+    if (made := _made.get()) is not None:
+        made.append(back)
     return back
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; all tables that it wrote on its way are deleted after that."""
+    token = _made.set(made := [])
+    try:
+        result = make()
+    finally:
+        _made.reset(token)
+    out = written(result, name)
+    for x in made:
+        dropped(x)
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`written` that no later plan reads."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD_BYTES, WordHashes, signed, utf8, written
+from keyloom.llm.common import WORD_BYTES, WordHashes, settled, signed, utf8, written
 
 WINDOW = 10
 #: Words of one index shard, and test windows of one block.
@@ -193,8 +193,8 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window; contamination depends on the text alone, so its key joins."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("text_key").alias("_keyloom_key")).distinct()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = settled(lambda: decontaminate(docs, items).where("contaminated").select(F.col("text_key").alias("_keyloom_key")).distinct(), "contaminated")
     keyed = docs.withColumn("_keyloom_own", F.md5(F.col("text").cast("binary")))
     return keyed.join(bad, F.col("_keyloom_own") == F.col("_keyloom_key"), "left_anti").select(*docs.columns)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import dropped, mix, signed, utf8, written
+from keyloom.llm.common import dropped, mix, settled, signed, utf8, written
 
 #: Bytes of a match, bytes of a sampled suffix's context, batches of the query, windows of an aligned block.
 LENGTH, CONTEXT, BATCHES, BLOCK = 400, 96, 4, 16
@@ -303,7 +303,7 @@ def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated bytes (a character cut in two goes whole); ``n_chars`` follows."""
-    spans = written(repeated_spans(docs), "spans").groupBy("text_key").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    spans = settled(lambda: repeated_spans(docs), "spans").groupBy("text_key").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     keyed = docs.withColumn("_keyloom_key", _key("text"))
     place = docs.columns.index("text")
 
