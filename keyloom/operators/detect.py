@@ -15,6 +15,15 @@ ALGORITHM_NAMES = (
     ("RC2", "medium", "security"), ("Blowfish", "medium", "security"), ("AES-?(?:128|192|256)", "info", "inventory"), ("SHA-?(?:256|384|512)", "info", "inventory"), ("RSA-?(?:2048|3072|4096)", "info", "inventory"), ("ChaCha20", "info", "inventory"),
 )
 PEM_HEADERS = (("-----BEGIN RSA PRIVATE KEY-----", "high"), ("-----BEGIN EC PRIVATE KEY-----", "high"), ("-----BEGIN PRIVATE KEY-----", "high"), ("-----BEGIN ENCRYPTED PRIVATE KEY-----", "medium"), ("-----BEGIN PUBLIC KEY-----", "info"))
+# Library -> package name and version banner.
+LIBRARY_BANNERS = {
+    "OpenSSL": ("openssl", r"OpenSSL ([0-9]+\.[0-9]+\.[0-9]+[a-z]?)"), "LibreSSL": ("libressl", r"LibreSSL ([0-9]+\.[0-9]+\.[0-9]+)"), "BoringSSL": ("boringssl", r"BoringSSL"),
+    "GnuTLS": ("gnutls", r"GnuTLS ([0-9]+\.[0-9]+\.[0-9]+)"), "Mbed TLS": ("mbedtls", r"[Mm]bed ?TLS ([0-9]+\.[0-9]+\.[0-9]+)"), "wolfSSL": ("wolfssl", r"wolfSSL ([0-9]+\.[0-9]+\.[0-9]+)"),
+    "libsodium": ("libsodium", r"libsodium ([0-9]+\.[0-9]+\.[0-9]+)"), "NSS": ("nss", r"NSS ([0-9]+\.[0-9]+(?:\.[0-9]+)?)"),
+}
+# Package installs in image recipes, the crypto packages in them, and ports of TLS endpoints.
+INSTALL, OPENSSL, PINNED = r"(?:apt-get|apt|yum|dnf|microdnf|apk)\s+(?:install|add)", r"openssl", r"openssl[=-][0-9]"
+CRYPTO_PACKAGES, TLS_PORTS = r"(?:libssl-dev|libssl[0-9][0-9.]*|openssl-dev|openssl-libs)", ("443", "8443")
 SKIP_DIRS = ("node_modules", "vendor", ".git", "__pycache__", "dist", "build", "target")
 LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".js": "javascript", ".ts": "typescript", ".kt": "kotlin", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".h": "c", ".swift": "swift", ".dart": "dart", ".txt": "text"}
 
@@ -193,3 +202,31 @@ def scan_byte_constants(files: DataFrame, constants: tuple[tuple[str, str, str],
         own = files.where(F.contains("content", F.unhex(F.lit(code)))).select("path", F.lit(i).alias("ord"), F.lit(family).alias("family"), F.lit(primitive).alias("primitive"), F.lit(code).alias("code"))
         out = own if out is None else out.unionByName(own)
     return out.groupBy("path", "family", "primitive").agg(F.min_by("code", "ord").alias("code"))
+
+
+def library_banners(files: DataFrame) -> DataFrame:
+    """One row per file and library whose version banner is in it; binary content is read as ISO-8859-1."""
+    raw = files.schema["content"].dataType.simpleString() == "binary"
+    content = F.decode("content", "ISO-8859-1") if raw else F.col("content")
+    hits = []
+    for library, (package, banner) in LIBRARY_BANNERS.items():
+        version = F.regexp_extract(content, banner, 1) if "(" in banner else F.lit("")
+        purl = F.when(version == "", "").otherwise(F.concat(F.lit(f"pkg:generic/{package}@"), version))
+        hits.append(F.when(content.rlike(banner), F.struct(F.lit(library).alias("library"), version.alias("version"), purl.alias("purl"), F.lit(f"cbom-binary-lib-{package}").alias("rule_id"))))
+    return files.select("path", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("path", "hit.*")
+
+
+def dockerfile_findings(files: DataFrame) -> DataFrame:
+    """Unpinned installs of OpenSSL, installs of its libraries and exposed TLS ports, in files named as image recipes."""
+    base = F.lower(F.substring_index("path", "/", -1))
+    lines = explode_lines(files.where((base == "dockerfile") | base.startswith("dockerfile.") | base.endswith(".dockerfile")))
+    lines = lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> '' AND text NOT LIKE '#%'")
+    has = lambda pattern, right=RIGHT: F.col("text").rlike(f"(?i){LEFT}{pattern}{right}")
+    installs = F.upper("text").startswith("RUN") & has(INSTALL)
+    said = lambda rule, name: F.struct(F.lit(f"cbom-configfile-dockerfile-{rule}").alias("rule_id"), name.alias("name"))
+    ports = F.filter(F.transform(F.slice(F.split("text", r"\s+"), 2, 1 << 30), lambda p: F.substring_index(p, "/", 1)), lambda p: p.isin(*TLS_PORTS))
+    ports = F.when(F.upper("text").startswith("EXPOSE"), F.transform(ports, lambda p: said("tls-port", F.concat(F.lit("TLS endpoint: EXPOSE "), p)))).otherwise(F.array())
+    single = F.array_compact(F.array(
+        F.when(installs & has(OPENSSL) & ~has(PINNED, ""), said("unpinned-openssl", F.lit("Unpinned OpenSSL install"))),
+        F.when(installs & has(CRYPTO_PACKAGES), said("unpinned-crypto-lib", F.lit("Unpinned crypto library install")))))
+    return lines.select("path", "line", F.inline(F.concat(single, ports)))

@@ -1,4 +1,4 @@
-"""Compliance frameworks by project: FIPS 140-3, PCI DSS 4, CNSA 2.0 and the ISO 27001 A.8.24 checklist.
+"""Compliance frameworks by project: FIPS 140-3, PCI DSS 4, CNSA 2.0, the ISO 27001 A.8.24 checklist and the gaps under the EU CRA.
 
 A framework gives every algorithm family a class; a family whose first finding's key is below the least size falls
 to the framework's failing class. All of them work on one row per project and family.
@@ -39,6 +39,17 @@ ISO_CHECKS = {
 }
 ISO_MANUAL = ("A.8.24-1", "A.8.24-2", "A.8.24-5", "A.8.24-8", "A.8.24-9", "A.8.24-10")
 
+# Requirement -> families that must be absent, least key sizes, what to do about those that are found.
+CRA_CHECKS = {
+    "CRA-ANNEX-I-1": (("des", "3des", "rc4", "md5", "md4", "sha1"), {}, "Replace {} with state-of-the-art algorithms"),
+    "CRA-ANNEX-I-2": (("des", "rc4", "md5", "md4"), {}, "Replace {} with state-of-the-art algorithms"),
+    "CRA-ANNEX-I-3a": (("des", "3des", "rc4", "blowfish"), {"aes": 128}, "Replace {} with approved encryption (AES-128+, ChaCha20)"),
+    "CRA-ANNEX-I-3b": (("md5", "md4", "sha1"), {}, "Replace {} with SHA-256+ or SHA-3"),
+    "CRA-ANNEX-I-5": ((), {"rsa": 2048, "ecdsa": 224}, "Increase key sizes for authentication algorithms"),
+    "CRA-ANNEX-II-1": ((), {}, ""),
+}
+CRA_MANUAL = ("CRA-ANNEX-I-3d", "CRA-ANNEX-I-4", "CRA-ANNEX-I-7", "CRA-ANNEX-II-5")
+
 
 def classify(framework: str, family: Column, size: Column) -> Column:
     """Class of a family under a framework; an unknown size never fails."""
@@ -91,3 +102,25 @@ def iso_checklist(findings: DataFrame) -> DataFrame:
         checks.append(F.struct(F.lit(check).alias("check_id"), F.when(evidence == "", "pass").otherwise("fail").alias("status"), F.col(f"n{i}").alias("findings_count"), evidence.alias("evidence")))
     manual = [F.struct(F.lit(c).alias("check_id"), F.lit("manual-review").alias("status"), F.lit(0).cast("long").alias("findings_count"), F.lit("").alias("evidence")) for c in ISO_MANUAL]
     return families(findings).groupBy("project_id").agg(*aggs).select("project_id", F.inline(F.array(*checks, *manual)))
+
+
+def cra_gaps(findings: DataFrame) -> DataFrame:
+    """The ten requirements of every project: gap, no-gap or manual-review, the families behind a gap and their findings.
+
+    A project with findings has an inventory, so CRA-ANNEX-II-1 is met; one without findings has no rows.
+    """
+    family, size, n = F.col("family"), F.col("key_size"), F.col("n")
+    aggs, checks = [], []
+    for i, (requirement, (absent, sizes, advice)) in enumerate(CRA_CHECKS.items()):
+        rules = [(name, family == name) for name in absent] + [(name, (family == name) & (size < least)) for name, least in sizes.items()]
+        bad = F.lit(False)
+        for j, (name, met) in enumerate(rules):
+            bad = bad | met
+            aggs.append(F.max(F.when(met, name)).alias(f"e{i}_{j}"))
+        aggs.append(F.sum(F.when(bad, n).otherwise(0)).alias(f"n{i}"))
+        affected = F.concat_ws(", ", *(f"e{i}_{j}" for j in range(len(rules))))
+        before, _, after = advice.partition("{}")
+        said = F.concat(F.lit(before), affected, F.lit(after)) if "{}" in advice else F.lit(advice)
+        checks.append(F.struct(F.lit(requirement).alias("requirement_id"), F.when(affected == "", "no-gap").otherwise("gap").alias("gap_status"), affected.alias("affected"), F.col(f"n{i}").alias("affected_count"), F.when(affected == "", "").otherwise(said).alias("recommendation")))
+    manual = [F.struct(F.lit(r).alias("requirement_id"), F.lit("manual-review").alias("gap_status"), F.lit("").alias("affected"), F.lit(0).cast("long").alias("affected_count"), F.lit("Manual review required").alias("recommendation")) for r in CRA_MANUAL]
+    return families(findings).groupBy("project_id").agg(*aggs).select("project_id", F.inline(F.array(*checks, *manual)))

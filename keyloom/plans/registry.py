@@ -405,6 +405,39 @@ def detect_algorithm_names(spark, d):
     return detect.scan_algorithm_names(detect.explode_lines(corpus(spark, d)))
 
 
+_BANNERS = ("OpenSSL 3.0.", "LibreSSL 3.9.", "BoringSSL ", "mbedTLS 2.28.", "NSS 3.", "OpenSSL ")
+
+
+def _banner_sql() -> str:
+    parts = []
+    for library, (package, banner) in detect.LIBRARY_BANNERS.items():
+        version = f"regexp_extract(content, '{banner}', 1)" if "(" in banner else "''"
+        parts.append(f"SELECT path, '{library}' AS library, {version} AS version, CASE WHEN {version} = '' THEN '' ELSE 'pkg:generic/{package}@' || {version} END AS purl, 'cbom-binary-lib-{package}' AS rule_id FROM b WHERE regexp_matches(content, '{banner}')")
+    return f"WITH b AS (SELECT 'bin/' || p_partkey AS path, p_name || {A._CASE(f'p_partkey % {len(_BANNERS)}', _BANNERS)} || p_size || ' and libsodium 1.0.' || p_size AS content FROM part) " + " UNION ALL ".join(parts)
+
+
+@query(_banner_sql(), plain=True)
+def detect_library_banners(spark, d):
+    content = F.concat("p_name", A._pick(_BANNERS, F.col("p_partkey") % len(_BANNERS)), F.col("p_size").cast("string"), F.lit(" and libsodium 1.0."), F.col("p_size").cast("string"))
+    return detect.library_banners(A.table(spark, d, "part").select(F.concat(F.lit("bin/"), F.col("p_partkey").cast("string")).alias("path"), content.cast("binary").alias("content")))
+
+
+_RECIPES = ("RUN apt-get update && apt-get install -y openssl", "  run apk add openssl=3.0.2 libssl-dev", "# RUN yum install openssl", "RUN dnf install libssl1.1 openssl-libs", "RUN make install")
+_NAMES = ("Dockerfile", "dockerfile.dev", "web.Dockerfile", "notes.txt")
+
+
+@query(f"""WITH l AS (SELECT p_partkey || '/' || {A._CASE(f'p_size % {len(_NAMES)}', _NAMES)} AS path, unnest(['FROM ' || p_name, {A._CASE(f'p_partkey % {len(_RECIPES)}', _RECIPES)}, 'EXPOSE 443/tcp ' || p_size || ' 8443']) AS raw, unnest([1, 2, 3]) AS line FROM part),
+t AS (SELECT path, line, trim(raw) AS text FROM l WHERE NOT path LIKE '%.txt'), i AS (SELECT * FROM t WHERE upper(text) LIKE 'RUN%' AND regexp_matches(text, '(?i)\\b{detect.INSTALL}\\b'))
+SELECT path, line, 'cbom-configfile-dockerfile-unpinned-openssl' AS rule_id, 'Unpinned OpenSSL install' AS name FROM i WHERE regexp_matches(text, '(?i)\\bopenssl\\b') AND NOT regexp_matches(text, '(?i)\\b{detect.PINNED}')
+UNION ALL SELECT path, line, 'cbom-configfile-dockerfile-unpinned-crypto-lib', 'Unpinned crypto library install' FROM i WHERE regexp_matches(text, '(?i)\\b{detect.CRYPTO_PACKAGES}\\b')
+UNION ALL SELECT path, line, 'cbom-configfile-dockerfile-tls-port', 'TLS endpoint: EXPOSE ' || p FROM (SELECT path, line, unnest(['443', '8443']) AS p FROM t WHERE text LIKE 'EXPOSE%')""", plain=True)
+def detect_dockerfiles(spark, d):
+    part = A.table(spark, d, "part")
+    path = F.concat_ws("/", F.col("p_partkey").cast("string"), A._pick(_NAMES, F.col("p_size") % len(_NAMES)))
+    content = F.concat_ws("\n", F.concat(F.lit("FROM "), "p_name"), A._pick(_RECIPES, F.col("p_partkey") % len(_RECIPES)), F.concat(F.lit("EXPOSE 443/tcp "), F.col("p_size").cast("string"), F.lit(" 8443")))
+    return detect.dockerfile_findings(part.select(path.alias("path"), content.alias("content")))
+
+
 @query(r"SELECT doc_id, sha256('r-1:' || source || ':' || trim(regexp_replace(regexp_replace(regexp_replace(text, '\"[^\"]*\"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '#|//|/\*') AND NOT regexp_matches(text, '[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]')", plain=True)
 def fingerprint_documents(spark, d):
     docs = A.table(spark, d, "documents").where(~F.col("text").rlike(r"#|//|/\*") & ~F.col("text").rlike(r"[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]"))
@@ -476,6 +509,22 @@ def compliance_iso_checklist(spark, d):
     return frameworks.iso_checklist(A.findings(spark, d))
 
 
+def _cra_sql() -> str:
+    parts = []
+    for requirement, (absent, sizes, advice) in frameworks.CRA_CHECKS.items():
+        rules = {**{k: f"family = '{k}'" for k in absent}, **{k: f"family = '{k}' AND key_size < {v}" for k, v in sizes.items()}}
+        said = ", ".join(f"max(CASE WHEN {rule} THEN '{k}' END)" for k, rule in rules.items()) or "''"
+        bad = " OR ".join(f"({rule})" for rule in rules.values()) or "FALSE"
+        parts.append(f"SELECT project_id, '{requirement}' AS requirement_id, concat_ws(', ', {said}) AS affected, CAST(coalesce(sum(n) FILTER ({bad}), 0) AS BIGINT) AS affected_count, '{advice}' AS advice FROM nist GROUP BY project_id")
+    manual = " UNION ALL ".join(f"SELECT DISTINCT project_id, '{r}' AS requirement_id, 'manual-review' AS gap_status, '' AS affected, CAST(0 AS BIGINT) AS affected_count, 'Manual review required' AS recommendation FROM nist" for r in frameworks.CRA_MANUAL)
+    return f"SELECT project_id, requirement_id, CASE WHEN affected = '' THEN 'no-gap' ELSE 'gap' END AS gap_status, affected, affected_count, CASE WHEN affected = '' THEN '' ELSE replace(advice, '{{}}', affected) END AS recommendation FROM ({' UNION ALL '.join(parts)}) UNION ALL {manual}"
+
+
+@query(_more(_cra_sql()), plain=True)
+def compliance_cra_gaps(spark, d):
+    return frameworks.cra_gaps(A.findings(spark, d))
+
+
 _LIBRARIES = ("aes", "RSA", "Brand#13", "openssl", "sha-2", "chacha20", "kyber")
 
 

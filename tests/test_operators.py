@@ -137,3 +137,26 @@ def test_messages_and_progress_of_streams(spark, tmp_path):
     assert sorted((r.event_id, r.user_id, r.subject) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1, "[CRITICAL] t"), (2, 1, "[INFO] u")]
     seen = spark.createDataFrame([(1, 10, 1), (1, 60, 3), (1, 30, 2)], "scan_id long, percent int, ts long")
     assert [tuple(r) for r in streams.progress(seen).collect()] == [(1, 60)]
+
+
+def test_cra_gaps_name_families_and_sizes(spark):
+    rows = [(1, 1, 1, 1, 1, "AES", 64), (1, 1, 2, 1, 1, "MD5", None), (1, 1, 3, 1, 1, "RSA", None), (1, 1, 4, 1, 1, "RSA", 512), (2, 1, 1, 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "project_id long, scan_id long, seq int, part long, supp long, name string, key_size int")
+    got = {(r.project_id, r.requirement_id): tuple(r)[2:] for r in frameworks.cra_gaps(df).collect()}
+    assert len(got) == 20
+    assert got[1, "CRA-ANNEX-I-3a"] == ("gap", "aes", 1, "Replace aes with approved encryption (AES-128+, ChaCha20)")
+    assert got[1, "CRA-ANNEX-I-3b"][:3] == ("gap", "md5", 1) and got[1, "CRA-ANNEX-I-5"][:3] == ("no-gap", "", 0)
+    assert {v[0] for k, v in got.items() if k[0] == 2} == {"no-gap", "manual-review"}
+
+
+def test_library_banners(spark):
+    rows = [("a", b"\xff\x00OpenSSL 1.1.1k x OpenSSL 3.0.2"), ("b", b"BoringSSL and NSS 3.90"), ("c", b"OpenSSL is mentioned"), ("d", None), ("e", b"")]
+    got = {tuple(r) for r in detect.library_banners(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got == {("a", "OpenSSL", "1.1.1k", "pkg:generic/openssl@1.1.1k", "cbom-binary-lib-openssl"), ("b", "BoringSSL", "", "", "cbom-binary-lib-boringssl"), ("b", "NSS", "3.90", "pkg:generic/nss@3.90", "cbom-binary-lib-nss")}
+
+
+def test_dockerfiles(spark):
+    text = "FROM x\n\trun apt-get install -y openssl\n# RUN apk add openssl\nRUN apk add openssl-3.0 libssl1.1\nRUN echo openssl\nEXPOSE 80 443/tcp 8443\nEXPOSE"
+    rows = [("a/Dockerfile", text), ("b/main.go", text), ("c/Dockerfile.dev", None), ("d/x.dockerfile", "")]
+    got = sorted((r.path, r.line, r.rule_id.rsplit("dockerfile-")[1], r.name[-4:]) for r in detect.dockerfile_findings(spark.createDataFrame(rows, "path string, content string")).collect())
+    assert got == [("a/Dockerfile", 2, "unpinned-openssl", "tall"), ("a/Dockerfile", 4, "unpinned-crypto-lib", "tall"), ("a/Dockerfile", 6, "tls-port", " 443"), ("a/Dockerfile", 6, "tls-port", "8443")]
