@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.functions.crypto import lookup
+
 #: Where an ASCII word ends; ``\b`` would treat letters beyond ASCII as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -24,6 +26,11 @@ LIBRARY_BANNERS = {
 # Package installs in image recipes, the crypto packages in them, and ports of TLS endpoints.
 INSTALL, OPENSSL, PINNED = r"(?:apt-get|apt|yum|dnf|microdnf|apk)\s+(?:install|add)", r"openssl", r"openssl[=-][0-9]"
 CRYPTO_PACKAGES, TLS_PORTS = r"(?:libssl-dev|libssl[0-9][0-9.]*|openssl-dev|openssl-libs)", ("443", "8443")
+# What java.security should disable (TLS 1.0 and 1.1 only for connections), key manager algorithms and key store types.
+JAVA_WEAK = {"MD5": "high", "RC4": "high", "DES": "high", "3DES": "medium", "SSLv3": "critical"}
+JAVA_WEAK_TLS = {"TLSv1": "high", "TLSv1.1": "high"}
+KEY_MANAGERS = {"sunx509": "SunX509", "pkix": "PKIX", "x509": "X509", "newsunx509": "NewSunX509", "ibmx509": "IbmX509"}
+KEY_STORES = {"pkcs12": "PKCS12", "jks": "JKS", "jceks": "JCEKS", "bks": "BKS", "dks": "DKS"}
 SKIP_DIRS = ("node_modules", "vendor", ".git", "__pycache__", "dist", "build", "target")
 LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".js": "javascript", ".ts": "typescript", ".kt": "kotlin", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".h": "c", ".swift": "swift", ".dart": "dart", ".txt": "text"}
 
@@ -230,3 +237,22 @@ def dockerfile_findings(files: DataFrame) -> DataFrame:
         F.when(installs & has(OPENSSL) & ~has(PINNED, ""), said("unpinned-openssl", F.lit("Unpinned OpenSSL install"))),
         F.when(installs & has(CRYPTO_PACKAGES), said("unpinned-crypto-lib", F.lit("Unpinned crypto library install")))))
     return lines.select("path", "line", F.inline(F.concat(single, ports)))
+
+
+def java_security_findings(files: DataFrame) -> DataFrame:
+    """Weak algorithms that ``*.security`` files don't disable (a name within another counts as disabled), key managers and key stores.
+
+    Lines that end in a backslash go on in the next one; line numbers are those of the joined lines.
+    """
+    own = files.where(F.lower("path").endswith(".security"))
+    lines = explode_lines(own.select("path", F.regexp_replace("content", r"\\[ \t]*(?:\n|\z)", "").alias("content")))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    part = lambda k: F.regexp_extract("text", r"(?s)^([^=]*?)\s*=\s*(.*)$", k)
+    rows = lines.withColumn("text", text).where("text LIKE '%=%' AND NOT text RLIKE '^[#!]'").select("path", "line", part(1).alias("key"), F.lower(part(2)).alias("value"))
+    said = lambda rule, name, severity: F.struct(F.lit(f"cbom-configfile-java-{rule}").alias("rule_id"), name.alias("name"), F.lit(severity).alias("severity"))
+    tls, path = F.col("key") == "jdk.tls.disabledAlgorithms", F.col("key") == "jdk.certpath.disabledAlgorithms"
+    hits = [F.when(when & ~F.col("value").contains(name.lower()), said("missing-disabled-algo", F.lit(f"Missing disabled algorithm: {name}"), severity))
+            for when, weak in ((tls | path, JAVA_WEAK), (tls, JAVA_WEAK_TLS)) for name, severity in weak.items()]
+    for rule, keys, known in (("keymanager-algorithm", ("ssl.KeyManagerFactory.algorithm", "ssl.TrustManagerFactory.algorithm"), KEY_MANAGERS), ("keystore-type", ("keystore.type",), KEY_STORES)):
+        hits.append(F.when(F.col("key").isin(*keys) & F.col("value").isin(*known), said(rule, lookup(F.col("value"), known), "info")))
+    return rows.select("path", "line", F.inline(F.array_compact(F.array(*hits))))

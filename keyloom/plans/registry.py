@@ -438,6 +438,28 @@ def detect_dockerfiles(spark, d):
     return detect.dockerfile_findings(part.select(path.alias("path"), content.alias("content")))
 
 
+_DISABLED, _STORES, _MANAGERS = ("SSLv3, RC4, |  MD5", "3DES, TLSv1.1, md5", ""), ("pkcs12", "JKS", "own"), ("PKIX", "sunx509", "other", "X509")
+
+
+def _java_sql() -> str:
+    value = f"replace({A._CASE(f'p_partkey % {len(_DISABLED)}', _DISABLED)}, '|', chr(92) || chr(10))"
+    content = f"concat_ws(chr(10), '# ' || p_name || ' = x', 'jdk.tls.disabledAlgorithms=' || {value}, 'jdk.certpath.disabledAlgorithms = ' || {value}, 'keystore.type = ' || {A._CASE(f'p_size % {len(_STORES)}', _STORES)}, 'ssl.KeyManagerFactory.algorithm=' || {A._CASE(f'p_size % {len(_MANAGERS)}', _MANAGERS)})"
+    weak = ", ".join(f"('{k}', '{v}', {t})" for t, table in (("FALSE", detect.JAVA_WEAK), ("TRUE", detect.JAVA_WEAK_TLS)) for k, v in table.items())
+    known = [("keymanager-algorithm", "ssl.KeyManagerFactory.algorithm", detect.KEY_MANAGERS), ("keystore-type", "keystore.type", detect.KEY_STORES)]
+    return f"""WITH c AS (SELECT p_partkey || '/java.security' AS path, string_split(replace({content}, chr(92) || chr(10), ''), chr(10)) AS l FROM part),
+k AS (SELECT path, line, trim(split_part(text, '=', 1)) AS key, lower(trim(split_part(text, '=', 2))) AS value FROM (SELECT path, CAST(i AS INTEGER) AS line, l[i] AS text FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM c)) WHERE text LIKE '%=%' AND NOT text LIKE '#%')
+SELECT path, line, 'cbom-configfile-java-missing-disabled-algo' AS rule_id, 'Missing disabled algorithm: ' || name AS name, severity FROM k, (VALUES {weak}) w(name, severity, tls) WHERE (key = 'jdk.tls.disabledAlgorithms' OR key = 'jdk.certpath.disabledAlgorithms' AND NOT tls) AND NOT contains(value, lower(name))""" + "".join(f" UNION ALL SELECT path, line, 'cbom-configfile-java-{rule}', {_MAP('value', table, 'NULL')}, 'info' FROM k WHERE key = '{key}' AND value IN {_IN(table)}" for rule, key, table in known)
+
+
+@query(_java_sql(), plain=True)
+def detect_java_security(spark, d):
+    part = A.table(spark, d, "part")
+    value = F.replace(A._pick(_DISABLED, F.col("p_partkey") % len(_DISABLED)), F.lit("|"), F.lit("\\\n"))
+    lines = [F.concat(F.lit("# "), "p_name", F.lit(" = x")), F.concat(F.lit("jdk.tls.disabledAlgorithms="), value), F.concat(F.lit("jdk.certpath.disabledAlgorithms = "), value),
+             F.concat(F.lit("keystore.type = "), A._pick(_STORES, F.col("p_size") % len(_STORES))), F.concat(F.lit("ssl.KeyManagerFactory.algorithm="), A._pick(_MANAGERS, F.col("p_size") % len(_MANAGERS)))]
+    return detect.java_security_findings(part.select(F.concat(F.col("p_partkey").cast("string"), F.lit("/java.security")).alias("path"), F.concat_ws("\n", *lines).alias("content")))
+
+
 @query(r"SELECT doc_id, sha256('r-1:' || source || ':' || trim(regexp_replace(regexp_replace(regexp_replace(text, '\"[^\"]*\"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '#|//|/\*') AND NOT regexp_matches(text, '[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]')", plain=True)
 def fingerprint_documents(spark, d):
     docs = A.table(spark, d, "documents").where(~F.col("text").rlike(r"#|//|/\*") & ~F.col("text").rlike(r"[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]"))

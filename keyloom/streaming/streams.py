@@ -42,6 +42,12 @@ def lifecycle(uploads: DataFrame, existing, store):
     return uploads.writeStream.foreachBatch(lambda batch, i: store(match_findings(existing(), batch), i))
 
 
+def rule_delta(rules: DataFrame, org_id, since, store):
+    """Writer of an organisation's rules that changed after ``since``, oldest first in a batch; its checkpoint knows what was sent."""
+    changed = rules.where((F.col("org_id") == F.lit(org_id)) & (F.col("updated_at") > F.lit(since)))
+    return changed.writeStream.foreachBatch(lambda batch, i: store(batch.orderBy("updated_at", "rule_id"), i))
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what there is and stop."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

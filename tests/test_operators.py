@@ -160,3 +160,27 @@ def test_dockerfiles(spark):
     rows = [("a/Dockerfile", text), ("b/main.go", text), ("c/Dockerfile.dev", None), ("d/x.dockerfile", "")]
     got = sorted((r.path, r.line, r.rule_id.rsplit("dockerfile-")[1], r.name[-4:]) for r in detect.dockerfile_findings(spark.createDataFrame(rows, "path string, content string")).collect())
     assert got == [("a/Dockerfile", 2, "unpinned-openssl", "tall"), ("a/Dockerfile", 4, "unpinned-crypto-lib", "tall"), ("a/Dockerfile", 6, "tls-port", " 443"), ("a/Dockerfile", 6, "tls-port", "8443")]
+
+
+def test_java_security(spark):
+    text = "# keystore.type=jks\njdk.tls.disabledAlgorithms=SSLv3, 3DES, \\ \n  RC4, TLSv1.1\n keystore.type = PKCS12 \nssl.TrustManagerFactory.algorithm=none\nssl.KeyManagerFactory.algorithm=pkix\njdk.certpath.disabledAlgorithms=MD5,RC4,DES,SSLv3\\"
+    rows = [("a/java.security", text), ("b/java.txt", text), ("c/x.security", None), ("d/y.security", "")]
+    got = sorted((r.path, r.line, r.name, r.severity) for r in detect.java_security_findings(spark.createDataFrame(rows, "path string, content string")).collect())
+    missing = "Missing disabled algorithm: "
+    assert got == [("a/java.security", 2, missing + "MD5", "high"), ("a/java.security", 3, "PKCS12", "info"), ("a/java.security", 5, "PKIX", "info"), ("a/java.security", 6, missing + "3DES", "medium")]
+
+
+def test_rule_delta_sends_changes_once(spark, tmp_path):
+    schema, sent = "org_id int, rule_id int, updated_at int", []
+    add = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        rules = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = streams.rule_delta(rules, 1, 10, lambda batch, i: sent.extend(r.rule_id for r in batch.collect()))
+        writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    add([(1, 1, 10), (1, 2, 13), (1, 3, 12), (2, 4, 15), (1, 5, None)])
+    run()
+    add([(1, 1, 14)])
+    run()
+    assert sent == [3, 2, 1]
