@@ -8,8 +8,8 @@ classes by alternating star contraction.
 
 Equal texts collapse before any of this (they are one class and one vertex). In a bucket every member is
 first compared with the least one. Where a bucket then still holds several classes, the members outside
-its largest class are compared with all others; a bucket of more than ``TOGETHER`` members is split by its
-members' other bands before that, which similar texts share.
+its largest class are compared with all others. A bucket of more than ``TOGETHER`` members comes last, with the
+classes of the smaller ones known, and is compared in blocks of two groups, so no pair of classes is left out.
 
 Texts are identified by 64 bits of their MD5. Randomness comes from fixed tables, so results repeat.
 
@@ -35,7 +35,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 DF_BUCKETS = 1 << 18
-#: Members of a bucket that one task compares; a larger one is split by further bands first.
+#: Members of a bucket that are compared at once; a larger one is cut into groups of about half as many.
 TOGETHER = 2048
 _TABLE = 1 << 16
 _CHUNK = 40_000
@@ -200,13 +200,23 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [shingles(t, known) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in found], pa.binary())], names=["tid", "elements", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()), pa.array([_packed(c) for _, c in found], pa.binary())], names=["tid", "elements", "counts"])
 
     return docs.join(wanted, ["tid", "doc_id"]).select("tid", "text").mapInArrow(run, "tid long, elements binary, counts binary").dropDuplicates(["tid"])
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in 16 bits each if all of them fit, else in 32."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
+
+
 def _similarity(a, b, weight: np.ndarray) -> float:
-    (ea, ca), (eb, cb) = ((np.frombuffer(e, np.uint32), np.frombuffer(c, np.uint16)) for e, c in (a, b))
+    ea, eb = (np.frombuffer(e, np.uint32) for e, _ in (a, b))
+    ca, cb = _counts(a[1], len(ea)), _counts(b[1], len(eb))
     at = np.minimum(np.searchsorted(eb, ea), len(eb) - 1)
     same = eb[at] == ea
     shared = float((np.minimum(ca[same], cb[at[same]]) * weight[_bucket(ea[same])]).sum())
@@ -253,37 +263,34 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
 
     classes = joined_by(verified(_star_pairs(_open(members, classes)).distinct(), sets, idf, similarity))
     left = written(_open(members, classes), "open")
-    while not left.isEmpty():
-        small, large = left.where(F.col("n") <= TOGETHER), left.where(F.col("n") > TOGETHER)
-        found = _cross_links(small, sets, idf, similarity)
-        more = not large.isEmpty()
-        if more:
-            found = found.unionByName(verified(_star_pairs(large).distinct(), sets, idf, similarity))
-        classes = joined_by(found)
-        if not more:
-            break
-        least = large.groupBy("bucket").agg(F.min(F.struct("tid", "class")).alias("least"))
-        rest = large.join(least, "bucket").where("class <> least.class").select("bucket", "tid")
-        left = written(_open(_split(rest, signs), classes), "open")
+    small, large = left.where(F.col("n") <= TOGETHER), left.where(F.col("n") > TOGETHER)
+    if not small.isEmpty():
+        classes = joined_by(_cross_links(small.withColumn("side", F.lit(0)), sets, idf, similarity))
+    if not large.isEmpty():
+        large = _open(large.select("bucket", "tid"), classes)
+        classes = joined_by(_cross_links(_blocks(large), sets, idf, similarity))
     return classes
 
 
-def _links_between(tids: np.ndarray, classes: np.ndarray, sets: list, weight: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that join the classes of one bucket: every member outside the largest class against all others."""
+def _links_between(tids: np.ndarray, classes: np.ndarray, sides: np.ndarray, sets: list, weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join the classes of one group, sorted by side. With one side every member outside the largest
+    class is compared with all others, with two every member of the first side with all of the second."""
     names, of = np.unique(classes, return_inverse=True)
     elements = [np.frombuffer(e, np.uint32) for e, _ in sets]
     lengths = np.array([len(e) for e in elements])
     vocabulary, column = np.unique(np.concatenate(elements), return_inverse=True)
-    mass = np.concatenate([np.frombuffer(c, np.uint16) for _, c in sets]) * weight[_bucket(vocabulary[column])]
+    mass = np.concatenate([_counts(c, n) for (_, c), n in zip(sets, lengths)]) * weight[_bucket(vocabulary[column])]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = np.add.reduceat(mass, starts)
     own, links = np.zeros(len(vocabulary), mass.dtype), []
-    for i in np.flatnonzero(of != np.bincount(of).argmax()):
+    second = int(np.searchsorted(sides, 1)) if sides[-1] else 0
+    at, theirs = starts[second:] - starts[second], slice(starts[second], None)
+    for i in range(second) if second else np.flatnonzero(of != np.bincount(of).argmax()):
         mine = slice(starts[i], starts[i] + lengths[i])
         own[column[mine]] = mass[mine]
-        shared = np.add.reduceat(np.minimum(mass, own[column]), starts)
+        shared = np.add.reduceat(np.minimum(mass[theirs], own[column[theirs]]), at)
         own[column[mine]] = 0
-        for j in np.flatnonzero((shared >= least * (total + total[i] - shared)) & (of != of[i])):
+        for j in second + np.flatnonzero((shared >= least * (total[second:] + total[i] - shared)) & (of[second:] != of[i])):
             if of[i] != of[j]:
                 links.append((int(tids[i]), int(tids[j])))
                 of[of == of[j]] = of[i]
@@ -293,13 +300,15 @@ def _links_between(tids: np.ndarray, classes: np.ndarray, sets: list, weight: np
 
 
 def _cross_links(members: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame:
-    """Links (a, b) between the classes of buckets of at most ``TOGETHER`` members, a bucket at a time."""
+    """Links (a, b) between the classes of groups (``bucket``) of about ``TOGETHER`` members at most, a group at a time."""
 
     def run(batches):
         weight, group = idf.value, []
 
         def close():
-            return _links_between(np.array([g[1] for g in group]), np.array([g[2] for g in group]), [g[3:] for g in group], weight, least)
+            if group[0][2]:
+                return []
+            return _links_between(*(np.array([g[k] for g in group]) for k in (1, 3, 2)), [g[4:] for g in group], weight, least)
 
         for batch in batches:
             out = []
@@ -313,15 +322,25 @@ def _cross_links(members: DataFrame, sets: DataFrame, idf, least: float) -> Data
         if group and (out := close()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    rows = members.select("bucket", "tid", "class").join(sets, "tid")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "tid").select("bucket", "tid", "class", "elements", "counts").mapInArrow(run, "a long, b long")
-
-
-def _split(large: DataFrame, signs: DataFrame) -> DataFrame:
-    """Large buckets cut by the other bands of their members: similar texts share several."""
-    bands = signs.select("tid", F.explode("bands").alias("band"))
-    both = large.join(bands, "tid").where("band <> bucket")
-    return both.select(F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket"), "tid").distinct()
+    rows = members.select("bucket", "tid", "side", "class").join(sets, "tid")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "side", "tid").select("bucket", "tid", "side", "class", "elements", "counts").mapInArrow(run, "a long, b long")
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Large buckets as blocks of two groups (``side`` 0 and 1) of about ``TOGETHER / 2`` members. The members outside
+    the largest class make ``o`` groups, the others ``r``; each of the ``o`` meets itself, those after it and all ``r``."""
+    half = max(TOGETHER // 2, 1)
+    sizes = large.groupBy("bucket", "class").agg(F.count("*").alias("k"))
+    groups = lambda n: F.ceil(n / half).cast("int")
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "class")).alias("top"), F.sum("k").alias("n"))
+    most = most.select("bucket", F.col("top.class").alias("top"), groups(F.col("n") - F.col("top.k")).alias("o"), groups(F.col("top.k")).alias("r"))
+    outer = F.col("class") != F.col("top")
+    rows = large.join(most, "bucket").withColumn("g", F.pmod(F.xxhash64("tid"), F.when(outer, F.col("o")).otherwise(F.col("r"))).cast("int"))
+    rows = rows.withColumn("g", F.when(outer, F.col("g")).otherwise(F.col("g") + F.col("o")))
+    other = F.when(outer, F.sequence(F.lit(0), F.col("o") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") - 1))
+    rows = rows.select("bucket", "tid", "class", "g", F.explode(other).alias("h"))
+    block = F.xxhash64("bucket", F.least("g", "h"), F.greatest("g", "h"))
+    return rows.select(block.alias("bucket"), "tid", "class", (F.col("g") > F.col("h")).cast("int").alias("side"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

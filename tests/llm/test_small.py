@@ -268,6 +268,45 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    """Chains of edits that share large buckets: every pair that meets in any bucket is compared."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    texts = []
+    for _ in range(3):
+        family = [rng.choices(vocabulary, k=300)]
+        for _ in range(70):
+            text = list(rng.choice(family[-60:]))
+            for _ in range(rng.randint(1, 6)):
+                text[rng.randrange(300)] = rng.choice(vocabulary)
+            family.append(text)
+        texts += [" ".join(x) for x in family]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, n = WordHashes(), len(texts)
+    sets = [neardup.shingles(t, known) for t in texts]
+    weight = neardup.inverse_frequencies(*neardup.document_frequencies(df, "text"))
+    lengths = [len(e) for e, _ in sets]
+    elements = np.concatenate([e for e, _ in sets])
+    weights = (np.concatenate([c for _, c in sets]) * weight[neardup._bucket(elements)]).astype(np.float32)
+    bands = neardup.WeightedSampler().bands(elements, weights, np.cumsum([0, *lengths[:-1]]))
+    packed, root = [(e.tobytes(), neardup._packed(c)) for e, c in sets], list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if root[i] != root[j] and (bands[i] == bands[j]).any() and neardup._similarity(packed[i], packed[j], weight) >= neardup.SIMILARITY:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert max(Counter(bands.ravel().tolist()).values()) > 16 and len(set(root)) > 3
+    monkeypatch.setattr(neardup, "TOGETHER", 4)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_near_duplicate_counts_are_not_capped():
+    e, weight = np.array([1], np.uint32), np.ones(neardup.DF_BUCKETS, np.float32)
+    a, b = ((e.tobytes(), neardup._packed(np.array([c]))) for c in (70_000, 140_000))
+    assert neardup._similarity(a, b, weight) == 0.5
+
+
 def test_near_duplicate_edges(spark, edge, empty):
     assert neardup.near_duplicates(edge).count() == edge.count() and neardup.near_duplicates(empty).count() == 0
     out = neardup.stage(spark, edge, SF)
