@@ -195,7 +195,7 @@ def check_kdf(calls: DataFrame) -> DataFrame:
 def fingerprint(rule: Column, path: Column, snippet: Column) -> Column:
     """sha256 of rule, file and the snippet without comments, literals and spacing."""
     text = F.regexp_replace(snippet, r"(?s)/\*.*?\*/", "")
-    text = F.regexp_replace(text, r"(?:(?<!:)//|#).*$", "")
+    text = F.regexp_replace(text, r"(?://|#)[^\n]*", "")
     text = F.regexp_replace(text, r"\"[^\"]*\"|'[^']*'", "STR")
     text = F.regexp_replace(text, r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "NUM")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))

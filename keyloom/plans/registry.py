@@ -466,6 +466,12 @@ def fingerprint_documents(spark, d):
     return docs.select("doc_id", detect.fingerprint(F.lit("r-1"), F.col("source"), F.col("text")).alias("fingerprint"))
 
 
+@query(r"""SELECT doc_id, sha256('r-1:' || coalesce(source, '') || ':' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)/\*.*?\*/', '', 'g'), '(?://|#)[^\n]*', '', 'g'), '"[^"]*"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents""", plain=True)
+def fingerprint_all_documents(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "text")))
+    return docs.select("doc_id", detect.fingerprint(F.lit("r-1"), F.col("source"), F.col("text")).alias("fingerprint"))
+
+
 @query("SELECT scan_id, finding_id, rule_id, CAST(dense_rank() OVER (PARTITION BY scan_id ORDER BY s, i) - 1 AS INTEGER) AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level FROM (SELECT *, min(seq) OVER w AS s, first_value(finding_id) OVER (PARTITION BY scan_id, rule_id ORDER BY seq, finding_id) AS i FROM findings WINDOW w AS (PARTITION BY scan_id, rule_id))")
 def portfolio_sarif(spark, d):
     return D.sarif_results(A.findings(spark, d))

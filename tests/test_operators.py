@@ -1,5 +1,6 @@
 """Operators on small hand-made rows."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -64,6 +65,13 @@ def test_detectors(spark):
     assert [r.bits for r in detect.scan_hex_keys(src).collect()] == [128]
 
 
+def test_fingerprints_leave_comments_of_all_lines_out(spark):
+    texts = ["a = 1 # one\nb = 22", "a = 7\nb = 3 // two", "/* x\ny */a = 0\nb = 5#", "a = 1é\nb = 2", "a = 1x\nb = 2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", detect.fingerprint(F.lit("r"), F.lit("p"), F.col("text")).alias("f"))
+    want = ["a = NUM b = NUM"] * 3 + ["a = NUMé b = NUM", "a = 1x b = NUM"]
+    assert [r.f for r in df.orderBy("i").collect()] == [hashlib.sha256(f"r:p:{x}".encode()).hexdigest() for x in want]
+
+
 def test_calls_leave_comments_out(spark):
     files = spark.createDataFrame([("a.py", '# hashlib.md5("x")\nh = hashlib.md5("y")')], "path string, content string")
     assert [(r.line, r.family, r.argument) for r in detect.scan_calls(spark, files).collect()] == [(2, "md5", "y")]
