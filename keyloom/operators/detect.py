@@ -15,7 +15,10 @@ LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 ALGORITHM_NAMES = (
     ("MD5", "medium", "security"), ("MD4", "medium", "security"), ("SHA-?1", "medium", "security"), ("DES", "medium", "security"), ("3DES", "medium", "security"), ("RC4", "medium", "security"),
     ("RC2", "medium", "security"), ("Blowfish", "medium", "security"), ("AES-?(?:128|192|256)", "info", "inventory"), ("SHA-?(?:256|384|512)", "info", "inventory"), ("RSA-?(?:2048|3072|4096)", "info", "inventory"), ("ChaCha20", "info", "inventory"),
+    ("TripleDES", "medium", "security"), ("SSLv3", "medium", "security"), (r"TLSv1\.0", "medium", "security"), (r"TLSv1\.1", "medium", "security"),
 )
+#: The same with RSA of any or no size, as in the reference, which also finds it in PEM headers.
+ALL_NAMES = tuple(("RSA(?:-?(?:2048|3072|4096))?", *rest) if name.startswith("RSA") else (name, *rest) for name, *rest in ALGORITHM_NAMES)
 PEM_HEADERS = (("-----BEGIN RSA PRIVATE KEY-----", "high"), ("-----BEGIN EC PRIVATE KEY-----", "high"), ("-----BEGIN PRIVATE KEY-----", "high"), ("-----BEGIN ENCRYPTED PRIVATE KEY-----", "medium"), ("-----BEGIN PUBLIC KEY-----", "info"))
 # Library -> package name and version banner.
 LIBRARY_BANNERS = {
@@ -65,9 +68,9 @@ def matches(lines: DataFrame, pattern: str, prefilter: Column | None = None) ->
     return rows.where(F.col("text").rlike(pattern)).select("path", "line", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("nth", "token"))
 
 
-def scan_algorithm_names(lines: DataFrame) -> DataFrame:
+def scan_algorithm_names(lines: DataFrame, names=ALGORITHM_NAMES) -> DataFrame:
     out = None
-    for name, severity, category in ALGORITHM_NAMES:
+    for name, severity, category in names:
         own = matches(lines, LEFT + name + RIGHT).select("path", "line", "nth", "token", F.lit(severity).alias("severity"), F.lit(category).alias("category"))
         out = own if out is None else out.unionByName(own)
     return out
@@ -95,16 +98,29 @@ def cert_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(body).alias("nth", "body")).select("path", "nth", F.sha2(der, 256).alias("sha256"))
 
 
+def _key_lines(lines: DataFrame, pattern: str) -> DataFrame:
+    """Lines with a match outside closed PEM blocks and commit lines; only these and the markers are sorted."""
+    begin, end = (F.contains("text", F.lit(f"-----{x} ")) for x in ("BEGIN", "END"))
+    rows = mark_pem_blocks(lines.where(begin | end | F.col("text").rlike(pattern)))
+    after = W.partitionBy("path").orderBy("line").rowsBetween(0, W.unboundedFollowing)
+    rows = rows.withColumn("inside", F.col("inside") & F.max(end).over(after))
+    return rows.where(~F.col("inside") & ~F.contains("text", F.lit("commit ")) & ~F.contains("text", F.lit("Commit:")))
+
+
 def scan_hex_keys(lines: DataFrame) -> DataFrame:
-    """Runs of 32 or more hex digits; commit lines don't count. Size is four bits a digit."""
-    plain = ~F.contains("text", F.lit("commit ")) & ~F.contains("text", F.lit("Commit:"))
-    return matches(lines, r"[0-9a-fA-F]{32,}", plain).select("path", "line", "nth", "token", (F.length("token") * 4).alias("bits"))
+    """Runs of 32 or more hex digits; commit lines, PEM blocks, 32 digits beside a hyphen and 40 in a line that speaks
+    of a commit don't count. Size is four bits a digit."""
+    digit = "[0-9a-fA-F]"
+    pattern = f"(?<!{digit})(?!(?<=-){digit}{{32}}(?!{digit}))(?!{digit}{{32}}-){digit}{{32,}}"
+    commit = F.lower("text").rlike("commit|revision|rev |sha:")
+    out = matches(_key_lines(lines, pattern), pattern).where(~((F.length("token") == 40) & commit))
+    return out.select("path", "line", "nth", "token", (F.length("token") * 4).alias("bits"))
 
 
 def scan_base64_keys(lines: DataFrame) -> DataFrame:
-    """Runs of 40 or more base64 characters; commit lines and integrity digests don't count."""
-    plain = ~F.contains("text", F.lit("commit ")) & ~F.contains("text", F.lit("Commit:"))
-    return matches(lines, r"(?<!sha256-)(?<!sha384-)(?<!sha512-)[A-Za-z0-9+/]{40,}={0,2}", plain).select("path", "line", "nth", "token")
+    """Runs of 40 or more base64 characters; commit lines, PEM blocks and integrity digests don't count."""
+    pattern = r"(?<!(?i:sha(?:256|384|512))-)(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}"
+    return matches(_key_lines(lines, pattern), pattern).select("path", "line", "nth", "token")
 
 
 def is_boring(value: Column) -> Column:

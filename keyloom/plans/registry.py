@@ -400,9 +400,14 @@ def detect_base64_keys(spark, d):
     return detect.scan_base64_keys(detect.explode_lines(corpus(spark, d)))
 
 
-@query()
+def _names_sql() -> str:
+    one = "SELECT path, line, i - 1 AS nth, t[i] AS token, '{}' AS severity, '{}' AS category FROM (SELECT path, line, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT path, line, regexp_extract_all(text, '\\b(?:{})\\b') AS t FROM lines))"
+    return _LINES + " UNION ALL ".join(one.format(severity, category, name) for name, severity, category in detect.ALL_NAMES)
+
+
+@query(_names_sql(), plain=True)
 def detect_algorithm_names(spark, d):
-    return detect.scan_algorithm_names(detect.explode_lines(corpus(spark, d)))
+    return detect.scan_algorithm_names(detect.explode_lines(corpus(spark, d)), detect.ALL_NAMES)
 
 
 _BANNERS = ("OpenSSL 3.0.", "LibreSSL 3.9.", "BoringSSL ", "mbedTLS 2.28.", "NSS 3.", "OpenSSL ")

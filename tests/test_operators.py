@@ -72,6 +72,20 @@ def test_fingerprints_leave_comments_of_all_lines_out(spark):
     assert [r.f for r in df.orderBy("i").collect()] == [hashlib.sha256(f"r:p:{x}".encode()).hexdigest() for x in want]
 
 
+def test_names_of_the_reference(spark):
+    names = ["MD5", "SHA-1", "SHA1", "DES", "3DES", "TripleDES", "RC4", "Blowfish", "SSLv3", "TLSv1.0", "TLSv1.1", "SHA-256", "AES-128", "AES256", "RSA", "RSA-2048"]
+    got = detect.scan_algorithm_names(lines(spark, "\n".join(names) + "\nTLSv1x0 RSAx"), detect.ALL_NAMES).orderBy("line").collect()
+    assert [(r.line, r.token) for r in got] == [(i + 1, x) for i, x in enumerate(names)]
+
+
+def test_keys_leave_pem_blocks_ids_and_digests_out(spark):
+    a, b, c, k = "a" * 32, "b" * 40, "c" * 33, "Zz+/" * 12
+    src = lines(spark, "\n".join(["-----BEGIN KEY-----", a + " " + k, "-----END KEY-----", a, f"id-{a} {a}-x", f"-{c}- {b}", f"Revision {b} {a}", f"sha: {b}", f"{k}==", f"SHA512-{k} sha256-{k}", f"commit {k}"]))
+    assert sorted((r.line, r.token) for r in detect.scan_hex_keys(src).collect()) == [(4, a), (6, b), (6, c), (7, a)]
+    found = sorted((r.line, r.token) for r in detect.scan_base64_keys(src).collect())
+    assert found == [(6, b), (7, b), (8, b), (9, k + "==")]
+
+
 def test_calls_leave_comments_out(spark):
     files = spark.createDataFrame([("a.py", '# hashlib.md5("x")\nh = hashlib.md5("y")')], "path string, content string")
     assert [(r.line, r.family, r.argument) for r in detect.scan_calls(spark, files).collect()] == [(2, "md5", "y")]
