@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import written
+from keyloom.llm.common import dropped, written
 
 SHARDS, OLD_SHARDS, BLOCKS, ROW_BYTES = 40, 40, 64, 16
 
@@ -99,12 +99,30 @@ def sizes(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "tex
     return docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(data).cast("long") + ROW_BYTES).alias("size"), F.crc32(data).alias("text_crc32"), old.cast("int").alias("old"))
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
-    """Write the files of the shards that gain or lose a document under ``path``; the others stay. Returns those shards."""
-    moved = plan.where("old <> shard")
-    touched = sorted({x for r in moved.groupBy("old", "shard").count().collect() for x in (r.old, r.shard)})
-    rows = docs.join(plan.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias(doc_id), "shard"), doc_id)
-    rows.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def rewrite(docs: DataFrame, old: Column, plan: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+    """Write the files (``shard=N``) of the shards that gain or lose a document under ``path`` and clear emptied ones; the
+    others stay. Returns the shards touched. ``docs`` may be read from ``path``; a column ``shard`` of it is the layout's.
+
+    A document meets its row of the plan by id, size, crc and old shard, equal ones by their number, so each is written once."""
+    spark = docs.sparkSession
+    touched = sorted({x for r in plan.where("old <> shard").select("old", "shard").distinct().collect() for x in r})
+    key = ["_keyloom_id", "_keyloom_size", "_keyloom_crc", "_keyloom_old"]
+    number = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
+    own = sizes(docs, old, doc_id, text).columns
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.withColumns(dict(zip(key, (F.col(doc_id), F.octet_length(data).cast("long") + ROW_BYTES, F.crc32(data), old.cast("int")))))
+    rows = rows.where(F.col("_keyloom_old").isin(touched)).drop("shard").withColumn("_keyloom_n", number)
+    to = plan.where(F.col("old").isin(touched)).select(*(F.col(c).alias(k) for c, k in zip(own, key)), F.col("shard").alias("_keyloom_shard"))
+    to = to.withColumn("_keyloom_n", number).select(*(F.col(c).alias(f"{c}_") for c in [*key, "_keyloom_n"]), "_keyloom_shard")
+    met = [rows[c].eqNullSafe(to[f"{c}_"]) for c in [*key, "_keyloom_n"]]
+    kept = [c for c in docs.columns if c != "shard"]
+    new = written(rows.join(to, met).select(*kept, F.col("_keyloom_shard").alias("shard")), "shards")
+    left = {r.shard for r in new.select("shard").distinct().collect()}
+    new.repartition("shard", F.pmod(F.xxhash64(doc_id), F.lit(8))).write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    for shard in set(touched) - left:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    dropped(new)
     return touched
 
 

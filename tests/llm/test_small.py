@@ -381,3 +381,18 @@ def test_shards(spark, edge, empty):
         assert abs(sum(r.size for r in own) - total / 40) <= longest
     old = F.lit(0)
     assert sharding.reshard(sharding.sizes(edge, old)).count() == edge.count() and sharding.reshard(sharding.sizes(empty, old)).count() == 0
+
+
+def test_rewritten_shards_hold_every_document_once(spark, tmp_path):
+    """Null and repeated ids, repeated rows, a null text, and fewer new shards than old ones."""
+    rows = [(i if i % 5 else None, "x" * (i % 7) if i % 11 else None, i % 4) for i in range(120)] + [(7, "same", 3)] * 6 + [(7, "other", 2)] * 3
+    path = str(tmp_path / "files")
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    plan = sharding.reshard(sharding.sizes(docs, F.col("shard")), shards=3, blocks=4)
+    want = Counter((r.doc_id, r.size, r.shard) for r in plan.collect())
+    touched = sharding.rewrite(docs, F.col("shard"), plan, path)
+    back = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(r[:2] for r in rows)
+    assert Counter((r.doc_id, len(r.text or "") + sharding.ROW_BYTES, r.shard) for r in back) == want
+    assert 3 in touched and {r.shard for r in back} == {0, 1, 2}
