@@ -28,6 +28,28 @@ def test_language_is_right_on_held_out_documents(spark):
     assert out.where("lang_pred = lang").count() >= 0.95 * out.count() > 0
 
 
+def test_language_scores_equal_plain_naive_bayes(spark):
+    """The model and its predictions against counts and sums of n-grams one by one."""
+    docs = [(i, t, l) for i, (t, l) in enumerate([("Ünïcode wörter hier", "de"), ("plain words here, 12 of them", "en"), ("слова тут", "ru"), ("more words", "en"), ("Wörter", None)])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+
+    def grams(text):
+        flat = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [flat[i : i + n] for n in langid.ORDERS for i in range(len(flat) - n + 1)]
+
+    bucket = lambda g: int(langid._buckets(np.array([ord(c) for c in g], np.uint32))[-1][0])
+    langs, matrix = langid.train(df)
+    assert langs == ["de", "en", "ru"]
+    for k, lang in enumerate(langs):
+        seen = Counter(bucket(g) for _, t, l in docs if l == lang for g in grams(t))
+        total = sum(seen.values()) + 0.5 * langid.BUCKETS
+        assert np.allclose(matrix[k, :-1], [np.log((seen[b] + 0.5) / total) for b in range(langid.BUCKETS)], atol=1e-5)
+    got = {r.doc_id: r.score for r in langid.predict(df, (langs, matrix)).collect()}
+    for i, t, _ in docs:
+        total = [matrix[k, -1] + sum(matrix[k, bucket(g)].astype(float) for g in grams(t)) for k in range(3)]
+        assert got[i] == pytest.approx(1 / sum(np.exp(x - max(total)) for x in total))
+
+
 def test_language_edges(spark, edge, empty):
     got = langid.predict(edge, langid.fit(edge)).select("text", "lang_pred", "score").collect()
     assert all((r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text)) and 0 <= r.score <= 1 for r in got)
@@ -216,8 +238,34 @@ def test_suffixes_equal_brute_force(spark, seed):
     texts += texts[10:14]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffixes.dedup(df, length=64, context=24).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute(texts, 64)
+    got = suffixes.dedup(df, length=64, passage=40, words=0).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute(texts, 64)
+    assert [(r.passage_bytes, r.n_passages) for r in got] == [b[1:3] for b in brute(texts, 40)]
+
+
+def test_suffixes_of_large_groups_equal_brute_force(spark, monkeypatch):
+    """One passage in many texts, in more runs than meet in one task."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdé ", k=n))
+    shared = [word(70), word(150)]
+    texts = [word(rng.randint(30, 90)) + (p := rng.choice(shared))[: rng.choice([50, 66, 69, len(p)])] + rng.choice(["", "a", "ab", word(50)]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "GROUP", 4)
+    for n in (64, 30):
+        got = suffixes.dedup(df, length=n, passage=30, words=0).orderBy("doc_id").collect()
+        assert [tuple(r)[1:5] for r in got] == brute(texts, n)
+        assert [(r.passage_bytes, r.n_passages) for r in got] == [b[1:3] for b in brute(texts, 30)]
+
+
+def test_passages_of_the_stage(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    long, short = words(51), words(45)
+    texts = [f"{words(70)} {long} {words(60)}", f"{words(9)} {long}", f"{words(70)} {short} {words(60)}", f"{short} {words(80)}", words(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.stage(spark, df, SF).collect()}
+    assert [got[i] == t for i, t in enumerate(texts)] == [False, False, True, True, True]
+    assert long not in got[0] and long not in got[1] and len(got[0]) >= len(texts[0]) - len(long) - 4
 
 
 def test_suffix_edges(spark, edge, empty):
@@ -244,10 +292,11 @@ def test_near_duplicates_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     known = WordHashes()
     sets = [neardup.shingles(t or "", known) for t in texts]
-    counts = np.zeros(neardup.DF_BUCKETS, int)
+    counts = np.zeros((neardup.DF_ROWS, neardup.DF_BUCKETS), int)
     for e, _ in sets:
-        counts[np.unique(neardup._bucket(e))] += 1
-    weight = neardup.inverse_frequencies(len(texts), counts)
+        for own, b in zip(counts, neardup._buckets(e)):
+            np.add.at(own, b, 1)
+    weight = neardup.InverseFrequencies(len(texts), counts)
     parent = list(range(len(texts)))
 
     def find(x):
@@ -284,10 +333,10 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     known, n = WordHashes(), len(texts)
     sets = [neardup.shingles(t, known) for t in texts]
-    weight = neardup.inverse_frequencies(*neardup.document_frequencies(df, "text"))
+    weight = neardup.InverseFrequencies(*neardup.document_frequencies(df, "text"))
     lengths = [len(e) for e, _ in sets]
     elements = np.concatenate([e for e, _ in sets])
-    weights = (np.concatenate([c for _, c in sets]) * weight[neardup._bucket(elements)]).astype(np.float32)
+    weights = (np.concatenate([c for _, c in sets]) * weight[elements]).astype(np.float32)
     bands = neardup.WeightedSampler().bands(elements, weights, np.cumsum([0, *lengths[:-1]]))
     packed, root = [(e.tobytes(), neardup._packed(c)) for e, c in sets], list(range(n))
     for i in range(n):
@@ -301,8 +350,21 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_frequencies_of_shingles_stay_apart_in_full_tables():
+    """A million rare shingles fill every counter; frequent ones keep their weight and rare ones the highest."""
+    rng = np.random.default_rng(2)
+    rare, often = rng.integers(0, 1 << 32, 3_000_000, dtype=np.uint32), np.arange(5, 2000, dtype=np.uint32) * np.uint32(2_000_003)
+    counters = np.zeros((neardup.DF_ROWS, neardup.DF_BUCKETS), int)
+    for own, r, o in zip(counters, neardup._buckets(rare), neardup._buckets(often)):
+        np.add.at(own, r, 1)
+        np.add.at(own, o, 500)
+    weight, n = neardup.InverseFrequencies(100_000, counters), 100_000
+    true = np.log((1 + n) / np.array([2, 501])) + 1
+    assert np.mean(np.abs(weight[often] - true[1]) < 0.1) > 0.98 and np.mean(np.abs(weight[rare] - true[0]) < 0.1) > 0.98
+
+
 def test_near_duplicate_counts_are_not_capped():
-    e, weight = np.array([1], np.uint32), np.ones(neardup.DF_BUCKETS, np.float32)
+    e, weight = np.array([1], np.uint32), neardup.InverseFrequencies(0, np.zeros((2, neardup.DF_BUCKETS), int))
     a, b = ((e.tobytes(), neardup._packed(np.array([c]))) for c in (70_000, 140_000))
     assert neardup._similarity(a, b, weight) == 0.5
 
@@ -347,15 +409,51 @@ def test_media_round_trip_and_resync():
         assert s.payload == media.padded(data) and s.crc_bad == 0 and s.skipped == 0 and s.tags["TXXX"].startswith("payload")
         assert s.samples == 1152 * len(s.offsets) and s.table[0] == len(s.offsets)
     first = s.offsets[1]
-    noisy = stored[:first] + b"\x00\xff\xfajunk" + stored[first:]
+    noisy = b"??" + stored[:first] + b"\x00\xff\xfajunk" + stored[first : s.offsets[3]] + b"\xff" + stored[s.offsets[3] :]
     t = media.parse(noisy)
-    assert len(t.offsets) >= len(s.offsets) - 1 and t.skipped > 0
+    assert (len(t.offsets), t.payload, t.samples) == (len(s.offsets), s.payload, s.samples) and t.skipped > 8
+    tagged = media.parse(stored + b"TAG" + b"title".ljust(125, b"\0"))
+    assert (tagged.payload, tagged.offsets, tagged.skipped, tagged.tags["TAG"]) == (s.payload, s.offsets, 0, "title")
     broken = bytearray(stored)
     broken[s.offsets[2] + 8] ^= 1
     assert media.parse(bytes(broken)).crc_bad == 1
     assert media.parse(b"").samples == 0 and media.parse(b"\xff\xfb").offsets == []
 
 
+def test_media_loses_no_payload_to_look_alikes():
+    """What looks like a tag or a header is payload wherever it stands in a frame."""
+    for what in (b"TAG", b"\xff\xfa\xa4\xc0", b"ID3\x03", b"Xing", b"VBRI"):
+        for n in (192, 384, 576):
+            for at in range(n - len(what) + 1):
+                data = (b"x" * at + what).ljust(n, b"y")
+                s = media.parse(media.encode(data))
+                assert s.payload == data and s.skipped == 0
+
+
+def _frame(one, two, size, marks=b"", at=4):
+    return (bytes([0xFF, one, two, 0xC4]).ljust(at, b"\0") + marks).ljust(size, b"\0")
+
+
+def test_media_of_other_versions_and_layers():
+    for one, two, size, samples, rate in ((0xF3, 0x84, 192, 576, 24000), (0xE3, 0x80, 417, 576, 11025), (0xFF, 0x44, 128, 384, 48000), (0xFD, 0x80, 417, 1152, 44100), (0xFB, 0x92, 418, 1152, 44100)):
+        s = media.parse(b"\xff" + _frame(one, two, size) * 5)
+        assert (len(s.offsets), s.samples, s.rate, s.skipped) == (5, 5 * samples, rate, 1), (one, s)
+    vbri = b"VBRI" + bytes(6) + (4 * 417).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes([0, 2, 0, 1, 0, 1, 0, 2]) + b"ab"
+    s = media.parse(_frame(0xFB, 0x90, 417, vbri, 36) + _frame(0xFB, 0x90, 417) * 4)
+    assert s.table == (4, 1668, b"ab") and len(s.offsets) == 4
+
+
+def test_media_query_equals_brute_force(spark):
+    """The stored payload's length, digest and tail, for every document."""
+    c = duckdb.connect()
+    want = {}
+    for doc, text in c.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall():
+        data = media.padded(text.encode())
+        want[doc] = (len(text.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+    rows = media.op7_media(spark, SF).collect()
+    assert {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows} == want and len(rows) == len(want)
+
+
 def test_media_edges(spark, edge, empty):
     rows = media.media_columns(edge).collect()
     assert len(rows) == edge.count() and all(r.payload_bytes % 192 == 0 and r.payload_bytes > 0 and r.crc_bad == 0 for r in rows)
