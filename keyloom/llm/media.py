@@ -3,8 +3,8 @@
 ``encode`` stores bytes as an MPEG-1 layer III stream of variable bitrate: an ID3v2 tag, a frame with the
 Xing table (frames, bytes, 100 seek points), then mono 48 kHz frames with a CRC whose main data carry the
 payload, 384 bytes in a 160 kbit/s frame and a last 192 in one of 80 kbit/s. ``parse`` reads any such
-stream: it skips tags, finds each frame header again after foreign bytes, verifies the CRCs, and gives
-the exact duration and the offset of every frame.
+stream, of MPEG-1, 2 and 2.5 and any layer: it reads tags and Xing or VBRI tables, finds each frame header again
+after foreign bytes, verifies the CRCs (layer III), and gives the exact duration and the offset of every frame.
 
 Defined results: a null text is stored as the 192 spaces of an empty one; equal texts give equal files;
 damaged bytes between frames are skipped and counted; a stream without a frame has duration 0.
@@ -17,6 +17,7 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,22 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import utf8
 
-# Fixed values of the format: kbit/s by bitrate index and Hz by rate index (MPEG-1 layer III), side information bytes.
-KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+# Fixed values of the format: kbit/s by bitrate index, for (MPEG-1?, layer); Hz of MPEG-1 by rate index; samples of a frame;
+# bytes of side information of a layer III frame, for (MPEG-1?, mono?).
+KBITS_III = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+KBITS = {
+    (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): KBITS_III,
+    (False, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
 RATES = (44100, 48000, 32000)
-SAMPLES, SIDE_MONO, SIDE_STEREO = 1152, 17, 32
-UNIT = 192
+SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
+SIDE = {(True, True): 17, (True, False): 32, (False, True): 9, (False, False): 17}
+SIDE_MONO = SIDE[True, True]
+UNIT, TAG_V1 = 192, 128
 
 
 @lru_cache(1 << 16)
@@ -53,7 +65,7 @@ def _side(n: int) -> bytes:
 
 @lru_cache(8)
 def _frame_start(kbits: int, n: int) -> bytes:
-    head = bytes([0xFF, 0xFA, KBITS.index(kbits) << 4 | 1 << 2, 0xC0])
+    head = bytes([0xFF, 0xFA, KBITS_III.index(kbits) << 4 | 1 << 2, 0xC0])
     side = _side(n)
     return head + crc16(head[2:] + side).to_bytes(2, "big") + side
 
@@ -98,61 +110,110 @@ class Stream:
     payload: bytes = b""
 
 
-def _size(data: bytes, at: int) -> int:
-    """Bytes of the frame whose header starts here, or 0 if none can."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
+class Header(NamedTuple):
+    """What four bytes say: all frames of a stream agree in the first three fields."""
+
+    version: int
+    layer: int
+    rate: int
+    kbits: int
+    size: int
+    protected: bool
+    mono: bool
+
+    @property
+    def kind(self) -> tuple[bool, int]:
+        return self.version == 3, self.layer
+
+
+@lru_cache(4096)
+def header(four: bytes) -> Header | None:
+    """A frame header, or None if these bytes are none (the free bitrate counts as none)."""
+    if len(four) < 4 or four[0] != 0xFF or four[1] < 0xE0:
+        return None
+    version, layer, rate, bits = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3), four[2] >> 2 & 3, four[2] >> 4
+    if version == 1 or layer == 4 or rate == 3 or not 0 < bits < 15:
+        return None
+    hz = RATES[rate] >> (3 - version if version else 2)
+    kind = (version == 3, layer)
+    kbits, padding = KBITS[kind][bits], four[2] >> 1 & 1
+    size = (12_000 * kbits // hz + padding) * 4 if layer == 1 else SAMPLES[kind] // 8 * 1000 * kbits // hz + padding
+    return Header(version, layer, hz, kbits, size, not four[1] & 1, four[3] >> 6 == 3)
+
+
+def _tags_v2(data: bytes, out: Stream) -> int:
+    """Read an ID3v2 tag at the start; the offset behind it."""
+    if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    third = data[at + 2]
-    if not 0 < third >> 4 < 15 or third >> 2 & 3 == 3:
-        return 0
-    return 144_000 * KBITS[third >> 4] // RATES[third >> 2 & 3] + (third >> 1 & 1)
+    safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    k, end = 10, 10 + safe(data[6:10])
+    while k + 10 < min(end, len(data)) and data[k] > 0:
+        n = safe(data[k + 4 : k + 8]) if data[3] == 4 else struct.unpack(">I", data[k + 4 : k + 8])[0]
+        out.tags[data[k : k + 4].decode("latin-1")] = data[k + 11 : k + 10 + n].decode("latin-1").strip("\0")
+        k += 10 + n
+    return end
+
+
+def _table(data: bytes, at: int, h: Header) -> tuple[int, int, bytes] | None:
+    """(frames, bytes, seek points) of a variable-bitrate table in the frame, Xing's or VBRI's."""
+    k = at + 4 + 2 * h.protected + SIDE[h.version == 3, h.mono]
+    if data[k : k + 4] in (b"Xing", b"Info") and k + 8 <= len(data):
+        flags, k, values = data[k + 7], k + 8, []
+        for bit in (1, 2):
+            values.append(int.from_bytes(data[k : k + 4], "big") if flags & bit else 0)
+            k += 4 * bool(flags & bit)
+        return *values, data[k : k + 100] if flags & 4 else b""
+    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= len(data):
+        size, frames, entries, _, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+        return frames, size, data[at + 62 : at + 62 + entries * width]
+    return None
 
 
 def parse(data: bytes) -> Stream:
-    """Frames, tags and payload of an MPEG-1 layer III stream (module docstring)."""
-    out, at, end, parts = Stream(), 0, len(data), []
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-        k = 10
-        while k + 10 < 10 + size and data[k : k + 1] > b"\0":
-            n = struct.unpack(">I", data[k + 4 : k + 8])[0]
-            out.tags[data[k : k + 4].decode("latin-1")] = data[k + 11 : k + 10 + n].decode("latin-1").strip("\0")
-            k += 10 + n
-        at = 10 + size
-    if data[-128:-125] == b"TAG":
-        end -= 128
-    while at + 4 <= end:
-        n = _size(data, at)
-        if not n or at + n > end or (at + n + 4 <= end and not _size(data, at + n)):
-            found = data.find(b"\xff", at + 1, end)  # resynchronise at the next header that another one or the end follows
+    """Frames, tags and payload of an MPEG audio stream of any version and layer (module docstring).
+
+    In step, a frame counts if its header agrees with the one before. At the start and behind foreign bytes another
+    agreeing header, the closing tag or the end must follow it. A closing tag (ID3v1) is looked for only where a
+    frame has ended or no frame can start, never inside a frame. CRCs are verified in layer III.
+    """
+    out, end, parts, last = Stream(), len(data), [], None
+    at = _tags_v2(data, out)
+    closing = lambda k: k + TAG_V1 == end and data[k : k + 3] == b"TAG"
+    while at < end:
+        if closing(at):
+            out.tags["TAG"] = data[at + 3 : end].decode("latin-1").replace("\0", " ").strip()
+            break
+        h = header(data[at : at + 4])
+        after = at + h.size if h else 0
+        good = h is not None and after <= end
+        if good and not (last and h[:3] == last[:3]):
+            other = header(data[after : after + 4])
+            good = after == end or closing(after) or (other is not None and other[:3] == h[:3])
+        if not good:
+            found = data.find(b"\xff", at + 1, end)
             found = end if found < 0 else found
+            if at < end - TAG_V1 < found and closing(end - TAG_V1):
+                found = end - TAG_V1
             out.skipped += found - at
-            at = found
+            at, last = found, None
             continue
-        protected = not data[at + 1] & 1
-        side = SIDE_MONO if data[at + 3] >> 6 == 3 else SIDE_STEREO
-        begin = at + 4 + 2 * protected
-        if not out.offsets and out.table is None and data[begin + side : begin + side + 4] in (b"Xing", b"Info"):
-            flags, k = struct.unpack(">I", data[begin + side + 4 : begin + side + 8])[0], begin + side + 8
-            values = []
-            for bit in (1, 2):
-                values.append(struct.unpack(">I", data[k : k + 4])[0] if flags & bit else 0)
-                k += 4 * bool(flags & bit)
-            out.table = (*values, data[k : k + 100] if flags & 4 else b"")
-            at += n
+        first, last = last is None and not out.offsets, h
+        if first and h.layer == 3 and out.table is None and (table := _table(data, at, h)):
+            out.table, at = table, after
             continue
         out.offsets.append(at)
-        third = data[at + 2]
-        out.kbits[KBITS[third >> 4]] = out.kbits.get(KBITS[third >> 4], 0) + 1
-        out.samples, out.rate = out.samples + SAMPLES, RATES[third >> 2 & 3]
-        if protected:
-            out.crc_checked += 1
-            out.crc_bad += crc16(data[at + 2 : at + 4] + data[begin : begin + side]) != data[at + 4] << 8 | data[at + 5]
-        if side == SIDE_MONO:
-            bits = int.from_bytes(data[begin : begin + side], "big")
-            length = ((bits >> 106 & 0xFFF) + (bits >> 47 & 0xFFF)) // 8
-            parts.append(data[begin + side : begin + side + length])
-        at += n
+        out.kbits[h.kbits] = out.kbits.get(h.kbits, 0) + 1
+        out.samples, out.rate = out.samples + SAMPLES[h.kind], h.rate
+        if h.layer == 3:
+            side, begin = SIDE[h.version == 3, h.mono], at + 4 + 2 * h.protected
+            if h.protected:
+                out.crc_checked += 1
+                out.crc_bad += crc16(data[at + 2 : at + 4] + data[begin : begin + side]) != data[at + 4] << 8 | data[at + 5]
+            if h.version == 3 and h.mono:
+                bits = int.from_bytes(data[begin : begin + side], "big")
+                length = ((bits >> 106 & 0xFFF) + (bits >> 47 & 0xFFF)) // 8
+                parts.append(data[begin + side : min(after, begin + side + length)])
+        at = after
     out.payload = b"".join(parts)
     return out
 
