@@ -1,8 +1,8 @@
-"""Operator 9, language ID: multinomial naive Bayes over hashed byte n-grams.
+"""Operator 9, language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of labelled texts per language with Spark; the log-probability matrix
-(languages x 2**15, float32) is broadcast and a batch is scored in numpy by gathering and adding its
-columns. Whole texts are scored.
+(languages x 2**15, float32) is broadcast. A batch of texts is a sparse matrix in row form (the buckets of all
+its n-grams and where each text's begin), which numpy multiplies by the dense one. Whole texts are scored.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; with no labelled
 row at all every text is ``und``; ties go to the language that sorts first; repeated rows score alike.
@@ -10,37 +10,78 @@ row at all every text is ``und``; ties go to the language that sorts first; repe
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: n-gram lengths in bytes and the number of hash buckets.
+#: n-gram lengths in characters and the number of hash buckets (of which the n-grams' are the first).
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 15
 #: About so many labelled rows train the model (a uniform sample by hash of the id beyond it).
 TRAIN_ROWS = 20_000
-#: Most languages that are learned (the most frequent ones), which bounds the broadcast matrix.
-MAX_LANGS = 256
-_STEP = 1 << 20
-_LETTER = regex.compile(r"\p{L}")
-_FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def _buckets(text: str):
-    """Bucket ids of all n-grams of the text, in bounded pieces; words are joined by one space."""
-    data = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split()) + b" "
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, len(whole), _STEP):
-        part = whole[at : at + _STEP + max(ORDERS) - 1].astype(np.uint32)
+#: More languages than this are refused: the broadcast matrix takes 128 KiB for each.
+MAX_LANGS = 2048
+#: Characters that are scored at once.
+_STEP = 1 << 18
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def _folded(text: str) -> np.ndarray:
+    """The code points of the lower-cased words, with one space before, between and after them; empty without a letter."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[codes]
+    if not letter.any():
+        return np.zeros(0, np.uint32)
+    codes = np.concatenate([[np.uint32(32)], np.where(letter, codes, np.uint32(32)), [np.uint32(32)]])
+    return codes[np.append(True, (codes[1:] != 32) | (codes[:-1] != 32))]
+
+
+def _buckets(codes: np.ndarray) -> list[np.ndarray]:
+    """Buckets of all n-grams, in pieces of bounded size."""
+    out = []
+    for at in range(0, len(codes), _STEP):
+        part = codes[at : at + _STEP + max(ORDERS) - 1] + np.uint32(1)
         gram = np.zeros(len(part), np.uint32)
         for n in range(1, max(ORDERS) + 1):
             m = min(len(part) - n + 1, _STEP)
             if m <= 0:
                 break
-            gram = gram[: len(part) - n + 1] | (part[n - 1 :] << np.uint32(8 * (n - 1)))
+            gram = gram[: len(part) - n + 1] * np.uint32(0x2C1B3C6D) + part[n - 1 :]
             if n in ORDERS:
-                yield ((gram[:m] * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(17)).astype(np.int32)
+                mixed = gram[:m] ^ (gram[:m] >> np.uint32(15))
+                out.append(((mixed * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(17)).astype(np.int32))
+    return out
+
+
+def _scores(texts: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """(languages, texts) sums of the log-probabilities of the n-grams of folded texts."""
+    total = np.zeros((len(matrix), len(texts)))
+    ids, owner, size = [], [], 0
+
+    def add():
+        starts = np.cumsum([0, *map(len, ids[:-1])])
+        columns = np.concatenate(ids)
+        for k, row in enumerate(matrix):
+            np.add.at(total[k], owner, np.add.reduceat(row[columns], starts, dtype=np.float64))
+
+    for i, text in enumerate(texts):
+        for piece in _buckets(text):
+            ids.append(piece)
+            owner.append(i)
+            size += len(piece)
+            if size >= 4 * _STEP:
+                add()
+                ids, owner, size = [], [], 0
+    if ids:
+        add()
+    return total
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by: Column | None = None,
@@ -51,13 +92,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by
     the first ``rows / n`` of its range are used.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     total = sum(r.n for r in counts)
     langs = sorted(r.lang for r in counts)
     if not langs:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
     index = {x: i for i, x in enumerate(langs)}
-    sample = labelled.where(F.col(lang).isin(langs))
+    sample = labelled
     if sample_by is not None and total > rows:
         sample = sample.where(F.pmod(sample_by, F.lit(total)) < rows)
 
@@ -66,7 +109,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_by
         for batch in batches:
             for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = sums.setdefault(index[x], np.zeros(BUCKETS, np.int64))
-                for ids in _buckets(t):
+                for ids in _buckets(_folded(t)):
                     own += np.bincount(ids, minlength=BUCKETS)
         for k, v in sums.items():
             used = np.flatnonzero(v)
@@ -91,21 +134,20 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def run(batches):
         langs, matrix = shared.value
-        columns, prior = np.ascontiguousarray(matrix[:, :-1]), matrix[:, -1].astype(np.float64)
+        rows, prior = np.ascontiguousarray(matrix[:, :-1]), matrix[:, -1:].astype(np.float64)
         for batch in batches:
-            names, scores = [], []
-            for t in batch.column(place).to_pylist():
-                if not langs or t is None or not _LETTER.search(t):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = prior.copy()
-                for ids in _buckets(t):
-                    total += columns[:, ids].sum(axis=1, dtype=np.float64)
-                best = int(total.argmax())
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(batch.num_columns)), "p", "s"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [_folded(t) if t and langs else t or "" for t in part.column(place).to_pylist()]
+                known = [i for i, t in enumerate(texts) if langs and len(t)]
+                names, scores = ["und"] * len(texts), [0.0] * len(texts)
+                if known:
+                    total = _scores([texts[i] for i in known], rows) + prior
+                    best = total.argmax(axis=0)
+                    share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
+                    for i, k, p in zip(known, best.tolist(), share.tolist()):
+                        names[i], scores[i] = langs[k], p
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(part.num_columns)), "p", "s"])
 
     types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
     out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, f"{types}, p string, s double")
