@@ -1,7 +1,9 @@
 """Operator 1, near-dedup: improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set: its shingles of ``WORDS`` words, each with its count times the smoothed inverse
-document frequency of its hash bucket (``DF_BUCKETS`` buckets, counted over all documents). ``HASHES`` consistent
+A text is a weighted set: its shingles of ``WORDS`` words, each with its count times its smoothed inverse
+document frequency. Frequencies are counted over all documents in ``DF_ROWS`` hash tables of ``DF_BUCKETS`` counters; a
+shingle's is the least of its counters less the mean of that table, which is what other shingles add, and one if
+that is within three deviations of nothing. ``HASHES`` consistent
 weighted samples a text, cut into ``BANDS`` bands, put similar texts in common buckets. Candidates are
 verified by the weighted Jaccard similarity of the whole sets; links of ``SIMILARITY`` or more are joined to
 classes by alternating star contraction.
@@ -11,7 +13,7 @@ first compared with the least one. Where a bucket then still holds several class
 its largest class are compared with all others. A bucket of more than ``TOGETHER`` members comes last, with the
 classes of the smaller ones known, and is compared in blocks of two groups, so no pair of classes is left out.
 
-Texts are identified by 64 bits of their MD5. Randomness comes from fixed tables, so results repeat.
+Texts are identified by their MD5, and each different one gets a number. Randomness comes from fixed tables, so results repeat.
 
 Defined results: a null text is a class of its own; texts without a word are linked to nothing but equal
 texts; a text of fewer than ``WORDS`` words is one shingle; a class is named by its least doc_id (null
@@ -34,7 +36,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: 16 bands of 4 samples: a pair of similarity 0.8 meets in some band with probability 0.9998.
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
-DF_BUCKETS = 1 << 18
+DF_BUCKETS, DF_ROWS = 1 << 18, 2
 #: Members of a bucket that are compared at once; a larger one is cut into groups of about half as many.
 TOGETHER = 2048
 _TABLE = 1 << 16
@@ -57,33 +59,44 @@ def shingles(text: str, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return out[first], np.diff(np.append(first, len(out)))
 
 
-def _bucket(elements: np.ndarray) -> np.ndarray:
-    return (elements >> np.uint32(14)).astype(np.int64)
+def _buckets(elements: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The shingles' counters in each of the tables."""
+    other = (elements * np.uint32(0x9E3779B1)) ^ (elements >> np.uint32(15))
+    return (elements >> np.uint32(14)).astype(np.int64), (other * np.uint32(0x85EBCA6B) >> np.uint32(14)).astype(np.int64)
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """Number of documents and documents per shingle bucket, over all rows."""
+    """Number of documents and the (DF_ROWS, DF_BUCKETS) counters, over all rows."""
 
     def count(batches):
-        known, sums, n = WordHashes(), np.zeros(DF_BUCKETS, np.int64), 0
+        known, sums, n = WordHashes(), np.zeros((DF_ROWS, DF_BUCKETS), np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    b = _bucket(shingles(t, known)[0])
-                    sums[b[np.append(True, b[1:] != b[:-1])] if len(b) else b] += 1
+                    for own, b in zip(sums, _buckets(shingles(t, known)[0])):
+                        np.add.at(own, b, 1)
             n += batch.num_rows
         used = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(sums[used], n))], ["bucket", "n"])
+        yield pa.record_batch([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(sums.ravel()[used], n))], ["bucket", "n"])
 
     found = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = (found.column(i).to_numpy() for i in range(2))
-    out = np.zeros(DF_BUCKETS, np.int64)
+    out = np.zeros(DF_ROWS * DF_BUCKETS, np.int64)
     out[bucket[bucket >= 0]] = n[bucket >= 0]
-    return int(n[bucket < 0].sum()), out
+    return int(n[bucket < 0].sum()), out.reshape(DF_ROWS, DF_BUCKETS)
 
 
-def inverse_frequencies(n: int, df: np.ndarray) -> np.ndarray:
-    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+class InverseFrequencies:
+    """log((1 + documents) / (1 + frequency)) + 1 of any shingle; what is broadcast has a fixed size."""
+
+    def __init__(self, n: int, counters: np.ndarray):
+        mean = counters.mean(axis=1, keepdims=True)
+        own = counters - mean
+        self.top = np.log((1 + n) / 2) + 1 if n else 1.0
+        self.tables = np.where(own > 3 * np.sqrt(mean), np.log((1 + n) / (1 + np.maximum(own, 1))) + 1, self.top).astype(np.float32)
+
+    def __getitem__(self, elements: np.ndarray) -> np.ndarray:
+        return np.maximum.reduce([t[b] for t, b in zip(self.tables, _buckets(elements))])
 
 
 class WeightedSampler:
@@ -116,12 +129,12 @@ class WeightedSampler:
         return out
 
 
-def _text_id(text: str):
-    return F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 15), 16, 10).cast("long")
+def _key(text: str):
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(tid, doc_id, bands) of every different text with words; doc_id is the least of its copies in a task."""
+    """(tid, key, doc_id, bands) of every different text with words: its number, its MD5, the least doc_id of its copies. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         known, sampler, weight, seen = WordHashes(), WeightedSampler(), idf.value, set()
@@ -129,10 +142,10 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         def emit(ids, docs, sets):
             starts = np.cumsum([0, *(len(e) for e, _ in sets[:-1])])
             elements = np.concatenate([e for e, _ in sets])
-            weights = np.concatenate([c for _, c in sets]) * weight[_bucket(elements)]
+            weights = np.concatenate([c for _, c in sets]) * weight[elements]
             keys = signed(sampler.bands(elements, weights.astype(np.float32), starts)).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), lists], names=["tid", "doc_id", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(docs, pa.int64()), lists], names=["key", "doc_id", "bands"])
 
         ids, own, sets, size = [], [], [], 0
         for batch in batches:
@@ -153,8 +166,9 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         if ids:
             yield emit(ids, own, sets)
 
-    out = docs.select("tid", "doc_id", "text").mapInArrow(run, "tid long, doc_id long, bands array<long>")
-    return out.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    out = docs.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, bands array<long>")
+    out = out.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    return written(out.select(F.monotonically_increasing_id().alias("tid"), "*"), "signatures")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
@@ -202,7 +216,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [shingles(t, known) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()), pa.array([_packed(c) for _, c in found], pa.binary())], names=["tid", "elements", "counts"])
 
-    return docs.join(wanted, ["tid", "doc_id"]).select("tid", "text").mapInArrow(run, "tid long, elements binary, counts binary").dropDuplicates(["tid"])
+    return docs.join(wanted, ["key", "doc_id"]).select("tid", "text").mapInArrow(run, "tid long, elements binary, counts binary").dropDuplicates(["tid"])
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -214,13 +228,13 @@ def _counts(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32)
 
 
-def _similarity(a, b, weight: np.ndarray) -> float:
+def _similarity(a, b, weight: InverseFrequencies) -> float:
     ea, eb = (np.frombuffer(e, np.uint32) for e, _ in (a, b))
     ca, cb = _counts(a[1], len(ea)), _counts(b[1], len(eb))
     at = np.minimum(np.searchsorted(eb, ea), len(eb) - 1)
     same = eb[at] == ea
-    shared = float((np.minimum(ca[same], cb[at[same]]) * weight[_bucket(ea[same])]).sum())
-    total = float((ca * weight[_bucket(ea)]).sum() + (cb * weight[_bucket(eb)]).sum())
+    shared = float((np.minimum(ca[same], cb[at[same]]) * weight[ea[same]]).sum())
+    total = float((ca * weight[ea]).sum() + (cb * weight[eb]).sum())
     return shared / (total - shared) if total > shared else 1.0
 
 
@@ -240,16 +254,16 @@ def verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(tid, root) of every text that is linked to a different one."""
+    """(key, root): the MD5 of every text that is linked to a different one, and that of the text which names its class."""
     spark = docs.sparkSession
     n, df = document_frequencies(docs, text)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(n, df))
-    rows = docs.select(_text_id(text).alias("tid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    signs = written(signatures(rows, idf), "signatures")
+    idf = spark.sparkContext.broadcast(InverseFrequencies(n, df))
+    rows = docs.select(_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    signs = signatures(rows, idf)
     buckets = signs.select("tid", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(buckets.join(shared, "bucket"), "members")
-    wanted = members.select("tid").distinct().join(signs.select("tid", "doc_id"), "tid")
+    wanted = members.select("tid").distinct().join(signs.select("tid", "key", "doc_id"), "tid")
     sets = written(_sets(rows, wanted), "sets")
 
     classes, links = spark.createDataFrame([], "tid long, root long"), []
@@ -269,17 +283,18 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     if not large.isEmpty():
         large = _open(large.select("bucket", "tid"), classes)
         classes = joined_by(_cross_links(_blocks(large), sets, idf, similarity))
-    return classes
+    keys = signs.select("tid", "key")
+    return classes.join(keys, "tid").join(keys.select(F.col("tid").alias("root"), F.col("key").alias("k")), "root").select("key", F.col("k").alias("root"))
 
 
-def _links_between(tids: np.ndarray, classes: np.ndarray, sides: np.ndarray, sets: list, weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _links_between(tids: np.ndarray, classes: np.ndarray, sides: np.ndarray, sets: list, weight: InverseFrequencies, least: float) -> list[tuple[int, int]]:
     """Links that join the classes of one group, sorted by side. With one side every member outside the largest
     class is compared with all others, with two every member of the first side with all of the second."""
     names, of = np.unique(classes, return_inverse=True)
     elements = [np.frombuffer(e, np.uint32) for e, _ in sets]
     lengths = np.array([len(e) for e in elements])
     vocabulary, column = np.unique(np.concatenate(elements), return_inverse=True)
-    mass = np.concatenate([_counts(c, n) for (_, c), n in zip(sets, lengths)]) * weight[_bucket(vocabulary[column])]
+    mass = np.concatenate([_counts(c, n) for (_, c), n in zip(sets, lengths)]) * weight[vocabulary][column]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     total = np.add.reduceat(mass, starts)
     own, links = np.zeros(len(vocabulary), mass.dtype), []
@@ -346,25 +361,24 @@ def _blocks(large: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: its class (the least doc_id in it) and whether it is the one of that name."""
     roots = classes_of(docs, doc_id, text, similarity)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_id(text).alias("tid"))
-    placed = written(rows.join(roots, "tid", "left").select("doc_id", F.coalesce("root", "tid").alias("root")), "placed")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"))
+    placed = written(rows.join(written(roots, "roots"), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root")), "placed")
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("least"), F.count("*").alias("class_size"))
-    known = placed.join(least, "root", "left")
+    known = placed.join(written(least, "classes"), "root", "left")
     return known.select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("root").alias("class_key"))
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("class_key")
+    return settled(lambda: near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("class_key"), "op1")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one of least doc_id, once if its row is repeated. Null texts stay."""
-    key = lambda: _text_id("text")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc"), F.col("_keyloom_tid").alias("tid"))
-    roots = settled(lambda: classes_of(docs), "roots").withColumnRenamed("tid", "_keyloom_tid")
-    ids = docs.select("doc_id", key().alias("_keyloom_tid")).where("_keyloom_tid IS NOT NULL").join(roots, "_keyloom_tid", "left")
+    roots = settled(lambda: classes_of(docs), "roots").withColumnRenamed("key", "_keyloom_tid")
+    ids = docs.select("doc_id", _key("text").alias("_keyloom_tid")).where("_keyloom_tid IS NOT NULL").join(roots, "_keyloom_tid", "left")
     best = ids.groupBy(F.coalesce("root", "_keyloom_tid").alias("root")).agg(F.min(order).alias("o")).select(F.col("o.doc").alias("_keyloom_doc"), F.col("o.tid").alias("_keyloom_tid"))
-    keyed = docs.withColumn("_keyloom_tid", key())
+    keyed = docs.withColumn("_keyloom_tid", _key("text"))
     chosen = keyed.join(best, (keyed["_keyloom_tid"] == best["_keyloom_tid"]) & keyed["doc_id"].eqNullSafe(best["_keyloom_doc"]), "left_semi")
     once = chosen.withColumn("_keyloom_n", F.row_number().over(W.partitionBy("_keyloom_tid", "doc_id").orderBy(F.lit(1)))).where("_keyloom_n = 1")
     return once.select(*docs.columns).unionByName(docs.where("text IS NULL"))
