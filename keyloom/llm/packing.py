@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 BLOCK_ROWS, BLOCK_TOKENS = 4096, 8_000_000
 END_ID = 1
-#: Distinct runs that a task keeps.
-_CACHE = 400_000
+#: Distinct runs that a worker keeps.
+_CACHE = 600_000
 # The tokenizer's pre-token pattern (and line ends), and the characters for which this pattern is used here.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
 _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u024f]*").fullmatch
+_LATIN = re.compile(r"[\x00-\x7e\u00c0-\u024f]*").fullmatch
 
 
 def pack(sizes: np.ndarray, losses: np.ndarray, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)):
@@ -134,9 +136,17 @@ class _Ids:
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + n, n)]
 
 
+def _lowered(text: str) -> str:
+    """The text as the tokenizer normalises it where it holds ASCII and Latin letters only; else as it is."""
+    if text.isascii():
+        return text.lower() if "<|" not in text else text
+    return unicodedata.normalize("NFC", text).lower() if _LATIN(text) and "<|" not in text else text
+
+
+@lru_cache(1)
 def _tokenizer(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """Texts -> id arrays. The tokenizer treats the runs between spaces and line ends alone, so each distinct
-    run is encoded once. Runs of Latin letters, digits and ASCII signs are cut into pre-tokens here and only
+    run is encoded once by a worker. Runs of Latin letters, digits and ASCII signs are cut into pre-tokens here and only
     the pre-tokens that are new go through the tokenizer's model; any other run goes through the whole tokenizer."""
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
@@ -172,7 +182,7 @@ def _tokenizer(path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
         if not pieces:
             pieces["\n"] = 0
             piece_ids.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        parts = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        parts = [_lowered(x or "").replace("\n", " ").split(" ") for x in texts]
         numbers = [np.fromiter(map(runs.__getitem__, p), np.int64, len(p)) for p in parts]
         if runs.new:
             new, first = runs.new, len(run_ids.lengths)
