@@ -1,8 +1,12 @@
 """Operator 5, HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut into blocks of text between block-level tags. A block's features are its word count and link
-density, those of its neighbours, and whether it lies in the main container or in a boilerplate one. A
-small decision tree trained on ``LABELLED`` says which blocks belong to the article.
+density, those of its neighbours, whether it lies in the page's main container (one half if the page has none), and
+whether its place says boilerplate: an element like ``nav`` or ``footer``, or a class, id or role that names one. A small
+decision tree, trained on the blocks of the labelled pages below, says which blocks belong to the article.
+
+A name counts as a whole token (``has-sidebar`` names no sidebar). A main container resets names around it, but
+not those of reader comments. Headings in a ``header`` within the main container belong to the article.
 
 Defined results: a null or empty page, and one without content blocks, gives an empty text; unclosed
 tags, comments and scripts run to the end of the page; unknown character references stay as they are;
@@ -13,6 +17,8 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +27,41 @@ from pyspark.sql import functions as F
 
 FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "main", "boiler")
 
-#: Labelled blocks of pages without a main container, one a line: words, link density, those of the previous
-#: and of the next block, then 1 for content.
-LABELLED = """
-1 1.0 0 0.0 1 1.0 0
-2 1.0 1 1.0 1 1.0 0
-3 1.0 80 0.0 3 1.0 0
-6 1.0 6 1.0 6 1.0 0
-12 1.0 9 1.0 0 0.0 0
-4 0.8 4 0.8 60 0.0 0
-20 0.7 12 0.8 9 1.0 0
-35 0.6 5 1.0 12 0.9 0
-15 0.5 70 0.0 2 1.0 0
-2 0.0 1 1.0 1 1.0 0
-1 0.0 0 0.0 2 1.0 0
-3 0.0 2 1.0 4 0.5 0
-5 0.0 4 0.9 3 0.9 0
-4 0.0 3 0.0 2 0.0 0
-6 0.0 2 1.0 5 1.0 0
-3 0.0 5 0.0 0 0.0 0
-2 0.0 0 0.0 3 0.0 0
-40 0.0 8 0.0 50 0.0 1
-90 0.1 70 0.0 60 0.1 1
-150 0.0 0 0.0 0 0.0 1
-25 0.0 40 0.0 30 0.0 1
-18 0.2 30 0.0 60 0.0 1
-8 0.0 60 0.0 55 0.0 1
-5 0.0 4 0.0 60 0.0 1
-3 0.0 2 1.0 80 0.0 1
-14 0.0 70 0.0 3 1.0 1
-22 0.0 3 1.0 35 0.0 1
-12 0.1 20 0.0 18 0.0 1
-30 0.1 1 1.0 2 1.0 1
-50 0.2 45 0.0 6 0.8 1
-"""
-
-#: Labelled containers of pages that have a main one: in it, in a boilerplate one, 1 for content. Where a block lies
-#: decides there, so the table holds every one of the blocks above for each of them.
-CONTAINERS = ((1, 0, 1), (1, 1, 0), (0, 0, 0), (0, 1, 0))
+_W = "word "
+
+
+def _links(*words: int, tag: str = "li") -> str:
+    return "".join(f"<{tag}><a href=x>{_W * n}</a></{tag}>" for n in words)
+
+
+def _texts(*words: int, tag: str = "p") -> str:
+    return "".join(f"<{tag}>+ {_W * (n - 1)}</{tag}>" for n in words)
+
+
+#: The labelled table, as pages: the blocks that begin with ``+`` belong to the article. Bodies of articles and what stands around
+#: them are combined in main containers of both kinds; a list of short links is a menu there too, other links are text.
+BODIES = (
+    f"{_texts(8, tag='h1')}{_texts(60, 2, 90, 1, 35)}<p>+ {_W * 20}<a>{_W * 20}</a></p>{_texts(6, tag='h2')}{_texts(12, 4, 7, tag='li')}",
+    f"{_texts(5, tag='h1')}{_texts(40, tag='div')}<ul>{_links(1, 2, 2, 1, 3)}</ul>{_texts(70, 3)}<div class=share>{_W * 3}</div><section id=comments><p>{_W * 40}</p></section>",
+    f"{_texts(3, 4, 3, 5)}{_texts(2, 6, 1)}<p>+ <a>{_W * 25}</a></p>{_texts(30)}<p><a>+ {_W * 3}</a></p>{_texts(28)}<p><a>+ {_W * 2}</a></p>",
+    f"<ul>{_links(1, 1, 1)}</ul>{_texts(80)}<ul>{_links(4, 6, 5)}</ul>", f"<ul>{_links(2, 3, 1, 2, 1)}</ul>{_texts(2, 4)}", _texts(1), _texts(3, 20), _texts(400), _texts(30, 9),
+    f"<p><a>+ {_W * 12}</a></p>", f"{_texts(14)}<p>+ <a>{_W * 40}</a></p>", f"{_texts(25)}<aside>{_W * 50}</aside>{_texts(2)}<nav>{_links(2, 30)}</nav>",
+)
+AROUND = (
+    ("", ""), (f"<nav><ul>{_links(1, 2, 1, 3)}</ul></nav><div class=ad>{_W * 9}</div>", f"<footer>{_W * 6}</footer>"),
+    (f"<header>{_W * 4}</header><ul>{_links(2, 9, 24)}</ul>", f"<div>{_W * 50}</div><div>{_W * 4}</div><p>{_W * 12}</p><form>{_W * 3}</form>"),
+    (f"<p>{_W * 130}</p><p><a>{_W * 30}</a></p>", f"<div>{_W * 2}</div><ul>{_links(2, 40, 2)}</ul><p>{_W * 90}</p><div class=sidebar><p>{_W * 30}</p>{_links(21, 3)}</div>"),
+    (f"<div>{_W}</div>", f"<p>{_W}</p>"), (f"<div>{_W * 25}</div>", f"<p>{_W * 200}</p>"),
+)
+#: Pages without a main container, where lengths, links and neighbours decide.
+FREE_PAGES = (
+    f"<ul>{_links(1, 1, 2, 1)}</ul>{_texts(7, tag='h1')}{_texts(40, 90, 25)}{_texts(8, 60)}<ul>{_links(1, 2)}</ul><div>{_W * 5}</div><div>{_W * 3}</div>",
+    f"<div>{_W * 2}</div><ul>{_links(3, 6, 4, 12, 9)}</ul>{_texts(5, tag='h2')}{_texts(60, 18, 55)}{_texts(14)}<p>+ {_W * 40}<a>{_W * 8}</a></p><p><a>{_W * 4}</a> {_W}</p><ul>{_links(2, 2, 30)}</ul><p>{_W * 3}</p>",
+    f"<div class=sidebar>{_W * 40}</div><div>{_texts(50, 22, 35)}</div><div id=comments><p>{_W * 60}</p><p>{_W * 3}</p></div><footer><p>{_W * 30}</p></footer>",
+    f"<div>{_W * 4}</div><div><a>{_W * 9}</a> {_W * 3}</div><p>{_W * 6}</p><p>{_W * 2}</p>", _texts(150), _texts(30), f"<div><a>{_W}</a></div>{_texts(30, 45)}<div><a>{_W * 2}</a></div><p><a>{_W * 50}</a></p>",
+    f"<nav>{_links(1, 30)}</nav>{_texts(200)}<form>{_W * 25}</form>", f"<p>{_W * 3}</p>", f"<a>{_W * 25}</a>",
+)
+LABELLED_PAGES = tuple(f"{before}<{tag}>{body}</{tag}>{after}" for tag in ("article", "main") for body in BODIES for before, after in AROUND) + FREE_PAGES
 
 # Element names of HTML by their part in a page.
 RAW = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|math"
@@ -66,24 +69,55 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table td th ul".split())
 BOILER = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN = frozenset("article main".split())
-BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+# Names by which pages mark boilerplate; those of reader comments hold in a main container too.
+_AFFIX = r"(?:site|page|main|global|top|bottom|left|right|post|article|reader|user)[-_]", r"[-_](?:\d+|area|bar|block|body|bottom|box|buttons?|container|form|inner|item|left|links?|list|message|notice|popup|right|section|slot|text|top|unit|wrap|wrapper)"
+COMMENT_NAME = re.compile(rf"(?:{_AFFIX[0]})?(?:comments?|commentlist|disqus|discussion|replies|reply|respond)(?:{_AFFIX[1]})*", re.I).fullmatch
+LAYOUT_NAME = re.compile(rf"(?:{_AFFIX[0]})?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|complementary|consent|contentinfo|cookies?|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promotion|related(?:[-_](?:posts|articles|stories))?|search|share|sharing|side[-_]?bar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:{_AFFIX[1]})*", re.I).fullmatch
 _TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.I | re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+def _named(attrs: str | None) -> tuple[bool, bool, bool]:
+    """Whether class, id or role names a layout part, reader comments, a main container."""
+    tokens = [t for x in _NAMED.findall(attrs) for t in (x[0] or x[1] or x[2]).split()] if attrs else ()
+    return any(map(LAYOUT_NAME, tokens)), any(map(COMMENT_NAME, tokens)), "main" in tokens
+
+
+class _Place(NamedTuple):
+    """Where text stands: the element, in a main container, in a boilerplate element (``header`` if only in one of a
+    main container), in one named so, in reader comments."""
+
+    tag: str = ""
+    main: bool = False
+    element: str = ""
+    layout: bool = False
+    comments: bool = False
+
+    def inside(self, tag: str, attrs: str | None) -> _Place:
+        layout, comments, main = _named(attrs)
+        main = main or tag in MAIN
+        element = self.element
+        if tag in BOILER and element in ("", "header"):
+            element = "header" if tag == "header" and self.main else tag
+        return _Place(tag, self.main or main, element if element != "header" or self.main else "boiler", layout or (self.layout and not main), comments or self.comments)
+
+    def boiler(self, heading: bool) -> bool:
+        return self.layout or self.comments or bool(self.element and not (self.element == "header" and heading))
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Text blocks in page order: text, words, words in links, in the main container, in a boilerplate one."""
+    """Text blocks in page order: text, words, words in links, in the main container, at a boilerplate place."""
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack = [_Place()]
     text: list[str] = []
     linked: list[str] = []
-    in_link, at = False, 0
+    in_link, at, leaf = False, 0, _Place()
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            top = stack[-1] if stack else ("", False, False)
-            out.append((joined, len(joined.split()), len(html.unescape(" ".join(linked)).split()), top[1], top[2]))
+            out.append((joined, len(joined.split()), len(html.unescape(" ".join(linked)).split()), leaf.main, leaf.boiler(leaf.tag in HEADINGS)))
         text.clear()
         linked.clear()
 
@@ -103,16 +137,16 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         flush()
         if name not in CONTAINER:
+            leaf = stack[-1] if m["end"] else stack[-1].inside(name, m["attrs"])
             continue
         if m["end"]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
+            if any(x.tag == name for x in stack):
+                while stack.pop().tag != name:
                     pass
             in_link = False
         else:
-            _, main, boiler = stack[-1] if stack else ("", False, False)
-            named = any(BOILER_NAME.search(x[0] or x[1] or x[2]) for x in _NAMED.findall(m["attrs"] or ""))
-            stack.append((name, main or name in MAIN, boiler or name in BOILER or named))
+            stack.append(stack[-1].inside(name, m["attrs"]))
+        leaf = stack[-1]
     text.append(page[at:])
     flush()
     return out
@@ -152,12 +186,15 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
 
 
 def labelled() -> np.ndarray:
-    """The labelled table: the eight features and the label. In a page without a main container (0.5) a block of a boilerplate one is none."""
-    shapes = [[float(v) for v in line.split()] for line in LABELLED.split("\n") if line]
-    free = [[*x[:-1], 0.5, boiler, 0.0 if boiler else x[-1]] for x in shapes for boiler in (0.0, 1.0)]
-    return np.array(free + [[*x[:-1], *c] for x in shapes for c in CONTAINERS])
+    """The labelled table: the features of the labelled pages' blocks, and the label."""
+    rows = []
+    for page in LABELLED_PAGES:
+        found = blocks(page)
+        rows.append(np.column_stack([features(found), [float(b[0].startswith("+")) for b in found]]))
+    return np.concatenate(rows)
 
 
+@lru_cache(1)
 def trained():
     rows = labelled()
     return grow(rows[:, :-1], rows[:, -1])

@@ -195,6 +195,35 @@ def test_articles():
         assert isinstance(htmltext.article(odd, tree), str)
 
 
+def test_articles_in_odd_places():
+    """Names are whole tokens, a main container resets names around it but not those of comments, paragraphs have names too."""
+    tree, text = htmltext.trained(), "This is a sentence of the article that has quite a few words in it."
+    for name in ("has-sidebar", "no-comments", "related-posts", "with-nav menu-open", "sidebar", "headerless"):
+        assert htmltext.article(f"<div class='{name}'><article><p>{text}</p><p>Short.</p></article></div>", tree) == f"{text} Short.", name
+    for name in ("comment", "comments", "reader-comments", "comment-body", "ad", "ad-slot", "newsletter-form", "share-buttons"):
+        assert htmltext.article(f"<article><p>{text}</p><p class={name}>{text}</p><div id={name}><p>{text}</p></div></article>", tree) == text, name
+    assert htmltext.article(f"<main><p>{text}</p><div class=comments><article><p>{text}</p></article></div></main>", tree) == text
+    assert htmltext.article(f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header><p>{text}</p></article>", tree) == f"Title {text}"
+
+
+def test_link_density_and_neighbours_decide():
+    """In a main container a list of short links goes and a link among text stays; without one text is told from links by its length and density."""
+    tree, text = htmltext.trained(), "This is a sentence of the article that has quite a few words in it, and goes on for a while."
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6))
+    assert htmltext.article(f"<article><p>{text}</p><ul class=x>{menu}</ul><p>{text}</p></article>", tree) == f"{text} {text}"
+    assert htmltext.article(f"<article><p>{text}</p><p><a href=x>A link</a></p><p>{text}</p></article>", tree) == f"{text} A link {text}"
+    assert htmltext.article(f"<ul class=x>{menu}</ul><p>{text} {text}</p><p>{text} {text}</p><ul>{menu}</ul>", tree) == f"{text} {text} {text} {text}"
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, int):
+            used.add(htmltext.FEATURES[t[0]])
+            walk(t[2]), walk(t[3])
+
+    walk(tree)
+    assert {"words", "link_density", "main", "boiler"} < used and used & {"prev_links", "next_links", "prev_words", "next_words"}
+
+
 def test_articles_of_pages(spark):
     import html
     import re
