@@ -20,49 +20,59 @@ WORD_BYTES = bytes(
 )
 
 
-#: Tables that were written inside the innermost :func:`settled`.
-_made: ContextVar[list | None] = ContextVar("made", default=None)
+#: Folders that were made inside the innermost :func:`settled`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only if unset."""
+    """The shared folder of the cluster, ``spark.checkpoint.dir``; a local master without one gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; :func:`settled` deletes what was written there."""
+    path = f"{shared_dir(spark)}/keyloom-{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keyloom-{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._keyloom_path = path
-    if (made := _made.get()) is not None:
-        made.append(back)
     return back
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """What ``make`` returns, written; all tables that it wrote on its way are deleted after that."""
+    """What ``make`` returns, written; all that was written on its way is deleted after that."""
     token = _made.set(made := [])
     try:
         result = make()
     finally:
         _made.reset(token)
     out = written(result, name)
-    for x in made:
-        dropped(x)
+    for path in made:
+        _delete(out.sparkSession, path)
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._keyloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._keyloom_path)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -3,9 +3,12 @@
 Documents lie in old shards; the new shards get equal capacities in bytes. A minimum-cost flow over the
 shard sizes (a byte that stays costs nothing, a byte that moves costs 1) says how many bytes each old
 shard hands to each new one. An old shard is ordered by (block, id, crc) and cut at the flow's amounts, so
-whole blocks move and only those at a cut are split; a document goes where its first byte lies.
+whole blocks move and only those at a cut are split; a document goes where its first byte lies. Then the
+files of the shards that gain or lose a document are written anew: a document of a whole block by its block's new
+shard, which is broadcast, one of a split block by a join with its row of the plan.
 
-Only one row per (old shard, block) reaches the driver: ``OLD_SHARDS * BLOCKS`` at most.
+Only one row per (old shard, block) reaches the driver or is broadcast: a block holds ``BLOCK_BYTES`` or more on
+average, so 100 TB make some 400,000 rows.
 
 Defined results: a null text has size 16 and the crc of an empty one; repeated rows get slots of their
 own; a null source counts as an empty name; an empty table gives an empty result.
@@ -13,13 +16,33 @@ own; a null source counts as an empty name; an empty table gives an empty result
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import dropped, written
+from keyloom.llm.common import dropped, scratch, settled, written
+
+SHARDS, OLD_SHARDS, ROW_BYTES = 40, 40, 16
+#: Bytes of a block on average, and the fewest blocks of an old shard.
+BLOCK_BYTES, BLOCKS = 256 << 20, 16
+
+
+class Plan(NamedTuple):
+    """``rows`` (doc_id, size, text_crc32, old, block, shard, slot); blocks of each old shard; new shard of each whole (old, block)."""
 
-SHARDS, OLD_SHARDS, BLOCKS, ROW_BYTES = 40, 40, 64, 16
+    rows: DataFrame
+    blocks: dict[int, int]
+    homes: DataFrame
+
+    def block(self, doc_id: str, crc: str, old: str) -> Column:
+        return _block(self.blocks, doc_id, crc, old)
+
+
+def _block(blocks: dict[int, int], doc_id: str, crc: str, old: str) -> Column:
+    sizes = F.create_map(*(F.lit(x) for item in (blocks or {0: 1}).items() for x in item))
+    return F.pmod(F.xxhash64(doc_id, crc), F.coalesce(sizes[F.col(old)], F.lit(1))).cast("int")
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -57,10 +80,12 @@ def min_cost_flow(supply: list[int], room: list[int], cost: list[list[int]]) ->
     return flow
 
 
-def reshard(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """``rows`` (doc_id, size, text_crc32, old) with ``shard`` and a gapless ``slot`` in it."""
+def reshard(rows: DataFrame, shards: int = SHARDS, block_bytes: int = BLOCK_BYTES, least_blocks: int = BLOCKS) -> Plan:
+    """``rows`` (doc_id, size, text_crc32, old) with ``shard`` and a gapless ``slot`` in it, as a plan for ``rewrite``."""
     spark = rows.sparkSession
-    base = written(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")), "sizes")
+    base = written(rows, "sizes")
+    blocks = {r.old: max(least_blocks, -(-r.bytes // block_bytes)) for r in base.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}
+    base = base.withColumn("block", _block(blocks, "doc_id", "text_crc32", "old"))
     sums = sorted(base.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect())
     olds = max([shards, *(r.old + 1 for r in sums)])
     supply = [sum(r.bytes for r in sums if r.old == i) for i in range(olds)]
@@ -74,9 +99,11 @@ def reshard(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Data
         for j in parts:
             cuts.append((i, at, at + flow[i][j] if j != parts[-1] else 1 << 62, j))
             at += flow[i][j]
-    offsets, at, before = [], {}, {}
+    offsets, homes, at, before = [], [], {}, {}
     for r in sums:
-        offsets.append((r.old, r.block, at.get(r.old, 0), before.get(r.old, 0)))
+        begin = at.get(r.old, 0)
+        offsets.append((r.old, r.block, begin, before.get(r.old, 0)))
+        homes += [(r.old, r.block, j) for i, lo, hi, j in cuts if i == r.old and lo <= begin and begin + r.bytes <= hi]
         at[r.old], before[r.old] = at.get(r.old, 0) + r.bytes, before.get(r.old, 0) + r.rows
     cut = spark.createDataFrame(cuts, "old int, lo long, hi long, shard int")
     offset = spark.createDataFrame(offsets, "old int, block int, byte long, nth long")
@@ -84,14 +111,15 @@ def reshard(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Data
     own = W.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size")
     placed = base.withColumns({"start": F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"), "rank": F.row_number().over(own) - F.lit(1)})
     placed = placed.join(F.broadcast(offset), ["old", "block"]).withColumns({"start": F.col("start") + F.col("byte"), "rank": F.col("rank") + F.col("nth")})
-    placed = written(placed.join(F.broadcast(cut), "old").where("start >= lo AND start < hi").select("doc_id", "size", "text_crc32", "old", "shard", "lo", "rank"), "placed")
+    placed = written(placed.join(F.broadcast(cut), "old").where("start >= lo AND start < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "lo", "rank"), "placed")
 
     first, slots, used = [], {}, {}
     for r in sorted(placed.groupBy("shard", "old", "lo").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).collect()):
         first.append((r.shard, r.old, used.get(r.shard, 0) - r.rank))
         used[r.shard] = used.get(r.shard, 0) + r.n
     shift = spark.createDataFrame(first, "shard int, old int, shift long")
-    return placed.join(F.broadcast(shift), ["shard", "old"]).select("doc_id", "size", "text_crc32", "old", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
+    placed = placed.join(F.broadcast(shift), ["shard", "old"]).select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
+    return Plan(placed, blocks, spark.createDataFrame(homes, "old int, block int, shard int"))
 
 
 def sizes(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,36 +127,69 @@ def sizes(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "tex
     return docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(data).cast("long") + ROW_BYTES).alias("size"), F.crc32(data).alias("text_crc32"), old.cast("int").alias("old"))
 
 
-def rewrite(docs: DataFrame, old: Column, plan: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> list[int]:
+def _numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """Equal rows get numbers, so that repeated ones meet one by one."""
+    return rows.withColumn("_keyloom_n", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1))))
+
+
+def _met(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join on key columns (null meets null) and the number of equal rows; ``two`` keeps only its other columns."""
+    one, two = _numbered(one, *key), _numbered(two, *key)
+    both = [*key, "_keyloom_n"]
+    two = two.select(*(F.col(c).alias(f"{c}__") for c in both), *(c for c in two.columns if c not in both))
+    return one.join(two, [one[c].eqNullSafe(two[f"{c}__"]) for c in both]).drop(*(f"{c}__" for c in both), "_keyloom_n")
+
+
+_ROW = ["_keyloom_id", "_keyloom_size", "_keyloom_crc", "_keyloom_old"]
+
+
+def rewrite(docs: DataFrame, old: Column, plan: Plan, path: str, doc_id: str = "doc_id", text: str = "text", fresh: bool = False) -> list[int]:
     """Write the files (``shard=N``) of the shards that gain or lose a document under ``path`` and clear emptied ones; the
     others stay. Returns the shards touched. ``docs`` may be read from ``path``; a column ``shard`` of it is the layout's.
+    With ``fresh`` nothing lies under ``path`` yet: all shards are written there and ``docs`` is read elsewhere.
 
-    A document meets its row of the plan by id, size, crc and old shard, equal ones by their number, so each is written once."""
+    A document of a split block meets its row of the plan by id, size, crc and old shard, equal ones by their number."""
     spark = docs.sparkSession
-    touched = sorted({x for r in plan.where("old <> shard").select("old", "shard").distinct().collect() for x in r})
-    key = ["_keyloom_id", "_keyloom_size", "_keyloom_crc", "_keyloom_old"]
-    number = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
-    own = sizes(docs, old, doc_id, text).columns
+    touched = sorted({x for r in plan.rows.where("old <> shard").select("old", "shard").distinct().collect() for x in r})
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.withColumns(dict(zip(key, (F.col(doc_id), F.octet_length(data).cast("long") + ROW_BYTES, F.crc32(data), old.cast("int")))))
-    rows = rows.where(F.col("_keyloom_old").isin(touched)).drop("shard").withColumn("_keyloom_n", number)
-    to = plan.where(F.col("old").isin(touched)).select(*(F.col(c).alias(k) for c, k in zip(own, key)), F.col("shard").alias("_keyloom_shard"))
-    to = to.withColumn("_keyloom_n", number).select(*(F.col(c).alias(f"{c}_") for c in [*key, "_keyloom_n"]), "_keyloom_shard")
-    met = [rows[c].eqNullSafe(to[f"{c}_"]) for c in [*key, "_keyloom_n"]]
     kept = [c for c in docs.columns if c != "shard"]
-    new = written(rows.join(to, met).select(*kept, F.col("_keyloom_shard").alias("shard")), "shards")
-    left = {r.shard for r in new.select("shard").distinct().collect()}
-    new.repartition("shard", F.pmod(F.xxhash64(doc_id), F.lit(8))).write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    for shard in set(touched) - left:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-    dropped(new)
+    rows = docs.withColumns(dict(zip(_ROW, (F.col(doc_id), F.octet_length(data).cast("long") + ROW_BYTES, F.crc32(data), old.cast("int"))))).drop("shard")
+    rows = rows.withColumn("_keyloom_block", plan.block("_keyloom_id", "_keyloom_crc", "_keyloom_old"))
+    if not fresh:
+        rows = rows.where(F.col("_keyloom_old").isin(touched))
+    home = plan.homes.select(F.col("old").alias("_keyloom_old"), F.col("block").alias("_keyloom_block"), F.col("shard").alias("_keyloom_shard"))
+    whole = rows.join(F.broadcast(home), ["_keyloom_old", "_keyloom_block"]).select(*kept, "_keyloom_shard")
+    split = rows.join(F.broadcast(home), ["_keyloom_old", "_keyloom_block"], "left_anti")
+    to = plan.rows.join(F.broadcast(plan.homes), ["old", "block"], "left_anti").select(*(F.col(c).alias(k) for c, k in zip(("doc_id", "size", "text_crc32", "old"), _ROW)), F.col("shard").alias("_keyloom_shard"))
+    new = whole.unionByName(_met(split, to, _ROW).select(*kept, "_keyloom_shard")).withColumnRenamed("_keyloom_shard", "shard")
+    if not fresh:
+        new = written(new, "shards")
+    parts = max(1, min(8, sum(plan.blocks.values()) // 64))
+    dealt = new.repartition("shard", F.pmod(F.xxhash64(doc_id), F.lit(parts)))
+    dealt.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if not fresh:
+        left = {r.shard for r in new.select("shard").distinct().collect()}
+        for shard in set(touched) - left:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        dropped(new)
     return touched
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """The old layout deals by source, so one old shard holds a third of all rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The old layout deals by source, so one old shard holds a third of all rows. The rows returned are those of the
+    files written, with the plan's slots."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS))
-    out = reshard(sizes(docs, old))
+
+    def made() -> DataFrame:
+        plan = reshard(sizes(docs, old))
+        plan = plan._replace(rows=written(plan.rows, "plan"))
+        path = scratch(spark, "shards")
+        rewrite(docs, old, plan, path, fresh=True)
+        files = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, shard int").parquet(path)
+        files = sizes(files, F.col("shard")).withColumnRenamed("old", "shard")
+        return _met(files, plan.rows.select("doc_id", "size", "text_crc32", "shard", "slot"), ["doc_id", "size", "text_crc32", "shard"])
+
+    out = settled(made, "op8")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

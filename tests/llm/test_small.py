@@ -506,8 +506,10 @@ def test_shards(spark, edge, empty):
     for own in by.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
         assert abs(sum(r.size for r in own) - total / 40) <= longest
+    docs = {r.doc_id: (r.text or "").encode() for r in documents(spark).collect()}
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len(b) + 16, zlib.crc32(b)) for i, b in docs.items())
     old = F.lit(0)
-    assert sharding.reshard(sharding.sizes(edge, old)).count() == edge.count() and sharding.reshard(sharding.sizes(empty, old)).count() == 0
+    assert sharding.reshard(sharding.sizes(edge, old)).rows.count() == edge.count() and sharding.reshard(sharding.sizes(empty, old)).rows.count() == 0
 
 
 def test_rewritten_shards_hold_every_document_once(spark, tmp_path):
@@ -516,8 +518,9 @@ def test_rewritten_shards_hold_every_document_once(spark, tmp_path):
     path = str(tmp_path / "files")
     spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
     docs = spark.read.parquet(path)
-    plan = sharding.reshard(sharding.sizes(docs, F.col("shard")), shards=3, blocks=4)
-    want = Counter((r.doc_id, r.size, r.shard) for r in plan.collect())
+    plan = sharding.reshard(sharding.sizes(docs, F.col("shard")), shards=3, least_blocks=4)
+    assert 0 < plan.homes.count() < 16
+    want = Counter((r.doc_id, r.size, r.shard) for r in plan.rows.collect())
     touched = sharding.rewrite(docs, F.col("shard"), plan, path)
     back = spark.read.parquet(path).collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter(r[:2] for r in rows)
