@@ -2,11 +2,12 @@
 
 ``build_index`` stores the corpus as index shards in the shared folder: a shard is some thousand whole
 documents with, for each distinct term, the sorted positions of its occurrences (documents lie one after
-another with a gap between them, so no phrase runs over an end). ``search`` takes test windows in blocks
-of bounded size: in every shard the list of a window's rarest term is intersected with the
-offset-adjusted lists of the others, rarest first. Survivors of the first pass, in which each term need
-only occur within a window's length, are the proximity matches; those with every term at its place are
-the exact ones.
+another with a gap between them, so no phrase runs over an end). A Spark job cuts the items into a written table of
+their distinct windows and another of which items hold them. Windows are searched in blocks of bounded size, of
+which the driver holds one at a time and only the terms: in every shard the list of a window's rarest term is
+intersected with the offset-adjusted lists of the others, rarest first. Survivors of the first pass, in which each
+term need only occur in the same document within a window's length (and ``slack``), are the proximity matches;
+those with every term at its place are the exact ones. The items join by the window's number.
 
 Terms are 64-bit hashes of words. Words are runs of letters, digits and bytes from 0x80 up, A-Z
 lower-cased. A window is ``WINDOW`` consecutive words of an item; an item of fewer words is one window.
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD_BYTES, WordHashes, settled, signed, utf8, written
+from keyloom.llm.common import WORD_BYTES, WordHashes, dropped, settled, utf8, written
 
 WINDOW = 10
 #: Words of one index shard, and test windows of one block.
@@ -74,44 +75,52 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return written(rows.mapInArrow(run, INDEX), "postings")
 
 
-def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW,
-            block: int = BLOCK_WINDOWS) -> Iterator[list[tuple[bytes, list[str | None]]]]:
-    """Blocks of at most ``block`` (window as term bytes, item ids), read item by item."""
-    known, found = WordHashes(), {}
-    for r in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).toLocalIterator():
-        data = bytes(r.t or b"").translate(WORD_BYTES).split()
-        terms = np.fromiter(map(known.__getitem__, data), np.uint64, len(data))
-        n = min(size, len(terms))
-        for at in range(len(terms) - n + 1 if n else 0):
-            found.setdefault(terms[at : at + n].tobytes(), {})[r.i] = None
-            if len(found) >= block:
-                yield [(k, list(v)) for k, v in found.items()]
-                found = {}
-    if found:
-        yield [(k, list(v)) for k, v in found.items()]
+def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW, block: int = BLOCK_WINDOWS) -> tuple[DataFrame, DataFrame, int]:
+    """The distinct windows (window, block, terms), which windows an item holds (window, item), and the number of blocks. Written."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known = WordHashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = utf8(batch.column(1).slice(i, 1))[0].translate(WORD_BYTES).split()
+                terms = np.fromiter(map(known.__getitem__, data), np.uint64, len(data))
+                n = min(size, len(terms))
+                found = list({terms[at : at + n].tobytes() for at in range(len(terms) - n + 1 if n else 0)})
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.string()), pa.array(part, pa.binary())], names=["item", "terms"])
+
+    rows = written(items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).mapInArrow(run, "item string, terms binary"), "cut")
+    distinct = written(rows.select("terms").distinct().select(F.monotonically_increasing_id().alias("window"), "terms"), "windows")
+    blocks = -(-distinct.count() // block)
+    held = written(rows.where("item IS NOT NULL").join(distinct, "terms").select("window", "item").distinct(), "held")
+    dropped(rows)
+    return distinct.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(max(1, blocks))).cast("int")), held, blocks
 
 
-HITS = "shard long, doc int, starts array<int>, ends array<int>, items array<string>, near array<string>"
+HITS = "shard long, doc int, window long, n int, near array<int>, exact array<int>"
 
 
-def _matches(terms, ends, positions, tests, slack: int):
-    """(window number, near starts, exact starts) of every window that is found, near or exact."""
-    lists = np.searchsorted(terms, tests["terms"])
-    lists[lists == len(terms)] = 0
-    there = terms[lists] == tests["terms"]
+def _matches(index, rows, lengths, slack: int):
+    """(window's place in the block, near starts, exact starts) of every window that is found, near or exact. A near
+    start is a place of the rarest term with all others around it in the document."""
+    starts, stops, ends, positions, lists, there = index
     begins = np.concatenate([[0], ends[:-1]])
     length = np.where(there, ends[lists] - begins[lists], 0)
-    for w, (own, n) in enumerate(zip(tests["rows"], tests["n"])):
+    for w, (own, n) in enumerate(zip(rows, lengths)):
         own = own[:n]
         if not there[own].all():
             continue
         order = np.argsort(length[own], kind="stable")
         rare = order[0]
         post = [positions[begins[k] : ends[k]] for k in lists[own]]
-        at = post[rare]
+        at, reach = post[rare], n - 1 + slack
+        doc = np.searchsorted(starts, at, "right") - 1
+        low, high = np.maximum(at - reach, starts[doc]), np.minimum(at + reach, stops[doc])
         for j in order[1:]:
-            low = np.minimum(np.searchsorted(post[j], at - (n - 1 + slack)), len(post[j]) - 1)
-            at = at[np.abs(post[j][low] - at) <= n - 1 + slack]
+            k = np.minimum(np.searchsorted(post[j], low), len(post[j]) - 1)
+            near = (post[j][k] >= low) & (post[j][k] <= high)
+            at, low, high = at[near], low[near], high[near]
             if not len(at):
                 break
         if not len(at):
@@ -125,70 +134,85 @@ def _matches(terms, ends, positions, tests, slack: int):
         yield w, at, exact
 
 
-def search(index: DataFrame, block: list[tuple[bytes, list[str | None]]], slack: int = 0) -> DataFrame:
-    """Documents with matches of a block's windows: hit runs, items found exactly, items found nearby."""
-    rows = [np.frombuffer(k, np.uint64) for k, _ in block]
-    distinct = np.unique(np.concatenate(rows))
-    wide = np.zeros((len(rows), max(map(len, rows))), np.int64)
-    for i, r in enumerate(rows):
+def search(index: DataFrame, block: list, slack: int = 0) -> DataFrame:
+    """Matches of a block's windows, given as (window, terms): a row for each document and window, positions count from
+    the shard's start. ``near`` are places of the rarest term, ``exact`` starts of the whole phrase."""
+    numbers = np.array([r[0] for r in block], np.int64)
+    cut = [np.frombuffer(bytes(r[1]), np.uint64) for r in block]
+    distinct = np.unique(np.concatenate(cut))
+    wide = np.zeros((len(cut), max(map(len, cut))), np.int32)
+    for i, r in enumerate(cut):
         wide[i, : len(r)] = np.searchsorted(distinct, r)
-    shared = index.sparkSession.sparkContext.broadcast({"terms": distinct, "rows": wide, "n": np.array([len(r) for r in rows]), "items": [v for _, v in block]})
+    shared = index.sparkSession.sparkContext.broadcast((distinct, wide, np.array([len(r) for r in cut]), numbers))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tests = shared.value
+        tests, rows, lengths, numbers = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column(0)[i].as_py()
                 starts, terms, ends, positions = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, np.int32), (2, np.uint64), (3, np.int32), (4, np.int32)))
                 if not len(terms):
                     continue
-                found: dict[int, tuple[list, list, dict, dict]] = {}
-                for w, near, exact in _matches(terms, ends, positions, tests, slack):
-                    n, items = int(tests["n"][w]), tests["items"][w]
-                    for d in np.unique(np.searchsorted(starts, near, "right") - 1).tolist():
-                        found.setdefault(d, ([], [], {}, {}))[3].update(dict.fromkeys(items))
-                    for p, d in zip(exact.tolist(), (np.searchsorted(starts, exact, "right") - 1).tolist()):
-                        own = found.setdefault(d, ([], [], {}, {}))
-                        own[0].append(p), own[1].append(p + n)
-                        own[2].update(dict.fromkeys(items))
-                listed = lambda x: [v for v in x if v is not None]
-                cols = [[number] * len(found), list(found), [v[0] for v in found.values()], [v[1] for v in found.values()], [listed(v[2]) for v in found.values()], [listed(v[3]) for v in found.values()]]
-                types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in HITS.split(", ")])
-
-    return index.select("shard", "starts", "terms", "ends", "positions").mapInArrow(run, HITS)
+                lists = np.searchsorted(terms, tests)
+                lists[lists == len(terms)] = 0
+                stops = np.append(starts[1:] - 2, np.iinfo(np.int32).max)
+                out = []
+                for w, near, exact in _matches((starts, stops, ends, positions, lists, terms[lists] == tests), rows, lengths, slack):
+                    of_near, of_exact = (np.searchsorted(starts, x, "right") - 1 for x in (near, exact))
+                    for d in np.unique(of_near).tolist():
+                        out.append((number, d, int(numbers[w]), int(lengths[w]), near[of_near == d].tolist(), exact[of_exact == d].tolist()))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, types)], names=[x.split()[0] for x in HITS.split(", ")])
+
+    out = written(index.select("shard", "starts", "terms", "ends", "positions").mapInArrow(run, HITS), "hits")
+    shared.destroy()
+    return out
+
+
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, slack: int = 0):
+    """The index's documents (shard, doc, doc_id, text_key, n_words), all matches, and the items that hold each window."""
+    index = build_index(docs, doc_id, text)
+    base = index.select("shard", F.posexplode(F.arrays_zip("ids", "texts", "n_words")).alias("doc", "d")).select("shard", "doc", F.col("d.ids").alias("doc_id"), F.col("d.texts").alias("text_key"), F.col("d.n_words").cast("long").alias("n_words"))
+    tests, held, blocks = windows(items, item_id, item_text)
+    hits = index.sparkSession.createDataFrame([], HITS)
+    for b in range(blocks):
+        if own := tests.where(F.col("block") == b).select("window", "terms").collect():
+            hits = hits.unionByName(search(index, own, slack))
+    return index, base, hits, held
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", slack: int = 0) -> DataFrame:
+    """One row per document, item and window found in it: ``exact`` word positions where the window starts in the
+    document, and ``near`` ones of its rarest term where all terms stand together. A null item id is not listed."""
+    index, base, hits, held = _found(docs, items, doc_id, text, item_id, item_text, slack)
+    starts = index.select("shard", F.posexplode("n_words").alias("doc", "n")).withColumn("n", F.col("n") + 1)
+    before = Window.partitionBy("shard").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("shard", "doc", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("at"))
+    rows = hits.join(starts, ["shard", "doc"]).join(base.select("shard", "doc", "doc_id"), ["shard", "doc"]).join(held, "window")
+    here = lambda c: F.transform(c, lambda x: x - F.col("at")).alias(c)
+    return rows.select("doc_id", F.col("item").alias("item_id"), "window", F.col("n").alias("n_words"), here("exact"), here("near"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: words, hit words, items found, contaminated; ``text_key`` is the text's MD5."""
-    index = build_index(docs, doc_id, text)
-    base = index.select("shard", F.posexplode(F.arrays_zip("ids", "texts", "n_words")).alias("doc", "d")).select("shard", "doc", F.col("d.ids").alias("doc_id"), F.col("d.texts").alias("text_key"), F.col("d.n_words").cast("long").alias("n_words"))
-    hits = None
-    for block in windows(items, item_id, item_text):
-        own = search(index, block)
-        hits = own if hits is None else hits.unionByName(own)
+    _, base, hits, held = _found(docs, items, doc_id, text, item_id, item_text)
     none = F.array().cast("array<string>")
-    if hits is None:
-        hits = index.sparkSession.createDataFrame([], HITS)
-    hits = hits.groupBy("shard", "doc").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("near")))).cast("long").alias("n_near"))
+    runs = hits.where(F.size("exact") > 0).groupBy("shard", "doc").agg(F.array_sort(F.flatten(F.collect_list(F.expr("transform(exact, x -> struct(x AS starts, x + n AS ends))")))).alias("runs"))
     covered = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")),
                           lambda a, r: F.struct((a.n + F.greatest(F.lit(0), r.ends - F.greatest(a.end, r.starts))).alias("n"), F.greatest(a.end, r.ends).alias("end"))).n
-    hits = hits.select("shard", "doc", covered.alias("n_hit"), "items", "n_near")
-    listed = F.coalesce("items", none)
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return base.join(hits, ["shard", "doc"], "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    runs = runs.select("shard", "doc", covered.alias("n_hit"))
+    listed = hits.join(held, "window").groupBy("shard", "doc").agg(F.array_sort(F.collect_set(F.when(F.size("exact") > 0, F.col("item")))).alias("items"), F.count_distinct("item").alias("n_near"))
+    items_of, n_hit = F.coalesce("items", none), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return base.join(runs, ["shard", "doc"], "left").join(listed, ["shard", "doc"], "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "text_key")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return decontaminate(read("documents"), read("benchmark")).drop("text_key", "n_near")
+    return settled(lambda: decontaminate(read("documents"), read("benchmark")).drop("text_key", "n_near"), "op10")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

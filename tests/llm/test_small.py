@@ -420,10 +420,15 @@ def test_decontamination_small(spark, edge, empty):
     docs = spark.createDataFrame([(1, "a one two three four five six seven eight nine ten, b"), (2, "x"), (3, "y X-y x"), (4, "z z z"), (5, None), (6, "ten nine eight seven six five four three two one")], "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated, r.n_near) for r in decontam.decontaminate(docs, items).collect()}
     assert got == {1: (12, 10, 1, True, 1), 2: (1, 0, 0, False, 0), 3: (4, 2, 1, True, 1), 4: (3, 3, 0, True, 0), 5: (0, 0, 0, False, 0), 6: (10, 0, 0, False, 1)}
+    ends = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y q x")], "doc_id long, text string").coalesce(1)
+    rows = {(r.doc_id, r.item_id): (r.exact, r.near) for r in decontam.matches(ends, items, slack=1).collect()}
+    assert rows == {(3, "2"): ([], [2])} or rows == {(3, "2"): ([], [0])}
+    (row,) = [r for r in decontam.matches(docs, items).collect() if r.doc_id == 3]
+    assert (row.item_id, row.exact, row.n_words) == ("2", [1], 2)
     assert decontam.decontaminate(edge, items).count() == edge.count() and decontam.decontaminate(empty, items).count() == 0
     assert not decontam.decontaminate(docs, items.limit(0)).where("contaminated").count()
-    blocks = list(decontam.windows(items, block=1))
-    assert len(blocks) == 4
+    tests, held, blocks = decontam.windows(items, block=1)
+    assert blocks == tests.count() == 4 and sorted(r.item for r in held.collect()) == ["1", "1", "2"]
     assert decontam.stage(spark, edge, SF).columns == edge.columns
 
 
