@@ -1,10 +1,10 @@
 """Operator 4, token counts: unigram segmentation with dynamic programming shared along a trie.
 
-A text's pre-tokens are its maximal runs of non-blank characters, each with the piece marker in front. The
-distinct pre-tokens of a batch are inserted in a trie, and walking it depth first computes the forward
-score of a prefix (the best segmentation's log-probability and its number of tokens) once for all
-pre-tokens that share it; the terminal node stores the count. A text's count is the sum over its
-pre-tokens.
+A text's pre-tokens are its maximal runs of non-blank characters, each with the piece marker in front. A worker
+inserts the distinct pre-tokens in a trie, whose nodes hold the forward score of their prefix (the best
+segmentation's log-probability and its number of tokens): it is computed once, when the first pre-token that
+has the prefix comes, and shared by all others. The terminal node's count is stored by pre-token, and a
+text's count is the sum over its pre-tokens. The trie and the counts outlive a task and start anew beyond a size.
 
 The pieces are those of a public tokenizer file, whose scores are ranks; a piece of rank r has
 log-probability -ln(r + 2) - ``PIECE_COST``. A character in no piece costs one token for each of its UTF-8
@@ -17,14 +17,15 @@ pre-token of any length is handled whole.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK, PIECE_COST, BYTE_SCORE = "▁", 2.0, -14.0
-#: Distinct pre-tokens whose counts a task keeps.
-CACHE = 400_000
+#: Distinct pre-tokens whose counts a worker keeps, nodes of its trie, and characters beyond which a pre-token is not inserted.
+CACHE, NODES, LONG = 500_000, 500_000, 200
 
 
 def pieces(model_path: str) -> dict[str, float]:
@@ -37,71 +38,82 @@ def pieces(model_path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Pre-tokens by shared prefix; ``count_all`` fills the terminal counts."""
+    """Pre-tokens by shared prefix. A node is a dict of its children, with (score, minus tokens) of its prefix under ``""``."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.root: dict = {}
-
-    def insert(self, word: str) -> None:
-        node = self.root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[""] = None
-
-    def count_all(self) -> dict[str, int]:
-        """Tokens of every inserted word: one forward step for each trie node, in depth-first order."""
-        found, path, best = {}, [], [(0.0, 0)]
-        stack = [iter(self.root.items())]
-        while stack:
-            c, child = next(stack[-1], (None, None))
-            if c is None:
-                stack.pop()
-                if path:
-                    path.pop()
-                    best.pop()
-                continue
-            if c == "":
-                found["".join(path)] = -best[-1][1]
-                continue
-            path.append(c)
-            best.append(self._step(path, best))
-            stack.append(iter(child.items()))
-        return found
-
-    def _step(self, path: list[str], best: list[tuple[float, int]]) -> tuple[float, int]:
-        """(score, minus tokens) of the best segmentation of the path, from those of its prefixes."""
-        n = len(path)
-        size = len(path[-1].encode("utf-8", "replace"))
-        top = (best[n - 1][0] + BYTE_SCORE * size, best[n - 1][1] - size)
-        tail = ""
-        for k in range(n - 1, max(-1, n - 1 - self.longest), -1):
-            tail = path[k] + tail
-            score = self.scores.get(tail)
-            if score is not None:
-                top = max(top, (best[k][0] + score, best[k][1] - 1))
+        self.nodes = 0
+
+    def count(self, word: str) -> int:
+        """Tokens of a word, which is inserted unless it is very long."""
+        if len(word) > LONG:
+            return self._alone(word)
+        if self.nodes > NODES:
+            self.root, self.nodes = {}, 0
+        node, best = self.root, [(0.0, 0)]
+        for n, c in enumerate(word, 1):
+            child = node.get(c)
+            if child is None:
+                child = node[c] = {"": self._step(word, n, best, 0)}
+                self.nodes += 1
+            best.append(child[""])
+            node = child
+        return -best[-1][1]
+
+    def _step(self, word: str, n: int, best: list[tuple[float, int]], first: int) -> tuple[float, int]:
+        """(score, minus tokens) of the best segmentation of the first n characters; ``best[0]`` is that of the first ``first``."""
+        size = len(word[n - 1].encode("utf-8", "replace"))
+        score, tokens = best[n - 1 - first]
+        top, get = (score + BYTE_SCORE * size, tokens - size), self.scores.get
+        for k in range(max(first, n - self.longest), n):
+            own = get(word[k:n])
+            if own is not None:
+                score, tokens = best[k - first]
+                top = max(top, (score + own, tokens - 1))
         return top
 
+    def _alone(self, word: str) -> int:
+        """The same for one word, with the scores of the last prefixes only."""
+        best, first = [(0.0, 0)], 0
+        for n in range(1, len(word) + 1):
+            best.append(self._step(word, n, best, first))
+            if len(best) > 2 * self.longest + 2:
+                first += len(best) - self.longest - 1
+                best = best[-self.longest - 1 :]
+        return -best[-1][1]
+
+
+class Counts(dict):
+    """Pre-token -> tokens, computed on first use."""
+
+    def __init__(self, scores: dict[str, float]):
+        super().__init__()
+        self.trie = Trie(scores)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = n = self.trie.count(MARK + word)
+        return n
+
+
+@lru_cache(1)
+def _counts(model_path: str) -> Counts:
+    return Counts(pieces(model_path))
+
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", n_words: str = "n_pretokens", n_tokens: str = "n_tokens") -> DataFrame:
     """``docs`` without its text, with the number of pre-tokens and tokens."""
     kept = [c for c in docs.columns if c not in (text, n_words, n_tokens)]
 
     def run(batches):
-        scores, known = pieces(model_path), {}
+        get = _counts(model_path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 words = [(t or "").split() for t in part.column(part.num_columns - 1).to_pylist()]
-                new = {w for own in words for w in own if w not in known}
-                if len(known) + len(new) > CACHE:
-                    known, new = {}, {w for own in words for w in own}
-                trie = Trie(scores)
-                for w in sorted(new):
-                    trie.insert(MARK + w)
-                known.update((w[1:], n) for w, n in trie.count_all().items())
-                get = known.__getitem__
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(own) for own in words], pa.int64()), pa.array([sum(map(get, own)) for own in words], pa.int64())], names=[*(f"c{i}" for i in range(len(kept))), "w", "n"])
 
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("t"))

@@ -166,9 +166,34 @@ def test_token_counts_equal_plain_dynamic_programming(spark):
     rng = random.Random(3)
     words = {"▁" + "".join(rng.choices("abcd", k=rng.randint(0, 9))) for _ in range(300)}
     trie = tokencount.Trie(scores)
-    for w in words:
-        trie.insert(w)
-    assert trie.count_all() == {w: plain(w) for w in words}
+    assert {w: trie.count(w) for w in words} == {w: plain(w) for w in words} and trie.nodes < sum(map(len, words))
+    long = "▁" + "".join(rng.choices("abcé", k=900))
+    assert trie.count(long) == plain(long)
+
+
+def test_token_counts_of_documents(spark):
+    """The query's rows against the plain dynamic program over the real pieces, word by word."""
+    import public_tokenizers
+
+    scores = tokencount.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    longest, known = max(map(len, scores)), {}
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for n in range(1, len(word) + 1):
+            size = len(word[n - 1].encode())
+            ways = [(best[n - 1][0] + tokencount.BYTE_SCORE * size, best[n - 1][1] - size)]
+            ways += [(best[k][0] + scores[word[k:n]], best[k][1] - 1) for k in range(max(0, n - longest), n) if word[k:n] in scores]
+            best.append(max(ways))
+        return -best[-1][1]
+
+    got = {r.doc_id: r for r in tokencount.op4_token_counts(spark, SF).collect()}
+    for r in documents(spark).collect():
+        words = (r.text or "").split()
+        for w in words:
+            if w not in known:
+                known[w] = plain("▁" + w)
+        assert (got[r.doc_id].n_pretokens, got[r.doc_id].n_tokens) == (len(words), sum(known[w] for w in words))
 
 
 def test_token_count_edges(spark, edge, empty):
