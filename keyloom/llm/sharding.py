@@ -26,7 +26,7 @@ from keyloom.llm.common import dropped, scratch, settled, written
 
 SHARDS, OLD_SHARDS, ROW_BYTES = 40, 40, 16
 #: Bytes of a block on average, and the fewest blocks of an old shard.
-BLOCK_BYTES, BLOCKS = 256 << 20, 16
+BLOCK_BYTES, BLOCKS = 256 << 20, 256
 
 
 class Plan(NamedTuple):

@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import dropped, mix, settled, signed, utf8, written
 
 #: Bytes of a match, batches of the query, windows of an aligned block, runs of one value that meet in one task.
-LENGTH, BATCHES, BLOCK, GROUP = 400, 4, 16, 2048
+LENGTH, BATCHES, BLOCK, GROUP = 400, 4, 16, 512
 #: A repeated passage for training data: at least so many words, found by strings of so many bytes.
 PASSAGE_WORDS, PASSAGE = 50, 240
 #: Bytes of runs whose windows are compared at once.
@@ -283,7 +284,7 @@ def _matching(lengths: tuple[int, ...]):
             if not part.num_rows:
                 continue
             value, chunk = (part.column(i).to_numpy() for i in range(2))
-            weight = np.cumsum(pa.compute.binary_length(part.column(7)).to_numpy())
+            weight = np.cumsum(pc.binary_length(part.column(7)).to_numpy())
             starts = np.flatnonzero(np.append((value[0], chunk[0]) != last, (value[1:] != value[:-1]) | (chunk[1:] != chunk[:-1])))
             done = 0
             for s in starts.tolist():
