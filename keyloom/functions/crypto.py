@@ -22,6 +22,7 @@ FAMILY_LITE = (
     ("ml-kem", "ml-kem"), ("ml-dsa", "ml-dsa"), ("slh-dsa", "slh-dsa"), ("ecdsa", "ecdsa"), ("ecdh", "ecdh"), ("ecc", "ecc"), ("rsa", "rsa"),
     ("dsa", "dsa"), ("dh", "dh"),
 )
+# Families by posture, their replacements, weights and ranks.
 BROKEN = ("des", "3des", "rc4", "md5", "md4")
 VULNERABLE = ("rsa", "ecdsa", "ecdh", "ecc", "dh", "dsa")
 SAFE = ("aes", "sha256", "sha384", "sha512", "sha3-256", "sha3-384", "sha3-512", "ml-kem", "ml-dsa", "slh-dsa")
@@ -71,7 +72,7 @@ def quantum_priority(status: Column, primitive: Column) -> Column:
 
 
 def engine_severity(level: Column) -> Column:
-    return lookup(F.upper(F.trim(level)), {"ERROR": "high", "WARNING": "medium", "INFO": "info"}, "medium")
+    return lookup(F.upper(F.trim(level)), {"ERROR": "high", "WARNING": "medium"}, "info")
 
 
 def clean_rule_id(rule_id: Column) -> Column:
@@ -83,8 +84,10 @@ def display_name(rule_id: Column, languages: str = "python|java|go|javascript|ko
 
 
 def protocol_type(name: Column) -> Column:
+    """A protocol's type in the document format; an empty name stays empty."""
+    # The types that the format knows.
     low = F.lower(F.trim(name))
-    return F.when(low == "ssl", "tls").when(low.isin("tls", "ssh", "ipsec", "ike", "sstp", "wpa"), low).otherwise("other")
+    return F.when((name == "") | (low == ""), "").when(low == "ssl", "tls").when(low.isin("tls", "ssh", "ipsec", "ike", "sstp", "wpa", "dtls", "quic", "eap-aka", "eap-aka-prime", "prins", "5g-aka", "other", "unknown"), low).otherwise("other")
 
 
 def sarif_level(severity: Column) -> Column:

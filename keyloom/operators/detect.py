@@ -11,14 +11,14 @@ from keyloom.functions.crypto import lookup
 #: Where an ASCII word ends; ``\b`` would treat letters beyond ASCII as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
-# Algorithm names looked for, with the severity and category of a hit.
+# Algorithm names looked for: pattern, name, family, primitive, quantum readiness. The first ten are weak.
 ALGORITHM_NAMES = (
-    ("MD5", "medium", "security"), ("MD4", "medium", "security"), ("SHA-?1", "medium", "security"), ("DES", "medium", "security"), ("3DES", "medium", "security"), ("RC4", "medium", "security"),
-    ("RC2", "medium", "security"), ("Blowfish", "medium", "security"), ("AES-?(?:128|192|256)", "info", "inventory"), ("SHA-?(?:256|384|512)", "info", "inventory"), ("RSA-?(?:2048|3072|4096)", "info", "inventory"), ("ChaCha20", "info", "inventory"),
-    ("TripleDES", "medium", "security"), ("SSLv3", "medium", "security"), (r"TLSv1\.0", "medium", "security"), (r"TLSv1\.1", "medium", "security"),
+    (r"MD5", "MD5", "md5", "hash", "broken"), (r"SHA-?1", "SHA-1", "sha", "hash", "quantum-vulnerable"), (r"DES", "DES", "des", "block-cipher", "broken"), (r"3DES", "3DES", "des", "block-cipher", "quantum-vulnerable"),
+    (r"TripleDES", "TripleDES", "des", "block-cipher", "quantum-vulnerable"), (r"RC4", "RC4", "rc4", "stream-cipher", "broken"), (r"Blowfish", "Blowfish", "blowfish", "block-cipher", "quantum-vulnerable"),
+    (r"SSLv3", "SSLv3", "ssl", "protocol", "broken"), (r"TLSv1\.0", "TLSv1.0", "tls", "protocol", "broken"), (r"TLSv1\.1", "TLSv1.1", "tls", "protocol", "broken"),
+    (r"SHA-?256", "SHA-256", "sha", "hash", "quantum-safe"), (r"AES-?128", "AES-128", "aes", "block-cipher", "quantum-safe"), (r"AES-?256", "AES-256", "aes", "block-cipher", "quantum-safe"), (r"RSA", "RSA", "rsa", "pke", "quantum-vulnerable"),
 )
-#: The same with RSA of any or no size, as in the reference, which also finds it in PEM headers.
-ALL_NAMES = tuple(("RSA(?:-?(?:2048|3072|4096))?", *rest) if name.startswith("RSA") else (name, *rest) for name, *rest in ALGORITHM_NAMES)
+WEAK_NAMES = 10
 PEM_HEADERS = (("-----BEGIN RSA PRIVATE KEY-----", "high"), ("-----BEGIN EC PRIVATE KEY-----", "high"), ("-----BEGIN PRIVATE KEY-----", "high"), ("-----BEGIN ENCRYPTED PRIVATE KEY-----", "medium"), ("-----BEGIN PUBLIC KEY-----", "info"))
 # Library -> package name and version banner.
 LIBRARY_BANNERS = {
@@ -68,12 +68,28 @@ def matches(lines: DataFrame, pattern: str, prefilter: Column | None = None) ->
     return rows.where(F.col("text").rlike(pattern)).select("path", "line", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("nth", "token"))
 
 
-def scan_algorithm_names(lines: DataFrame, names=ALGORITHM_NAMES) -> DataFrame:
-    out = None
-    for name, severity, category in names:
-        own = matches(lines, LEFT + name + RIGHT).select("path", "line", "nth", "token", F.lit(severity).alias("severity"), F.lit(category).alias("category"))
-        out = own if out is None else out.unionByName(own)
-    return out
+def tokens(lines: DataFrame, pattern: str) -> DataFrame:
+    """Every match of a pattern whose matches take whole runs: its place in the line, start column in bytes, and the text on its sides."""
+    rows = lines.where(F.col("text").rlike(pattern)).withColumns({"t": F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)), "s": F.split("text", pattern)})
+    rows = rows.select("*", F.posexplode("t").alias("nth", "token"))
+    bytes_of = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, x: a + F.octet_length(x))
+    before = F.concat(F.when(F.col("nth") > 0, F.get("t", F.col("nth") - 1)).otherwise(F.lit("")), F.get("s", F.col("nth")))
+    start = bytes_of("s", F.col("nth") + 1) + bytes_of("t", F.col("nth")) + 1
+    return rows.select(*lines.columns, "nth", "token", start.alias("col"), before.alias("before"), F.get("s", F.col("nth") + 1).alias("after"))
+
+
+def scan_algorithm_names(lines: DataFrame) -> DataFrame:
+    """Every algorithm name that stands as a word, with what is known of it."""
+    rows = matches(lines, LEFT + "(?:" + "|".join(n[0] for n in ALGORITHM_NAMES) + ")" + RIGHT)
+    known = None
+    for i, (pattern, name, family, primitive, readiness) in reversed(list(enumerate(ALGORITHM_NAMES))):
+        weak = i < WEAK_NAMES
+        own = F.struct(*(F.lit(v).alias(k) for k, v in {
+            "name": name, "family": family, "primitive": primitive, "quantum_status": readiness, "severity": "medium" if weak else "info", "category": "security" if weak else "inventory",
+            "asset_type": "protocol" if primitive == "protocol" else "algorithm", "rule_id": "cbom-regex-algo-" + name.lower().replace(".", "")}.items()))
+        hit = F.col("token").rlike(f"^{pattern}$")
+        known = F.when(hit, own) if known is None else F.when(hit, own).otherwise(known)
+    return rows.select("path", "line", "nth", "token", known.alias("k")).select("path", "line", "nth", "token", "k.*")
 
 
 def scan_pem_headers(lines: DataFrame) -> DataFrame:
@@ -85,10 +101,11 @@ def scan_pem_headers(lines: DataFrame) -> DataFrame:
 
 
 def mark_pem_blocks(lines: DataFrame) -> DataFrame:
-    """``inside``: the last marker strictly before the line is BEGIN."""
-    marker = F.when(F.contains("text", F.lit("-----BEGIN ")), True).when(F.contains("text", F.lit("-----END ")), False)
+    """``inside``: the last marker strictly before the line begins a block. A line that does both begins one only
+    outside of a block, which no real file has."""
+    begins, ends = (F.col("text").rlike(f"-----{x} [A-Z0-9 ]+-----") for x in ("BEGIN", "END"))
     w = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return lines.withColumn("inside", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit(False)))
+    return lines.withColumn("inside", F.coalesce(F.last(F.when(begins, True).when(ends, False), ignorenulls=True).over(w), F.lit(False)))
 
 
 def cert_blocks(files: DataFrame) -> DataFrame:
@@ -99,33 +116,45 @@ def cert_blocks(files: DataFrame) -> DataFrame:
 
 
 def _key_lines(lines: DataFrame, pattern: str) -> DataFrame:
-    """Lines with a match outside closed PEM blocks and commit lines; only these and the markers are sorted."""
-    begin, end = (F.contains("text", F.lit(f"-----{x} ")) for x in ("BEGIN", "END"))
-    rows = mark_pem_blocks(lines.where(begin | end | F.col("text").rlike(pattern)))
-    after = W.partitionBy("path").orderBy("line").rowsBetween(0, W.unboundedFollowing)
-    rows = rows.withColumn("inside", F.col("inside") & F.max(end).over(after))
-    return rows.where(~F.col("inside") & ~F.contains("text", F.lit("commit ")) & ~F.contains("text", F.lit("Commit:")))
+    """Lines with a match outside of PEM blocks and commit lines; only these and the markers are sorted."""
+    rows = mark_pem_blocks(lines.where(F.col("text").rlike(f"-----(?:BEGIN|END) [A-Z0-9 ]+-----|{pattern}")))
+    return rows.where(~F.col("inside") & ~F.contains("text", F.lit("commit ")) & ~F.contains("text", F.lit("Commit:"))).drop("inside")
 
 
 def scan_hex_keys(lines: DataFrame) -> DataFrame:
     """Runs of 32 or more hex digits; commit lines, PEM blocks, 32 digits beside a hyphen and 40 in a line that speaks
     of a commit don't count. Size is four bits a digit."""
-    digit = "[0-9a-fA-F]"
-    pattern = f"(?<!{digit})(?!(?<=-){digit}{{32}}(?!{digit}))(?!{digit}{{32}}-){digit}{{32,}}"
-    commit = F.lower("text").rlike("commit|revision|rev |sha:")
-    out = matches(_key_lines(lines, pattern), pattern).where(~((F.length("token") == 40) & commit))
-    return out.select("path", "line", "nth", "token", (F.length("token") * 4).alias("bits"))
+    pattern = "[0-9a-fA-F]{32,}"
+    out = tokens(_key_lines(lines, pattern), pattern)
+    uuid = (F.length("token") == 32) & (F.endswith("before", F.lit("-")) | F.startswith("after", F.lit("-")))
+    commit = (F.length("token") == 40) & F.lower("text").rlike("commit|revision|rev |sha:")
+    return out.where(~uuid & ~commit).select("path", "line", "col", "token", (F.length("token") * 4).alias("bits"))
 
 
 def scan_base64_keys(lines: DataFrame) -> DataFrame:
-    """Runs of 40 or more base64 characters; commit lines, PEM blocks and integrity digests don't count."""
-    pattern = r"(?<!(?i:sha(?:256|384|512))-)(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}"
-    return matches(_key_lines(lines, pattern), pattern).select("path", "line", "nth", "token")
+    """Runs of 40 or more base64 characters; commit lines, PEM blocks, integrity digests and certificates don't count.
+    A token of 200 or more is a certificate if it decodes to the start of a DER sequence with a two-byte length, or of a PEM block."""
+    pattern = "[A-Za-z0-9+/]{40,}={0,2}"
+    out = tokens(_key_lines(lines, pattern), pattern)
+    digest = F.lower("before").rlike("sha(?:256|384|512)-$")
+    certificate = (F.length("token") >= 200) & (F.startswith("token", F.lit("MII")) | F.startswith("token", F.lit("LS0tLS1CRUdJTiBDRVJUSUZJQ0FURS0tLS0t")))
+    return out.where(~digest & ~certificate).select("path", "line", "col", "token")
+
+
+# Values that are no secret, and what encloses a template.
+FLAGS = ("true", "false", "yes", "no", "0", "1", "null", "none", "nil")
+PLACEHOLDERS = ("changeme", "change_me", "change-me", "placeholder", "todo", "tbd", "fixme", "xxx", "xxxx", "xxxxx", "secret", "password", "secretkey", "apikey", "token", "example", "sample", "test", "dummy", "fake", "foo", "bar", "baz", "***", "****", "*****", "redacted")
+TEMPLATES = (("${", "}"), ("{{", "}}"), ("%", "%"), ("<", ">"), ("[", "]"), ("{", "}"))
 
 
 def is_boring(value: Column) -> Column:
-    low = F.lower(F.trim(value))
-    return (F.length(low) < 4) | low.isin("true", "false", "null", "none", "changeme", "example", "placeholder") | low.rlike(r"^\d+$") | low.rlike(r"^(\$\{.*\}|<.*>|\{\{.*\}\}|your[_-].*[_-]here)$")
+    """Flags, placeholders, templates and values of fewer than four bytes, in one pair of quotes or none."""
+    core = F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
+    low = F.lower(core)
+    wrapped = F.lit(False)
+    for left, right in TEMPLATES:
+        wrapped |= core.startswith(left) & core.endswith(right) & (F.length(core) > len(left) + len(right))
+    return low.isin(*FLAGS, *PLACEHOLDERS) | wrapped | (low.rlike("^your[_-]") & low.rlike("[_-]here$")) | (F.octet_length(core) < 4)
 
 
 def scan_assignments(lines: DataFrame, key: str = r"(?i)(?:secret|token|password|passwd|api_?key|private_?key)") -> DataFrame:
@@ -177,7 +206,8 @@ def propagate_constants(lines: DataFrame) -> DataFrame:
     return rows.groupBy("path", "name").agg(F.max_by("value", "line").alias("value"))
 
 
-WEAK_CIPHERS = ("RC4", "DES-CBC", "DES-CBC3", "NULL", "EXPORT", "MD5", "aNULL", "eNULL")
+# Weak cipher names.
+WEAK_CIPHERS = ("RC4", "RC4-SHA", "RC4-MD5", "DES", "DES-CBC-SHA", "DES-CBC3-SHA", "3DES", "NULL", "NULL-SHA", "NULL-MD5", "EXP", "EXPORT", "EXPORT40", "EXPORT56", "aNULL", "eNULL", "SEED", "IDEA", "MD5")
 
 
 def scan_tls_config(lines: DataFrame) -> DataFrame:
@@ -187,8 +217,7 @@ def scan_tls_config(lines: DataFrame) -> DataFrame:
     protocols = protocols.where(~F.startswith("token", F.lit("-"))).withColumn("token", F.regexp_replace("token", r"^\+", ""))
     level = F.when(F.upper("token").isin("SSLV2", "SSLV3"), "critical").when(F.upper("token").isin("TLSV1", "TLSV1.0", "TLSV1.1"), "high").otherwise("info")
     ciphers = lines.where(low.rlike(r"^(ssl_ciphers|sslciphersuite)\s")).select("path", "line", F.explode(F.split(F.regexp_replace(F.trim("text"), r"(?i)^\S+\s+|[\"';]", ""), ":")).alias("token"))
-    weak = F.array(*map(F.lit, WEAK_CIPHERS))
-    bad = ciphers.where(~F.startswith("token", F.lit("!")) & F.exists(weak, lambda w: F.contains(F.col("token"), w)))
+    bad = ciphers.where(F.col("token").isin(*WEAK_CIPHERS))
     return protocols.select("path", "line", "token", level.alias("severity")).unionByName(bad.select("path", "line", "token", F.lit("high").alias("severity")))
 
 

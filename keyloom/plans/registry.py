@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions import crypto as X
+from keyloom.functions import normalise as N
 from keyloom.operators import detect, drift, frameworks, links, policy, portfolio
 from keyloom.sources import adapters as A
 from keyloom.sources import documents as D
@@ -348,10 +349,10 @@ def links_scoreboard(spark, d):
 # --- normalisation ------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT finding_id, family, {_LITE} AS family_lite, posture, CASE posture WHEN 'broken' THEN 'critical' WHEN 'vulnerable' THEN 'medium' ELSE 'info' END AS inferred FROM fp")
+@query(f"SELECT finding_id, family, {_LITE} AS family_lite, posture, CASE WHEN family IN ('md5', 'sha1', 'des', '3des', 'rc4') THEN 'critical' WHEN family IN ('rsa', 'ecdsa', 'ecdh', 'dsa', 'dh') THEN 'medium' ELSE 'info' END AS inferred FROM fp")
 def norm_families(spark, d):
     f = portfolio.with_posture(A.findings(spark, d))
-    return f.select("finding_id", "family", X.algorithm_family(F.col("name"), table=X.FAMILY_LITE).alias("family_lite"), "posture", X.posture_severity(F.col("posture")).alias("inferred"))
+    return f.select("finding_id", "family", X.algorithm_family(F.col("name"), table=X.FAMILY_LITE).alias("family_lite"), "posture", X.posture_severity(N.infer_posture(F.col("family"))).alias("inferred"))
 
 
 @query("""SELECT finding_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 30 WHEN 'medium' THEN 15 ELSE 5 END AS effort,
@@ -383,33 +384,12 @@ def detect_lines(spark, d):
     return detect.explode_lines(corpus(spark, d)).groupBy("path").agg(F.count("*").alias("lines"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query(_LINES + "SELECT path, line, i - 1 AS nth, t[i] AS token, len(t[i]) * 4 AS bits FROM (SELECT path, line, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT path, line, regexp_extract_all(text, '[0-9a-fA-F]{32,}') AS t FROM lines WHERE NOT contains(text, 'commit ') AND NOT contains(text, 'Commit:')))", plain=True)
-def detect_hex_keys(spark, d):
-    out = detect.scan_hex_keys(detect.explode_lines(corpus(spark, d)))
-    return out.select("path", F.col("line").cast("long").alias("line"), F.col("nth").cast("long").alias("nth"), "token", F.col("bits").cast("long").alias("bits"))
-
-
 @query(_LINES + "SELECT path, line, lower(regexp_extract(text, p, 1)) AS key, regexp_extract(text, p, 2) AS value FROM lines, (SELECT '((?i:secret|token|password|passwd|api_?key|private_?key)[A-Za-z0-9_]*)\\s*[=:]\\s*[\"'']?([^\"''\\s]+)' AS p) WHERE regexp_matches(text, p) AND length(regexp_extract(text, p, 2)) >= 4 AND NOT regexp_matches(regexp_extract(text, p, 2), '^\\d+$')", plain=True)
 def detect_assignments(spark, d):
     out = detect.scan_assignments(detect.explode_lines(corpus(spark, d)))
     return out.select("path", F.col("line").cast("long").alias("line"), "key", "value")
 
 
-@query()
-def detect_base64_keys(spark, d):
-    return detect.scan_base64_keys(detect.explode_lines(corpus(spark, d)))
-
-
-def _names_sql() -> str:
-    one = "SELECT path, line, i - 1 AS nth, t[i] AS token, '{}' AS severity, '{}' AS category FROM (SELECT path, line, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT path, line, regexp_extract_all(text, '\\b(?:{})\\b') AS t FROM lines))"
-    return _LINES + " UNION ALL ".join(one.format(severity, category, name) for name, severity, category in detect.ALL_NAMES)
-
-
-@query(_names_sql(), plain=True)
-def detect_algorithm_names(spark, d):
-    return detect.scan_algorithm_names(detect.explode_lines(corpus(spark, d)), detect.ALL_NAMES)
-
-
 _BANNERS = ("OpenSSL 3.0.", "LibreSSL 3.9.", "BoringSSL ", "mbedTLS 2.28.", "NSS 3.", "OpenSSL ")
 
 
@@ -465,16 +445,13 @@ def detect_java_security(spark, d):
     return detect.java_security_findings(part.select(F.concat(F.col("p_partkey").cast("string"), F.lit("/java.security")).alias("path"), F.concat_ws("\n", *lines).alias("content")))
 
 
-@query(r"SELECT doc_id, sha256('r-1:' || source || ':' || trim(regexp_replace(regexp_replace(regexp_replace(text, '\"[^\"]*\"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '#|//|/\*') AND NOT regexp_matches(text, '[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]')", plain=True)
+@query(r"""SELECT doc_id, sha256('r-1:' || coalesce(source, '') || ':' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)/\*.*?\*/', '', 'g'), '(?://|#)[^\n]*', '', 'g'), '"[^"]*"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents""", plain=True)
 def fingerprint_documents(spark, d):
-    docs = A.table(spark, d, "documents").where(~F.col("text").rlike(r"#|//|/\*") & ~F.col("text").rlike(r"[0-9][^\x00-\x7F]|[^\x00-\x7F][0-9]"))
+    docs = A.table(spark, d, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "text")))
     return docs.select("doc_id", detect.fingerprint(F.lit("r-1"), F.col("source"), F.col("text")).alias("fingerprint"))
 
 
-@query(r"""SELECT doc_id, sha256('r-1:' || coalesce(source, '') || ':' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)/\*.*?\*/', '', 'g'), '(?://|#)[^\n]*', '', 'g'), '"[^"]*"|''[^'']*''', 'STR', 'g'), '\b[0-9]+\b', 'NUM', 'g'), '\s+', ' ', 'g'))) AS fingerprint FROM documents""", plain=True)
-def fingerprint_all_documents(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "text")))
-    return docs.select("doc_id", detect.fingerprint(F.lit("r-1"), F.col("source"), F.col("text")).alias("fingerprint"))
+QUERIES["fingerprint_all_documents"], ORACLE["fingerprint_all_documents"] = fingerprint_documents, ORACLE["fingerprint_documents"]
 
 
 @query("SELECT scan_id, finding_id, rule_id, CAST(dense_rank() OVER (PARTITION BY scan_id ORDER BY s, i) - 1 AS INTEGER) AS rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level FROM (SELECT *, min(seq) OVER w AS s, first_value(finding_id) OVER (PARTITION BY scan_id, rule_id ORDER BY seq, finding_id) AS i FROM findings WINDOW w AS (PARTITION BY scan_id, rule_id))")

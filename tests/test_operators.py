@@ -60,7 +60,7 @@ def test_pem_state_marks_lines_between(spark):
 
 def test_detectors(spark):
     src = lines(spark, 'x = hashlib.md5("MD5")\nMD5é and xMD5\n-----BEGIN RSA PRIVATE KEY-----\ncommit ' + "a" * 40 + "\n" + "b" * 32)
-    assert sorted((r.line, r.token) for r in detect.scan_algorithm_names(src).collect()) == [(1, "MD5"), (2, "MD5")]
+    assert sorted((r.line, r.token) for r in detect.scan_algorithm_names(src).collect()) == [(1, "MD5"), (2, "MD5"), (3, "RSA")]
     assert [r.material for r in detect.scan_pem_headers(src).collect()] == ["RSA PRIVATE KEY"]
     assert [r.bits for r in detect.scan_hex_keys(src).collect()] == [128]
 
@@ -74,8 +74,9 @@ def test_fingerprints_leave_comments_of_all_lines_out(spark):
 
 def test_names_of_the_reference(spark):
     names = ["MD5", "SHA-1", "SHA1", "DES", "3DES", "TripleDES", "RC4", "Blowfish", "SSLv3", "TLSv1.0", "TLSv1.1", "SHA-256", "AES-128", "AES256", "RSA", "RSA-2048"]
-    got = detect.scan_algorithm_names(lines(spark, "\n".join(names) + "\nTLSv1x0 RSAx"), detect.ALL_NAMES).orderBy("line").collect()
-    assert [(r.line, r.token) for r in got] == [(i + 1, x) for i, x in enumerate(names)]
+    got = detect.scan_algorithm_names(lines(spark, "\n".join(names) + "\nTLSv1x0 RSAx")).orderBy("line").collect()
+    assert [(r.line, r.token) for r in got] == [(i + 1, x.removesuffix("-2048")) for i, x in enumerate(names)]
+    assert [r.name for r in got[:3]] == ["MD5", "SHA-1", "SHA-1"] and got[-1].quantum_status == "quantum-vulnerable" and got[-1].category == "inventory"
 
 
 def test_keys_leave_pem_blocks_ids_and_digests_out(spark):
@@ -206,3 +207,12 @@ def test_rule_delta_sends_changes_once(spark, tmp_path):
     add([(1, 1, 14)])
     run()
     assert sent == [3, 2, 1]
+
+
+def test_boring_values(spark):
+    from keyloom.operators.detect import is_boring
+
+    boring = ["true", "0", "ChangeMe", "your_here", "your-api_key-here", "${X}", "{{x}}", "%x%", "<a b>", "[R]", '""', "'secret'", "abc", "***"]
+    real = ["abcd", "ifChangemeQ7", "${X}y", "your_key", "\"it's\""]
+    df = spark.createDataFrame([(v, v in boring) for v in boring + real], "v string, b boolean")
+    assert df.where(is_boring(F.col("v")) != F.col("b")).collect() == []

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from keyloom.plans import registry
@@ -19,7 +20,7 @@ def db():
 
 
 def rows(df):
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(map(repr, ([plain(v) for v in r] for r in df[sorted(df.columns)].astype(object).values.tolist())))
 
 
