@@ -115,14 +115,14 @@ def pqc_lagging(findings: DataFrame, n: int = 10) -> DataFrame:
     return by.where("vulnerable > 0").select("*", X.rounded_percent(F.col("vulnerable"), F.col("total"), 2).alias("vulnerable_pct")).orderBy(F.desc("vulnerable_pct"), "project_id").limit(n)
 
 
-def hndl_risk(findings: DataFrame, projects: DataFrame, year: int, deadline: int = 2035, horizon: int = 15) -> DataFrame:
+def hndl_risk(findings: DataFrame, projects: DataFrame, year: int, deadline: int = 2035, horizon: int = 15, places: int = 4) -> DataFrame:
     """Harvest-now-decrypt-later risk: sensitivity times exposure times time factor; Mosca's inequality."""
     exposure = X.lookup(F.col("posture"), {"safe": 0.0, "unknown": 0.5}, 1.0)
     by = with_posture(findings).groupBy("project_id").agg((F.max(exposure) * 0.7 + F.avg(exposure) * 0.3).alias("exposure"))
     sensitivity = X.lookup(F.col("classification"), {"public": 0.1, "internal": 0.4, "confidential": 0.7, "restricted": 1.0}, 0.4)
     shelf = X.lookup(F.col("classification"), {"public": 1, "internal": 5, "confidential": 15, "restricted": 25}, 5)
     factor = min(1.0, max(0.0, 1 - max(0, deadline - year) / horizon))
-    return by.join(projects, "project_id").select("project_id", "classification", F.bround("exposure", 4).alias("exposure"), F.bround(sensitivity * F.col("exposure") * factor, 4).alias("risk"), (shelf + 3 > max(0, deadline - year)).alias("mosca"))
+    return by.join(projects, "project_id").select("project_id", "classification", F.bround("exposure", places).alias("exposure"), F.bround(sensitivity * F.col("exposure") * factor, places).alias("risk"), (shelf + 3 > max(0, deadline - year)).alias("mosca"))
 
 
 def step(value, steps: list[tuple[float, float]], last: float):
@@ -133,20 +133,6 @@ def step(value, steps: list[tuple[float, float]], last: float):
     return out
 
 
-def agility(findings: DataFrame) -> DataFrame:
-    """Call-site concentration, algorithm diversity and migration readiness of each project with the composite of them."""
-    replaceable = F.col("family").isin(*X.MIGRATION, *X.SAFE)
-    by = with_family(findings).groupBy("project_id").agg(F.countDistinct("file").alias("files"), F.countDistinct(F.when(F.col("family") != "unknown", F.col("family"))).alias("algorithms"),
-                                                         F.count_if(replaceable).alias("replaceable"), F.count_if(F.col("family") != "unknown").alias("classified"))
-    share = F.try_divide(F.col("replaceable"), F.col("classified"))
-    ready = F.when(F.col("classified") == 0, 100.0).when(share >= 1, 100.0).when(share >= 0.75, 75.0).when(share >= 0.5, 50.0).when(share >= 0.25, 25.0).otherwise(0.0)
-    out = by.select("project_id", "files", "algorithms", step(F.col("files"), [(3, 100.0), (10, 75.0), (25, 50.0), (50, 25.0)], 0.0).alias("concentration"),
-                    step(F.col("algorithms"), [(2, 100.0), (5, 75.0), (10, 50.0), (20, 25.0)], 0.0).alias("diversity"), ready.alias("readiness"))
-    score = F.bround(F.col("concentration") * 0.2 + F.lit(0.0) * 0.25 + F.col("diversity") * 0.15 + F.lit(100.0) * 0.2 + F.col("readiness") * 0.2, 1)
-    out = out.withColumn("score", score)
-    return out.withColumn("label", F.when(F.col("score") >= 80, "Highly Agile").when(F.col("score") >= 60, "Moderately Agile").when(F.col("score") >= 40, "Limited Agility").otherwise("Rigid"))
-
-
 def heatmap(findings: DataFrame, projects: DataFrame) -> DataFrame:
     by = findings.groupBy("project_id").agg(*severity_counts())
     return projects.select("project_id").join(by, "project_id", "left").na.fill(0)

@@ -112,12 +112,7 @@ def risk_pqc_lagging(spark, d):
 
 @query()
 def risk_hndl(spark, d):
-    return portfolio.hndl_risk(A.findings(spark, d), A.projects(spark, d), YEAR)
-
-
-@query()
-def risk_agility(spark, d):
-    return portfolio.agility(A.findings(spark, d))
+    return portfolio.hndl_risk(A.findings(spark, d), A.projects(spark, d), YEAR, places=8)
 
 
 @query("""SELECT 'severity' AS dimension, severity AS value, count(*) AS n FROM fp GROUP BY severity UNION ALL SELECT 'posture', posture, count(*) FROM fp GROUP BY posture UNION ALL SELECT 'asset_type', asset_type, count(*) FROM fp GROUP BY asset_type UNION ALL SELECT 'family', family, count(*) FROM fp GROUP BY family""")
