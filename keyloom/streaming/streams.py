@@ -22,9 +22,18 @@ def daily(observations: DataFrame, late: str = "1 day") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("tls_version").isin("1.2", "1.3")).alias("compliant")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "service_name", "n", "compliant")
 
 
-def latest(observations: DataFrame) -> DataFrame:
-    """Latest TLS version per service, in update mode."""
-    return observations.groupBy("project_id", "service_name").agg(F.max_by("tls_version", F.struct("observed_at", "event_id")).alias("tls_version"))
+def latest(observations: DataFrame, late: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """Latest TLS version per service and span of event time, in update mode. A span's state ends with the watermark, so
+    what is kept doesn't grow with time; :func:`merge_latest` joins the spans."""
+    rows = observations.withWatermark("observed_at", late).groupBy(F.window("observed_at", span), "project_id", "service_name")
+    newest = F.max(F.struct("observed_at", "event_id", "tls_version")).alias("o")
+    return rows.agg(newest).select("project_id", "service_name", "o.observed_at", "o.event_id", "o.tls_version")
+
+
+def merge_latest(states: DataFrame) -> DataFrame:
+    """One row per service: the newest of all its spans."""
+    newest = F.max(F.struct("observed_at", "event_id", "tls_version")).alias("o")
+    return states.groupBy("project_id", "service_name").agg(newest).select("project_id", "service_name", "o.observed_at", "o.event_id", "o.tls_version")
 
 
 def alerts(events: DataFrame, prefs: DataFrame) -> DataFrame:
@@ -32,14 +41,36 @@ def alerts(events: DataFrame, prefs: DataFrame) -> DataFrame:
     return fan_out(events, prefs)
 
 
-def progress(messages: DataFrame) -> DataFrame:
-    """Latest progress of every scan, in update mode."""
-    return messages.groupBy("scan_id").agg(F.max_by("percent", F.struct("ts", "percent")).alias("percent"))
+def progress(messages: DataFrame, late: str = "1 hour", span: str = "1 day") -> DataFrame:
+    """Latest progress of every scan and span of event time, in update mode; a span's state ends with the watermark."""
+    rows = messages.withWatermark("ts", late).groupBy(F.window("ts", span), "scan_id")
+    return rows.agg(F.max(F.struct("ts", "percent")).alias("p")).select("scan_id", "p.ts", "p.percent")
+
+
+def _batches(spark, path: str) -> list[int]:
+    """Numbers of the batches whose results lie under a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def lifecycle(uploads: DataFrame, folder: str):
+    """Writer that matches every batch of an upload stream with the findings of the batch before and keeps, by batch number,
+    the findings (``findings/batch=N``) and the changes of state (``history/batch=N``). A batch that runs again reads the same
+    findings and replaces what it wrote."""
 
+    def match(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in _batches(spark, f"{folder}/findings") if n < i]
+        schema = "project_id long, fingerprint string, status string, reopen_count int"
+        existing = spark.read.schema(schema).parquet(f"{folder}/findings/batch={before[-1]}") if before else spark.createDataFrame([], schema)
+        found = match_findings(existing, batch.select("project_id", "fingerprint"))
+        changes = found.join(existing.select("project_id", "fingerprint", F.col("status").alias("old_status")), ["project_id", "fingerprint"], "left").where("NOT next_status <=> old_status")
+        changes.select("project_id", "fingerprint", "old_status", F.col("next_status").alias("new_status")).write.mode("overwrite").parquet(f"{folder}/history/batch={i}")
+        found.select("project_id", "fingerprint", F.col("next_status").alias("status"), F.col("reopen_count").cast("int").alias("reopen_count")).write.mode("overwrite").parquet(f"{folder}/findings/batch={i}")
 
-def lifecycle(uploads: DataFrame, existing, store):
-    """Writer that matches every upload with the stored findings; ``existing()`` reads them and ``store(df, batch)`` keeps the result."""
-    return uploads.writeStream.foreachBatch(lambda batch, i: store(match_findings(existing(), batch), i))
+    return uploads.writeStream.foreachBatch(match)
 
 
 def rule_delta(rules: DataFrame, org_id, since, store):
@@ -49,6 +80,10 @@ def rule_delta(rules: DataFrame, org_id, since, store):
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what there is and stop."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Process what there is and stop. Modes that a file sink lacks write each batch into a folder of its own."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"))
+    writer.start().awaitTermination()
