@@ -83,7 +83,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, filled on first use; forgets everything beyond ``limit`` words."""
 
-    limit = 1_000_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -33,7 +33,7 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 BLOCK_ROWS, BLOCK_TOKENS = 4096, 8_000_000
 END_ID = 1
 #: Distinct runs that a worker keeps.
-_CACHE = 600_000
+_CACHE = 250_000
 # The tokenizer's pre-token pattern (and line ends), and the characters for which this pattern is used here.
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n").findall
 _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u024f]*").fullmatch

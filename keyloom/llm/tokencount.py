@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK, PIECE_COST, BYTE_SCORE = "▁", 2.0, -14.0
 #: Distinct pre-tokens whose counts a worker keeps, nodes of its trie, and characters beyond which a pre-token is not inserted.
-CACHE, NODES, LONG = 500_000, 500_000, 200
+CACHE, NODES, LONG = 300_000, 400_000, 200
 
 
 def pieces(model_path: str) -> dict[str, float]:
