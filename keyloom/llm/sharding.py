@@ -30,11 +30,13 @@ BLOCK_BYTES, BLOCKS = 256 << 20, 256
 
 
 class Plan(NamedTuple):
-    """``rows`` (doc_id, size, text_crc32, old, block, shard, slot); blocks of each old shard; new shard of each whole (old, block)."""
+    """``rows`` (doc_id, size, text_crc32, old, block, shard, slot); blocks of each old shard; new shard of each whole (old, block);
+    files of a new shard."""
 
     rows: DataFrame
     blocks: dict[int, int]
     homes: DataFrame
+    files: int
 
     def block(self, doc_id: str, crc: str, old: str) -> Column:
         return _block(self.blocks, doc_id, crc, old)
@@ -119,7 +121,7 @@ def reshard(rows: DataFrame, shards: int = SHARDS, block_bytes: int = BLOCK_BYTE
         used[r.shard] = used.get(r.shard, 0) + r.n
     shift = spark.createDataFrame(first, "shard int, old int, shift long")
     placed = placed.join(F.broadcast(shift), ["shard", "old"]).select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
-    return Plan(placed, blocks, spark.createDataFrame(homes, "old int, block int, shard int"))
+    return Plan(placed, blocks, spark.createDataFrame(homes, "old int, block int, shard int"), max(1, -(-max(room) // block_bytes)))
 
 
 def sizes(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,8 +166,7 @@ def rewrite(docs: DataFrame, old: Column, plan: Plan, path: str, doc_id: str = "
     new = whole.unionByName(_met(split, to, _ROW).select(*kept, "_keyloom_shard")).withColumnRenamed("_keyloom_shard", "shard")
     if not fresh:
         new = written(new, "shards")
-    parts = max(1, min(8, sum(plan.blocks.values()) // 64))
-    dealt = new.repartition("shard", F.pmod(F.xxhash64(doc_id), F.lit(parts)))
+    dealt = new.repartition("shard", F.pmod(F.xxhash64(doc_id), F.lit(plan.files)))
     dealt.write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     if not fresh:
         left = {r.shard for r in new.select("shard").distinct().collect()}
