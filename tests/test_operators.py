@@ -159,8 +159,26 @@ def test_messages_and_progress_of_streams(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, trigger string, title string, user_ids array<long>").parquet(str(tmp_path / "in"))
     streams.run_available(streams.alerts(stream, prefs), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted((r.event_id, r.user_id, r.subject) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1, "[CRITICAL] t"), (2, 1, "[INFO] u")]
-    seen = spark.createDataFrame([(1, 10, 1), (1, 60, 3), (1, 30, 2)], "scan_id long, percent int, ts long")
-    assert [tuple(r) for r in streams.progress(seen).collect()] == [(1, 60)]
+    seen = spark.createDataFrame([(1, 10, 1), (1, 60, 3), (1, 30, 2)], "scan_id long, percent int, s long").select("scan_id", "percent", F.timestamp_seconds("s").alias("ts"))
+    assert [(r.scan_id, r.percent) for r in streams.progress(seen).collect()] == [(1, 60)]
+
+
+def test_lifecycle_keeps_history_and_repeats_a_batch(spark, tmp_path):
+    """Two uploads: what is gone is resolved, what comes back reopens; history holds the changes of each batch."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    stream = spark.readStream.schema("project_id long, fingerprint string").parquet(str(source))
+
+    def upload(*names):
+        spark.createDataFrame([(1, n) for n in names], "project_id long, fingerprint string").coalesce(1).write.mode("append").parquet(str(source))
+        streams.lifecycle(stream, out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    for names in (("a", "b"), ("b",), ("a", "b")):
+        upload(*names)
+    state = lambda n: {r.fingerprint: (r.status, r.reopen_count) for r in spark.read.parquet(f"{out}/findings/batch={n}").collect()}
+    assert (state(0), state(1), state(2)) == ({"a": ("open", 0), "b": ("open", 0)}, {"a": ("resolved", 0), "b": ("open", 0)}, {"a": ("open", 1), "b": ("open", 0)})
+    changes = [sorted(tuple(r)[1:] for r in spark.read.parquet(f"{out}/history/batch={n}").collect()) for n in range(3)]
+    assert changes == [[("a", None, "open"), ("b", None, "open")], [("a", "open", "resolved")], [("a", "resolved", "open")]]
 
 
 def test_cra_gaps_name_families_and_sizes(spark):
