@@ -168,7 +168,7 @@ def scan_assignments(lines: DataFrame, key: str = r"(?i)(?:secret|token|password
 def scan_wrappers(lines: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Calls of stated wrapper functions, once per (line, wrapper): call tokens meet the table in an equi-join."""
     calls = lines.where(F.contains("text", F.lit("("))).select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("wrapper"))
-    return calls.join(F.broadcast(wrappers), "wrapper")
+    return calls.join(wrappers, "wrapper")
 
 
 CALLS = (

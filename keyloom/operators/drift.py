@@ -88,7 +88,3 @@ def colocation(findings: DataFrame) -> DataFrame:
     """Links between consecutive findings of a file."""
     w = W.partitionBy("project_id", "file").orderBy("line", "finding_id")
     return findings.select("project_id", "file", F.col("finding_id").alias("source"), F.lead("finding_id").over(w).alias("target")).where("target IS NOT NULL")
-
-
-def lead_links(findings: DataFrame) -> DataFrame:
-    return colocation(findings).groupBy("project_id").agg(F.count("*").alias("links"), F.countDistinct("file").alias("files"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import crypto as X
 from keyloom.operators.portfolio import with_posture
 
-RULES = "rule string, severity string, action string, deny_algorithms array<string>, deny_posture array<string>, min_key_size int, algorithm string, min_severity string"
+RULES = "rule string, severity string, action string, deny_algorithms array<string>, deny_posture array<string>, min_key_size int, algorithm string, min_severity string, deny_modes array<string>, deny_tls_versions array<string>"
+#: More rules than this are refused: they become one expression of the plan.
+MAX_RULES = 1000
 DEFAULT_RULES = (
     ("no-broken", "critical", "fail", None, ["broken"], None, None, None),
     ("no-legacy-hash", "high", "fail", ["md5", "sha1"], None, None, None, None),
@@ -19,15 +23,39 @@ DEFAULT_RULES = (
 
 
 def rules(spark: SparkSession, rows=DEFAULT_RULES) -> DataFrame:
-    return spark.createDataFrame(list(rows), RULES)
+    width = len(RULES.split(", "))
+    return spark.createDataFrame([(*r, *[None] * (width - len(r))) for r in rows], RULES)
+
+
+def _holds(rule, columns: list[str]):
+    """Whether any condition of a rule holds; the finding's mode and protocol version count where it has them."""
+    low = lambda values: [v.lower() for v in values]
+    checks = [F.lit(False)]
+    if rule.deny_algorithms:
+        checks.append(F.lower("family").isin(low(rule.deny_algorithms)))
+    if rule.deny_posture:
+        checks.append(F.lower("posture").isin(low(rule.deny_posture)))
+    if rule.min_key_size and rule.algorithm:
+        checks.append((F.lower("family") == rule.algorithm.lower()) & (F.col("key_size") > 0) & (F.col("key_size") < rule.min_key_size))
+    if rule.min_severity:
+        checks.append(X.severity_rank(F.col("severity")) >= X.SEVERITY_RANK.get(rule.min_severity.lower(), 99))
+    if rule.deny_modes and "mode" in columns:
+        checks.append(F.lower("mode").isin(low(rule.deny_modes)))
+    if rule.deny_tls_versions and "protocol_version" in columns:
+        checks.append(F.col("protocol_version").isin(list(rule.deny_tls_versions)))
+    return F.greatest(*(F.coalesce(c, F.lit(False)) for c in checks), F.lit(False))
 
 
 def violations(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """(finding, rule) for every rule with a condition that holds. Rules are a small stated set, so they are broadcast."""
-    r = F.broadcast(rules.withColumnRenamed("severity", "rule_severity"))
-    no = F.lit(False)
-    checks = [F.coalesce(c, no) for c in (F.array_contains("deny_algorithms", F.col("family")), F.array_contains("deny_posture", F.col("posture")), (F.col("family") == F.col("algorithm")) & (F.col("key_size") < F.col("min_key_size")), X.severity_rank(F.col("severity")) >= X.lookup(F.col("min_severity"), X.SEVERITY_RANK))]
-    return with_posture(findings).join(r, checks[0] | checks[1] | checks[2] | checks[3])
+    """(finding, rule) for every rule with a condition that holds. The rules, ``MAX_RULES`` at most, become one array of
+    conditions, so findings are read once and nothing is joined."""
+    stated = rules.limit(MAX_RULES + 1).collect()
+    if len(stated) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    rows = with_posture(findings)
+    hit = lambda r: F.when(_holds(r, rows.columns), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("rule_severity"), F.lit(r.action).alias("action")))
+    hits = F.array_compact(F.array(*map(hit, stated))) if stated else F.array().cast("array<struct<rule:string,rule_severity:string,action:string>>")
+    return rows.select("*", F.inline(hits))
 
 
 def evaluate(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,8 +89,11 @@ def drop_reason(category, enabled, maturity, allowed=(), disabled=(), mode: str
 
 def group_subtree(spark: SparkSession, groups: DataFrame, root: int) -> DataFrame:
     """The root and all its descendants."""
-    groups.createOrReplaceTempView("_keyloom_groups")
-    return spark.sql(f"WITH RECURSIVE t AS (SELECT group_id, 0 AS depth FROM _keyloom_groups WHERE group_id = {int(root)} UNION ALL SELECT g.group_id, t.depth + 1 FROM _keyloom_groups g JOIN t ON g.parent_group_id = t.group_id) SELECT group_id, depth FROM t")
+    view = f"_keyloom_groups_{uuid.uuid4().hex}"
+    groups.createOrReplaceTempView(view)
+    out = spark.sql(f"WITH RECURSIVE t AS (SELECT group_id, 0 AS depth FROM {view} WHERE group_id = {int(root)} UNION ALL SELECT g.group_id, t.depth + 1 FROM {view} g JOIN t ON g.parent_group_id = t.group_id) SELECT group_id, depth FROM t")
+    spark.catalog.dropTempView(view)
+    return out
 
 
 def search(findings: DataFrame, text: str, severity: str | None = None) -> DataFrame:

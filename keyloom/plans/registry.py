@@ -462,7 +462,8 @@ def portfolio_cbom_documents(spark, d):
 @query("SELECT project_id, count(*) AS n, CAST(dense_rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS place FROM findings GROUP BY 1 QUALIFY place <= 5")
 def portfolio_ranked(spark, d):
     by = A.findings(spark, d).groupBy("project_id").agg(F.count("*").alias("n"))
-    return by.withColumn("place", F.dense_rank().over(W.orderBy(F.desc("n")))).where("place <= 5")
+    top = by.select("n").distinct().orderBy(F.desc("n")).limit(5)  # five rows; only these are ranked
+    return by.join(top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n")))), "n").select("project_id", "n", "place")
 
 
 def _class_sql(framework: str) -> str:
