@@ -166,16 +166,38 @@ def scan_assignments(lines: DataFrame, key: str = r"(?i)(?:secret|token|password
 
 
 def scan_wrappers(lines: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """Calls of stated wrapper functions, once per (line, wrapper): call tokens meet the table in an equi-join."""
-    calls = lines.where(F.contains("text", F.lit("("))).select("path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))).alias("wrapper"))
-    return calls.join(wrappers, "wrapper")
-
-
+    """Calls of stated wrapper functions (wrapper, language, ...) by their full or last name, once per (line, wrapper), in
+    files of the wrapper's language: call tokens meet the table in an equi-join."""
+    name = r"([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)*)\("
+    calls = lines.where(F.contains("text", F.lit("("))).select("path", "line", language(F.col("path")).alias("language"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(name), F.lit(1)))).alias("call"))
+    last = lambda c: F.regexp_extract(c, r"([A-Za-z0-9_]+)$", 1)
+    table = wrappers.withColumn("short", last(F.col("wrapper")))
+    rows = calls.withColumn("short", last(F.col("call"))).join(table, ["language", "short"])
+    fits = (F.col("call") == F.col("wrapper")) | (F.col("call") == F.col("short")) | F.endswith("call", F.concat(F.lit("."), "wrapper")) | F.endswith("call", F.concat(F.lit("."), "short"))
+    return rows.where(fits).drop("short", "call").dropDuplicates(["path", "line", "wrapper"])
+
+
+#: Calls by language: token, primitive, family, severity. A user's own table has the same columns.
 CALLS = (
-    ("python", "hashlib.md5", "hash", "md5", "medium"), ("python", "hashlib.sha1", "hash", "sha1", "medium"), ("python", "hashlib.sha256", "hash", "sha256", "info"), ("python", "ssl.wrap_socket", "protocol", "tls", "medium"),
-    ("java", "MessageDigest.getInstance", "hash", "unknown", "info"), ("java", "Cipher.getInstance", "cipher", "unknown", "info"), ("go", "md5.New", "hash", "md5", "medium"), ("go", "sha1.New", "hash", "sha1", "medium"), ("go", "sha256.New", "hash", "sha256", "info"),
-    ("go", "aes.NewCipher", "cipher", "aes", "info"), ("go", "rsa.GenerateKey", "pke", "rsa", "info"), ("javascript", "crypto.createHash", "hash", "unknown", "info"), ("javascript", "crypto.createCipheriv", "cipher", "unknown", "info"), ("php", "openssl_encrypt", "cipher", "unknown", "info"),
-    ("php", "password_hash", "kdf", "bcrypt", "info"), ("ruby", "OpenSSL::Cipher.new", "cipher", "unknown", "info"), ("ruby", "Digest::MD5.hexdigest", "hash", "md5", "medium"), ("csharp", "MD5.Create", "hash", "md5", "medium"), ("rust", "Sha256::new", "hash", "sha256", "info"), ("c", "EVP_EncryptInit_ex", "cipher", "unknown", "info"),
+    ("python", "hashlib.md5", "hash", "md5", "medium"), ("python", "hashlib.sha1", "hash", "sha1", "medium"), ("python", "hashlib.sha256", "hash", "sha256", "info"), ("python", "hashlib.sha512", "hash", "sha512", "info"), ("python", "hashlib.new", "hash", "unknown", "info"),
+    ("python", "hashlib.pbkdf2_hmac", "kdf", "pbkdf2", "info"), ("python", "hmac.new", "mac", "hmac", "info"), ("python", "ssl.wrap_socket", "protocol", "tls", "medium"), ("python", "ssl.SSLContext", "protocol", "tls", "info"), ("python", "rsa.generate_private_key", "pke", "rsa", "info"),
+    ("python", "ec.generate_private_key", "signature", "ecc", "info"), ("python", "algorithms.AES", "block-cipher", "aes", "info"), ("python", "algorithms.TripleDES", "block-cipher", "3des", "medium"), ("python", "Fernet", "ae", "aes", "info"), ("python", "random.random", "drbg", "weak-random", "info"),
+    ("java", "MessageDigest.getInstance", "hash", "unknown", "info"), ("java", "Cipher.getInstance", "cipher", "unknown", "info"), ("java", "KeyPairGenerator.getInstance", "pke", "unknown", "info"), ("java", "KeyGenerator.getInstance", "block-cipher", "unknown", "info"), ("java", "Signature.getInstance", "signature", "unknown", "info"),
+    ("java", "Mac.getInstance", "mac", "unknown", "info"), ("java", "SSLContext.getInstance", "protocol", "tls", "info"), ("java", "SecretKeyFactory.getInstance", "kdf", "unknown", "info"),
+    ("kotlin", "MessageDigest.getInstance", "hash", "unknown", "info"), ("kotlin", "Cipher.getInstance", "cipher", "unknown", "info"), ("kotlin", "KeyPairGenerator.getInstance", "pke", "unknown", "info"), ("kotlin", "SSLContext.getInstance", "protocol", "tls", "info"),
+    ("go", "md5.New", "hash", "md5", "medium"), ("go", "md5.Sum", "hash", "md5", "medium"), ("go", "sha1.New", "hash", "sha1", "medium"), ("go", "sha256.New", "hash", "sha256", "info"), ("go", "sha256.Sum256", "hash", "sha256", "info"), ("go", "sha512.New", "hash", "sha512", "info"),
+    ("go", "aes.NewCipher", "block-cipher", "aes", "info"), ("go", "des.NewCipher", "block-cipher", "des", "medium"), ("go", "des.NewTripleDESCipher", "block-cipher", "3des", "medium"), ("go", "rc4.NewCipher", "stream-cipher", "rc4", "medium"), ("go", "rsa.GenerateKey", "pke", "rsa", "info"),
+    ("go", "ecdsa.GenerateKey", "signature", "ecdsa", "info"), ("go", "ed25519.GenerateKey", "signature", "ed25519", "info"), ("go", "hmac.New", "mac", "hmac", "info"),
+    ("javascript", "crypto.createHash", "hash", "unknown", "info"), ("javascript", "crypto.createCipheriv", "cipher", "unknown", "info"), ("javascript", "crypto.createHmac", "mac", "unknown", "info"), ("javascript", "crypto.generateKeyPair", "pke", "unknown", "info"), ("javascript", "crypto.pbkdf2", "kdf", "pbkdf2", "info"), ("javascript", "jwt.sign", "signature", "unknown", "info"),
+    ("typescript", "crypto.createHash", "hash", "unknown", "info"), ("typescript", "crypto.createCipheriv", "cipher", "unknown", "info"), ("typescript", "crypto.createHmac", "mac", "unknown", "info"),
+    ("php", "openssl_encrypt", "cipher", "unknown", "info"), ("php", "openssl_pkey_new", "pke", "unknown", "info"), ("php", "md5", "hash", "md5", "medium"), ("php", "sha1", "hash", "sha1", "medium"), ("php", "hash", "hash", "unknown", "info"), ("php", "password_hash", "kdf", "bcrypt", "info"), ("php", "mcrypt_encrypt", "cipher", "unknown", "medium"),
+    ("ruby", "OpenSSL::Cipher.new", "cipher", "unknown", "info"), ("ruby", "Digest::MD5.hexdigest", "hash", "md5", "medium"), ("ruby", "Digest::SHA256.hexdigest", "hash", "sha256", "info"), ("ruby", "OpenSSL::PKey::RSA.new", "pke", "rsa", "info"), ("ruby", "BCrypt::Password.create", "kdf", "bcrypt", "info"),
+    ("csharp", "MD5.Create", "hash", "md5", "medium"), ("csharp", "SHA1.Create", "hash", "sha1", "medium"), ("csharp", "SHA256.Create", "hash", "sha256", "info"), ("csharp", "Aes.Create", "block-cipher", "aes", "info"), ("csharp", "RSA.Create", "pke", "rsa", "info"), ("csharp", "TripleDES.Create", "block-cipher", "3des", "medium"),
+    ("rust", "Sha256::new", "hash", "sha256", "info"), ("rust", "Md5::new", "hash", "md5", "medium"), ("rust", "Aes256Gcm::new", "ae", "aes", "info"), ("rust", "digest::digest", "hash", "unknown", "info"), ("rust", "Rsa::generate", "pke", "rsa", "info"),
+    ("c", "EVP_EncryptInit_ex", "cipher", "unknown", "info"), ("c", "MD5_Init", "hash", "md5", "medium"), ("c", "SHA256_Init", "hash", "sha256", "info"), ("c", "RSA_generate_key_ex", "pke", "rsa", "info"), ("c", "AES_set_encrypt_key", "block-cipher", "aes", "info"), ("c", "SSL_CTX_new", "protocol", "tls", "info"),
+    ("cpp", "EVP_EncryptInit_ex", "cipher", "unknown", "info"), ("cpp", "MD5_Init", "hash", "md5", "medium"), ("cpp", "SHA256_Init", "hash", "sha256", "info"), ("cpp", "RSA_generate_key_ex", "pke", "rsa", "info"), ("cpp", "SSL_CTX_new", "protocol", "tls", "info"),
+    ("swift", "Insecure.MD5.hash", "hash", "md5", "medium"), ("swift", "SHA256.hash", "hash", "sha256", "info"), ("swift", "AES.GCM.seal", "ae", "aes", "info"), ("swift", "CC_MD5", "hash", "md5", "medium"), ("swift", "SecKeyCreateRandomKey", "pke", "unknown", "info"),
+    ("dart", "md5.convert", "hash", "md5", "medium"), ("dart", "sha256.convert", "hash", "sha256", "info"), ("dart", "Hmac", "mac", "hmac", "info"), ("dart", "AESEngine", "block-cipher", "aes", "info"),
 )
 
 
