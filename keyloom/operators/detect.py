@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,20 +36,62 @@ JAVA_WEAK = {"MD5": "high", "RC4": "high", "DES": "high", "3DES": "medium", "SSL
 JAVA_WEAK_TLS = {"TLSv1": "high", "TLSv1.1": "high"}
 KEY_MANAGERS = {"sunx509": "SunX509", "pkix": "PKIX", "x509": "X509", "newsunx509": "NewSunX509", "ibmx509": "IbmX509"}
 KEY_STORES = {"pkcs12": "PKCS12", "jks": "JKS", "jceks": "JCEKS", "bks": "BKS", "dks": "DKS"}
-SKIP_DIRS = ("node_modules", "vendor", ".git", "__pycache__", "dist", "build", "target")
+# Directories that are never scanned, those of build output, file names that are left out, and the size of a fast scan.
+VENDOR_DIRS = (".git", "node_modules", "vendor", ".venv", "venv", "site-packages", "bower_components", "Pods", "__pycache__", ".scannerwork", ".gradle", ".terraform", ".pytest_cache", ".idea", ".vscode")
+BUILD_DIRS = ("target", "build", "dist", "out", "bin", "obj")
+SKIP_GLOBS = ("*.min.js", "*.bundle.js", "*.map")
+FAST_BYTES = 100 * 1024
 LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".js": "javascript", ".ts": "typescript", ".kt": "kotlin", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".h": "c", ".swift": "swift", ".dart": "dart", ".txt": "text"}
 
 
-def drop_ignored(files: DataFrame, globs: tuple[str, ...] = ("*.min.js",)) -> DataFrame:
-    keep = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS)))
-    for g in globs:
-        keep &= ~F.col("path").rlike("(?:^|/)" + g.replace(".", r"\.").replace("*", "[^/]*") + "$")
-    return files.where(keep)
+def _glob(pattern: str) -> str:
+    """A glob as a pattern of the path's end: one with a slash starts at the root, ``**`` crosses directories, and one that ends in a slash takes all below."""
+    inner = pattern.strip("/")
+    out = "".join({"*": "[^/]*", "?": "[^/]", "\0": ".*"}.get(c, re.escape(c)) for c in inner.replace("**", "\0"))
+    return ("^" if "/" in inner else "(?:^|/)") + out + ("/" if pattern.endswith("/") else "(?:/|$)")
+
+
+def drop_ignored(files: DataFrame, globs: tuple[str, ...] = (), binaries: bool = False) -> DataFrame:
+    """Files outside of vendored directories (and of build output, unless ``binaries`` are wanted) that match no glob."""
+    folders = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
+    keep = ~F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS if binaries else VENDOR_DIRS + BUILD_DIRS)))
+    for g in (*SKIP_GLOBS, *globs):
+        keep &= ~F.col("path").rlike(_glob(g))
+    return files.where(F.coalesce(keep, F.lit(True)))
+
+
+def bound_corpus(files: DataFrame, max_size: int | None = None, fast: bool = False, only_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files within the size (a fast scan's is ``FAST_BYTES``) and, if given, among ``only_paths``; and one row with how many were ``skipped`` as too large."""
+    rows = files if only_paths is None else files.join(only_paths.select("path").distinct(), "path", "left_semi")
+    limit = min([x for x in (max_size, FAST_BYTES if fast else None) if x is not None], default=None)
+    if limit is None:
+        return rows, rows.agg(F.lit(0).cast("long").alias("skipped"))
+    return rows.where(F.col("size") <= limit), rows.agg(F.count_if(F.col("size") > limit).alias("skipped"))
+
+
+def drop_own_outputs(files: DataFrame) -> DataFrame:
+    """Files that are no reports of a scanner: no .sarif or .pdf, and no JSON that begins like an inventory or a SARIF log."""
+    low, start = F.lower("path"), F.substring("content", 1, 512)
+    has = lambda *parts: F.least(*(F.contains(start, F.encode(F.lit(x), "utf-8") if raw else F.lit(x)) for x in parts))
+    raw = files.schema["content"].dataType.simpleString() == "binary"
+    own = low.endswith(".json") & (has('"bomFormat"', '"CycloneDX"') | has('"$schema"', "sarif"))
+    return files.where(~(low.rlike(r"\.(?:sarif|pdf)$") | F.coalesce(own, F.lit(False))))
 
 
 def text_only(files: DataFrame) -> DataFrame:
-    """No NUL in the first 512 characters, no Markdown."""
-    return files.where(~F.contains(F.substring("content", 1, 512), F.lit("\0")) & ~F.lower("path").endswith(".md"))
+    """No NUL in the first 512 bytes, valid UTF-8 there (a character cut at the end doesn't count), no Markdown. Text content is valid."""
+    keep = ~F.lower("path").endswith(".md")
+    if files.schema["content"].dataType.simpleString() != "binary":
+        return files.where(keep & ~F.contains(F.substring("content", 1, 512), F.lit("\0")))
+    start = F.substring("content", 1, 512)
+    cut = F.length(start) == 512
+    valid = _valid(start) | (cut & (_valid(F.substr(start, F.lit(1), F.length(start) - 1)) | _valid(F.substr(start, F.lit(1), F.length(start) - 2)) | _valid(F.substr(start, F.lit(1), F.length(start) - 3))))
+    return files.where(keep & ~F.contains(start, F.unhex(F.lit("00"))) & valid)
+
+
+def _valid(data: Column) -> Column:
+    """Whether bytes are valid UTF-8."""
+    return F.is_valid_utf8(data.cast("string"))
 
 
 def language(path: Column) -> Column:

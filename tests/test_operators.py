@@ -235,3 +235,36 @@ def test_boring_values(spark):
     real = ["abcd", "ifChangemeQ7", "${X}y", "your_key", "\"it's\""]
     df = spark.createDataFrame([(v, v in boring) for v in boring + real], "v string, b boolean")
     assert df.where(is_boring(F.col("v")) != F.col("b")).collect() == []
+
+
+def test_corpus_filters(spark):
+    rows = [("src/a.py", b"x"), ("node_modules/a.py", b"x"), ("src/build", b"x"), ("build/x.o", b"x"), ("a/app.min.js", b"x"), ("docs/deep/n.txt", b"x"), ("gen/k/a.py", b"x"), ("r.json", b'{"bomFormat": "CycloneDX"}'), ("c.json", b'{"a": "sarif"}'), ("o.sarif", b"x")]
+    files = spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, size long, content binary")
+    paths = lambda df: sorted(r.path for r in df.collect())
+    assert paths(detect.drop_ignored(files, ("docs/**", "gen/"))) == ["c.json", "o.sarif", "r.json", "src/a.py", "src/build"]
+    assert "build/x.o" in paths(detect.drop_ignored(files, binaries=True)) and "node_modules/a.py" not in paths(detect.drop_ignored(files, binaries=True))
+    assert {"r.json", "o.sarif"}.isdisjoint(paths(detect.drop_own_outputs(files))) and "c.json" in paths(detect.drop_own_outputs(files))
+    kept, skipped = detect.bound_corpus(files, max_size=10, only_paths=files.where("path LIKE '%.json' OR path = 'src/a.py'").select("path"))
+    assert paths(kept) == ["src/a.py"] and skipped.first().skipped == 2
+    cut = "é".encode() * 300
+    texts = [("a.txt", b"ok"), ("b.txt", b"a\0b"), ("c.txt", b"\xff\xfe"), ("d.md", b"ok"), ("e.txt", b"x" + cut), ("f.txt", b"y" * 600 + b"\xff"), ("g.txt", b"")]
+    assert paths(detect.text_only(spark.createDataFrame(texts, "path string, content binary"))) == ["a.txt", "e.txt", "f.txt", "g.txt"]
+
+
+def test_paging_and_requests(spark):
+    from keyloom.operators import portal
+
+    rows = spark.range(60).withColumnRenamed("id", "k")
+    assert [(r.k, r.total) for r in portal.paginate(rows, ["k"], 3).collect()] == [(k, 60) for k in range(50, 60)]
+    assert portal.paginate(rows, ["k"], 9).count() == 0
+    requests = spark.createDataFrame([(1, "pending", 7, "false_positive", 10), (2, "pending", 8, "false_positive", 11), (3, "approved", 7, "risk_accepted", 12)], "request_id long, request_status string, requested_by long, request_type string, finding_id long")
+    decisions = spark.createDataFrame([(1, "approve", 7, "org_admin"), (2, "approve", 7, "org_admin"), (3, "reject", 7, "org_admin"), (4, "reject", 7, "org_admin")], "request_id long, decision string, actor long, role string")
+    outcome, history = portal.apply_request_decisions(requests, decisions, spark.createDataFrame([(11, "open")], "finding_id long, status string"))
+    assert {r.request_id: (r.error, r.status) for r in outcome.collect()} == {1: ("own request", "pending"), 2: (None, "approved"), 3: ("already approved", "approved"), 4: ("unknown request", None)}
+    assert [tuple(r) for r in history.collect()] == [(11, "open", "false_positive", "Approved false_positive request")]
+
+
+def test_policies_know_modes_and_versions(spark):
+    f = spark.createDataFrame([(1, 1, "AES", "low", None, "ECB", None), (2, 1, "TLS", "low", None, None, "tlsv1.0"), (3, 1, "TLS", "low", None, None, "TLSv1.0"), (4, 1, "RSA", "low", 0, None, None)], "finding_id int, project_id int, name string, severity string, key_size int, mode string, protocol_version string")
+    rules = policy.rules(spark, (("m", "low", "fail", None, None, None, None, None, ["ecb"], None), ("v", "low", "fail", None, None, None, None, None, None, ["TLSv1.0"]), ("s", "low", "fail", None, None, 2048, "RSA", None)))
+    assert sorted((r.finding_id, r.rule) for r in policy.violations(f, rules).collect()) == [(1, "m"), (3, "v")]
