@@ -87,6 +87,25 @@ def drop_reason(category, enabled, maturity, allowed=(), disabled=(), mode: str
     return F.when(~on, "default-off").when(F.lit(mode == "security") & (F.coalesce(category, F.lit("security")) == "inventory"), "category").when(off, "disabled").when(maturity == "deprecated", None)
 
 
+#: The asset types that a filter may name.
+ASSET_TYPES = ("algorithm", "protocol", "certificate", "related-crypto-material", "library")
+
+
+def filter_asset_types(findings: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of the types included (all if none is named) less those excluded; a type that doesn't exist is an error."""
+    named = lambda values: [v.strip().lower() for v in values if v.strip()]
+    if wrong := [v for v in named(include) + named(exclude) if v not in ASSET_TYPES]:
+        raise ValueError(f"no asset types: {', '.join(wrong)} (valid: {', '.join(sorted(ASSET_TYPES))})")
+    rows = findings.where(F.col("asset_type").isin(named(include))) if named(include) else findings
+    return rows.where(~F.col("asset_type").isin(named(exclude))) if named(exclude) else rows
+
+
+def lifecycle_stats(findings: DataFrame, reason: str = "drop_reason") -> DataFrame:
+    """Rows by drop reason (``kept`` if null), with the deprecated rule ids among them in order."""
+    old = F.when(F.col("maturity") == "deprecated", F.col("rule_id"))
+    return findings.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(old)), ",").alias("deprecated_rules"))
+
+
 def group_subtree(spark: SparkSession, groups: DataFrame, root: int) -> DataFrame:
     """The root and all its descendants."""
     view = f"_keyloom_groups_{uuid.uuid4().hex}"
@@ -96,11 +115,12 @@ def group_subtree(spark: SparkSession, groups: DataFrame, root: int) -> DataFram
     return out
 
 
-def search(findings: DataFrame, text: str, severity: str | None = None) -> DataFrame:
+def search(findings: DataFrame, text: str, severity: str | None = None, quantum_status: str | None = None) -> DataFrame:
     """Case-insensitive literal substring of name, file or rule."""
     low = text.lower()
     hit = F.lower("name").contains(low) | F.lower("file").contains(low) | F.lower("rule_id").contains(low)
-    return findings.where(hit if severity is None else hit & (F.col("severity") == severity))
+    hit = hit if severity is None else hit & (F.col("severity") == severity)
+    return findings.where(hit if quantum_status is None else hit & (F.col("quantum_status") == quantum_status))
 
 
 def fail_on(findings: DataFrame, threshold: str) -> DataFrame:

@@ -122,7 +122,10 @@ def hndl_risk(findings: DataFrame, projects: DataFrame, year: int, deadline: int
     sensitivity = X.lookup(F.col("classification"), {"public": 0.1, "internal": 0.4, "confidential": 0.7, "restricted": 1.0}, 0.4)
     shelf = X.lookup(F.col("classification"), {"public": 1, "internal": 5, "confidential": 15, "restricted": 25}, 5)
     factor = min(1.0, max(0.0, 1 - max(0, deadline - year) / horizon))
-    return by.join(projects, "project_id").select("project_id", "classification", F.bround("exposure", places).alias("exposure"), F.bround(sensitivity * F.col("exposure") * factor, places).alias("risk"), (shelf + 3 > max(0, deadline - year)).alias("mosca"))
+    risk = sensitivity * F.col("exposure") * factor
+    mosca = shelf + 3 > max(0, deadline - year)
+    urgency = F.when((risk >= 0.8) | (mosca & (F.col("exposure") > 0)), "URGENT").when(risk >= 0.5, "HIGH").when(risk >= 0.2, "MEDIUM").otherwise("LOW")
+    return by.join(projects, "project_id").select("project_id", "classification", F.bround("exposure", places).alias("exposure"), F.bround(risk, places).alias("risk"), mosca.alias("mosca"), urgency.alias("urgency"))
 
 
 def step(value, steps: list[tuple[float, float]], last: float):

@@ -242,8 +242,8 @@ def risk_agility(spark, d):
 
 _CLASS = lambda a, b, c, e: f"CASE classification WHEN 'public' THEN {a} WHEN 'internal' THEN {b} WHEN 'confidential' THEN {c} ELSE {e} END"
 _LEFT = max(0, 2035 - YEAR)
-ORACLE["risk_hndl"] = WITH + f"""SELECT project_id, classification, round_even(e, 8) AS exposure, round_even({_CLASS(0.1, 0.4, 0.7, 1.0)}::DOUBLE * e * {min(1.0, max(0.0, 1 - _LEFT / 15))!r}::DOUBLE, 8) AS risk, {_CLASS(1, 5, 15, 25)} + 3 > {_LEFT} AS mosca
-FROM (SELECT project_id, max(x) * 0.7::DOUBLE + avg(x) * 0.3::DOUBLE AS e FROM (SELECT project_id, CAST(CASE posture WHEN 'safe' THEN 0.0 WHEN 'unknown' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS x FROM fp) GROUP BY 1) JOIN projects USING (project_id)"""
+ORACLE["risk_hndl"] = WITH + f"""SELECT *, CASE WHEN risk >= 0.8 OR mosca AND exposure > 0 THEN 'URGENT' WHEN risk >= 0.5 THEN 'HIGH' WHEN risk >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS urgency FROM (SELECT project_id, classification, round_even(e, 8) AS exposure, round_even({_CLASS(0.1, 0.4, 0.7, 1.0)}::DOUBLE * e * {min(1.0, max(0.0, 1 - _LEFT / 15))!r}::DOUBLE, 8) AS risk, {_CLASS(1, 5, 15, 25)} + 3 > {_LEFT} AS mosca
+FROM (SELECT project_id, max(x) * 0.7::DOUBLE + avg(x) * 0.3::DOUBLE AS e FROM (SELECT project_id, CAST(CASE posture WHEN 'safe' THEN 0.0 WHEN 'unknown' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS x FROM fp) GROUP BY 1) JOIN projects USING (project_id))"""
 ORACLE["portfolio_cbom_documents"] = WITH + """SELECT scan_id, '{"bomFormat":"CycloneDX","specVersion":"1.7","version":1,"components":[' || string_agg('{"bom-ref":"' || finding_id || '","type":"cryptographic-asset","name":"' || name || '","evidence":{"occurrences":[{"location":"' || file || '","line":' || line || '}]},"properties":[{"name":"severity","value":"' || severity || '"}]}', ',' ORDER BY finding_id, name, file, line, severity) || ']}' AS value FROM findings GROUP BY 1"""
 _CONF = "CASE part % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
 ORACLE["drift_dedupe_passes"] = WITH + f"""SELECT f.finding_id, f.file, f.line, f.name, CASE WHEN takes AND r2 > r1 THEN c2 ELSE confidence END AS confidence, CASE WHEN takes AND r2 > r1 THEN s2 ELSE severity END AS severity, f.description

@@ -295,6 +295,12 @@ def filter_search(spark, d):
     return policy.search(A.findings(spark, d), "AES", "high").select("finding_id", "name", "file", "rule_id")
 
 
+@query("SELECT reason, count(*) AS n, coalesce(string_agg(DISTINCT CASE WHEN seq % 2 = 0 THEN rule_id END, ',' ORDER BY CASE WHEN seq % 2 = 0 THEN rule_id END), '') AS deprecated_rules FROM (SELECT *, CASE part % 3 WHEN 0 THEN 'category' WHEN 1 THEN 'disabled' ELSE 'kept' END AS reason FROM findings) GROUP BY 1")
+def filter_lifecycle_deprecated(spark, d):
+    f = A.findings(spark, d).withColumns({"drop_reason": F.when(F.col("part") % 3 == 0, "category").when(F.col("part") % 3 == 1, "disabled"), "maturity": F.when(F.col("seq") % 2 == 0, "deprecated").otherwise("stable")})
+    return policy.lifecycle_stats(f)
+
+
 @query("SELECT severity, count(*) AS n FROM findings WHERE severity IN ('critical', 'high') GROUP BY 1")
 def filter_fail_on(spark, d):
     return policy.fail_on(A.findings(spark, d), "high")
@@ -307,7 +313,7 @@ def filter_stale_projects(spark, d):
 
 @query("SELECT finding_id, asset_type FROM findings WHERE asset_type IN ('certificate', 'protocol')")
 def filter_asset_types(spark, d):
-    return A.findings(spark, d).where(F.col("asset_type").isin("certificate", "protocol")).select("finding_id", "asset_type")
+    return policy.filter_asset_types(A.findings(spark, d), ("Certificate ", "protocol", "algorithm"), ("algorithm",)).select("finding_id", "asset_type")
 
 
 @query("SELECT project_id, count(*) AS n FROM findings WHERE project_id IN (SELECT project_id FROM projects JOIN groups USING (group_id) WHERE org_id = 2) GROUP BY 1")
