@@ -37,8 +37,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 DF_BUCKETS, DF_ROWS = 1 << 18, 2
-#: Members of a bucket that are compared at once; a larger one is cut into groups of about half as many.
-TOGETHER = 2048
+#: Members of a bucket and shingles of theirs that are compared at once; a larger one is cut into groups of about half as many.
+TOGETHER, ELEMENTS = 2048, 2_000_000
 _TABLE = 1 << 16
 _CHUNK = 40_000
 _SEEN = 200_000
@@ -134,7 +134,7 @@ def _key(text: str):
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(tid, key, doc_id, bands) of every different text with words: its number, its MD5, the least doc_id of its copies. Written."""
+    """(tid, key, doc_id, size, bands) of every different text with words: its number, its MD5, the least doc_id of its copies, its shingles. Written."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         known, sampler, weight, seen = WordHashes(), WeightedSampler(), idf.value, set()
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             weights = np.concatenate([c for _, c in sets]) * weight[elements]
             keys = signed(sampler.bands(elements, weights.astype(np.float32), starts)).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(docs, pa.int64()), lists], names=["key", "doc_id", "bands"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(docs, pa.int64()), pa.array([len(e) for e, _ in sets], pa.int64()), lists], names=["key", "doc_id", "size", "bands"])
 
         ids, own, sets, size = [], [], [], 0
         for batch in batches:
@@ -166,8 +166,8 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
         if ids:
             yield emit(ids, own, sets)
 
-    out = docs.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, bands array<long>")
-    out = out.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    out = docs.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, size long, bands array<long>")
+    out = out.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     return written(out.select(F.monotonically_increasing_id().alias("tid"), "*"), "signatures")
 
 
@@ -178,9 +178,9 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Bucket members with their present class, of buckets that still hold several classes; ``n`` members each."""
-    now = members.join(classes, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("class"))
-    several = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y").select("bucket", "n")
+    """Bucket members with their present class, of buckets that still hold several classes; ``n`` members of ``sum`` shingles each."""
+    now = members.join(classes, "tid", "left").select("bucket", "tid", "size", F.coalesce("root", "tid").alias("class"))
+    several = now.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n"), F.sum("size").alias("sum")).where("x <> y").select("bucket", "n", "sum")
     return now.join(several, "bucket")
 
 
@@ -260,7 +260,7 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     idf = spark.sparkContext.broadcast(InverseFrequencies(n, df))
     rows = docs.select(_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     signs = signatures(rows, idf)
-    buckets = signs.select("tid", F.explode("bands").alias("bucket"))
+    buckets = signs.select("tid", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(buckets.join(shared, "bucket"), "members")
     wanted = members.select("tid").distinct().join(signs.select("tid", "key", "doc_id"), "tid")
@@ -277,11 +277,12 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
 
     classes = joined_by(verified(_star_pairs(_open(members, classes)).distinct(), sets, idf, similarity))
     left = written(_open(members, classes), "open")
-    small, large = left.where(F.col("n") <= TOGETHER), left.where(F.col("n") > TOGETHER)
+    fits = (F.col("n") <= TOGETHER) & (F.col("sum") <= ELEMENTS)
+    small, large = left.where(fits), left.where(~fits)
     if not small.isEmpty():
         classes = joined_by(_cross_links(small.withColumn("side", F.lit(0)), sets, idf, similarity))
     if not large.isEmpty():
-        large = _open(large.select("bucket", "tid"), classes)
+        large = _open(large.select("bucket", "tid", "size"), classes)
         classes = joined_by(_cross_links(_blocks(large), sets, idf, similarity))
     keys = signs.select("tid", "key")
     return classes.join(keys, "tid").join(keys.select(F.col("tid").alias("root"), F.col("key").alias("k")), "root").select("key", F.col("k").alias("root"))
@@ -342,13 +343,13 @@ def _cross_links(members: DataFrame, sets: DataFrame, idf, least: float) -> Data
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """Large buckets as blocks of two groups (``side`` 0 and 1) of about ``TOGETHER / 2`` members. The members outside
+    """Large buckets as blocks of two groups (``side`` 0 and 1) of about ``TOGETHER / 2`` members and ``ELEMENTS / 2`` shingles at most. The members outside
     the largest class make ``o`` groups, the others ``r``; each of the ``o`` meets itself, those after it and all ``r``."""
     half = max(TOGETHER // 2, 1)
-    sizes = large.groupBy("bucket", "class").agg(F.count("*").alias("k"))
-    groups = lambda n: F.ceil(n / half).cast("int")
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "class")).alias("top"), F.sum("k").alias("n"))
-    most = most.select("bucket", F.col("top.class").alias("top"), groups(F.col("n") - F.col("top.k")).alias("o"), groups(F.col("top.k")).alias("r"))
+    sizes = large.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
+    groups = lambda n, s: F.ceil(F.greatest(n / half, s / (ELEMENTS / 2))).cast("int")
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "s", "class")).alias("top"), F.sum("k").alias("n"), F.sum("s").alias("s"))
+    most = most.select("bucket", F.col("top.class").alias("top"), groups(F.col("n") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("o"), groups(F.col("top.k"), F.col("top.s")).alias("r"))
     outer = F.col("class") != F.col("top")
     rows = large.join(most, "bucket").withColumn("g", F.pmod(F.xxhash64("tid"), F.when(outer, F.col("o")).otherwise(F.col("r"))).cast("int"))
     rows = rows.withColumn("g", F.when(outer, F.col("g")).otherwise(F.col("g") + F.col("o")))

@@ -451,9 +451,11 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     assert max(Counter(bands.ravel().tolist()).values()) > 16 and len(set(root)) > 3
-    monkeypatch.setattr(neardup, "TOGETHER", 4)
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
-    assert got == dict(enumerate(root))
+    for name, value in (("TOGETHER", 4), ("ELEMENTS", 900)):
+        with monkeypatch.context() as m:
+            m.setattr(neardup, name, value)
+            got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+        assert got == dict(enumerate(root)), name
 
 
 def test_frequencies_of_shingles_stay_apart_in_full_tables():
