@@ -7,10 +7,8 @@ out of the texts, and documents that hold a benchmark window go. The last return
 
 from __future__ import annotations
 
-import uuid
-
 from keyloom.llm import decontam, langid, neardup, packing, suffixes
-from keyloom.llm.common import shared_dir
+from keyloom.llm.common import dropped, written
 
 STAGES = [
     ("language_id", langid.stage),
@@ -25,10 +23,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/keyloom-pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows; a stage's table is deleted once its successor's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
