@@ -71,7 +71,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
     def count(batches):
         known, sums, n = WordHashes(), np.zeros((DF_ROWS, DF_BUCKETS), np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in (x for at in range(0, batch.num_rows, 256) for x in batch.column(0).slice(at, 256).to_pylist()):
                 if t:
                     for own, b in zip(sums, _buckets(shingles(t, known)[0])):
                         np.add.at(own, b, 1)
@@ -148,8 +148,8 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(docs, pa.int64()), pa.array([len(e) for e, _ in sets], pa.int64()), lists], names=["key", "doc_id", "size", "bands"])
 
         ids, own, sets, size = [], [], [], 0
-        for batch in batches:
-            for tid, doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            for tid, doc, t in zip(*(part.column(i).to_pylist() for i in range(3))):
                 if not t or tid in seen:
                     continue
                 if len(seen) > _SEEN:
@@ -211,8 +211,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 found = [shingles(t, known) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()), pa.array([_packed(c) for _, c in found], pa.binary())], names=["tid", "elements", "counts"])
 
@@ -244,8 +244,10 @@ def verified(pairs: DataFrame, sets: DataFrame, idf, least: float) -> DataFrame:
     def run(batches):
         weight = idf.value
         for batch in batches:
-            a, b, *data = (c.to_pylist() for c in batch.columns)
-            near = [_similarity(x[:2], x[2:], weight) >= least for x in zip(*data)]
+            near = []
+            for at in range(0, batch.num_rows, 256):
+                near += [_similarity(x[:2], x[2:], weight) >= least for x in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns[2:]))]
+            a, b = (c.to_pylist() for c in batch.columns[:2])
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, near) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
 
     one = sets.select(F.col("tid").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))

@@ -200,7 +200,7 @@ def _ship(longest: int):
     """The bytes of the runs that a text sends to those of equal value."""
 
     def run(parts):
-        for part in parts:
+        for part in (p.slice(at, 128) for p in parts for at in range(0, p.num_rows, 128)):
             texts, numbers = part.column(0).cast(pa.binary()), part.column(1).to_numpy()
             ends, f = _list(part.column(2))
             data = []
@@ -378,7 +378,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(parts):
         kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        for part in parts:
+        for part in (p.slice(at, 256) for p in parts for at in range(0, p.num_rows, 256)):
             keys, texts, out = part.column(0).to_pylist(), part.column(1).cast(pa.binary()), []
             ends, f = _list(part.column(2))
             for i, key in enumerate(keys):
