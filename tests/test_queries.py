@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from keyloom.plans import registry
+from keyloom.plans import configs, normalising, portal, registry, rollups, streaming  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
