@@ -31,7 +31,7 @@ from keyloom.llm.common import WORD_BYTES, WordHashes, dropped, settled, utf8, w
 
 WINDOW = 10
 #: Words of one index shard, and test windows of one block.
-SHARD_WORDS, BLOCK_WINDOWS = 1_000_000, 50_000
+SHARD_WORDS, BLOCK_WINDOWS = 250_000, 50_000
 
 INDEX = "shard long, texts array<string>, ids array<long>, n_words array<int>, starts binary, terms binary, ends binary, positions binary"
 
@@ -107,10 +107,10 @@ def _matches(index, rows, lengths, slack: int):
     starts, stops, ends, positions, lists, there = index
     begins = np.concatenate([[0], ends[:-1]])
     length = np.where(there, ends[lists] - begins[lists], 0)
-    for w, (own, n) in enumerate(zip(rows, lengths)):
-        own = own[:n]
-        if not there[own].all():
-            continue
+    whole = (there[rows] | (np.arange(rows.shape[1]) >= lengths[:, None])).all(axis=1)
+    for w in np.flatnonzero(whole).tolist():
+        n = int(lengths[w])
+        own = rows[w][:n]
         order = np.argsort(length[own], kind="stable")
         rare = order[0]
         post = [positions[begins[k] : ends[k]] for k in lists[own]]
