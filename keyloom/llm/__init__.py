@@ -1 +1 @@
-"""Training-data operators: ten corpus jobs that share nothing with the rest of the library."""
+"""Training-data operators: thirteen corpus jobs that share nothing with the rest of the library."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontam, htmltext, langid, media, neardup, packing, sharding, suffixes, tokencount, urlfilter
+from keyloom.llm import codes, decontam, fim, htmltext, langid, linedup, media, neardup, packing, sharding, suffixes, tokencount, urlfilter
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,7 +22,15 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": langid.op9_language_id,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_line_dedup": linedup.op11_line_dedup,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_vector_codes": codes.op13_vector_codes,
     "pipeline": pipeline,
 }
 
-ORACLE = {"op10_decontamination": decontam.SQL}
+ORACLE = {
+    "op10_decontamination": decontam.SQL,
+    "op11_line_dedup": linedup.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_vector_codes": codes.SQL,
+}
