@@ -164,7 +164,7 @@ def encode(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for own, values in _blocks(batches, len(shared.value)):
-            codes, error = np.zeros((len(values), PARTS), np.uint8), np.zeros(len(values), np.int64)
+            codes, error = np.zeros((len(values), len(shared.value)), np.uint8), np.zeros(len(values), np.int64)
             for p, entries in enumerate(shared.value):
                 leaves, place, _ = _distinct(values[:, p])
                 index, distance = nearest(leaves, entries)
