@@ -2,7 +2,7 @@
 
 A text's pre-tokens are its maximal runs of non-blank characters, each with the piece marker in front. A worker
 inserts the distinct pre-tokens in a trie, whose nodes hold the forward score of their prefix (the best
-segmentation's log-probability and its number of tokens): it is computed once, when the first pre-token that
+segmentation's log-probability and its number of tokens) and the pieces that go on beyond it: it is computed once, when the first pre-token that
 has the prefix comes, and shared by all others. The terminal node's count is stored by pre-token, and a
 text's count is the sum over its pre-tokens. The trie and the counts outlive a task and start anew beyond a size.
 
@@ -16,13 +16,18 @@ pre-token of any length is handled whole.
 
 from __future__ import annotations
 
+import gc
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import portions
+
 MARK, PIECE_COST, BYTE_SCORE = "▁", 2.0, -14.0
 #: Distinct pre-tokens whose counts a worker keeps, nodes of its trie, and characters beyond which a pre-token is not inserted.
 CACHE, NODES, LONG = 300_000, 400_000, 200
@@ -38,51 +43,57 @@ def pieces(model_path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Pre-tokens by shared prefix. A node is a dict of its children, with (score, minus tokens) of its prefix under ``""``."""
+    """Pre-tokens by shared prefix. A node is [score, minus tokens, live, children]: the best segmentation of its prefix, and the
+    pieces that have begun in the prefix and can go on, as (place in the pieces' own trie, score and minus tokens before the piece).
+    A child takes its forward score from its parent's live pieces alone."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
-        self.root: dict = {}
-        self.nodes = 0
+        self.pieces: dict = {}
+        for piece, score in scores.items():
+            at = self.pieces
+            for c in piece[:-1]:
+                at = at.setdefault(c, [None, {}])[1]
+            at.setdefault(piece[-1], [None, {}])[0] = score
+        self._renew()
+
+    def _renew(self) -> None:
+        self.root, self.nodes = [0.0, 0, (), {}], 0
 
     def count(self, word: str) -> int:
         """Tokens of a word, which is inserted unless it is very long."""
+        node, step = self.root, self._step
         if len(word) > LONG:
-            return self._alone(word)
+            for c in word:
+                node = step(node, c)
+            return -node[1]
         if self.nodes > NODES:
-            self.root, self.nodes = {}, 0
-        node, best = self.root, [(0.0, 0)]
-        for n, c in enumerate(word, 1):
-            child = node.get(c)
+            self._renew()
+            node = self.root
+        for c in word:
+            children = node[3]
+            child = children.get(c)
             if child is None:
-                child = node[c] = {"": self._step(word, n, best, 0)}
+                child = children[c] = step(node, c)
                 self.nodes += 1
-            best.append(child[""])
             node = child
-        return -best[-1][1]
-
-    def _step(self, word: str, n: int, best: list[tuple[float, int]], first: int) -> tuple[float, int]:
-        """(score, minus tokens) of the best segmentation of the first n characters; ``best[0]`` is that of the first ``first``."""
-        size = len(word[n - 1].encode("utf-8", "replace"))
-        score, tokens = best[n - 1 - first]
-        top, get = (score + BYTE_SCORE * size, tokens - size), self.scores.get
-        for k in range(max(first, n - self.longest), n):
-            own = get(word[k:n])
-            if own is not None:
-                score, tokens = best[k - first]
-                top = max(top, (score + own, tokens - 1))
-        return top
-
-    def _alone(self, word: str) -> int:
-        """The same for one word, with the scores of the last prefixes only."""
-        best, first = [(0.0, 0)], 0
-        for n in range(1, len(word) + 1):
-            best.append(self._step(word, n, best, first))
-            if len(best) > 2 * self.longest + 2:
-                first += len(best) - self.longest - 1
-                best = best[-self.longest - 1 :]
-        return -best[-1][1]
+        return -node[1]
+
+    def _step(self, node: list, c: str) -> list:
+        """The node of a prefix with one more character."""
+        score, minus, live, _ = node
+        size = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+        top, top_minus, alive = score + BYTE_SCORE * size, minus - size, []
+        for pieces, before, less in (*live, (self.pieces, score, minus)):
+            found = pieces.get(c)
+            if found is not None:
+                own, longer = found
+                if own is not None:
+                    s, m = before + own, less - 1
+                    if s > top or s == top and m > top_minus:
+                        top, top_minus = s, m
+                if longer:
+                    alive.append((longer, before, less))
+        return [top, top_minus, alive, {}]
 
 
 class Counts(dict):
@@ -99,6 +110,18 @@ class Counts(dict):
         return n
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without Python's search for cycles: the trie has none, and passes over its nodes would take most of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(1)
 def _counts(model_path: str) -> Counts:
     return Counts(pieces(model_path))
@@ -111,10 +134,11 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", n_words:
     def run(batches):
         get = _counts(model_path).__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in portions(batch, batch.num_columns - 1):
                 words = [(t or "").split() for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(own) for own in words], pa.int64()), pa.array([sum(map(get, own)) for own in words], pa.int64())], names=[*(f"c{i}" for i in range(len(kept))), "w", "n"])
+                with _uncollected():
+                    n = [sum(map(get, own)) for own in words]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(own) for own in words], pa.int64()), pa.array(n, pa.int64())], names=[*(f"c{i}" for i in range(len(kept))), "w", "n"])
 
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("t"))
     types = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
