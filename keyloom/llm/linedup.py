@@ -236,7 +236,8 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     power = max(0, (total - 1) // SEGMENT).bit_length()
     suspects = _suspects(rows, _filters(chunks, power), power, min_chars, filter_bytes)
 
-    frequent = suspects.groupBy("key").agg(F.count("*").alias("n"), *([F.min(F.struct("id", "text_key", "line")).alias("first")] if keep == "first" else [])).where(F.col("n") >= min_docs)
+    # written, so that Spark knows its size, and may split a key that a third of the texts hold where it joins
+    frequent = written(suspects.groupBy("key").agg(F.count("*").alias("n"), *([F.min(F.struct("id", "text_key", "line")).alias("first")] if keep == "first" else [])).where(F.col("n") >= min_docs), "frequent")
     lost = suspects.select("text_key", "key").distinct().join(frequent, "key")
     first = F.when(F.col("first.text_key") == F.col("text_key"), F.struct(F.col("first.id").alias("id"), F.col("first.line").alias("line"))) if keep == "first" else F.lit(None)
     lost = lost.groupBy("text_key").agg(F.collect_list(F.struct("key", first.alias("first"))).alias("lost"))
