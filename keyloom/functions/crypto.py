@@ -108,5 +108,10 @@ def relative_time(seconds: Column) -> Column:
     return F.when(seconds < 60, part(1, "s ago")).when(seconds < 3600, part(60, "m ago")).when(seconds < 86400, part(3600, "h ago")).otherwise(part(86400, "d ago"))
 
 
+def mean_score(score: Column) -> Column:
+    """Mean of scores with one decimal. Tenths are summed as integers, so that the mean does not depend on their order."""
+    return F.try_divide(F.sum(F.round(score * 10).cast("long")).cast("double"), F.count(score) * F.lit(10.0))
+
+
 def rounded_percent(part: Column, whole: Column, places: int = 1, empty: float = 0.0) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise(F.bround(F.try_divide(part * 100.0, whole), places))

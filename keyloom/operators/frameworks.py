@@ -6,6 +6,9 @@ to the framework's failing class. All of them work on one row per project and fa
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +91,16 @@ def scores(findings: DataFrame) -> DataFrame:
     return by.select("project_id", "findings", F.inline(each)).withColumn("score", F.bround(F.col("compliant") * 100.0 / F.col("findings"), 1))
 
 
+def iso_failures(family: Column, size: Column) -> list[Column]:
+    """For each check of the list, whether a family of that size fails it."""
+    return [reduce(or_, ((family == name) & (size < least) for name, least in rule.items())) if isinstance(rule, dict) else family.isin(*rule) for rule in ISO_CHECKS.values()]
+
+
+def cra_gap_conditions(family: Column, size: Column) -> list[Column]:
+    """For each requirement, whether a family of that size is a gap."""
+    return [reduce(or_, ((family == name) & (size < least) for name, least in sizes.items()), family.isin(*absent) if absent else F.lit(False)) for absent, sizes, _ in CRA_CHECKS.values()]
+
+
 def iso_checklist(findings: DataFrame) -> DataFrame:
     """The ten checks of every project: status, findings that count, and the families (or sizes) behind a failure."""
     family, size, n = F.col("family"), F.col("key_size"), F.col("n")

@@ -114,7 +114,7 @@ def certificate_graph(certificates: DataFrame) -> DataFrame:
 
 def daily_compliance(scores: DataFrame) -> DataFrame:
     """Mean score and sums of each day, framework and project."""
-    return scores.groupBy(F.to_date("time").alias("day"), "framework", "project_id").agg(F.avg("score").alias("avg_score"), F.sum("compliant").alias("compliant"), F.sum("non_compliant").alias("non_compliant"))
+    return scores.groupBy(F.to_date("time").alias("day"), "framework", "project_id").agg(X.mean_score(F.col("score")).alias("avg_score"), F.sum("compliant").alias("compliant"), F.sum("non_compliant").alias("non_compliant"))
 
 
 def compliance_trend(daily: DataFrame, framework: str, period: str, now: str, project_id=None) -> DataFrame:
@@ -128,13 +128,10 @@ def compliance_trend(daily: DataFrame, framework: str, period: str, now: str, pr
 
 def scan_metrics(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """Counts, quantum risk and compliance of every completed scan with findings, by time and project."""
-    from keyloom.operators.portfolio import compliance_nist, compliance_score, quantum_risk
+    from keyloom.operators.rollups import report_bundle
 
-    counts = findings.groupBy("scan_id").agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    risk = quantum_risk(findings, ["scan_id"]).select("scan_id", F.col("score").alias("quantum_risk"))
-    nist = compliance_score(compliance_nist(findings.withColumn("project_id", F.col("scan_id")))).select(F.col("project_id").alias("scan_id"), F.col("score").alias("compliance"))
-    done = scans.where("scan_status = 'completed'").select("scan_id", "project_id", "completed_at")
-    return done.join(counts, "scan_id").join(risk, "scan_id").join(nist, "scan_id").select("completed_at", "project_id", "scan_id", "findings", "critical", "high", "quantum_risk", "compliance")
+    rows = report_bundle(findings, scans).where("findings > 0")
+    return rows.select("completed_at", "project_id", "scan_id", "findings", F.col("n_critical").alias("critical"), F.col("n_high").alias("high"), "quantum_risk", F.col("nist_score").alias("compliance"))
 
 
 def scan_queue(scans: DataFrame, status: str | None = None, project_id=None) -> DataFrame:

@@ -48,13 +48,22 @@ def migration_priority(findings: DataFrame) -> DataFrame:
     return by.select("*", X.lookup(F.col("family"), X.MIGRATION, "").alias("target"), F.row_number().over(W.orderBy(F.desc("findings"), "family")).alias("priority"))
 
 
+def risk_weight(posture):
+    """Severity weight times exposure of a finding."""
+    factor = F.when(posture == "broken", 2.0).when(posture == "vulnerable", 1.0).when(posture == "safe", 0.0).otherwise(0.5)
+    return X.lookup(F.lower("severity"), {k: v for k, v in X.SEVERITY_WEIGHT.items() if k != "info"}, 4.0) * factor
+
+
+def risk_score(raw, findings):
+    """0 to 100: the weights over the most that is possible."""
+    return F.least(F.lit(100.0), F.bround(F.try_divide(raw * 100.0, findings * 20.0), 1))
+
+
 def quantum_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """Score 0 to 100 of each key: severity weight times exposure over the most that is possible."""
+    """Score of each key."""
     p = F.col("posture")
-    factor = F.when(p == "broken", 2.0).when(p == "vulnerable", 1.0).when(p == "safe", 0.0).otherwise(0.5)
-    weight = X.lookup(F.lower("severity"), {k: v for k, v in X.SEVERITY_WEIGHT.items() if k != "info"}, 4.0)
-    by = with_posture(findings).groupBy(*keys).agg(F.sum(weight * factor).alias("raw"), F.count("*").alias("n"), F.count_if(p != "safe").alias("vulnerable"), F.count_if(p == "safe").alias("safe"), F.count_if(p == "broken").alias("broken"))
-    return by.select(*keys, F.least(F.lit(100.0), F.bround(F.col("raw") * 100.0 / (F.col("n") * 20.0), 1)).alias("score"), "vulnerable", "safe", "broken")
+    by = with_posture(findings).groupBy(*keys).agg(F.sum(risk_weight(p)).alias("raw"), F.count("*").alias("n"), F.count_if(p != "safe").alias("vulnerable"), F.count_if(p == "safe").alias("safe"), F.count_if(p == "broken").alias("broken"))
+    return by.select(*keys, risk_score(F.col("raw"), F.col("n")).alias("score"), "vulnerable", "safe", "broken")
 
 
 # Family, classification, least and most key size, order within the family.
@@ -85,18 +94,27 @@ def nist_class(family, size):
     return out
 
 
-def compliance_nist(findings: DataFrame) -> DataFrame:
-    """Families of each project by class; the family's size is that of its first finding, null included."""
+def compliance_nist(findings: DataFrame, *more) -> DataFrame:
+    """Families of each project by class; the family's size is that of its first finding, null included. ``more``: further
+    aggregates of a project's family."""
     first = F.min_by(F.struct("key_size"), F.struct("scan_id", "seq", "part", "supp"))
-    by = with_family(findings).groupBy("project_id", "family").agg(F.count("*").alias("n"), first.alias("f"))
-    return by.select("project_id", "family", "n", F.col("f.key_size").alias("key_size"), nist_class(F.col("family"), F.col("f.key_size")).alias("classification"))
+    by = with_family(findings).groupBy("project_id", "family").agg(F.count("*").alias("n"), first.alias("f"), *more)
+    return by.select("project_id", "family", "n", F.col("f.key_size").alias("key_size"), nist_class(F.col("family"), F.col("f.key_size")).alias("classification"), *by.columns[4:])
+
+
+def penalty(classification=None):
+    """3, 1 and 0.5 for disallowed, deprecated and unknown."""
+    return X.lookup(F.col("classification") if classification is None else classification, {"disallowed": 3.0, "deprecated": 1.0, "unknown": 0.5}, 0.0)
+
+
+def nist_score(penalties, findings):
+    """100 less the penalties over three a finding."""
+    return F.greatest(F.lit(0.0), F.bround(100.0 - F.try_divide(penalties * 100.0, 3.0 * findings), 1))
 
 
 def compliance_score(nist: DataFrame) -> DataFrame:
-    """100 less the penalties 3, 1 and 0.5 for disallowed, deprecated and unknown over three a finding."""
-    penalty = X.lookup(F.col("classification"), {"disallowed": 3.0, "deprecated": 1.0, "unknown": 0.5}, 0.0)
-    by = nist.groupBy("project_id").agg(F.sum("n").alias("findings"), F.sum(penalty * F.col("n")).alias("p"))
-    return by.select("project_id", "findings", F.greatest(F.lit(0.0), F.bround(100.0 - F.col("p") * 100.0 / (3.0 * F.col("findings")), 1)).alias("score"))
+    by = nist.groupBy("project_id").agg(F.sum("n").alias("findings"), F.sum(penalty() * F.col("n")).alias("p"))
+    return by.select("project_id", "findings", nist_score(F.col("p"), F.col("findings")).alias("score"))
 
 
 def pqc_overview(findings: DataFrame) -> DataFrame:

@@ -68,12 +68,12 @@ def scores(spark, d):
     return s.select(F.col("completed_at").alias("time"), F.when(F.col("scan_id") % 2 == 0, "nist").otherwise("fips").alias("framework"), "project_id", (F.col("scan_id") % 101).cast("double").alias("score"), (F.col("scan_id") % 7).alias("compliant"), (F.col("scan_id") % 3).alias("non_compliant"))
 
 
-@query(f"WITH {A.SQL} SELECT strftime(time, '%Y-%m-%d') AS day, framework, project_id, round_even(avg(score), 4) AS avg_score, CAST(sum(compliant) AS BIGINT) AS compliant, CAST(sum(non_compliant) AS BIGINT) AS non_compliant FROM ({_SCORES}) GROUP BY 1, 2, 3", plain=True)
+@query(f"WITH {A.SQL} SELECT strftime(time, '%Y-%m-%d') AS day, framework, project_id, round_even(CAST(sum(CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / (10 * count(score)), 4) AS avg_score, CAST(sum(compliant) AS BIGINT) AS compliant, CAST(sum(non_compliant) AS BIGINT) AS non_compliant FROM ({_SCORES}) GROUP BY 1, 2, 3", plain=True)
 def compliance_daily(spark, d):
     return P.daily_compliance(scores(spark, d)).withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "avg_score": F.bround("avg_score", 4)})
 
 
-@query(f"WITH {A.SQL} SELECT strftime(CAST(time AS DATE), '%Y-%m-%d') AS day, project_id, round_even(avg(score), 1) AS score, CAST(sum(compliant) AS BIGINT) AS compliant, CAST(sum(non_compliant) AS BIGINT) AS non_compliant FROM ({_SCORES}) WHERE framework = 'nist' GROUP BY CAST(time AS DATE), project_id HAVING CAST(time AS DATE) >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 90 DAY", plain=True)
+@query(f"WITH {A.SQL} SELECT strftime(CAST(time AS DATE), '%Y-%m-%d') AS day, project_id, round_even(CAST(sum(CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / (10 * count(score)), 1) AS score, CAST(sum(compliant) AS BIGINT) AS compliant, CAST(sum(non_compliant) AS BIGINT) AS non_compliant FROM ({_SCORES}) WHERE framework = 'nist' GROUP BY CAST(time AS DATE), project_id HAVING CAST(time AS DATE) >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 90 DAY", plain=True)
 def compliance_trend(spark, d):
     return P.compliance_trend(P.daily_compliance(scores(spark, d)), "nist", "90d", "1998-08-02 00:00:00").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.functions import crypto as X
 from keyloom.operators import detect, rollups
 from keyloom.plans.registry import _WEIGHT, ORACLE, WITH, _class_sql, _more, query
 from keyloom.operators import frameworks
@@ -22,12 +23,12 @@ _GOOD = lambda k: f"SELECT project_id, CAST(sum(n) AS BIGINT) AS a, CAST(sum(CAS
                + " UNION ALL ".join(f"SELECT '{k}', round_even(g * 100.0 / a, 1), g, a - g FROM ({_GOOD(k)})" for k in frameworks.FRAMEWORKS)
                + f" UNION ALL SELECT 'iso-27001-a8-24', round_even(count(*) FILTER (status = 'pass') * 100.0 / count(*), 1), count(*) FILTER (status = 'pass'), count(*) FILTER (status = 'fail') FROM {_plain('compliance_iso_checklist')} GROUP BY project_id"
                + f" UNION ALL SELECT 'eu-cra', round_even(count(*) FILTER (gap_status = 'no-gap') * 100.0 / count(*), 1), count(*) FILTER (gap_status = 'no-gap'), count(*) FILTER (gap_status = 'gap') FROM {_plain('compliance_cra_gaps')} GROUP BY project_id)"
-               + " SELECT framework, round_even(avg(CAST(score AS DOUBLE)), 1) AS avg_score, CAST(sum(coalesce(g, 0)) AS BIGINT) AS total_compliant, CAST(sum(coalesce(b, 0)) AS BIGINT) AS total_non_compliant, count(*) AS repos_evaluated FROM e GROUP BY 1"), plain=True)
+               + " SELECT framework, round_even(CAST(sum(CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / (10 * count(score)), 1) AS avg_score, CAST(sum(coalesce(g, 0)) AS BIGINT) AS total_compliant, CAST(sum(coalesce(b, 0)) AS BIGINT) AS total_non_compliant, count(*) AS repos_evaluated FROM e GROUP BY 1"), plain=True)
 def portfolio_frameworks(spark, d):
     return rollups.portfolio_frameworks(A.findings(spark, d))
 
 
-@query(_more("SELECT org_id, round_even(avg(CAST(score AS DOUBLE)), 1) AS avg_nist_score, max(last) AS last_scan_at FROM projects JOIN groups USING (group_id) LEFT JOIN (SELECT project_id, greatest(0.0, round_even(100.0 - CAST(sum(n * CASE classification WHEN 'disallowed' THEN 3.0 WHEN 'deprecated' THEN 1.0 WHEN 'unknown' THEN 0.5 ELSE 0.0 END) AS DOUBLE) * 100.0 / (3.0 * sum(n)), 1)) AS score FROM nist GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, max(completed_at) AS last FROM scans WHERE scan_status = 'completed' GROUP BY 1) USING (project_id) GROUP BY 1"), plain=True)
+@query(_more("SELECT org_id, round_even(CAST(sum(CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / (10 * count(score)), 1) AS avg_nist_score, max(last) AS last_scan_at FROM projects JOIN groups USING (group_id) LEFT JOIN (SELECT project_id, greatest(0.0, round_even(100.0 - CAST(sum(n * CASE classification WHEN 'disallowed' THEN 3.0 WHEN 'deprecated' THEN 1.0 WHEN 'unknown' THEN 0.5 ELSE 0.0 END) AS DOUBLE) * 100.0 / (3.0 * sum(n)), 1)) AS score FROM nist GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, max(completed_at) AS last FROM scans WHERE scan_status = 'completed' GROUP BY 1) USING (project_id) GROUP BY 1"), plain=True)
 def portfolio_summary_scores(spark, d):
     return rollups.summary_scores(A.findings(spark, d), A.projects(spark, d), A.groups(spark, d), A.scans(spark, d))
 
@@ -37,6 +38,26 @@ def portfolio_top_risk_percents(spark, d):
     return rollups.top_risk_percents(A.findings(spark, d))
 
 
+_TARGETS = "CASE family " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.MIGRATION.items()) + " ELSE '' END"
+_BUNDLE = _more(f""", x AS (SELECT *, row_number() OVER (PARTITION BY scan_id, family ORDER BY seq, part, supp) AS nth FROM fp),
+y AS (SELECT scan_id AS project_id, family, any_value(posture) AS posture, count(*) AS n, max(CASE WHEN nth = 1 THEN key_size END) AS key_size, CAST(sum(CASE severity WHEN 'critical' THEN 10.0 WHEN 'high' THEN 7.0 WHEN 'low' THEN 1.0 ELSE 4.0 END * CASE posture WHEN 'broken' THEN 2.0 WHEN 'vulnerable' THEN 1.0 WHEN 'safe' THEN 0.0 ELSE 0.5 END) AS DOUBLE) AS raw,
+ {', '.join(f"count(*) FILTER (severity = '{v}') AS n_{v}" for v in A.SEVERITIES)} FROM x GROUP BY ALL),
+z AS (SELECT *, {_class_sql('fips-140-3')} AS fips, CASE WHEN family IN ('des', '3des', 'rc4', 'md5', 'sha1') THEN 'disallowed' WHEN family = 'rsa' THEN CASE WHEN key_size >= 2048 THEN 'deprecated' ELSE 'disallowed' END WHEN family = 'dh' THEN CASE WHEN key_size < 2048 THEN 'disallowed' ELSE 'deprecated' END WHEN family IN ('ecdsa', 'ecdh', 'ecc', 'dsa') THEN 'deprecated'
+ WHEN family = 'aes' THEN CASE WHEN key_size < 128 THEN 'disallowed' ELSE 'acceptable' END WHEN family IN ('sha256', 'sha384', 'sha512', 'sha3-256', 'sha3-384', 'sha3-512', 'ml-kem', 'ml-dsa', 'slh-dsa') THEN 'acceptable' ELSE 'unknown' END AS classification FROM y),
+g AS (SELECT project_id AS scan_id, CAST(sum(n) AS BIGINT) AS findings, {', '.join(f"CAST(sum(n_{v}) AS BIGINT) AS n_{v}" for v in A.SEVERITIES)}, least(100.0, round_even(sum(raw) * 100.0 / (20.0 * sum(n)), 1)) AS quantum_risk,
+ {', '.join(f"CAST(coalesce(sum(n) FILTER ({c}), 0) AS BIGINT) AS {k}" for k, c in (("vulnerable", "posture <> 'safe'"), ("safe", "posture = 'safe'"), ("broken", "posture = 'broken'"), ("nist_compliant", "classification = 'acceptable'"), ("fips_compliant", "fips = 'approved'")))},
+ greatest(0.0, round_even(100.0 - CAST(sum(n * CASE classification WHEN 'disallowed' THEN 3.0 WHEN 'deprecated' THEN 1.0 WHEN 'unknown' THEN 0.5 ELSE 0.0 END) AS DOUBLE) * 100.0 / (3.0 * sum(n)), 1)) AS nist_score,
+ string_agg(family || ':' || n || ':' || coalesce(CAST(key_size AS VARCHAR), '') || ':' || posture || ':' || classification || ':' || fips || ':' || CASE WHEN posture IN ('broken', 'vulnerable') THEN {_TARGETS} ELSE '' END, ' ' ORDER BY family) AS families FROM z GROUP BY 1)
+SELECT scan_id, project_id, completed_at, {', '.join(f"coalesce({c}, 0) AS {c}" for c in ("findings", *(f"n_{v}" for v in A.SEVERITIES), "quantum_risk", "vulnerable", "safe", "broken", "nist_compliant", "fips_compliant"))}, coalesce(nist_score, 100.0) AS nist_score, coalesce(round_even(fips_compliant * 100.0 / findings, 1), 100.0) AS fips_score, coalesce(families, '') AS families
+FROM scans LEFT JOIN g USING (scan_id) WHERE scan_status = 'completed'""")
+
+
+@query(_BUNDLE, plain=True)
+def portfolio_report_bundle(spark, d):
+    part = lambda x: F.concat_ws(":", x["family"], x["n"], F.coalesce(x["key_size"].cast("string"), F.lit("")), x["posture"], x["nist"], x["fips"], F.coalesce(x["target"], F.lit("")))
+    return rollups.report_bundle(A.findings(spark, d), A.scans(spark, d)).withColumn("families", F.coalesce(F.array_join(F.transform("families", part), " "), F.lit("")))
+
+
 @query("SELECT rule_id, total, active, round_even(fp * 100.0 / total, 2) AS fp_rate, round_even(ra * 100.0 / total, 2) AS ra_rate, round_even(fixed * 100.0 / total, 2) AS fix_rate, round_even(t, 2) AS mttr_seconds FROM (SELECT rule_id, count(*) AS total, count(*) FILTER (status IN ('open', 'in_review')) AS active, count(*) FILTER (status = 'false_positive') AS fp, 0 AS ra, count(*) FILTER (status = 'resolved') AS fixed, avg(CASE WHEN status = 'resolved' AND seq % 3 <> 0 THEN CAST(part AS DOUBLE) * 3600 END) AS t FROM (SELECT DISTINCT * FROM findings) WHERE created_at >= TIMESTAMP '1998-08-02 00:00:00' - INTERVAL 900 DAY GROUP BY 1)")
 def portfolio_rule_window(spark, d):
     f = A.findings(spark, d).distinct()

@@ -268,3 +268,27 @@ def test_policies_know_modes_and_versions(spark):
     f = spark.createDataFrame([(1, 1, "AES", "low", None, "ECB", None), (2, 1, "TLS", "low", None, None, "tlsv1.0"), (3, 1, "TLS", "low", None, None, "TLSv1.0"), (4, 1, "RSA", "low", 0, None, None)], "finding_id int, project_id int, name string, severity string, key_size int, mode string, protocol_version string")
     rules = policy.rules(spark, (("m", "low", "fail", None, None, None, None, None, ["ecb"], None), ("v", "low", "fail", None, None, None, None, None, None, ["TLSv1.0"]), ("s", "low", "fail", None, None, 2048, "RSA", None)))
     assert sorted((r.finding_id, r.rule) for r in policy.violations(f, rules).collect()) == [(1, "m"), (3, "v")]
+
+
+def test_means_do_not_depend_on_the_order_of_addition(spark):
+    """Scores whose mean lies on a tie, in many orders: tenths are summed as integers."""
+    from keyloom.functions.crypto import mean_score
+
+    scores = [38.9] * 17 + [39.0] * 17
+    for seed in range(6):
+        df = spark.createDataFrame([(s,) for s in scores], "score double").orderBy(F.rand(seed)).repartition(5)
+        assert df.agg(F.bround(mean_score(F.col("score")), 1).alias("m")).first().m == 39.0
+    assert spark.createDataFrame([], "score double").agg(mean_score(F.col("score")).alias("m")).first().m is None
+
+
+def test_report_bundle_of_scans_with_and_without_findings(spark):
+    from keyloom.operators import rollups
+
+    scans = spark.createDataFrame([(1, 7, "completed", "t"), (2, 7, "completed", "t"), (3, 7, "queued", "t")], "scan_id long, project_id long, scan_status string, completed_at string")
+    rows = [(1, "RSA-2048", "high", 2048, 1), (1, "RSA-4096", "low", None, 2), (1, "AES-128", "odd", 64, 3), (3, "MD5", "high", None, 4)]
+    findings = spark.createDataFrame([(s, 7, n, v, k, i, 0, 0) for s, n, v, k, i in rows], "scan_id long, project_id long, name string, severity string, key_size int, seq int, part long, supp long")
+    one, two = sorted(rollups.report_bundle(findings, scans).collect(), key=lambda r: r.scan_id)
+    assert (two.findings, two.quantum_risk, two.nist_score, two.fips_score, two.families) == (0, 0.0, 100.0, 100.0, None)
+    assert (one.findings, one.n_high, one.vulnerable, one.safe, one.broken) == (3, 1, 2, 1, 0)
+    assert [(f.family, f.n, f.key_size, f.posture, f.nist, f.fips) for f in one.families] == [("aes", 1, 64, "safe", "disallowed", "not-approved"), ("rsa", 2, 2048, "vulnerable", "deprecated", "approved")]
+    assert one.quantum_risk == round((7 + 1) * 100 / 60, 1) and one.nist_score == round(100 - (3 + 2) * 100 / 9, 1) and one.fips_score == 66.7
