@@ -3,7 +3,9 @@
 Documents lie in old shards; the new shards get equal capacities in bytes. A minimum-cost flow over the
 shard sizes (a byte that stays costs nothing, a byte that moves costs 1) says how many bytes each old
 shard hands to each new one. An old shard is ordered by (block, id, crc) and cut at the flow's amounts, so
-whole blocks move and only those at a cut are split; a document goes where its first byte lies. Then the
+whole blocks move and only those at a cut are split; a document goes where its first byte lies. What that leaves uneven is
+evened out by moving or exchanging single documents between the fullest and the emptiest shards (:func:`even_out`; from some
+hundred documents of each shard) until all sizes lie within ``SPREAD`` of their mean or no move helps. Then the
 files of the shards that gain or lose a document are written anew: a document of a whole block by its block's new
 shard, which is broadcast, one of a split block by a join with its row of the plan.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from keyloom.llm.common import dropped, scratch, settled, written
 SHARDS, OLD_SHARDS, ROW_BYTES = 40, 40, 16
 #: Bytes of a block on average, and the fewest blocks of an old shard.
 BLOCK_BYTES, BLOCKS = 256 << 20, 256
+#: Share of the mean size by which shards may differ, and documents of each shard that may be moved to get there.
+SPREAD, MOVABLE = 0.002, 256
 
 
 class Plan(NamedTuple):
@@ -82,6 +87,48 @@ def min_cost_flow(supply: list[int], room: list[int], cost: list[list[int]]) ->
     return flow
 
 
+def even_out(sizes: list[int], movable: list[list[tuple[int, int]]], spread: float = SPREAD) -> dict[int, int]:
+    """Moves (document -> shard) that bring the shards' ``sizes`` together. ``movable`` has each shard's (size, document).
+
+    The fullest shard meets the others from the emptiest up, then the emptiest meets the others from the fullest down: of a move of one document
+    and an exchange of two, that which leaves the pair most even is taken. A step always lowers the larger of the pair."""
+    sizes, own = list(sizes), [sorted(m) for m in movable]
+    target, home = max(1, sum(sizes)) / max(1, len(sizes)), {}
+
+    def step(a: int, b: int) -> bool:
+        """One exchange that takes bytes from a to b."""
+        gap = sizes[a] - sizes[b]
+        if gap <= 1 or not own[a]:
+            return False
+        x, y = np.array([s for s, _ in own[a]]), np.array([0, *(s for s, _ in own[b])])
+        at = np.clip(np.searchsorted(x, y + gap / 2), 0, len(x) - 1)
+        best = None
+        for k in (at, np.maximum(at - 1, 0)):
+            left = np.abs(gap - 2 * (x[k] - y))
+            j = int(left.argmin())
+            if best is None or left[j] < best[0]:
+                best = (int(left[j]), int(k[j]), j)
+        if best[0] >= gap:
+            return False
+        one, other = own[a].pop(best[1]), own[b].pop(best[2] - 1) if best[2] else None
+        for (size, document), shard, before in ((one, b, a), *(((other, a, b),) if other else ())):
+            home[document] = shard
+            own[shard].append((size, document))
+            sizes[shard], sizes[before] = sizes[shard] + size, sizes[before] - size
+        own[a].sort()
+        own[b].sort()
+        return True
+
+    for _ in range(64 * len(sizes)):
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        low, high = order[0], order[-1]
+        if sizes[high] - sizes[low] <= spread * target:
+            break
+        if not any(step(high, j) for j in order[:-1]) and not any(step(j, low) for j in reversed(order[1:])):
+            break
+    return home
+
+
 def reshard(rows: DataFrame, shards: int = SHARDS, block_bytes: int = BLOCK_BYTES, least_blocks: int = BLOCKS) -> Plan:
     """``rows`` (doc_id, size, text_crc32, old) with ``shard`` and a gapless ``slot`` in it, as a plan for ``rewrite``."""
     spark = rows.sparkSession
@@ -113,17 +160,41 @@ def reshard(rows: DataFrame, shards: int = SHARDS, block_bytes: int = BLOCK_BYTE
     own = W.partitionBy("old", "block").orderBy("doc_id", "text_crc32", "size")
     placed = base.withColumns({"start": F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"), "rank": F.row_number().over(own) - F.lit(1)})
     placed = placed.join(F.broadcast(offset), ["old", "block"]).withColumns({"start": F.col("start") + F.col("byte"), "rank": F.col("rank") + F.col("nth")})
-    placed = written(placed.join(F.broadcast(cut), "old").where("start >= lo AND start < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "lo", "rank"), "placed")
-
-    first, slots, used = [], {}, {}
-    for r in sorted(placed.groupBy("shard", "old", "lo").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).collect()):
-        first.append((r.shard, r.old, used.get(r.shard, 0) - r.rank))
+    placed = written(placed.join(F.broadcast(cut), "old").where("start >= lo AND start < hi").select("doc_id", "size", "text_crc32", "old", "block", "shard", "rank"), "placed")
+    moves = _moves(placed, shards)
+    opened = {(old, block) for old, block, _, _ in moves}
+    homes = [h for h in homes if h[:2] not in opened]
+    moved = spark.createDataFrame([(old, rank, shard) for old, _, rank, shard in moves], "old int, rank long, new int")
+    placed = placed.join(F.broadcast(moved), ["old", "rank"], "left").withColumn("shard", F.coalesce("new", "shard"))
+
+    part = W.partitionBy("shard", "old", "block").orderBy("rank")
+    placed = written(placed.select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.row_number().over(part) - F.lit(1)).alias("nth")), "numbered")
+    first, used = [], {}
+    for r in sorted(placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect()):
+        first.append((r.shard, r.old, r.block, used.get(r.shard, 0)))
         used[r.shard] = used.get(r.shard, 0) + r.n
-    shift = spark.createDataFrame(first, "shard int, old int, shift long")
-    placed = placed.join(F.broadcast(shift), ["shard", "old"]).select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.col("rank") + F.col("shift")).alias("slot"))
+    shift = spark.createDataFrame(first, "shard int, old int, block int, shift long")
+    placed = placed.join(F.broadcast(shift), ["shard", "old", "block"]).select("doc_id", "size", "text_crc32", "old", "block", "shard", (F.col("nth") + F.col("shift")).alias("slot"))
     return Plan(placed, blocks, spark.createDataFrame(homes, "old int, block int, shard int"), max(1, -(-max(room) // block_bytes)))
 
 
+def _moves(placed: DataFrame, shards: int) -> list[tuple[int, int, int, int]]:
+    """(old, block, rank, new shard) of the documents that :func:`even_out` moves. The driver sees ``MOVABLE`` documents of a shard at most."""
+    by = {r.shard: (r.bytes, r.n) for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+    if not by:
+        return []
+    most = max(n for _, n in by.values())
+    share = min(1.0, 4 * MOVABLE / most)  # thins large shards before they are sorted; small ones are taken whole
+    few = placed.where(F.pmod(F.xxhash64("old", "rank"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = few.withColumn("k", F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("old", "rank")))).where(F.col("k") <= MOVABLE)
+    rows = few.select("shard", "size", "old", "block", "rank").collect()
+    movable: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for i, r in enumerate(rows):
+        movable[r.shard].append((r.size, i))
+    home = even_out([by.get(j, (0, 0))[0] for j in range(shards)], movable)
+    return [(rows[i].old, rows[i].block, rows[i].rank, shard) for i, shard in sorted(home.items()) if rows[i].shard != shard]
+
+
 def sizes(docs: DataFrame, old: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(data).cast("long") + ROW_BYTES).alias("size"), F.crc32(data).alias("text_crc32"), old.cast("int").alias("old"))

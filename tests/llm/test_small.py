@@ -596,6 +596,30 @@ def test_shards(spark, edge, empty):
     assert sharding.reshard(sharding.sizes(edge, old)).rows.count() == edge.count() and sharding.reshard(sharding.sizes(empty, old)).rows.count() == 0
 
 
+def test_shards_are_nearly_equal(spark):
+    """Within the stated share of the mean wherever shards hold many documents, within that of the longest document where they hold few."""
+    for sf, least in ((SF, 0.96), (SF.replace("0.001", "0.01"), 1 - sharding.SPREAD)):
+        rows = sharding.op8_sharding(spark, sf).groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("size").alias("longest")).collect()
+        mean = sum(r.bytes for r in rows) / 40
+        assert len(rows) == 40 and min(r.bytes for r in rows) >= least * mean
+        assert all(r.bytes <= max((1 + sharding.SPREAD) * mean, r.longest) for r in rows)
+
+
+def test_evening_out_moves_and_exchanges():
+    rng = random.Random(4)
+    for longest in (3, 50, 900):
+        own = [[(rng.randint(1, longest), 100 * j + k) for k in range(rng.randint(0, 40))] for j in range(8)]
+        sizes = [sum(s for s, _ in m) for m in own]
+        home = sharding.even_out(sizes, own)
+        size_of = {d: s for m in own for s, d in m}
+        after = list(sizes)
+        for d, j in home.items():
+            after[d // 100] -= size_of[d]
+            after[j] += size_of[d]
+        assert sum(after) == sum(sizes) and max(after) - min(after) <= max(2, 0.02 * sum(sizes) / 8)
+    assert sharding.even_out([0, 0], [[], []]) == {} and sharding.even_out([9, 0], [[(9, 0)], []]) == {}
+
+
 def test_rewritten_shards_hold_every_document_once(spark, tmp_path):
     """Null and repeated ids, repeated rows, a null text, and fewer new shards than old ones."""
     rows = [(i if i % 5 else None, "x" * (i % 7) if i % 11 else None, i % 4) for i in range(120)] + [(7, "same", 3)] * 6 + [(7, "other", 2)] * 3
