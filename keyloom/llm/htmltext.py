@@ -1,11 +1,13 @@
 """Operator 5, HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut into blocks of text between block-level tags. A block's features are its word count and link
-density, those of its neighbours, whether it lies in the page's main container (one half if the page has none), and
-whether its place says boilerplate: an element like ``nav`` or ``footer``, or a class, id or role that names one. A small
-decision tree, trained on the blocks of the labelled pages below, says which blocks belong to the article.
+density, those of its neighbours, whether its element is bare, a list item or a paragraph or heading, whether it lies in the page's
+main container (one half if the page has none), and whether its place says boilerplate: an element like ``nav`` or ``footer``, or a class,
+id or role that names one. A small decision tree says which blocks belong to the article. It is trained on the blocks of labelled pages,
+which :func:`labelled_pages` makes by rule from a seed; a leaf holds ``LEAF`` of them at least, so that no single page
+makes a rule.
 
-A name counts as a whole token (``has-sidebar`` names no sidebar). A main container resets names around it, but
+A name counts as a whole token (``has-sidebar`` names no sidebar). A main container resets names around it and its own, but
 not those of reader comments. Headings in a ``header`` within the main container belong to the article.
 
 Defined results: a null or empty page, and one without content blocks, gives an empty text; unclosed
@@ -16,6 +18,7 @@ repeated pages give the same text.
 from __future__ import annotations
 
 import html
+import random
 import re
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,43 +28,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "main", "boiler")
+FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "main", "boiler", "kind")
+#: Labelled pages, and the depth and the least leaf of the tree.
+PAGES, DEPTH, LEAF = 700, 8, 12
 
-_W = "word "
 
+def _words(rng: random.Random, n: int) -> str:
+    return " ".join("x" * rng.randint(1, 9) for _ in range(n))
 
-def _links(*words: int, tag: str = "li") -> str:
-    return "".join(f"<{tag}><a href=x>{_W * n}</a></{tag}>" for n in words)
 
+def _length(rng: random.Random) -> int:
+    return rng.choice((rng.randint(1, 6), rng.randint(4, 20), rng.randint(15, 60), rng.randint(50, 300)))
 
-def _texts(*words: int, tag: str = "p") -> str:
-    return "".join(f"<{tag}>+ {_W * (n - 1)}</{tag}>" for n in words)
 
+def _text(rng: random.Random, tag: str, n: int, label: str = "+") -> str:
+    """A block of n words, some of them linked; ``+`` marks the article's."""
+    linked = rng.randint(1, max(1, n // 3)) if rng.random() < 0.3 and n > 3 else 0
+    link = f" <a href=x>{_words(rng, linked)}</a>" if linked else ""
+    return f"<{tag}>{label} {_words(rng, n - linked)}{link}</{tag}>"
+
+
+def _link(rng: random.Random, tag: str, n: int, label: str) -> str:
+    return f"<{tag}><a href=x>{label} {_words(rng, n)}</a></{tag}>"
+
+
+def _menu(rng: random.Random) -> str:
+    return "<ul>" + "".join(_link(rng, "li", rng.randint(1, 4), "") for _ in range(rng.randint(3, 8))) + "</ul>"
+
+
+def _teasers(rng: random.Random) -> str:
+    return "<ul>" + "".join(_link(rng, "li", rng.randint(4, 14), "") for _ in range(rng.randint(3, 8))) + "</ul>"
+
+
+def _body(rng: random.Random, contained: bool) -> str:
+    """Headings, paragraphs of any length, lists, and links that stand alone among text; in a container also menus, long lists
+    of references, and named boilerplate."""
+    parts = [_text(rng, rng.choice(("h1", "h2")), rng.randint(1, 14))] if rng.random() < 0.7 else []
+    for _ in range(rng.randint(1, 7)):
+        kind = rng.random()
+        if kind < 0.6:
+            parts.append(_text(rng, "p", _length(rng)))
+        elif kind < 0.7:
+            parts.append(_text(rng, rng.choice(("h2", "h3")), rng.randint(1, 9)))
+        elif kind < 0.8:
+            parts.append("<ul>" + "".join(_text(rng, "li", rng.randint(2, 20)) for _ in range(rng.randint(2, 5))) + "</ul>")
+        elif kind < 0.9:  # a link that stands alone has text beside it
+            parts += [_link(rng, "p", rng.randint(1, 40), "+"), _text(rng, "p", _length(rng))]
+        elif contained and kind < 0.94:
+            parts.append(_menu(rng))
+        elif not contained:
+            parts.append(_text(rng, "div", rng.randint(25, 200)))
+        elif contained and kind < 0.97:
+            parts.append("<ul>" + "".join(_link(rng, "li", rng.randint(8, 20), "+") for _ in range(rng.randint(2, 5))) + "</ul>")
+        elif contained:
+            parts.append(rng.choice((f"<div class=share>{_words(rng, 3)}</div>", f"<aside>{_words(rng, _length(rng))}</aside>", f"<section id=comments><p>{_words(rng, _length(rng))}</p></section>", f"<div>+ {_words(rng, _length(rng))}</div>")))
+    return "".join(parts)
+
+
+def _around(rng: random.Random, contained: bool) -> str:
+    """What stands before and after the article. Unnamed paragraphs stand there only where the article has a container."""
+    made = [_menu(rng), _teasers(rng), f"<nav>{_menu(rng)}</nav>", f"<div class=ad>{_words(rng, _length(rng))}</div>", f"<div>{_words(rng, rng.randint(1, 9))}</div>", f"<footer><p>{_words(rng, _length(rng))}</p></footer>",
+            f"<header>{_words(rng, 4)}</header>", f"<form>{_words(rng, _length(rng))}</form>", f"<div class=sidebar><p>{_words(rng, _length(rng))}</p>{_menu(rng)}</div>", f"<div><a href=x>{_words(rng, rng.randint(1, 5))}</a> {_words(rng, 2)}</div>"]
+    if not contained:
+        made += ["".join(_link(rng, "p", rng.randint(1, 4), "") for _ in range(rng.randint(3, 6)))] * 2
+    if contained:
+        made += [f"<p>{_words(rng, _length(rng))}</p>", f"<div>{_words(rng, _length(rng))}</div>", _link(rng, "p", rng.randint(1, 30), "")]
+    return "".join(rng.choice(made) for _ in range(rng.randint(0, 4)))
+
+
+def labelled_pages(seed: int = 0, n: int = PAGES) -> list[str]:
+    """The labelled table, as pages: the blocks that begin with ``+`` belong to the article. Every third page has no container."""
+    out = []
+    for i in range(n):
+        rng = random.Random(seed * 1_000_003 + i)
+        tag = ("article", "main", "")[i % 3]
+        body = _body(rng, bool(tag))
+        out.append(_around(rng, bool(tag)) + (f"<{tag}>{body}</{tag}>" if tag else rng.choice((body, f"<div>{body}</div>"))) + _around(rng, bool(tag)))
+    return out
 
-#: The labelled table, as pages: the blocks that begin with ``+`` belong to the article. Bodies of articles and what stands around
-#: them are combined in main containers of both kinds; a list of short links is a menu there too, other links are text.
-BODIES = (
-    f"{_texts(8, tag='h1')}{_texts(60, 2, 90, 1, 35)}<p>+ {_W * 20}<a>{_W * 20}</a></p>{_texts(6, tag='h2')}{_texts(12, 4, 7, tag='li')}",
-    f"{_texts(5, tag='h1')}{_texts(40, tag='div')}<ul>{_links(1, 2, 2, 1, 3)}</ul>{_texts(70, 3)}<div class=share>{_W * 3}</div><section id=comments><p>{_W * 40}</p></section>",
-    f"{_texts(3, 4, 3, 5)}{_texts(2, 6, 1)}<p>+ <a>{_W * 25}</a></p>{_texts(30)}<p><a>+ {_W * 3}</a></p>{_texts(28)}<p><a>+ {_W * 2}</a></p>",
-    f"<ul>{_links(1, 1, 1)}</ul>{_texts(80)}<ul>{_links(4, 6, 5)}</ul>", f"<ul>{_links(2, 3, 1, 2, 1)}</ul>{_texts(2, 4)}", _texts(1), _texts(3, 20), _texts(400), _texts(30, 9),
-    f"<p><a>+ {_W * 12}</a></p>", f"{_texts(14)}<p>+ <a>{_W * 40}</a></p>", f"{_texts(25)}<aside>{_W * 50}</aside>{_texts(2)}<nav>{_links(2, 30)}</nav>",
-)
-AROUND = (
-    ("", ""), (f"<nav><ul>{_links(1, 2, 1, 3)}</ul></nav><div class=ad>{_W * 9}</div>", f"<footer>{_W * 6}</footer>"),
-    (f"<header>{_W * 4}</header><ul>{_links(2, 9, 24)}</ul>", f"<div>{_W * 50}</div><div>{_W * 4}</div><p>{_W * 12}</p><form>{_W * 3}</form>"),
-    (f"<p>{_W * 130}</p><p><a>{_W * 30}</a></p>", f"<div>{_W * 2}</div><ul>{_links(2, 40, 2)}</ul><p>{_W * 90}</p><div class=sidebar><p>{_W * 30}</p>{_links(21, 3)}</div>"),
-    (f"<div>{_W}</div>", f"<p>{_W}</p>"), (f"<div>{_W * 25}</div>", f"<p>{_W * 200}</p>"),
-)
-#: Pages without a main container, where lengths, links and neighbours decide.
-FREE_PAGES = (
-    f"<ul>{_links(1, 1, 2, 1)}</ul>{_texts(7, tag='h1')}{_texts(40, 90, 25)}{_texts(8, 60)}<ul>{_links(1, 2)}</ul><div>{_W * 5}</div><div>{_W * 3}</div>",
-    f"<div>{_W * 2}</div><ul>{_links(3, 6, 4, 12, 9)}</ul>{_texts(5, tag='h2')}{_texts(60, 18, 55)}{_texts(14)}<p>+ {_W * 40}<a>{_W * 8}</a></p><p><a>{_W * 4}</a> {_W}</p><ul>{_links(2, 2, 30)}</ul><p>{_W * 3}</p>",
-    f"<div class=sidebar>{_W * 40}</div><div>{_texts(50, 22, 35)}</div><div id=comments><p>{_W * 60}</p><p>{_W * 3}</p></div><footer><p>{_W * 30}</p></footer>",
-    f"<div>{_W * 4}</div><div><a>{_W * 9}</a> {_W * 3}</div><p>{_W * 6}</p><p>{_W * 2}</p>", _texts(150), _texts(30), f"<div><a>{_W}</a></div>{_texts(30, 45)}<div><a>{_W * 2}</a></div><p><a>{_W * 50}</a></p>",
-    f"<nav>{_links(1, 30)}</nav>{_texts(200)}<form>{_W * 25}</form>", f"<p>{_W * 3}</p>", f"<a>{_W * 25}</a>",
-)
-LABELLED_PAGES = tuple(f"{before}<{tag}>{body}</{tag}>{after}" for tag in ("article", "main") for body in BODIES for before, after in AROUND) + FREE_PAGES
 
 # Element names of HTML by their part in a page.
 RAW = "script|style|title|textarea|noscript|template|svg|iframe|select|button|object|math"
@@ -69,9 +113,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header hgroup main menu nav ol section table td th ul".split())
 BOILER = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN = frozenset("article main".split())
+TEXTUAL = frozenset("p pre h1 h2 h3 h4 h5 h6 hgroup blockquote caption figcaption summary dd td address".split())
+ITEMS = frozenset("li dt option menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Names by which pages mark boilerplate; those of reader comments hold in a main container too.
-_AFFIX = r"(?:site|page|main|global|top|bottom|left|right|post|article|reader|user)[-_]", r"[-_](?:\d+|area|bar|block|body|bottom|box|buttons?|container|form|inner|item|left|links?|list|message|notice|popup|right|section|slot|text|top|unit|wrap|wrapper)"
+_AFFIX = r"(?:site|page|main|global|top|bottom|left|right|post|article|reader|user)[-_]", r"[-_](?:\d+|area|bar|block|body|bottom|box|buttons?|container|content|form|inner|item|left|links?|list|message|notice|popup|right|section|slot|text|top|unit|wrap|wrapper)"
 COMMENT_NAME = re.compile(rf"(?:{_AFFIX[0]})?(?:comments?|commentlist|disqus|discussion|replies|reply|respond)(?:{_AFFIX[1]})*", re.I).fullmatch
 LAYOUT_NAME = re.compile(rf"(?:{_AFFIX[0]})?(?:ads?|adverts?|advertisement|banner|breadcrumbs?|complementary|consent|contentinfo|cookies?|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promotion|related(?:[-_](?:posts|articles|stories))?|search|share|sharing|side[-_]?bar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:{_AFFIX[1]})*", re.I).fullmatch
 _TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.I | re.S)
@@ -100,15 +146,16 @@ class _Place(NamedTuple):
         element = self.element
         if tag in BOILER and element in ("", "header"):
             element = "header" if tag == "header" and self.main else tag
-        return _Place(tag, self.main or main, element if element != "header" or self.main else "boiler", layout or (self.layout and not main), comments or self.comments)
+        return _Place(tag, self.main or main, element if element != "header" or self.main else "boiler", not main and (layout or self.layout), comments or self.comments)
 
     def boiler(self, heading: bool) -> bool:
         return self.layout or self.comments or bool(self.element and not (self.element == "header" and heading))
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Text blocks in page order: text, words, words in links, in the main container, at a boilerplate place."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
+    """Text blocks in page order: text, words, words in links, in the main container, at a boilerplate place, and 0 for bare text, 1 for
+    a list item, 2 for a paragraph or heading."""
+    out: list[tuple[str, int, int, bool, bool, int]] = []
     stack = [_Place()]
     text: list[str] = []
     linked: list[str] = []
@@ -117,7 +164,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append((joined, len(joined.split()), len(html.unescape(" ".join(linked)).split()), leaf.main, leaf.boiler(leaf.tag in HEADINGS)))
+            out.append((joined, len(joined.split()), len(html.unescape(" ".join(linked)).split()), leaf.main, leaf.boiler(leaf.tag in HEADINGS), 2 if leaf.tag in TEXTUAL else int(leaf.tag in ITEMS)))
         text.clear()
         linked.clear()
 
@@ -152,30 +199,39 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, bool, bool, int]]) -> np.ndarray:
     words = np.array([b[1] for b in found], float)
     links = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     main = np.array([b[3] for b in found], float)
     near = lambda x, k: np.concatenate([[0.0], x[:-1]]) if k < 0 else np.concatenate([x[1:], [0.0]])
-    return np.column_stack([words, links, near(words, -1), near(links, -1), near(words, 1), near(links, 1), main if main.any() else np.full(len(found), 0.5), [float(b[4]) for b in found]])
+    return np.column_stack([words, links, near(words, -1), near(links, -1), near(words, 1), near(links, 1), main if main.any() else np.full(len(found), 0.5), [float(b[4]) for b in found], [float(b[5]) for b in found]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
-    """A decision tree by Gini impurity: (feature, threshold, low branch, high branch) or a class."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, leaf: int = LEAF):
+    """A decision tree by Gini impurity: (feature, threshold, low branch, high branch) or a class. Both sides of a split hold
+    ``leaf`` rows at least; a split whose sides agree is one leaf."""
+    major = int(2 * y.sum() >= len(y))
     if depth == 0 or len(set(y)) == 1:
-        return int(2 * y.sum() >= len(y))
+        return major
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= t
-            gini = sum(part.sum() * (1 - part.mean()) for part in (y[low], y[~low]))
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, t, low)
+        order = np.argsort(x[:, f], kind="stable")
+        v, good = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(v) + 1)
+        at = np.flatnonzero((v[1:] > v[:-1]) & (n[:-1] >= leaf) & (len(v) - n[:-1] >= leaf))
+        if len(at):
+            low, a, b = good[at], n[at], len(v) - n[at]
+            high = good[-1] - low
+            gini = low * (1 - low / a) + high * (1 - high / b)
+            k = int(gini.argmin())
+            if best is None or gini[k] < best[0] - 1e-9:
+                best = (gini[k], f, (v[at[k]] + v[at[k] + 1]) / 2)
     if best is None:
-        return int(2 * y.sum() >= len(y))
-    _, f, t, low = best
-    return f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+        return major
+    _, f, t = best
+    side = x[:, f] <= t
+    low, high = grow(x[side], y[side], depth - 1, leaf), grow(x[~side], y[~side], depth - 1, leaf)
+    return low if isinstance(low, int) and low == high else (f, t, low, high)
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
@@ -185,12 +241,12 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, classify(low, x), classify(high, x))
 
 
-def labelled() -> np.ndarray:
-    """The labelled table: the features of the labelled pages' blocks, and the label."""
+def labelled(seed: int = 0, n: int = PAGES) -> np.ndarray:
+    """The features of the labelled pages' blocks, and the label."""
     rows = []
-    for page in LABELLED_PAGES:
-        found = blocks(page)
-        rows.append(np.column_stack([features(found), [float(b[0].startswith("+")) for b in found]]))
+    for page in labelled_pages(seed, n):
+        if found := blocks(page):
+            rows.append(np.column_stack([features(found), [float(b[0].startswith("+")) for b in found]]))
     return np.concatenate(rows)
 
 

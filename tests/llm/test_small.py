@@ -298,7 +298,52 @@ def test_link_density_and_neighbours_decide():
             walk(t[2]), walk(t[3])
 
     walk(tree)
-    assert {"words", "link_density", "main", "boiler"} < used and used & {"prev_links", "next_links", "prev_words", "next_words"}
+    assert {"words", "link_density", "main", "boiler"} < used and used & {"prev_links", "next_links", "prev_words", "next_words"}, used
+
+
+def test_articles_keep_links_headings_and_short_texts():
+    tree, w = htmltext.trained(), "word "
+    for n in (1, 3, 5, 8, 10, 13, 18, 20, 25, 40):
+        for heading in (1, 3, 9):
+            page = f"<article><h1>{w * heading}</h1><p><a>{w * n}</a></p><p>{w * 30}</p></article>"
+            assert len(htmltext.article(page, tree).split()) == heading + n + 30, (n, heading)
+    for tag in ("article", "main"):
+        for name in ("post related", "sidebar", "widget ad", "newsletter-form"):
+            assert htmltext.article(f"<{tag} class='{name}'><p>{w * 30}</p></{tag}>", tree) == (w * 30).strip()
+        for name in ("comments", "reader-comments"):
+            assert htmltext.article(f"<{tag}><p>{w}</p><{tag} class='{name}'><p>{w * 30}</p></{tag}></{tag}>", tree) == w.strip()
+    assert htmltext.article("<p>Short page.</p><p>It has two lines.</p>", tree) == "Short page. It has two lines."
+    assert htmltext.article("<h1>Title</h1><p>One.</p><ul><li>First item.</li><li>Second.</li></ul>", tree) == "Title One. First item. Second."
+    for name in ("sponsored-content", "ad-content", "sidebar-links", "related-posts", "footer-content"):
+        assert htmltext.article(f"<article><p>{w * 20}</p><div class='{name}'>{w * 30}</div></article>", tree) == (w * 20).strip()
+
+
+def test_tree_on_held_out_pages():
+    """Other seeds than the training's; every leaf has many rows, and a long page takes no longer than its length asks."""
+    tree = htmltext.trained()
+    held = np.concatenate([htmltext.labelled(seed, 200) for seed in (1, 2)])
+    assert (htmltext.classify(tree, held[:, :-1]) == (held[:, -1] > 0)).mean() >= 0.99
+    rows = htmltext.labelled()
+
+    def leaves(t, x):
+        if isinstance(t, int):
+            return [len(x)]
+        side = x[:, t[0]] <= t[1]
+        return leaves(t[2], x[side]) + leaves(t[3], x[~side])
+
+    assert min(leaves(tree, rows)) >= htmltext.LEAF
+    long = "<article>" + "<p>some words of a very long page</p>" * 40_000 + "</article>"
+    assert len(htmltext.article(long, tree).split()) == 7 * 40_000
+
+
+def test_pages_edges(spark):
+    page = "<article><p>Some words of an article.</p></article>"
+    rows = [(1, "u", page, 5, "old"), (1, "u", page, 5, "old"), (None, None, None, None, None), (2, "u", "", 1, ""), (3, "u", "x" * 200_000, 1, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = htmltext.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.dtypes[3] == ("n_chars", "bigint")
+    assert Counter(r.text for r in got.where("page_id = 1").collect()) == {"Some words of an article.": 2}
+    assert [r.n_chars for r in got.where("page_id IS NULL OR page_id = 2").collect()] == [0, 0] and htmltext.extract(df.where("false")).count() == 0
 
 
 def test_articles_of_pages(spark):
