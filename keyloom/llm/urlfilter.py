@@ -14,24 +14,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash buckets, n-gram lengths, gradient steps, step length and L2 penalty.
-DIM, ORDERS, STEPS, RATE, PENALTY = 1024, (3, 4), 12, 4.0, 0.001
+DIM, ORDERS, STEPS, RATE, PENALTY = 16384, (3, 4), 16, 4.0, 0.001
 
 #: (host, path, verdict): a rule fits its host and all subdomains, where the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: The small labelled table: hosts with a path, for either label.
+#: The small labelled table: invented hosts with a path, for either label.
 BLOCK_URLS = (
-    "http://www.cheap-pills.org/en/1", "https://cheap-pills.net/buy/now", "http://m.pills-online.org/cheap/offer", "https://discount-pills.info/order", "http://spam-farm.org/en/12",
-    "https://www.spam-farm.net/links/77", "http://link-farm.biz/spam/page", "https://blog.spam-links.info/de/9", "http://adult-x.org/en/3", "https://m.adult-x.net/video/18", "http://www.adult-cams.biz/free",
-    "https://xxx-adult.info/pics", "http://casino-win.org/bonus", "https://www.online-casino.net/play/slots", "http://free-casino.biz/jackpot", "https://win-money.info/casino", "http://poker-bets.org/bonus",
-    "https://cheap-viagra.net/order", "http://replica-watches.org/cheap", "https://loans-fast.biz/apply", "http://cheap-loans.info/now", "https://hot-singles.net/adult", "http://warez-crack.org/serial", "https://crack-keygen.net/free",
-    "http://ads-track.org/click/1", "https://m.ads-track.info/pixel", "http://free-bets.org/odds", "https://www.free-bets.info/en/7", "http://casino-win.info/en/5", "http://ad-tracker.biz/banner",
+    "http://www.discount-tablets.org/en/1", "https://pills-express.com/buy/now", "http://m.order-pills.org/offer/cheap", "https://cheapmeds.info/order", "http://cheap-replica.org/en/12", "https://generic-viagra.net/order",
+    "https://www.spam-links.net/links/77", "http://link-exchange.biz/spam/page", "https://blog.seo-farm.info/de/9", "http://content-farm.biz/es/41", "http://spammer.com/fr/302", "https://linkspam.net/en/88",
+    "http://adult-videos.org/en/3", "https://m.adultcams.com/video/18", "http://www.xxx-cams.biz/free", "https://hot-adult.info/pics", "https://adults-only.net/de/71", "http://singles-xxx.com/es/5",
+    "http://grand-casino.org/bonus", "https://www.online-casino.com/play/slots", "http://casinoking.biz/jackpot", "https://win-money.info/casino", "http://lucky-win.org/en/640", "http://casino-games.com/fr/19",
+    "http://poker-bets.org/bonus", "https://sports-bets.com/odds", "http://betsonline.info/en/7", "https://freebet.biz/de/55", "https://loans-fast.biz/apply", "http://free-loans.info/now",
+    "http://ads-server.com/click/1", "https://m.adstats.info/pixel", "http://ad-tracker.biz/banner", "https://track-clicks.net/en/90", "http://tracking-ads.com/es/2", "http://free-cracks.org/serial", "https://keygen-free.net/download", "http://free-gifts.org/de/31",
 )
 ALLOW_URLS = (
-    "https://www.thering.org/en/334/", "http://blog.ththan.org/en/960", "https://thther.org/en/685", "http://therin.net/en/770", "https://m.theron.net/de/25", "https://tionble.org/es/533/", "http://www.ththen.org/en/148.html",
-    "https://blog.theres.net/de/925", "http://ththnt.org/fr/414", "https://news.world.org/2024/05/report.html", "http://www.university.edu/research/paper", "https://docs.library.org/manual/index.html", "http://museum.org/history/art",
-    "https://www.city-council.org/services/water", "http://weather.net/forecast/today", "https://blog.garden.org/roses/spring", "http://science.org/articles/physics", "https://www.school.net/teachers/lesson", "http://recipes.org/bread/wheat",
-    "https://travel.net/guide/rivers", "http://www.hospital.org/health/advice", "https://forum.cycling.net/topic/88", "http://radio.org/music/jazz", "https://maps.org/country/rivers",
+    "https://www.riverstone.org/en/334/", "http://blog.marlow.org/en/960", "https://tellin.com/en/685", "http://harrand.net/en/770", "https://m.orchard.com/de/25", "https://nationwide.org/es/533/", "http://www.thorne.com/en/148.html",
+    "https://blog.leather.net/de/925", "http://northwind.com/fr/414", "https://news.world.org/2024/05/report.html", "http://www.university.edu/research/paper", "https://docs.library.org/manual/index.html", "http://museum.org/history/art",
+    "https://www.city-council.org/services/water", "http://weather.com/forecast/today", "https://blog.garden.org/roses/spring", "http://science.org/articles/physics", "https://www.school.net/teachers/lesson", "http://recipes.com/bread/wheat",
+    "https://travel.net/guide/rivers", "http://www.hospital.org/health/advice", "https://forum.cycling.net/topic/88", "http://radio.org/music/jazz", "https://maps.com/country/rivers", "http://m.weaver.org/fr/71", "https://www.another.net/es/12",
+    "http://other-things.com/en/903", "https://blog.nineteen.org/de/16", "http://entire.net/fr/250", "https://m.together.org/es/8", "http://www.stationer.com/en/61", "https://either.org/de/777", "http://blog.mother.net/en/45", "https://theory.com/en/512",
+    "http://harvest.org/es/309", "https://www.thirteen.net/fr/64", "http://listing.org/en/27", "https://gather.com/de/140", "http://m.heather.org/es/95", "https://question.org/en/581", "http://tradition.com/en/33", "https://blog.tension.com/fr/118",
+    "http://www.rather.org/de/402", "https://northern.net/en/76", "http://eastern.com/en/5", "https://cloth.net/es/67",
 )
 
 
@@ -83,6 +87,11 @@ def _score(found: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double")) + F.lit(weights[-1])
 
 
+def same_host_fold(url: Column, folds: int = 5) -> Column:
+    """Fold of a labelled url: those of one host name, its label before the last, are never on both sides of a split."""
+    return F.pmod(F.xxhash64(F.regexp_extract(split_url(url)[0], r"([^.]+)\.[^.]+$", 1)), F.lit(folds)).cast("int")
+
+
 def train(table: DataFrame, url: str = "url", label: str = "blocked", steps: int = STEPS) -> list[float]:
     """Weights of the buckets and the bias. A step sums the gradient over the labelled table by bucket."""
     host, path = split_url(F.col(url))

@@ -189,13 +189,27 @@ def test_url_query_equals_brute_force(spark):
 
 
 def test_urls_held_out(spark):
-    """Five folds of the labelled table, each judged by the others' weights."""
-    table = urlfilter.labelled(spark).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(5))).cache()
+    """Five folds of the labelled table by host name, each judged by the others' weights. No host label of the pages is in the table."""
+    table = urlfilter.labelled(spark).withColumn("fold", urlfilter.same_host_fold(F.col("url"))).cache()
     right = 0
     for k in range(5):
         out = urlfilter.judge(table.where(F.col("fold") == k), urlfilter.train(table.where(F.col("fold") != k)), rules=())
         right += out.where("(verdict = 'block') = (blocked = 1.0)").count()
     assert right >= 0.75 * table.count()
+    pages = {label for r in spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet").select("url").distinct().collect() for label in r.url.split("://")[1].split("/")[0].split(".")}
+    own = {r.host.split(".")[-2] for r in table.select(urlfilter.split_url(F.col("url"))[0].alias("host")).collect()}
+    assert not own & pages
+
+
+def test_url_edges(spark):
+    """An empty table, repeated rows, a url of 200,000 characters, no scheme and characters of any kind."""
+    df = spark.createDataFrame([(1, "http://a.org/" + "x" * 200_000), (1, "http://a.org/" + "x" * 200_000), (None, None), (2, "://"), (3, "http://ÄÖ\u0130.com/\n?"), (4, "a://b://c")], "page_id long, url string")
+    weights = urlfilter.train(urlfilter.labelled(spark))
+    got = urlfilter.judge(df, weights)
+    assert got.count() == 6 and got.where("page_id = 1").distinct().count() == 1 and urlfilter.judge(df.where("false"), weights).count() == 0
+    by = {r.page_id: (r.host, r.path, r.rule) for r in got.collect()}
+    assert by[2] == ("", "", None) and by[3] == ("ÄÖ\u0130.com", "/\n", "com/") and by[4] == ("b:", "//c", None)
+    assert urlfilter.judge(df, urlfilter.train(urlfilter.labelled(spark).where("false"))).count() == 6
 
 
 # --- token counts
