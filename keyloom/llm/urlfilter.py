@@ -55,19 +55,26 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return chosen
 
 
-def _bucket(kind: str, part: Column, n: int):
-    return lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(part, i, F.lit(n))), F.lit(DIM)).cast("int")
+def _grams(kind: str, part: Column) -> Column:
+    """Buckets of the n-grams of one part. Its characters are taken apart once, so that the work follows the length."""
 
+    def bucket(characters: Column, n: int):
+        return lambda i: F.pmod(F.xxhash64(F.lit(kind), F.concat(*(F.element_at(characters, i + k) for k in range(n)))), F.lit(DIM)).cast("int")
 
-def buckets(host: Column, path: Column) -> Column:
-    """Sorted distinct buckets of the n-grams of ``^host$`` and of the path, each hashed with its kind."""
-    found = []
-    for kind, part in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", path)):
+    def of(characters: Column) -> Column:
+        found = []
         for n in ORDERS:
-            last = F.length(part) - (n - 1)
+            last = F.size(characters) - (n - 1)
             at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            found.append(F.transform(at, _bucket(kind, part, n)))
-    return F.array_distinct(F.concat(*found))
+            found.append(F.transform(at, bucket(characters, n)))
+        return F.concat(*found)
+
+    return F.transform(F.array(F.regexp_extract_all(part, F.lit("(?s)(.)"), F.lit(1))), of)[0]
+
+
+def buckets(host: Column, path: Column) -> Column:
+    """Distinct buckets of the n-grams of ``^host$`` and of the path, each hashed with its kind."""
+    return F.array_distinct(F.concat(_grams("h", F.concat(F.lit("^"), host, F.lit("$"))), _grams("p", path)))
 
 
 def labelled(spark: SparkSession) -> DataFrame:
