@@ -565,11 +565,26 @@ def test_decontamination_small(spark, edge, empty):
     assert (row.item_id, row.exact, row.n_words) == ("2", [1], 2)
     assert decontam.decontaminate(edge, items).count() == edge.count() and decontam.decontaminate(empty, items).count() == 0
     assert not decontam.decontaminate(docs, items.limit(0)).where("contaminated").count()
-    tests, held, blocks = decontam.windows(items, block=1)
-    assert blocks == tests.count() == 4 and sorted(r.item for r in held.collect()) == ["1", "1", "2"]
+    tests, held = decontam.windows(items)
+    assert tests.count() == 4 and sorted(r.item for r in held.collect()) == ["1", "1", "2"]
     assert decontam.stage(spark, edge, SF).columns == edge.columns
 
 
+def test_decontamination_in_small_shards_and_blocks(spark, monkeypatch):
+    """Shards of few words, one window in a row, and a filter so small that it lets most terms through: the same rows."""
+    docs, items = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontam.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(decontam, "BROADCAST", 100)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 7)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 1024)
+    assert sorted(map(tuple, decontam.decontaminate(docs, items).collect())) == want
+    index = decontam.build_index(docs)
+    tests, _ = decontam.windows(items)
+    met = decontam._meetings(index, tests).selectExpr("shard", "size(windows) AS n").collect()
+    assert 0 < sum(r.n for r in met) < 0.5 * tests.count() * index.count()  # a window meets only shards that hold its rarest term
+
+
 # --- media and shards
 
 
