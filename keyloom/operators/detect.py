@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.crypto import lookup
+from keyloom.functions.crypto import FAMILY_FULL, algorithm_family, lookup
+from keyloom.operators import code
 
 #: Where an ASCII word ends; ``\b`` would treat letters beyond ASCII as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -245,18 +246,30 @@ CALLS = (
 )
 
 
-def strip_comments(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(out, r"(?m)(?:(?<!:)//|#).*$", "")
+#: Rows of a dictionary at most: it is broadcast.
+MAX_CALLS = 50_000
 
 
 def scan_calls(spark: SparkSession, files: DataFrame, dictionary=CALLS) -> DataFrame:
-    """Dotted call tokens with their first literal argument, joined to a (language, token) dictionary."""
+    """Dotted call tokens outside of comments, joined to a (language, token) dictionary. ``argument`` is the call's first one if it is a
+    literal, or a variable to which a literal was last assigned before; ``resolved_family`` is the
+    argument's where the dictionary leaves it open."""
+    if len(dictionary) > MAX_CALLS:
+        raise ValueError(f"a dictionary has {MAX_CALLS} calls at most")
     table = F.broadcast(spark.createDataFrame(list(dictionary), "lang string, token string, primitive string, family string, severity string"))
-    lines = explode_lines(files.withColumn("content", strip_comments(F.col("content")))).withColumn("lang", language(F.col("path")))
-    pattern = r"([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)*)\("
-    found = lines.where(F.contains("text", F.lit("("))).select("path", "line", "lang", F.regexp_extract("text", pattern + r"\s*[\"']([^\"']*)[\"']", 2).alias("argument"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("token"))
-    return found.join(table, ["lang", "token"])
+    lang = language(F.col("path"))
+    lines = explode_lines(files.select("path", code.strip_comments(F.col("content"), lang).alias("content"))).withColumn("lang", lang)
+    name, value = r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)*", r"[\"'][^\"'\n]*[\"']|\$?[A-Za-z_][A-Za-z0-9_]*(?=\s*[,)])"
+    calls = lines.where(F.contains("text", F.lit("("))).select("path", "line", "lang", F.explode(F.regexp_extract_all("text", F.lit(rf"({name}\((?:\s*(?:{value}))?)"), F.lit(1))).alias("call"))
+    calls = calls.select("path", "line", "lang", F.substring_index("call", "(", 1).alias("token"), F.trim(F.regexp_extract("call", r"\((.*)$", 1)).alias("given")).join(table, ["lang", "token"])
+    literal = F.col("given").rlike("^[\"']")
+    known = code.assignments(lines)
+    open_ = calls.where(~literal & (F.col("given") != ""))
+    met = code.as_of(known, open_.withColumns({"name": F.ltrim(F.col("given"), F.lit("$")), "line": F.col("line") + 1})).withColumn("line", F.col("line") - 1).drop("name")
+    own = calls.where(literal | (F.col("given") == "")).withColumn("value", F.when(literal, F.substring("given", 2, F.length("given") - 2)))
+    rows = own.unionByName(met).withColumn("argument", F.coalesce("value", F.lit("")))
+    family = F.when((F.col("family") == "unknown") & (F.col("argument") != ""), algorithm_family(F.col("argument"), table=FAMILY_FULL)).otherwise(F.col("family"))
+    return rows.select("path", "line", "lang", "argument", "token", "primitive", "family", "severity", family.alias("resolved_family"))
 
 
 def split_cipher_spec(spec: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions import crypto as X
+from keyloom.operators import code
 
 
 def newest_first(rows: DataFrame, time: str, key: str) -> DataFrame:
@@ -215,9 +216,7 @@ def import_gate(findings: DataFrame, imports: DataFrame) -> DataFrame:
 
 def assign_then_use(assignments: DataFrame, uses: DataFrame) -> DataFrame:
     """Each use of a variable with the literal last assigned to it on an earlier line of its file."""
-    before = uses.select("path", "name", F.col("line").alias("use_line")).distinct().join(assignments, ["path", "name"]).where(F.col("line") < F.col("use_line"))
-    value = before.groupBy("path", "name", "use_line").agg(F.max_by("value", F.struct("line", "value")).alias("value"))
-    return uses.withColumnRenamed("line", "use_line").join(value, ["path", "name", "use_line"])
+    return code.as_of(assignments, uses).where("value IS NOT NULL").withColumnRenamed("line", "use_line")
 
 
 def normalization_tally(rows: DataFrame, allowed: dict[str, tuple[str, ...]], examples: int = 10) -> DataFrame:
