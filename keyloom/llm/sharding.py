@@ -256,7 +256,6 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
 
     def made() -> DataFrame:
         plan = reshard(sizes(docs, old))
-        plan = plan._replace(rows=written(plan.rows, "plan"))
         path = scratch(spark, "shards")
         rewrite(docs, old, plan, path, fresh=True)
         files = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, shard int").parquet(path)
