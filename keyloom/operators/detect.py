@@ -326,15 +326,6 @@ def fingerprint(rule: Column, path: Column, snippet: Column) -> Column:
     return F.sha2(F.concat_ws(":", rule, path, text), 256)
 
 
-def scan_byte_constants(files: DataFrame, constants: tuple[tuple[str, str, str], ...]) -> DataFrame:
-    """First constant of each (family, primitive) that binary content holds, in the order of the table. ``constants``: (family, primitive, hex)."""
-    out = None
-    for i, (family, primitive, code) in enumerate(constants):
-        own = files.where(F.contains("content", F.unhex(F.lit(code)))).select("path", F.lit(i).alias("ord"), F.lit(family).alias("family"), F.lit(primitive).alias("primitive"), F.lit(code).alias("code"))
-        out = own if out is None else out.unionByName(own)
-    return out.groupBy("path", "family", "primitive").agg(F.min_by("code", "ord").alias("code"))
-
-
 def library_banners(files: DataFrame) -> DataFrame:
     """One row per file and library whose version banner is in it; binary content is read as ISO-8859-1."""
     raw = files.schema["content"].dataType.simpleString() == "binary"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import code, detect, rules
+from keyloom.operators import binary, code, detect, rules
 from keyloom.plans.registry import query
 from keyloom.sources import adapters as A
 
@@ -90,3 +90,21 @@ def fingerprint_code(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), A._pick([c for _, c in SNIPPETS], k).alias("code"), detect.language(A._pick([f"a.{e}" for e in _EXT], k)).alias("lang"))
     signed = docs.withColumn("signature", code.signature(F.col("code"), F.col("lang")))
     return signed.select("doc_id", "signature", F.sha2(F.concat_ws(":", F.lit("r-7"), "source", "signature").cast("binary"), 256).alias("fingerprint"))
+
+
+#: (hex, after the text's end): what documents hold beside their text, as bytes.
+_BYTES = (
+    ("637c777bf26b6fc53001672bfed7ab76ca82c97dfa5947f0add4a2af9ca472c0", ""), ("00", "2a864886f70d0101"), ("428a2f9871374491b5c0fbcfe9b5dba5", "98"), ("982f8a4291443771cffbc0b5a5dbb5e9", "608648016503040201"),
+    ("78a46ad756b7c7e8db702024eecebdc1", "ffff"), ("243f6a8885a308d313198a2e03707344", "2b6570"), ("67452301efcdab8998badcfe10325476c3d2e1f0", ""), ("637c777bf26b6fc5", "01"), ("657870616e642033322d62797465206b", "2a8648ce3d0403"),
+)
+
+
+@query("SELECT doc_id, name, family, primitive, severity, CAST(octet_length(encode(coalesce(text, ''))) + shift AS BIGINT) AS at FROM documents JOIN (VALUES (0, 'AES S-box', 'aes', 'block-cipher', 'info', 0), (1, 'RSA identifier', 'rsa', 'pke', 'info', 1), (2, 'SHA-256 round constants', 'sha-256', 'hash', 'info', 0), "
+       "(3, 'SHA-256 round constants, little-endian', 'sha-256', 'hash', 'info', 0), (4, 'MD5 table', 'md5', 'hash', 'high', 0), (5, 'Blowfish P-array', 'blowfish', 'block-cipher', 'medium', 0), (5, 'Ed25519 identifier', 'ed25519', 'signature', 'info', 16), (6, 'SHA-1 initial state', 'sha1', 'hash', 'high', 0), "
+       f"(8, 'ChaCha20 constant', 'chacha20', 'stream-cipher', 'info', 0), (8, 'ECDSA identifier', 'ecdsa', 'signature', 'info', 16)) t(k, name, family, primitive, severity, shift) ON doc_id % {len(_BYTES)} = k UNION ALL "
+       "SELECT doc_id, 'Ed25519 identifier', 'ed25519', 'signature', 'info', CAST(octet_length(encode(split_part(text, '+ep', 1))) AS BIGINT) FROM documents WHERE contains(text, '+ep')", plain=True)
+def detect_byte_constants(spark, d):
+    """Documents as bytes with constants behind their text. The identifier of Ed25519 is the text ``+ep``."""
+    k = F.col("doc_id") % len(_BYTES)
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.unhex(A._pick([a + b for a, b in _BYTES], k))).alias("content"))
+    return binary.scan_byte_constants(docs).withColumnRenamed("path", "doc_id")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import code, detect, rules
+from keyloom.operators import binary, code, detect, rules
 from keyloom.plans import code as plans
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +121,36 @@ def test_a_rule_is_tried_on_code(spark):
     assert rules.dry_run(spark, rule, "").count() == 0
     with pytest.raises(ValueError):
         rules.dry_run(spark, {"id": "t", "languages": ["go"], "pattern": "$X"}, "x")
+
+
+def test_tables_of_the_standards():
+    by = {c.name: c for c in binary.known_constants()}
+    assert by["AES S-box"].data[:16].hex() == "637c777bf26b6fc53001672bfed7ab76" and by["AES inverse S-box"].data[:8].hex() == "52096ad53036a538"
+    assert by["SHA-256 round constants"].data[:8].hex() == "428a2f9871374491" and by["SHA-512 round constants"].data[:8].hex() == "428a2f98d728ae22"
+    assert by["MD5 table"].data[:4].hex() == "78a46ad7" and by["Blowfish P-array"].data.hex().startswith("243f6a8885a308d3") and by["Blowfish P-array"].data.hex().endswith("9216d5d98979fb1b")
+    assert by["SHA-256 initial state, little-endian"].data[:4].hex() == "67e6096a" and list(by["DES initial permutation"].data[:9]) == [58, 50, 42, 34, 26, 18, 10, 2, 60]
+    assert by["DES initial permutation"].data[32:34] == bytes([57, 49]) and by["RSA identifier"].data.hex() == "2a864886f70d0101" and by["Ed25519 identifier"].data.hex() == "2b6570"
+
+
+def test_byte_constants_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    table = [binary.ByteConstant(f"c{i}", f"f{i % 4}", f"p{i % 2}", bytes(rng.choices(b"ab\x00\xff", k=rng.randint(1, 6))), rng.randint(0, 7)) for i in range(14)]
+    table.append(binary.ByteConstant("none", "f9", "p", b""))
+    files = [(i, None if i == 3 else bytes(rng.choices(b"ab\x00\xffc", k=rng.randint(0, 60)))) for i in range(80)] + [(5, b"ab" * 100_000)]
+
+    def by_hand(data):
+        out, seen = [], set()
+        for c in table:
+            if c.needle and (c.family, c.primitive) not in seen and (at := data.find(c.needle)) >= 0:
+                seen.add((c.family, c.primitive))
+                out.append((c.name, c.family, c.primitive, "info", at))
+        return out
+
+    df = spark.createDataFrame(files, "path int, content binary").repartition(3)
+    want = sorted((i, *r) for i, data in files for r in by_hand(data or b""))
+    assert sorted(map(tuple, binary.scan_byte_constants(df, tuple(table)).collect())) == want
+    assert binary.scan_byte_constants(df, ()).count() == 0 and binary.scan_byte_constants(df.where("false")).count() == 0
+    plan = binary.scan_byte_constants(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
