@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ from keyloom.streaming import streams
 def _folder(spark) -> str:
     """A new path in the cluster's shared folder; a local master without one has a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='keyloom-')).rstrip('/')}/keyloom-stream-{uuid.uuid4().hex}"
 
@@ -37,9 +38,16 @@ def _observations(spark, d) -> DataFrame:
     return _events(spark, d).select("event_id", F.col("user_id").alias("project_id"), F.concat(F.lit("svc-"), "event_type").alias("service_name"), A._pick(("1.0", "1.1", "1.2", "1.3"), k).alias("tls_version"), F.col("ts").alias("observed_at"))
 
 
+def _done(spark, name: str) -> None:
+    """Delete a folder that nothing reads again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _run(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     folder = _folder(spark)
     streams.run_available(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
+    _done(spark, f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/batch=*")
 
 
@@ -73,6 +81,8 @@ def stream_lifecycle(spark, d):
     uploads = _events(spark, d).select(F.col("user_id").alias("project_id"), F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("fingerprint")).dropDuplicates()
     streams.lifecycle(uploads, folder).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     last = streams._batches(spark, f"{folder}/findings")[-1]
+    _done(spark, f"{folder}/checkpoint")
+    _done(spark, f"{folder}/history")
     return spark.read.parquet(f"{folder}/findings/batch={last}").select("project_id", "fingerprint", "status")
 
 
@@ -82,4 +92,18 @@ def stream_rule_delta(spark, d):
     rules = _events(spark, d).select(F.col("event_id").alias("rule_id"), F.col("event_type").alias("org_id"), F.col("ts").alias("updated_at"))
     store = lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
     streams.rule_delta(rules, "click", "2024-01-10 00:00:00", store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    _done(spark, f"{folder}/checkpoint")
     return spark.read.schema(rules.schema).parquet(f"{folder}/out/batch=*").select("rule_id", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS project_id, date_trunc('day', ts) AS upload, 'f' || (event_id % 50) AS fingerprint FROM events),
+u AS (SELECT project_id, upload, row_number() OVER (PARTITION BY project_id ORDER BY upload) AS n FROM (SELECT DISTINCT project_id, upload FROM e)),
+p AS (SELECT project_id, fingerprint, n, lag(n) OVER w AS before, lead(n) OVER w AS after FROM e JOIN u USING (project_id, upload) WINDOW w AS (PARTITION BY project_id, fingerprint ORDER BY n)),
+c AS (SELECT project_id, fingerprint, n, CASE WHEN before IS NOT NULL THEN 'resolved' END AS old_status, 'open' AS new_status FROM p WHERE before IS NULL OR before < n - 1 UNION ALL SELECT project_id, fingerprint, n + 1, 'open', 'resolved' FROM p WHERE coalesce(after, n + 2) > n + 1)
+SELECT project_id, fingerprint, CAST(epoch_us(upload) AS BIGINT) AS upload_us, old_status, new_status, count(*) FILTER (old_status = 'resolved') OVER (PARTITION BY project_id, fingerprint ORDER BY n) AS reopen_count FROM c JOIN u USING (project_id, n)""", plain=True)
+def stream_lifecycle_history(spark, d):
+    """Every change of a finding over the uploads of its project, one upload a day, from keyed state."""
+    e = _events(spark, d).select(F.col("user_id").alias("project_id"), F.date_trunc("day", "ts").alias("upload"), F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("own"))
+    uploads = e.select("project_id", "upload", F.explode(F.array("own", F.lit(None))).alias("fingerprint"))
+    out = _run(spark, streams.lifecycle_changes(uploads))
+    return out.select("project_id", "fingerprint", F.unix_micros("upload").alias("upload_us"), "old_status", "new_status", F.col("reopen_count").cast("long").alias("reopen_count"))

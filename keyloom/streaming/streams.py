@@ -73,17 +73,84 @@ def lifecycle(uploads: DataFrame, folder: str):
     return uploads.writeStream.foreachBatch(match)
 
 
+#: What the state of a project's share holds, and the changes that it emits.
+_STATE = "upload long, fingerprints array<string>, open array<boolean>, reopened array<int>"
+_CHANGE = "project_id long, fingerprint string, upload timestamp, old_status string, new_status string, reopen_count int"
+
+
+def lifecycle_changes(uploads: DataFrame, late: str = "1 day", keep_days: int = 365, buckets: int = 4) -> DataFrame:
+    """Changes of state of findings, from a stream of uploads (project_id, upload, fingerprint; ``upload`` is its time, and a null fingerprint
+    says that it happened, which every upload needs once). A finding that an upload lacks is resolved, one that comes back reopens.
+
+    State is kept by project and ``buckets`` shares of its fingerprints: a batch touches the projects it holds and nothing else, and a large project
+    is dealt over tasks; every share hears of every upload. The uploads of a batch are taken in their order. Rows of an upload come in
+    one batch; those of one that is no newer than the last change nothing and are emitted with ``new_status`` "late", or, behind the watermark,
+    left out and counted (:func:`dropped_rows`). The state of
+    a project without an upload for ``keep_days`` behind the watermark goes."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    share = F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int")
+    shares = F.when(F.col("fingerprint").isNull(), F.array(*map(F.lit, range(buckets)))).otherwise(F.array(share))
+    rows = uploads.select(F.col("project_id").cast("long"), F.col("upload").cast("timestamp"), "fingerprint").withWatermark("upload", late).withColumn("share", F.explode(shares))
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        project, _ = key
+        last, names, is_open, reopened = state.get if state.exists else (-(1 << 62), [], [], [])
+        known = {n: [o, r] for n, o, r in zip(names, is_open, reopened)}
+        new = pd.concat(list(frames), ignore_index=True)
+        new["us"] = new["upload"].to_numpy().astype("datetime64[us]").astype("int64")
+        out = []
+        for us, own in sorted(new.groupby("us"), key=lambda g: g[0]):
+            present = set(own["fingerprint"].dropna())
+            if us <= last:
+                out += [(n, us, None, "late", 0) for n in sorted(present)]
+                continue
+            last = us
+            for n, (o, r) in known.items():
+                if o and n not in present:
+                    known[n] = [False, r]
+                    out.append((n, us, "open", "resolved", r))
+            for n in sorted(present):
+                if n not in known:
+                    known[n] = [True, 0]
+                    out.append((n, us, None, "open", 0))
+                elif not known[n][0]:
+                    known[n] = [True, known[n][1] + 1]
+                    out.append((n, us, "resolved", "open", known[n][1]))
+        state.update((last, list(known), [o for o, _ in known.values()], [r for _, r in known.values()]))
+        state.setTimeoutTimestamp(max(last // 1000 + keep_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"project_id": [project] * len(out), "fingerprint": [o[0] for o in out], "upload": pd.to_datetime([o[1] for o in out], unit="us"), "old_status": [o[2] for o in out], "new_status": [o[3] for o in out], "reopen_count": [o[4] for o in out]})
+
+    return rows.groupBy("project_id", "share").applyInPandasWithState(step, _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rule_delta(rules: DataFrame, org_id, since, store):
     """Writer of an organisation's rules that changed after ``since``, oldest first in a batch; its checkpoint knows what was sent."""
     changed = rules.where((F.col("org_id") == F.lit(org_id)) & (F.col("updated_at") > F.lit(since)))
     return changed.writeStream.foreachBatch(lambda batch, i: store(batch.orderBy("updated_at", "rule_id"), i))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what there is and stop. Modes that a file sink lacks write each batch into a folder of its own."""
+def dropped_rows(query) -> int:
+    """Rows that came behind the watermark so far and were left out, of a query that has run."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(query) -> int:
+    """Keys in the query's state after its last batch with one."""
+    return next((sum(int(op["numRowsTotal"]) for op in p["stateOperators"]) for p in reversed(query.recentProgress) if p["stateOperators"]), 0)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Process what there is and stop; returns the query, for :func:`dropped_rows` and :func:`state_rows`. Modes that a file sink lacks write each batch into a folder of its own."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", path)
     else:
         writer = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"))
-    writer.start().awaitTermination()
+    query = writer.start()
+    query.awaitTermination()
+    return query
