@@ -3,9 +3,13 @@ all give (path, line, rule_id, name, severity, detail) rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.crypto import lookup
 from keyloom.operators.detect import WEAK_CIPHERS, explode_lines, is_boring
 
 #: A word boundary between ASCII characters, as in the patterns' own dialect.
@@ -93,3 +97,42 @@ def scan_kubernetes(files: DataFrame) -> DataFrame:
         F.when(has("secretName:"), _hit("file-k8s-ingress-tls", F.concat(F.lit("Ingress TLS secret: "), secret), "info")),
         F.when(text.rlike(data) & der.isNotNull(), _hit("file-k8s-cert", F.concat(F.regexp_extract("text", data, 1), F.lit(" (k8s secret data)")), "info", F.sha2(der, 256)))))
     return lines.select("path", "line", F.inline(F.concat(single, each(has("ssl-ciphers"), weak, "weak-cipher", "Weak cipher in K8s annotation: "), each(has("ssl-protocols"), old, "weak-protocol", "Weak TLS protocol in K8s annotation: "))))
+
+
+# What tells the configuration of one server from the other's; both are looked for in a file.
+NGINX_MARKS = ("server {", "server{", "ssl_protocols", "ssl_ciphers", "ssl_certificate", "proxy_pass", "location", "upstream", "nginx")
+HTTPD_MARKS = ("SSLProtocol", "SSLCipherSuite", "SSLEngine", "SSLCertificateFile", "<VirtualHost", "ServerRoot", "LoadModule", "ServerName")
+
+
+def scan_server_config(files: DataFrame) -> DataFrame:
+    """Weak protocols, weak ciphers, and paths of certificates and keys in ``.conf`` files that hold a server's marks. Comment
+    lines say nothing; ciphers behind ``!`` are switched off; other protocols are no finding."""
+    holds = lambda marks: reduce(or_, (F.contains("content", F.lit(m)) for m in marks))
+    own = files.where(F.lower("path").endswith(".conf")).select("path", "content", holds(NGINX_MARKS).alias("nginx"), holds(HTTPD_MARKS).alias("httpd")).where("nginx OR httpd")
+    lines = own.select("path", "nginx", "httpd", F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> '' AND NOT text LIKE '#%'")
+    value = lambda directive: F.trim(F.regexp_replace(F.expr(f"substring(text, {len(directive) + 1})"), r"^\s+|\s+$", ""))
+    bare = lambda c: F.regexp_replace(c, ";$", "")
+    said = lambda rule, name, severity, detail: F.struct(F.lit(f"cbom-configfile-{rule}").alias("rule_id"), name.alias("name"), severity.alias("severity"), detail.alias("detail"))
+
+    def directive(server: str, name: str, found: Column) -> Column:
+        return F.when(F.col(server) & F.startswith("text", F.lit(name)), found).otherwise(F.array().cast("array<struct<rule_id:string,name:string,severity:string,detail:string>>"))
+
+    def protocols(server: str, tokens: Column) -> Column:
+        broken, weak = ("sslv2", "sslv3"), ("tlsv1", "tlsv1.1") if server == "httpd" else ("tlsv1", "tlsv1.0", "tlsv1.1")
+        canonical = (lambda t: lookup(F.lower(t), {"sslv2": "SSLv2", "sslv3": "SSLv3", "tlsv1": "TLSv1", "tlsv1.1": "TLSv1.1"}, "")) if server == "httpd" else (lambda t: t)
+        bad = F.filter(tokens, lambda t: F.lower(t).isin(*broken, *weak))
+        return F.transform(bad, lambda t: said(f"{server}-weak-protocol", F.concat(F.when(F.lower(t).isin(*broken), "Insecure protocol: ").otherwise("Weak TLS protocol: "), canonical(t)), F.when(F.lower(t).isin(*broken), "critical").otherwise("high"), canonical(t)))
+
+    def ciphers(server: str, text: Column) -> Column:
+        bad = F.filter(F.transform(F.split(text, ":"), lambda c: F.trim(c)), lambda c: c.isin(*WEAK_CIPHERS))
+        return F.transform(bad, lambda c: said(f"{server}-weak-cipher", F.concat(F.lit("Weak cipher: "), c), F.lit("high"), c))
+
+    quoted = F.regexp_replace(bare(value("ssl_ciphers")), "^[\"']+|[\"']+$", "")
+    signed = F.transform(F.split(value("SSLProtocol"), r"\s+"), lambda t: F.regexp_replace(t, r"^\+", ""))
+    key = F.startswith("text", F.lit("ssl_certificate_key"))
+    paths = F.when(key, F.array(said("nginx-private-key", F.concat(F.lit("TLS private key: "), bare(value("ssl_certificate_key"))), F.lit("info"), bare(value("ssl_certificate_key"))))).otherwise(
+        F.array(said("nginx-certificate", F.concat(F.lit("TLS certificate: "), bare(value("ssl_certificate"))), F.lit("info"), bare(value("ssl_certificate")))))
+    hits = F.concat(
+        directive("nginx", "ssl_protocols", protocols("nginx", F.transform(F.split(value("ssl_protocols"), r"\s+"), bare))), directive("nginx", "ssl_ciphers", ciphers("nginx", quoted)), directive("nginx", "ssl_certificate", paths),
+        directive("httpd", "SSLProtocol", protocols("httpd", signed)), directive("httpd", "SSLCipherSuite", ciphers("httpd", value("SSLCipherSuite"))))
+    return lines.select("path", (F.col("pos") + 1).alias("line"), F.inline(hits))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import binary, code, detect, rules
+from keyloom.operators import binary, code, configs, detect, rules
 from keyloom.plans.registry import query
 from keyloom.sources import adapters as A
 
@@ -108,3 +108,24 @@ def detect_byte_constants(spark, d):
     k = F.col("doc_id") % len(_BYTES)
     docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.unhex(A._pick([a + b for a, b in _BYTES], k))).alias("content"))
     return binary.scan_byte_constants(docs).withColumnRenamed("path", "doc_id")
+
+
+#: (extension, configuration) that documents begin with.
+_SERVERS = (
+    ("conf", "server {\n  ssl_protocols TLSv1 TLSv1.1 TLSv1.3 SSLv3;\n  # ssl_protocols SSLv2;\n  ssl_ciphers \"RC4:!MD5:HIGH:aNULL\";\n  ssl_certificate /etc/a.pem;\n  ssl_certificate_key /etc/a.key;\n}\n"),
+    ("conf", "ServerName x\nSSLProtocol all -SSLv2 +SSLv3 TLSv1 TLSv1.2\nSSLCipherSuite HIGH:!aNULL:DES-CBC3-SHA\n"), ("conf", "user = a\nprotocols are SSLv3 or so\n"),
+    ("txt", "ssl_protocols SSLv3;\nssl_protocols are SSLv3 or so\n"), ("CONF", "nginx\nssl_protocols\tTLSv1.2;\nssl_ciphers HIGH;\n"),
+)
+
+
+@query(f"SELECT 'etc/' || doc_id || '.' || {A._CASE(f'doc_id % {len(_SERVERS)}', [e for e, _ in _SERVERS])} AS path, line, 'cbom-configfile-' || rule AS rule_id, name, severity, detail FROM documents JOIN (VALUES "
+       "(0, 2, 'nginx-weak-protocol', 'Weak TLS protocol: TLSv1', 'high', 'TLSv1'), (0, 2, 'nginx-weak-protocol', 'Weak TLS protocol: TLSv1.1', 'high', 'TLSv1.1'), (0, 2, 'nginx-weak-protocol', 'Insecure protocol: SSLv3', 'critical', 'SSLv3'), "
+       "(0, 4, 'nginx-weak-cipher', 'Weak cipher: RC4', 'high', 'RC4'), (0, 4, 'nginx-weak-cipher', 'Weak cipher: aNULL', 'high', 'aNULL'), (0, 5, 'nginx-certificate', 'TLS certificate: /etc/a.pem', 'info', '/etc/a.pem'), (0, 6, 'nginx-private-key', 'TLS private key: /etc/a.key', 'info', '/etc/a.key'), "
+       "(1, 2, 'httpd-weak-protocol', 'Insecure protocol: SSLv3', 'critical', 'SSLv3'), (1, 2, 'httpd-weak-protocol', 'Weak TLS protocol: TLSv1', 'high', 'TLSv1'), (1, 3, 'httpd-weak-cipher', 'Weak cipher: DES-CBC3-SHA', 'high', 'DES-CBC3-SHA')) "
+       f"t(k, line, rule, name, severity, detail) ON doc_id % {len(_SERVERS)} = k", plain=True)
+def detect_server_configs(spark, d):
+    """Server configurations before the texts of all documents."""
+    k = F.col("doc_id") % len(_SERVERS)
+    docs = A.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = docs.select(F.concat(F.lit("etc/"), F.col("doc_id").cast("string"), F.lit("."), A._pick([e for e, _ in _SERVERS], k)).alias("path"), F.concat(A._pick([c for _, c in _SERVERS], k), "text").alias("content"))
+    return configs.scan_server_config(files)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import binary, code, detect, rules
+from keyloom.operators import binary, code, configs, detect, rules
 from keyloom.plans import code as plans
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +154,9 @@ def test_byte_constants_equal_brute_force(spark):
     assert binary.scan_byte_constants(df, ()).count() == 0 and binary.scan_byte_constants(df.where("false")).count() == 0
     plan = binary.scan_byte_constants(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_server_configs_need_their_marks(spark):
+    files = [("notes.txt", "ssl_protocols are SSLv3 or so"), ("a.conf", "protocols SSLv3"), ("b.conf", "nginx\n  ssl_protocols  tlsv1.0 ;\nssl_ciphers '!RC4:MD5';"), ("c.conf", "<VirtualHost *>\n SSLProtocol +tlsv1.1 -SSLv3\n#SSLCipherSuite RC4\nSSLCipherSuite RC4:EXP"), ("d.conf", None), ("e.conf", "")]
+    got = sorted((r.path, r.line, r.rule_id.removeprefix("cbom-configfile-"), r.detail) for r in configs.scan_server_config(spark.createDataFrame(files, "path string, content string")).collect())
+    assert got == [("b.conf", 2, "nginx-weak-protocol", "tlsv1.0"), ("b.conf", 3, "nginx-weak-cipher", "MD5"), ("c.conf", 2, "httpd-weak-protocol", "TLSv1.1"), ("c.conf", 4, "httpd-weak-cipher", "EXP"), ("c.conf", 4, "httpd-weak-cipher", "RC4")]
