@@ -21,16 +21,20 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Tokens, segments and loss-bearing tokens that a sequence holds at most.
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 BLOCK_ROWS, BLOCK_TOKENS = 4096, 8_000_000
+#: The same limits for turns of conversations: half of a sequence may bear loss.
+TURN_LIMITS = (2048, 64, 1024)
 END_ID = 1
 #: Distinct runs that a worker keeps.
 _CACHE = 250_000
@@ -236,6 +240,42 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     return docs.select(doc_id, text).mapInArrow(run, SCHEMA)
 
 
+TURNS = "conv_id {}, turn {}, start long, length long, loss_tokens long, turn_tokens long, sequence_id long, offset long"
+
+
+def pack_turns(turns: DataFrame, tokenizer_path: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+               bearing: tuple[str, ...] = ("assistant",), limits: tuple[int, int, int] = TURN_LIMITS) -> DataFrame:
+    """Instruction data: one row per piece of every turn. All ids of a turn whose role is among ``bearing`` bear loss, those of other turns
+    none, so that all three limits bind: a sequence holds so many loss-bearing tokens at most, and other turns fill its rest. A turn is
+    an example of its own, so a conversation of any length needs no task to itself. A null role bears no loss."""
+    kinds = [turns.schema[c].dataType.simpleString() for c in (conv_id, turn)]
+    schema = TURNS.format(*kinds)
+
+    def run(batches):
+        encode, first = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 36
+        head = next(batches, None)
+        if head is None:
+            return
+        key_types = [head.schema.field("key").type.field(k).type for k in ("c", "t")]
+        for keys, arrays in _blocks(chain([head], batches), encode):
+            order = sorted(range(len(keys)), key=lambda i: (*((keys[i][k] is None, keys[i][k] or 0) for k in ("c", "t")), arrays[i].tobytes()))
+            sizes = np.array([len(arrays[i]) for i in order], np.int64)
+            losses = np.where([keys[i]["b"] for i in order], sizes, 0)
+            pieces, used = pack(sizes, losses, limits)
+            rows = [(keys[order[i]]["c"], keys[order[i]]["t"], at, n, n if losses[i] else 0, int(sizes[i]), first + sequence, offset) for i, at, n, sequence, offset in pieces]
+            first += used
+            names = [x.split()[0] for x in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(zip(*rows), [*key_types, *[pa.int64()] * 6])], names=names)
+
+    bears = F.coalesce(F.col(role).isin(*bearing), F.lit(False))
+    source = turns.select(F.struct(F.col(conv_id).alias("c"), F.col(turn).alias("t"), bears.alias("b")).alias("key"), F.col(text).alias("text"))
+    return source.mapInArrow(run, schema)
+
+
+def pack_conversations(spark, sf_dir: str) -> DataFrame:
+    return pack_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), _path())
+
+
 def _path() -> str:
     import public_tokenizers
 

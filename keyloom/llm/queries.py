@@ -25,6 +25,7 @@ QUERIES = {
     "op11_line_dedup": linedup.op11_line_dedup,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_vector_codes": codes.op13_vector_codes,
+    "pack_conversations": packing.pack_conversations,
     "pipeline": pipeline,
 }
 

@@ -137,6 +137,33 @@ def test_ids_are_the_tokenizers_own():
         assert own.tolist() == e.ids, text
 
 
+def test_turns_are_packed_whole_within_live_limits(spark):
+    """Every id of every turn lies in one piece, no sequence breaks a limit, and the loss limit decides where it is reached."""
+    from tokenizers import Tokenizer
+
+    sf = SF.replace("0.001", "0.01")
+    tokenizer = Tokenizer.from_file(packing._path())
+    turns = {(r.conv_id, r.turn): (r.role, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in spark.read.parquet(f"{sf}/conversations.parquet").dropDuplicates(["conv_id", "turn"]).collect()}
+    turns_df = spark.read.parquet(f"{sf}/conversations.parquet").dropDuplicates(["conv_id", "turn"])
+    for limits in (packing.TURN_LIMITS, (512, 7, 100)):
+        rows = packing.pack_turns(turns_df, packing._path(), limits=limits).collect()
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in rows:
+            pieces[r.conv_id, r.turn].append(r)
+            sequences[r.sequence_id].append(r)
+        assert set(pieces) == set(turns)
+        for key, own in pieces.items():
+            own.sort(key=lambda r: r.start)
+            assert [r.start for r in own] == [sum(p.length for p in own[:i]) for i in range(len(own))] and sum(r.length for r in own) == turns[key][1] == own[0].turn_tokens
+            assert all(r.loss_tokens == (r.length if turns[key][0] == "assistant" else 0) for r in own)
+        for own in sequences.values():
+            own.sort(key=lambda r: r.offset)
+            assert [r.offset for r in own] == [sum(p.length for p in own[:i]) for i in range(len(own))]
+            assert sum(r.length for r in own) <= limits[0] and len(own) <= limits[1] and sum(r.loss_tokens for r in own) <= limits[2]
+    assert max(sum(r.loss_tokens for r in own) for own in sequences.values()) == limits[2]
+    assert packing.pack_conversations(spark, SF).count() > 0
+
+
 def test_packing_edges(spark, edge, empty):
     rows = packing.pack_documents(edge, packing._path()).collect()
     check_pieces(rows, [(r.doc_id, r.text) for r in edge.collect()])
