@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from keyloom.plans import code, configs, normalising, portal, registry, rollups, streaming  # noqa: F401
+from keyloom.plans import code, configs, imports, normalising, portal, registry, rollups, streaming  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
