@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -88,3 +89,36 @@ def colocation(findings: DataFrame) -> DataFrame:
     """Links between consecutive findings of a file."""
     w = W.partitionBy("project_id", "file").orderBy("line", "finding_id")
     return findings.select("project_id", "file", F.col("finding_id").alias("source"), F.lead("finding_id").over(w).alias("target")).where("target IS NOT NULL")
+
+
+def property_map(rows: DataFrame, columns: list[str]) -> Column:
+    """All leaves of columns by their path (``crypto.mode``) as text: structs and maps are gone down into, an array counts as the sorted set of its values."""
+
+    def leaves(value: Column, kind: T.DataType, path: str) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind for x in leaves(value[f.name], f.dataType, f"{path}.{f.name}")]
+        if isinstance(kind, T.MapType):
+            named = F.transform_keys(value.cast("map<string,string>"), lambda k, v: F.concat(F.lit(f"{path}."), k))
+            return [F.coalesce(named, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))]
+        if isinstance(kind, T.ArrayType):
+            inner = value.cast("array<string>") if not isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)) else F.transform(value, lambda v: F.to_json(v))
+            return [F.create_map(F.lit(path), F.array_join(F.array_sort(F.array_distinct(inner)), ","))]
+        return [F.create_map(F.lit(path), value.cast("string"))]
+
+    return F.map_concat(*(x for c in columns for x in leaves(F.col(c), rows.schema[c].dataType, c)))
+
+
+def diff_properties(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
+    """Two inventories by null-safe keys: added, removed, changed or unchanged, with every property that differs as (property, before, after) in
+    the order of names. Of several rows of a key the last by ``order`` counts; a property that one side lacks is null there."""
+
+    def last(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*(F.col(k).alias(f"{name}_{k}") for k in keys)).agg(F.max_by(F.struct(property_map(rows, columns).alias("p")), order)["p"].alias(name))
+
+    b, a = last(before, "b"), last(after, "a")
+    j = a.join(b, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys], "full_outer")
+    both = F.map_zip_with("b", "a", lambda k, x, y: F.when(~x.eqNullSafe(y), F.struct(k.alias("property"), x.alias("before"), y.alias("after"))))
+    found = F.array_sort(F.filter(F.map_values(both), lambda x: x.isNotNull()))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.size(found) > 0, "changed").otherwise("unchanged")
+    shown = [F.when(F.col("a").isNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys]
+    return j.select(*shown, change.alias("change"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), found).otherwise(F.array().cast("array<struct<property:string,before:string,after:string>>")).alias("changes"))

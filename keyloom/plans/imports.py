@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.operators import drift
 from keyloom.plans.registry import query
 from keyloom.sources import adapters as A
 from keyloom.sources import results
@@ -51,3 +52,24 @@ def import_policy_documents(spark, d):
     item = F.struct(F.col("finding_id").alias("bom-ref"), "name", F.struct(F.array(F.struct(F.col("file").alias("location"), "line")).alias("occurrences")).alias("evidence"), crypto.alias("cryptoProperties"))
     out = results.read_cbom_policy(_documents(f, item, "components"))
     return out.select("finding_id", "name", "file", "line", "asset_type", "family", "key_size", "protocol_version", "subject", "material_size", "severity")
+
+
+def _components(rows):
+    """Components with nested properties, as documents have them."""
+    algorithm = F.struct(F.substring_index("name", "-", 1).alias("family"), F.col("key_size").alias("size"), F.array(F.col("status"), F.col("severity"), F.col("status")).alias("functions"))
+    return rows.select("project_id", "file", F.col("rule_id").alias("ref"), F.struct(F.col("asset_type").alias("type"), algorithm.alias("algorithm")).alias("crypto"), F.create_map(F.lit("line"), F.col("line").cast("string")).alias("properties"), F.struct("scan_id", "seq", "part", "supp").alias("at"))
+
+
+@query(f"""WITH {A.SQL}, c AS (SELECT project_id, file, rule_id AS ref, seq % 2 AS side, asset_type, split_part(name, '-', 1) AS family, CAST(key_size AS VARCHAR) AS size, CASE WHEN status < severity THEN status || ',' || severity ELSE severity || ',' || status END AS functions, CAST(line AS VARCHAR) AS line FROM findings
+ QUALIFY row_number() OVER (PARTITION BY project_id, file, rule_id, seq % 2 ORDER BY scan_id DESC, seq DESC, part DESC, supp DESC) = 1),
+j AS (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file, b.file) AS file, coalesce(a.ref, b.ref) AS ref, a.ref IS NOT NULL AS in_a, b.ref IS NOT NULL AS in_b,
+ unnest([{', '.join(f"{{'p': '{p}', 'x': b.{c}, 'y': a.{c}}}" for p, c in (('crypto.algorithm.family', 'family'), ('crypto.algorithm.functions', 'functions'), ('crypto.algorithm.size', 'size'), ('crypto.type', 'asset_type'), ('properties.line', 'line')))}]) AS v
+ FROM (SELECT * FROM c WHERE side = 1) a FULL JOIN (SELECT * FROM c WHERE side = 0) b ON a.project_id = b.project_id AND a.file = b.file AND a.ref = b.ref)
+SELECT project_id, file, ref, CASE WHEN NOT in_b THEN 'added' WHEN NOT in_a THEN 'removed' WHEN count(*) FILTER (v.x IS DISTINCT FROM v.y) > 0 THEN 'changed' ELSE 'unchanged' END AS change,
+ CASE WHEN in_a AND in_b THEN coalesce(string_agg(v.p || ':' || coalesce(v.x, '?') || '>' || coalesce(v.y, '?'), ' ' ORDER BY v.p) FILTER (v.x IS DISTINCT FROM v.y), '') ELSE '' END AS changes FROM j GROUP BY project_id, file, ref, in_a, in_b""", plain=True)
+def drift_properties(spark, d):
+    """Components of odd and even findings compared property by property."""
+    f = A.findings(spark, d)
+    out = drift.diff_properties(_components(f.where("seq % 2 = 0")), _components(f.where("seq % 2 = 1")), ["project_id", "file", "ref"], ["crypto", "properties"], "at")
+    said = F.transform("changes", lambda c: F.concat(c["property"], F.lit(":"), F.coalesce(c["before"], F.lit("?")), F.lit(">"), F.coalesce(c["after"], F.lit("?"))))
+    return out.withColumn("changes", F.array_join(said, " "))

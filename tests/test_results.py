@@ -47,3 +47,16 @@ def test_policy_documents_show_their_own_properties(spark, own):
     assert shown[own] == want[own] and all(set(v) == {None} for k, v in shown.items() if k != own)
     assert (one.finding_id, one.file, one.line) == ("CBOM-1", "f", 4) and (one.quantum_status, one.severity) == (("broken", "critical") if own == "algorithm" else ("unknown", "info"))
     assert (plain.finding_id, plain.asset_type, plain.quantum_status, plain.severity) == ("r", None, None, None)
+
+
+def test_diff_names_every_property(spark):
+    from keyloom.operators import drift
+
+    schema = "ref string, crypto struct<mode:string,size:int,inner:struct<a:string>>, functions array<string>, properties map<string,string>, seq int"
+    before = [("same", ("cbc", 1, ("x",)), ["b", "a"], {"p": "1"}, 1), ("twice", ("old", 1, None), [], {}, 1), ("twice", ("cbc", 1, None), [], {}, 2), ("gone", None, None, None, 1), (None, ("cbc", None, ("x",)), None, {"p": "1", "q": "2"}, 1)]
+    after = [("same", ("cbc", 1, ("x",)), ["a", "b", "a"], {"p": "1"}, 9), ("twice", ("gcm", 2, None), ["s"], {"new": "n"}, 1), ("new", None, None, None, 1), (None, ("cbc", 3, ("y",)), ["a"], {"q": "2"}, 1)]
+    got = drift.diff_properties(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), ["ref"], ["crypto", "functions", "properties"], "seq").collect()
+    assert {r.ref: (r.change, [tuple(c) for c in r.changes]) for r in got} == {
+        "same": ("unchanged", []), "gone": ("removed", []), "new": ("added", []),
+        "twice": ("changed", [("crypto.mode", "cbc", "gcm"), ("crypto.size", "1", "2"), ("functions", "", "s"), ("properties.new", None, "n")]),
+        None: ("changed", [("crypto.inner.a", "x", "y"), ("crypto.size", None, "3"), ("functions", None, "a"), ("properties.p", "1", None)])}
