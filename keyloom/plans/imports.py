@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.functions import vocabulary
 from keyloom.operators import drift
 from keyloom.plans.registry import query
 from keyloom.sources import adapters as A
@@ -73,3 +74,20 @@ def drift_properties(spark, d):
     out = drift.diff_properties(_components(f.where("seq % 2 = 0")), _components(f.where("seq % 2 = 1")), ["project_id", "file", "ref"], ["crypto", "properties"], "at")
     said = F.transform("changes", lambda c: F.concat(c["property"], F.lit(":"), F.coalesce(c["before"], F.lit("?")), F.lit(">"), F.coalesce(c["after"], F.lit("?"))))
     return out.withColumn("changes", F.array_join(said, " "))
+
+
+_SPELLED = {
+    "family": ("AES", "rsa", " SHA-256 ", "kyber", "none such", "", "ed25519", "DH", "jwt"), "function": ("Sign", "hash", "seal", "own", "", "derive"), "material": ("IV", "symmetric-key", "scroll", "", "private-key"), "padding": ("NoPadding", "PKCS5Padding", "own", "", "OAEPWithSHA-256AndMGF1Padding"),
+    "mode": ("GCM", "xts", "own", ""), "primitive": ("AEAD", "protocol", "Key-Exchange", "own", "", "hash"), "protocol": ("SSL", "TLS ", "smtp", "", "quic"),
+}
+_WRITTEN = {
+    "family": ("AES", "RSASSA-PKCS1", "SHA-2", "ML-KEM", "", "", "EdDSA", "FFDH", "HMAC"), "function": ("sign", "digest", "encrypt", "own", "", "keyderive"), "material": ("initialization-vector", "secret-key", "other", "", "private-key"), "padding": ("raw", "pkcs5", "own", "", "oaep"),
+    "mode": ("gcm", "other", "other", ""), "primitive": ("ae", "other", "key-agree", "other", "", "hash"), "protocol": ("tls", "tls", "other", "", "quic"),
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"{A._CASE(f'(doc_id + {k}) % {len(v)}', v)} AS {c}" for k, (c, v) in enumerate(_WRITTEN.items())) + " FROM documents", plain=True)
+def norm_document_fields(spark, d):
+    """Every field of the document format, for all documents."""
+    docs = A.table(spark, d, "documents").select("doc_id", *(A._pick(v, (F.col("doc_id") + k) % len(v)).alias(c) for k, (c, v) in enumerate(_SPELLED.items())))
+    return vocabulary.normalise_document(docs, {c: c for c in _SPELLED})[0]

@@ -60,3 +60,15 @@ def test_diff_names_every_property(spark):
         "same": ("unchanged", []), "gone": ("removed", []), "new": ("added", []),
         "twice": ("changed", [("crypto.mode", "cbc", "gcm"), ("crypto.size", "1", "2"), ("functions", "", "s"), ("properties.new", None, "n")]),
         None: ("changed", [("crypto.inner.a", "x", "y"), ("crypto.size", None, "3"), ("functions", None, "a"), ("properties.p", "1", None)])}
+
+
+def test_document_vocabulary_counts_misses_in_the_same_pass(spark):
+    from keyloom.functions import vocabulary
+
+    rows = [("AES", "gcm"), ("aes ", "weird"), ("none", None), (None, ""), ("ChaCha20-Poly1305", "XTS"), ("none", "weird")]
+    out, seen = vocabulary.normalise_document(spark.createDataFrame(rows, "family string, mode string"), {"family": "family", "mode": "mode"})
+    assert [tuple(r) for r in out.collect()] == [("AES", "gcm"), ("AES", "other"), ("", ""), ("", ""), ("ChaCha20", "other"), ("", "other")]
+    assert seen.get == {"family_misses": 2, "mode_misses": 2}
+    for field, (table, _) in vocabulary.FIELDS.items():
+        spelled = [s for v in table.values() for s in v.split()]
+        assert len(spelled) == len(set(spelled)), field
