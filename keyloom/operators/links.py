@@ -14,18 +14,39 @@ ISSUE_SEVERITY = {"critical": "CRITICAL", "high": "MAJOR", "medium": "MINOR"}
 ISSUE_IMPACT = {"critical": "HIGH", "high": "HIGH", "medium": "MEDIUM"}
 
 
+#: Characters of a gram.
+GRAM = 4
+
+
+def grams(*texts: Column) -> Column:
+    """The distinct grams of texts; a null one has none."""
+    of = lambda t: F.when(F.length(t) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.substr(t, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(F.coalesce(t, F.lit(""))) for t in texts)))
+
+
+def candidates(parts: DataFrame, texts: DataFrame, key: str, needle: Column, fields: list[str]) -> DataFrame:
+    """Pairs of a part and a text of the same ``key`` that can hold the needle: the texts' grams are indexed and a needle looks its first one up, so
+    that only texts with that gram meet it. A needle shorter than a gram meets all texts of its key. Columns of the parts keep their names."""
+    low = [F.lower(F.col(f)) for f in fields]
+    rows = parts.withColumn("_needle", needle).where("_needle IS NOT NULL")
+    indexed = texts.select("*", F.explode(grams(*low)).alias("_gram"))
+    long = rows.where(F.length("_needle") >= GRAM).withColumn("_gram", F.substring("_needle", 1, GRAM)).join(indexed, [key, "_gram"]).drop("_gram")
+    return long.unionByName(rows.where(F.length("_needle") < GRAM).join(texts, key))
+
+
 def sbom_links(components: DataFrame, findings: DataFrame) -> DataFrame:
     """Components (project_id, sbom_id, created_at, name) of each project's latest SBOM with the findings whose name or file contains the component's.
 
-    Findings are counted by name and file first, so the join on the project compares different texts only.
+    Findings are counted by name and file first, components by name; both meet through a gram index (:func:`candidates`).
     """
     last = components.groupBy("project_id").agg(F.max_by("sbom_id", F.struct("created_at", "sbom_id")).alias("sbom_id"))
-    parts = components.join(last, ["project_id", "sbom_id"]).select("project_id", F.col("name").alias("library"))
+    parts = components.join(last, ["project_id", "sbom_id"]).groupBy("project_id", F.col("name").alias("library")).agg(F.count("*").alias("times"))
     texts = findings.groupBy("project_id", "name", "file").agg(F.count("*").alias("n"))
-    low = F.lower(F.col("library"))
-    hit = (parts["project_id"] == texts["project_id"]) & (F.coalesce(F.lower(texts["name"]).contains(low), F.lit(False)) | F.coalesce(F.lower(texts["file"]).contains(low), F.lit(False)))
-    by = parts.join(texts, hit, "left").groupBy(parts["project_id"], "library")
-    return by.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("findings_count"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("crypto_findings"))
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.col("_needle")), F.lit(False))
+    hits = candidates(parts, texts, "project_id", F.lower("library"), ["name", "file"]).where(holds("name") | holds("file"))
+    by = hits.groupBy(F.col("project_id").alias("p"), F.col("library").alias("l")).agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.collect_set("name").alias("names"))
+    met = parts.join(by, (F.col("project_id") == F.col("p")) & (F.col("library") == F.col("l")), "left")
+    return met.select("project_id", "library", F.coalesce("n", F.lit(0).cast("long")).alias("findings_count"), F.array_join(F.sort_array(F.coalesce("names", F.array().cast("array<string>"))), ",").alias("crypto_findings"))
 
 
 def effective_role(own: Column, in_group: Column) -> Column:

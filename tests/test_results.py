@@ -72,3 +72,30 @@ def test_document_vocabulary_counts_misses_in_the_same_pass(spark):
     for field, (table, _) in vocabulary.FIELDS.items():
         spelled = [s for v in table.values() for s in v.split()]
         assert len(spelled) == len(set(spelled)), field
+
+
+def test_contained_names_meet_few_texts(spark):
+    """The same rows as comparing every component with every text, with a fraction of the pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from keyloom.operators import links
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 7)))
+    parts = [(p, 1, 1, rng.choice([word(), word().upper(), None, ""] if rng.random() < 0.2 else [word()])) for p in (1, 2) for _ in range(60)] + [(1, 0, 0, "older"), (3, 1, 1, "alone")]
+    findings = [(p, rng.choice([None, word() + "-" + word()]), rng.choice([None, f"src/{word()}{word()}.py"])) for p in (1, 2) for _ in range(200)]
+    components = spark.createDataFrame(parts, "project_id int, sbom_id int, created_at int, name string")
+    rows = spark.createDataFrame(findings, "project_id int, name string, file string")
+    want = {}
+    for p, sbom, _, name in parts:
+        if sbom == 1:
+            met = [f for f in findings if f[0] == p and name is not None and any(x is not None and name.lower() in x.lower() for x in f[1:])]
+            n, names = want.get((p, name), (0, set()))
+            want[p, name] = n + len(met), names | {f[1] for f in met if f[1] is not None}
+    got = {(r.project_id, r.library): (r.findings_count, r.crypto_findings) for r in links.sbom_links(components, rows).collect()}
+    assert got == {k: (n, ",".join(sorted(names))) for k, (n, names) in want.items()}
+    long = components.where("length(name) >= 4 AND sbom_id = 1").select("project_id", F.col("name").alias("library"))
+    pairs = links.candidates(long, rows, "project_id", F.lower("library"), ["name", "file"]).count()
+    assert 0 < pairs < 0.05 * long.count() * 200
