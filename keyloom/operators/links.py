@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ ISSUE_SEVERITY = {"critical": "CRITICAL", "high": "MAJOR", "medium": "MINOR"}
 ISSUE_IMPACT = {"critical": "HIGH", "high": "HIGH", "medium": "MEDIUM"}
 
 
-#: Characters of a gram.
-GRAM = 4
+#: Characters of a gram, and how many needles of a key are looked for in each of its texts.
+GRAM, FEW = 4, 32
 
 
 def grams(*texts: Column) -> Column:
@@ -25,26 +28,35 @@ def grams(*texts: Column) -> Column:
 
 
 def candidates(parts: DataFrame, texts: DataFrame, key: str, needle: Column, fields: list[str]) -> DataFrame:
-    """Pairs of a part and a text of the same ``key`` that can hold the needle: the texts' grams are indexed and a needle looks its first one up, so
-    that only texts with that gram meet it. A needle shorter than a gram meets all texts of its key. Columns of the parts keep their names."""
-    low = [F.lower(F.col(f)) for f in fields]
+    """Pairs of a part and a text of the same ``key`` that can hold the needle. Columns of the parts keep their names.
+
+    A key's needles are looked for in its texts as they pass, while there are at most ``FEW`` of them; a key with more is looked up in the texts'
+    grams by each needle's first one, and only that key's texts are taken apart. Needles shorter than a gram are always looked for. A text
+    travels once, with nothing but what it holds."""
     rows = parts.withColumn("_needle", needle).where("_needle IS NOT NULL")
-    indexed = texts.select("*", F.explode(grams(*low)).alias("_gram"))
-    long = rows.where(F.length("_needle") >= GRAM).withColumn("_gram", F.substring("_needle", 1, GRAM)).join(indexed, [key, "_gram"]).drop("_gram")
-    return long.unionByName(rows.where(F.length("_needle") < GRAM).join(texts, key))
+    many = rows.groupBy(key).agg(F.countDistinct("_needle").alias("_n"))
+    rows = rows.join(many, key).withColumn("_many", F.col("_n") > FEW).drop("_n")
+    indexed = F.col("_many") & (F.length("_needle") >= GRAM)
+    rows = rows.withColumn("_at", F.when(indexed, F.concat(F.lit("~"), F.substring("_needle", 1, GRAM))).otherwise(F.concat(F.lit("="), F.col("_needle"))))
+    own = rows.groupBy(key).agg(F.collect_set(F.when(~indexed, F.col("_needle"))).alias("_needles"), F.bool_or(indexed).alias("_grams"))
+    holds = lambda n: reduce(or_, (F.coalesce(F.contains(F.lower(f), n), F.lit(False)) for f in fields))
+    found = F.transform(F.filter("_needles", holds), lambda n: F.concat(F.lit("="), n))
+    taken = F.when(F.col("_grams"), F.transform(grams(*(F.lower(f) for f in fields)), lambda g: F.concat(F.lit("~"), g))).otherwise(F.array().cast("array<string>"))
+    met = texts.join(own, key).select(*texts.columns, F.explode(F.concat(found, taken)).alias("_at"))
+    return met.join(rows.drop("_many"), [key, "_at"]).drop("_at")
 
 
 def sbom_links(components: DataFrame, findings: DataFrame) -> DataFrame:
     """Components (project_id, sbom_id, created_at, name) of each project's latest SBOM with the findings whose name or file contains the component's.
 
-    Findings are counted by name and file first, components by name; both meet through a gram index (:func:`candidates`).
+    Components are counted by name first; findings meet them by :func:`candidates`.
     """
     last = components.groupBy("project_id").agg(F.max_by("sbom_id", F.struct("created_at", "sbom_id")).alias("sbom_id"))
     parts = components.join(last, ["project_id", "sbom_id"]).groupBy("project_id", F.col("name").alias("library")).agg(F.count("*").alias("times"))
-    texts = findings.groupBy("project_id", "name", "file").agg(F.count("*").alias("n"))
+    texts = findings.select("project_id", "name", "file")
     holds = lambda c: F.coalesce(F.contains(F.lower(c), F.col("_needle")), F.lit(False))
     hits = candidates(parts, texts, "project_id", F.lower("library"), ["name", "file"]).where(holds("name") | holds("file"))
-    by = hits.groupBy(F.col("project_id").alias("p"), F.col("library").alias("l")).agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.collect_set("name").alias("names"))
+    by = hits.groupBy(F.col("project_id").alias("p"), F.col("library").alias("l")).agg(F.sum("times").alias("n"), F.collect_set("name").alias("names"))
     met = parts.join(by, (F.col("project_id") == F.col("p")) & (F.col("library") == F.col("l")), "left")
     return met.select("project_id", "library", F.coalesce("n", F.lit(0).cast("long")).alias("findings_count"), F.array_join(F.sort_array(F.coalesce("names", F.array().cast("array<string>"))), ",").alias("crypto_findings"))
 

@@ -99,3 +99,15 @@ def test_contained_names_meet_few_texts(spark):
     long = components.where("length(name) >= 4 AND sbom_id = 1").select("project_id", F.col("name").alias("library"))
     pairs = links.candidates(long, rows, "project_id", F.lower("library"), ["name", "file"]).count()
     assert 0 < pairs < 0.05 * long.count() * 200
+
+
+def test_candidates_carry_only_the_texts_that_hold_a_needle(spark):
+    """While a key has few needles, its texts are not taken apart: a pair is a text with a needle it holds."""
+    from pyspark.sql import functions as F
+
+    from keyloom.operators import links
+
+    parts = spark.createDataFrame([(1, "brand#13"), (1, "aes"), (2, "openssl")], "project_id int, library string")
+    texts = spark.createDataFrame([(p, "AES-128", f"src/brand#{k}/x.py") for p in (1, 2) for k in range(30)], "project_id int, name string, file string")
+    pairs = links.candidates(parts, texts, "project_id", F.lower("library"), ["name", "file"]).groupBy("project_id", "library").count().collect()
+    assert {(r.project_id, r.library): r["count"] for r in pairs} == {(1, "brand#13"): 1, (1, "aes"): 30}
