@@ -292,3 +292,15 @@ def test_report_bundle_of_scans_with_and_without_findings(spark):
     assert (one.findings, one.n_high, one.vulnerable, one.safe, one.broken) == (3, 1, 2, 1, 0)
     assert [(f.family, f.n, f.key_size, f.posture, f.nist, f.fips) for f in one.families] == [("aes", 1, 64, "safe", "disallowed", "not-approved"), ("rsa", 2, 2048, "vulnerable", "deprecated", "approved")]
     assert one.quantum_risk == round((7 + 1) * 100 / 60, 1) and one.nist_score == round(100 - (3 + 2) * 100 / 9, 1) and one.fips_score == 66.7
+
+
+def test_accessible_projects_are_distinct_by_their_grants(spark):
+    from keyloom.operators import portal
+
+    groups = spark.createDataFrame([(1, 10, None), (2, 10, 1), (3, 20, None)], "group_id long, org_id long, parent_group_id long")
+    projects = spark.createDataFrame([(p, g) for p, g in ((100, 1), (101, 2), (102, 3), (102, 2), (102, 3))], "project_id long, group_id long")
+    scopes = [(1, "org", 10), (1, "group", 1), (1, "project", 101), (1, "project", 102), (2, "group", 2), (2, "group", 2), (3, "project", 100), (3, "project", 100), (4, "none", 1), (5, "project", 9)]
+    users = spark.createDataFrame(scopes, "user_id long, scope string, scope_id long")
+    out = portal.accessible_projects(users, projects, groups, portal.descendants(groups), slices=3)
+    assert sorted(map(tuple, out.collect())) == [(1, 100), (1, 101), (1, 102), (2, 101), (2, 102), (3, 100)]
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate"), "the pairs are compared with each other"
