@@ -39,17 +39,28 @@ def lookup(col: Column, table: dict, default=None) -> Column:
     return out
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once. A column that stands in every branch of a chain of conditions is otherwise computed in each of
+    them, and so are all that it is made of, above all in filters, which Spark moves down to the table."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def algorithm_family(name: Column, explicit: Column | None = None, table=FAMILY_FULL) -> Column:
     """Explicit family if given, else that of the first keyword in the lower-cased name, else ``unknown``."""
-    out, low = F.lit("unknown"), F.lower(F.coalesce(name, F.lit("")))
-    for keyword, family in reversed(table):
-        out = F.when(low.contains(keyword), family).otherwise(out)
+
+    def first(low: Column) -> Column:
+        out = F.lit("unknown")
+        for keyword, family in reversed(table):
+            out = F.when(low.contains(keyword), family).otherwise(out)
+        return out
+
+    out = once(F.lower(F.coalesce(name, F.lit(""))), first)
     return out if explicit is None else F.coalesce(F.nullif(F.lower(F.trim(explicit)), F.lit("")), out)
 
 
 def posture(family: Column) -> Column:
     """broken, vulnerable, safe or unknown."""
-    return F.when(family.isin(*BROKEN), "broken").when(family.isin(*VULNERABLE), "vulnerable").when(family.isin(*SAFE), "safe").otherwise("unknown")
+    return once(family, lambda f: F.when(f.isin(*BROKEN), "broken").when(f.isin(*VULNERABLE), "vulnerable").when(f.isin(*SAFE), "safe").otherwise("unknown"))
 
 
 def posture_severity(state: Column) -> Column:

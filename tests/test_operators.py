@@ -304,3 +304,12 @@ def test_accessible_projects_are_distinct_by_their_grants(spark):
     out = portal.accessible_projects(users, projects, groups, portal.descendants(groups), slices=3)
     assert sorted(map(tuple, out.collect())) == [(1, 100), (1, 101), (1, 102), (2, 101), (2, 102), (3, 100)]
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate"), "the pairs are compared with each other"
+
+
+def test_a_family_is_computed_once_in_a_filter(spark):
+    """Posture, family and name stand in one another; written out in every branch of the filter they were computed some hundred times a row."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(4).select(F.element_at(F.array(F.lit("RSA-2048"), F.lit("3DES")), (F.col("id") % 2 + 1).cast("int")).alias("name"))
+    out = portfolio.with_posture(rows).where("posture IN ('broken', 'vulnerable')")
+    assert plan(out.select("posture")).count("element_at") <= 4
+    assert sorted(r.posture for r in out.collect()) == ["broken", "broken", "vulnerable", "vulnerable"]
