@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.crypto import algorithm_family, clean_rule_id
+from keyloom.functions.crypto import algorithm_family, clean_rule_id, once
 from keyloom.functions.normalise import infer_posture, map_engine_fields, resolve_primitive
 
 # What a rule's name begins with.
@@ -20,7 +20,7 @@ _MAPPED = ("severity", "confidence", "asset_type", "category", "maturity", "nois
 
 def _parsed(documents: DataFrame) -> DataFrame:
     """The document as a VARIANT (null: not JSON), and whether it is blank."""
-    return documents.select("source", "value", F.try_parse_json("value").alias("doc"), (F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " ")) == "").alias("blank"))
+    return documents.select("source", "value", F.try_parse_json("value").alias("doc"), (~F.rlike(F.coalesce("value", F.lit("")), F.lit(r"\S"))).alias("blank"))
 
 
 def _text(v: Column | str, path: str) -> Column:
@@ -36,12 +36,17 @@ def _items(v: str, path: str) -> Column:
 
 
 def refused(documents: DataFrame) -> DataFrame:
-    """(source, reason) of the documents that can't be used."""
-    errors = F.array_join(F.transform(_items("doc", "$.errors"), lambda e: F.coalesce(F.try_variant_get(e, "$.message", "string"), F.lit(""))), "; ")
-    failed = (F.size(_items("doc", "$.results")) == 0) & (F.size(_items("doc", "$.errors")) > 0)
-    rows = _parsed(documents).where("NOT blank")
-    reason = F.when(F.col("doc").isNull() | (F.schema_of_variant("doc") == "VOID"), F.lit("invalid JSON")).when(failed, F.concat(F.lit("no results, "), F.size(_items("doc", "$.errors")).cast("string"), F.lit(" errors: "), errors))
-    return rows.select("source", reason.alias("reason")).where("reason IS NOT NULL")
+    """(source, reason) of the documents that can't be used. A document is parsed once: the reason is exploded, since a filter on it would move
+    down and parse at every mention of the document."""
+    items = lambda doc, path: F.coalesce(F.try_variant_get(doc, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def reason(doc: Column) -> Column:
+        errors = lambda e: F.concat(F.lit("no results, "), F.size(e).cast("string"), F.lit(" errors: "), F.array_join(F.transform(e, lambda x: F.coalesce(F.try_variant_get(x, "$.message", "string"), F.lit(""))), "; "))
+        failed = F.when(F.size(items(doc, "$.results")) == 0, once(items(doc, "$.errors"), lambda e: F.when(F.size(e) > 0, errors(e))))
+        return F.when(doc.isNull() | (F.schema_of_variant(doc) == "VOID"), F.lit("invalid JSON")).otherwise(failed)
+
+    rows = documents.where(F.rlike(F.coalesce("value", F.lit("")), F.lit(r"\S")))
+    return rows.select("source", F.explode(F.array_compact(F.array(once(F.try_parse_json("value"), reason)))).alias("reason"))
 
 
 def pattern_results(documents: DataFrame) -> DataFrame:

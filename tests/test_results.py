@@ -111,3 +111,10 @@ def test_candidates_carry_only_the_texts_that_hold_a_needle(spark):
     texts = spark.createDataFrame([(p, "AES-128", f"src/brand#{k}/x.py") for p in (1, 2) for k in range(30)], "project_id int, name string, file string")
     pairs = links.candidates(parts, texts, "project_id", F.lower("library"), ["name", "file"]).groupBy("project_id", "library").count().collect()
     assert {(r.project_id, r.library): r["count"] for r in pairs} == {(1, "brand#13"): 1, (1, "aes"): 30}
+
+
+def test_a_document_is_parsed_once_to_be_refused(spark):
+    docs = frame(spark, ["{", " \n\t", None, {"results": [], "errors": [{"message": "a"}, {}]}, {"results": [1]}])
+    out = results.refused(docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert {(r.source, r.reason) for r in out.collect()} == {("d0", "invalid JSON"), ("d3", "no results, 2 errors: a; ")}
