@@ -73,3 +73,10 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
         dropped.append(streams.dropped_rows(query))
     assert dropped == [0, 0, 0, 1, 0]
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 2  # the days 1 and 10, which are closed
+
+
+def test_uploads_are_applied_in_their_order():
+    known: dict = {}
+    last, out = streams.apply_uploads(known, 5, {9: {"b"}, 7: {"a", "b"}, 5: {"z"}, 11: {"a"}, 12: set()})
+    assert last == 12 and known == {"a": [False, 1], "b": [False, 0]}
+    assert out == [("z", 5, None, "late", 0), ("a", 7, None, "open", 0), ("b", 7, None, "open", 0), ("a", 9, "open", "resolved", 0), ("b", 11, "open", "resolved", 0), ("a", 11, "resolved", "open", 1), ("a", 12, "open", "resolved", 1)]
