@@ -301,7 +301,7 @@ def test_accessible_projects_are_distinct_by_their_grants(spark):
     projects = spark.createDataFrame([(p, g) for p, g in ((100, 1), (101, 2), (102, 3), (102, 2), (102, 3))], "project_id long, group_id long")
     scopes = [(1, "org", 10), (1, "group", 1), (1, "project", 101), (1, "project", 102), (2, "group", 2), (2, "group", 2), (3, "project", 100), (3, "project", 100), (4, "none", 1), (5, "project", 9)]
     users = spark.createDataFrame(scopes, "user_id long, scope string, scope_id long")
-    out = portal.accessible_projects(users, projects, groups, portal.descendants(groups), slices=3)
+    out = portal.accessible_projects(users, projects, groups, portal.descendants(groups))
     assert sorted(map(tuple, out.collect())) == [(1, 100), (1, 101), (1, 102), (2, 101), (2, 102), (3, 100)]
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate"), "the pairs are compared with each other"
 
