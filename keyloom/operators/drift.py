@@ -113,7 +113,9 @@ def diff_properties(before: DataFrame, after: DataFrame, keys: list[str], column
     the order of names. Of several rows of a key the last by ``order`` counts; a property that one side lacks is null there."""
 
     def last(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*(F.col(k).alias(f"{name}_{k}") for k in keys)).agg(F.max_by(F.struct(property_map(rows, columns).alias("p")), order)["p"].alias(name))
+        named = [F.col(k).alias(f"{name}_{k}") for k in keys]
+        kept = rows.groupBy(*named).agg(F.max_by(F.struct(*columns), order).alias("_kept")).select("*", "_kept.*")
+        return kept.select(*(f"{name}_{k}" for k in keys), F.when(F.col("_kept").isNotNull(), property_map(kept, columns)).alias(name))
 
     b, a = last(before, "b"), last(after, "a")
     j = a.join(b, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys], "full_outer")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import portal
+from keyloom.operators import drift, portal
 
 OBSERVED = "project_id int, cipher_suite string, tls_version string, event_id int, service_name string, observed_at int"
 FOUND = "finding_id string, project_id int, name string, service_name string, configured_tls string"
@@ -29,3 +29,12 @@ def test_agility_makes_one_row_a_finding(spark):
     out = portal.agility(f)
     assert {r.project_id: (r.concentration, r.diversity, r.readiness) for r in out.collect()} == {1: (100.0, 100.0, 50.0), 2: (100.0, 100.0, 100.0)}
     assert "Expand" not in said(out)
+
+
+def test_properties_are_mapped_after_the_last_row_is_taken(spark):
+    rows = [("k", 1, "x"), ("k", 2, "y"), ("n", None, "z")]
+    df = spark.createDataFrame(rows, "ref string, at int, v string").select("ref", "at", F.struct("v").alias("crypto"))
+    out = drift.diff_properties(df, df.where("at = 1"), ["ref"], ["crypto"], "at")
+    assert {r.ref: (r.change, [tuple(c) for c in r.changes]) for r in out.collect()}["k"] == ("changed", [("crypto.v", "y", "x")])
+    aggregates = [line for line in said(out).splitlines() if "max_by" in line]
+    assert aggregates and not any("map" in line for line in aggregates)
