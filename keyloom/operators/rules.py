@@ -237,7 +237,9 @@ def scan_rules(files: DataFrame, rules: list[Rule]) -> DataFrame:
     lang = language(F.col("path"))
     own = files.select("path", "content", lang.alias("lang")).where(F.col("lang").isin(sorted({t[0] for t in table})))
     lines = explode_lines(own.select("path", code.strip_comments(F.col("content"), F.col("lang")).alias("content"))).where("text <> ''").withColumn("lang", language(F.col("path")))
-    words = lines.select("path", "line", "lang", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]+|=)"), F.lit(1)))).alias("word"))
+    asked = ", ".join(f"'{w}'" for w in sorted({t[1] for t in table})) or "''"  # each row of a word carries its line, so only words that a statement needs make one
+    needed = F.expr(f"array_distinct(filter(regexp_extract_all(text, '([A-Za-z0-9_]+|=)', 1), w -> w IN ({asked})))")
+    words = lines.select("path", "line", "lang", "text", F.explode(needed).alias("word"))
     met = words.join(F.broadcast(steps), ["lang", "word"]).where(F.expr("text rlike regex"))
     unquoted = "trim(BOTH '\"\'\'' FROM regexp_extract(text, regex, {}))"
     bound = F.expr(f"transform(groups, g -> {unquoted.format('g')})")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import drift, portal
+from keyloom.operators import drift, portal, rules
+from keyloom.plans import code as plans
 
 OBSERVED = "project_id int, cipher_suite string, tls_version string, event_id int, service_name string, observed_at int"
 FOUND = "finding_id string, project_id int, name string, service_name string, configured_tls string"
@@ -38,3 +39,12 @@ def test_properties_are_mapped_after_the_last_row_is_taken(spark):
     assert {r.ref: (r.change, [tuple(c) for c in r.changes]) for r in out.collect()}["k"] == ("changed", [("crypto.v", "y", "x")])
     aggregates = [line for line in said(out).splitlines() if "max_by" in line]
     assert aggregates and not any("map" in line for line in aggregates)
+
+
+def test_rule_scan_makes_rows_of_needed_words_only(spark):
+    files = spark.createDataFrame([("a.py", "many other words stand here\nx = hashlib.md5(many, words)")], "path string, content string")
+    out = rules.scan_rules(files, rules.compile_rules(plans.PACK)[0])
+    assert [(r.line, r.rule_id) for r in out.collect()] == [(2, "own-py-md5-or-sha1")]
+    made = [line for line in said(out).splitlines() if "Generate explode" in line and "regexp_extract_all" in line]
+    assert made and all("INSET" in line or " IN (" in line for line in made)
+    assert rules.scan_rules(files, []).count() == 0
