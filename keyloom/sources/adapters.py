@@ -37,7 +37,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    rows = dealt(line, "l_orderkey", n).join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
+    # Parts are dealt so that lines come to them in as many parts where they are too large to broadcast; scans come last, as most group by them.
+    rows = line.join(dealt(part, "p_partkey", n), line.l_partkey == part.p_partkey)
+    rows = dealt(rows, "l_orderkey", n).join(orders, rows.l_orderkey == orders.o_orderkey)
     status = F.when(F.col("l_returnflag") == "R", "resolved").when(F.col("l_returnflag") == "A", "false_positive").when(F.col("l_linestatus") == "F", "in_review").otherwise("open")
     size = F.when(F.col("p_size") <= 10, 1024).when(F.col("p_size") <= 20, 2048).when(F.col("p_size") <= 30, 3072).when(F.col("p_size") <= 40, 4096)
     return rows.select(
