@@ -73,3 +73,9 @@ def test_report_bundle_meets_parts_and_scans_in_bounded_parts(spark, monkeypatch
 
 def test_scan_metrics_group_without_a_further_shuffle(spark, monkeypatch):
     assert set(widths(spark, "portfolio_scan_metrics", monkeypatch)) == {("l_partkey", 30), ("p_partkey", 30), ("l_orderkey", 30), ("o_orderkey", 30), ("scan_id", 30)}
+
+
+def test_baseline_is_met_in_bounded_parts(spark, monkeypatch):
+    found = widths(spark, "drift_baseline_kept", monkeypatch)
+    assert [(k, n) for k, n in found if n < 30] == [("fingerprint", 4)]  # the entries, summed before they are shuffled
+    assert found.count(("fingerprint", 30)) == 2
