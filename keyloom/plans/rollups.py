@@ -64,7 +64,7 @@ def portfolio_rule_window(spark, d):
     later = lambda hours: F.timestamp_seconds(F.unix_timestamp(F.col("created_at").cast("timestamp")) + hours * 3600)
     history = f.where("seq % 3 <> 0").select("finding_id", F.lit("resolved").alias("new_status"), later(F.col("part")).alias("changed_at"))
     history = history.unionByName(f.select("finding_id", F.lit("resolved").alias("new_status"), later(F.lit(-1)).alias("changed_at")).where("false")).unionByName(f.select("finding_id", F.lit("open").alias("new_status"), later(F.lit(10**5)).alias("changed_at")))
-    return rollups.rule_analytics(f, history, "900d", "1998-08-02 00:00:00")
+    return rollups.rule_analytics(f, A.dealt(history, "finding_id", A.rows_of_findings(spark, d)), "900d", "1998-08-02 00:00:00")
 
 
 @query("SELECT scan_id, n, completed_at AS scanned_at FROM (SELECT scan_id, count(*) AS n FROM findings WHERE rule_id = 'r-3' GROUP BY 1) JOIN scans USING (scan_id)")

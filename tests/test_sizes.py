@@ -79,3 +79,7 @@ def test_baseline_is_met_in_bounded_parts(spark, monkeypatch):
     found = widths(spark, "drift_baseline_kept", monkeypatch)
     assert [(k, n) for k, n in found if n < 30] == [("fingerprint", 4)]  # the entries, summed before they are shuffled
     assert found.count(("fingerprint", 30)) == 2
+
+
+def test_rule_window_meets_its_history_in_bounded_parts(spark, monkeypatch):
+    assert {(k, n) for k, n in widths(spark, "portfolio_rule_window", monkeypatch) if n < 30} == {("rule_id", 4)}  # twenty rules
