@@ -48,14 +48,15 @@ def cbom_documents(findings: DataFrame, key: str = "scan_id") -> DataFrame:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """Result rows with the rule's index by first appearance in each scan."""
-    first = findings.groupBy("scan_id", "rule_id").agg(F.min(F.struct("seq", "finding_id")).alias("f"))
-    from pyspark.sql import Window as W
-
+    """Result rows with the rule's index by first appearance in each scan. Rules meet the findings as one row a scan, so that findings
+    that come by scan stay where they are."""
     from keyloom.functions.crypto import sarif_level
 
-    index = first.withColumn("rule_index", F.row_number().over(W.partitionBy("scan_id").orderBy("f")) - 1).drop("f")
-    return findings.join(index, ["scan_id", "rule_id"]).select("scan_id", "finding_id", "rule_id", "rule_index", sarif_level(F.col("severity")).alias("level"))
+    first = findings.groupBy("scan_id", "rule_id").agg(F.min(F.struct("seq", "finding_id")).alias("f"))
+    rules = first.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("f", "rule_id"))).alias("rules"))
+    index = rules.select("scan_id", F.transform("rules", lambda r, i: F.struct(r["rule_id"].alias("rule_id"), i.alias("at"))).alias("rules"))
+    at = F.get(F.filter("rules", lambda r: r["rule_id"].eqNullSafe(F.col("rule_id"))), F.lit(0))["at"]
+    return findings.join(index, "scan_id").select("scan_id", "finding_id", "rule_id", at.alias("rule_index"), sarif_level(F.col("severity")).alias("level"))
 
 
 def write_text(documents: DataFrame, path: str, key: str = "scan_id") -> None:
