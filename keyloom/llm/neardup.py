@@ -3,7 +3,9 @@
 A text is a weighted set: its shingles of ``WORDS`` words, each with its count times its smoothed inverse
 document frequency. Frequencies are counted over all documents in ``DF_ROWS`` hash tables of ``DF_BUCKETS`` counters; a
 shingle's is the least of its counters less the mean of that table, which is what other shingles add, and one if
-that is within three deviations of nothing. ``HASHES`` consistent
+that is within three deviations of nothing. No shingle weighs more than one that a ``RARE``-th of the documents holds: a
+group of copies makes what they share frequent while what one of them changed stays rare, so that without this
+bound copies count as less similar the larger their group and the table are. ``HASHES`` consistent
 weighted samples a text, cut into ``BANDS`` bands, put similar texts in common buckets. Candidates are
 verified by the weighted Jaccard similarity of the whole sets; links of ``SIMILARITY`` or more are joined to
 classes by alternating star contraction.
@@ -37,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 DF_BUCKETS, DF_ROWS = 1 << 18, 2
+#: A shingle that at most one of so many documents holds has the highest weight.
+RARE = 128
 #: Members of a bucket and shingles of theirs that are compared at once; a larger one is cut into groups of about half as many.
 TOGETHER, ELEMENTS = 2048, 2_000_000
 _TABLE = 1 << 16
@@ -87,13 +91,15 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
 
 class InverseFrequencies:
-    """log((1 + documents) / (1 + frequency)) + 1 of any shingle; what is broadcast has a fixed size."""
+    """log((1 + documents) / (1 + frequency)) + 1 of any shingle, with ``rare`` log(rare) + 1 at most; what is broadcast has a fixed size."""
 
-    def __init__(self, n: int, counters: np.ndarray):
+    def __init__(self, n: int, counters: np.ndarray, rare: int | None = None):
         mean = counters.mean(axis=1, keepdims=True)
         own = counters - mean
         self.top = np.log((1 + n) / 2) + 1 if n else 1.0
         self.tables = np.where(own > 3 * np.sqrt(mean), np.log((1 + n) / (1 + np.maximum(own, 1))) + 1, self.top).astype(np.float32)
+        if rare:
+            self.tables = np.minimum(self.tables, np.float32(np.log(rare) + 1))
 
     def __getitem__(self, elements: np.ndarray) -> np.ndarray:
         return np.maximum.reduce([t[b] for t, b in zip(self.tables, _buckets(elements))])
@@ -259,7 +265,7 @@ def classes_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """(key, root): the MD5 of every text that is linked to a different one, and that of the text which names its class."""
     spark = docs.sparkSession
     n, df = document_frequencies(docs, text)
-    idf = spark.sparkContext.broadcast(InverseFrequencies(n, df))
+    idf = spark.sparkContext.broadcast(InverseFrequencies(n, df, RARE))
     rows = docs.select(_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     signs = signatures(rows, idf)
     buckets = signs.select("tid", "size", F.explode("bands").alias("bucket"))

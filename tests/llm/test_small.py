@@ -544,6 +544,39 @@ def test_near_duplicates_of_large_buckets(spark, monkeypatch):
         assert got == dict(enumerate(root)), name
 
 
+def test_near_duplicates_of_a_group_in_a_large_table(spark):
+    """Copies of one text with four words of 200 changed: what 25 texts of 4,000 share is still rare, so that the group weighs like a pair."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    base = rng.choices(vocabulary, k=200)
+    texts = [" ".join(base)]
+    for k in range(24):
+        copy = list(base)
+        for at in (k + 10, k + 60, k + 110, k + 160):
+            copy[at] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    texts += [" ".join(rng.choices(vocabulary, k=20)) for _ in range(3975)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: i if i > 24 else 0 for i in range(len(texts))}
+
+
+def test_similarity_does_not_fall_with_the_size_of_table_and_group():
+    """What one of 200 documents holds is in common, at two numbers of documents; what more than one of 128 hold weighs less."""
+    shared, own, often = np.arange(1, 91, dtype=np.uint32) * np.uint32(40_000_003), [np.arange(k, k + 10, dtype=np.uint32) * np.uint32(90_000_049) for k in (100, 200)], np.array([77], np.uint32)
+    found = []
+    for n in (2_000, 3_000_000):
+        counters = np.zeros((neardup.DF_ROWS, neardup.DF_BUCKETS), int)
+        for e, x in ((shared, n // 200), (own[0], 1), (own[1], 1), (often, n // 10)):
+            for table, b in zip(counters, neardup._buckets(e)):
+                np.add.at(table, b, x)
+        weight = neardup.InverseFrequencies(n, counters, neardup.RARE)
+        sets = [np.sort(np.concatenate([shared, o])) for o in own]
+        found.append(neardup._similarity(*((e.tobytes(), neardup._packed(np.ones(len(e), int))) for e in sets), weight))
+        assert abs(weight[often][0] - np.log(10) - 1) < 0.1
+    assert found[0] == found[1] and abs(found[0] - 90 / 110) < 1e-6
+
+
 def test_frequencies_of_shingles_stay_apart_in_full_tables():
     """A million rare shingles fill every counter; frequent ones keep their weight and rare ones the highest."""
     rng = np.random.default_rng(2)
