@@ -306,6 +306,27 @@ def test_accessible_projects_are_distinct_by_their_grants(spark):
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate"), "the pairs are compared with each other"
 
 
+def test_accessible_projects_take_little_room_in_files(spark, tmp_path):
+    """The pairs are users times projects, so that room must not grow with them as with other rows: 3.03 million, written in under half a byte each
+    where neither side is small enough to broadcast."""
+    from keyloom.operators import portal
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    groups = spark.createDataFrame([(1, 10, None), (2, 10, 1)], "group_id long, org_id long, parent_group_id long")
+    projects = spark.range(101).select((F.col("id") * 7).alias("project_id"), F.lit(1).cast("long").alias("group_id"))
+    users = spark.range(30_000).select((F.col("id") * 3).alias("user_id"), F.lit("org").alias("scope"), F.lit(10).cast("long").alias("scope_id"))
+    try:
+        portal.accessible_projects(users, projects, groups, portal.descendants(groups)).write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    row = back.agg(F.count("*"), F.countDistinct("user_id"), F.countDistinct("project_id"), F.bit_xor(F.xxhash64("user_id", "project_id"))).first()
+    whole = users.crossJoin(projects).agg(F.bit_xor(F.xxhash64("user_id", "project_id"))).first()
+    assert tuple(row) == (3_030_000, 30_000, 101, whole[0])
+    assert sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 1_500_000
+
+
 def test_a_family_is_computed_once_in_a_filter(spark):
     """Posture, family and name stand in one another; written out in every branch of the filter they were computed some hundred times a row."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
