@@ -327,6 +327,19 @@ def test_accessible_projects_take_little_room_in_files(spark, tmp_path):
     assert sum(x.stat().st_size for x in (tmp_path / "pairs").glob("*.parquet")) < 1_500_000
 
 
+def test_accessible_projects_are_made_in_parts_of_bounded_pairs(spark, monkeypatch):
+    from keyloom.operators import portal
+
+    groups = spark.createDataFrame([(1, 10, None)], "group_id long, org_id long, parent_group_id long")
+    projects = spark.range(200).select(F.col("id").alias("project_id"), F.lit(1).cast("long").alias("group_id"))
+    users = spark.range(100).select(F.col("id").alias("user_id"), F.lit("org").alias("scope"), F.lit(10).cast("long").alias("scope_id"))
+    monkeypatch.setattr(portal, "PAIRS", 500)
+    monkeypatch.setattr(portal, "BLOCK", 4)
+    out = portal.accessible_projects(users, projects, groups, portal.descendants(groups))
+    by = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by) == out.distinct().count() == 20_000 and max(by) <= 4_000 and len(by) > 16
+
+
 def test_a_family_is_computed_once_in_a_filter(spark):
     """Posture, family and name stand in one another; written out in every branch of the filter they were computed some hundred times a row."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
